@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.base import WordHashes, discard, materialize, mix, multipliers, spread
@@ -151,7 +151,6 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node that each node of an edge reaches; alternating large and small stars."""
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
@@ -169,7 +168,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
     comps = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     heads = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    _ = spark
     return comps.unionByName(heads)
 
 
@@ -241,8 +239,6 @@ def _search(rows: DataFrame, sigs: DataFrame) -> DataFrame:
 def _blocks(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     """Crowded regions of the last depth as blocks of their sorted order, each with its successor."""
     sized = rows.join(sigs, "node").withColumn("part", F.pmod(F.hash("sig"), F.lit(64)))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("region", "part").orderBy("sig", "node")
     cut = sized.withColumn("block", F.floor((F.row_number().over(w) - 1) / (REGION // 2)))
     twice = cut.select("node", "comp", "region", "part", F.explode(F.array("block", F.col("block") + 1)).alias("block"))

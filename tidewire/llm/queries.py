@@ -3,15 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewire.llm.base import documents
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.minhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewire.llm.bpe import decode, encode
+
+    path = _tokenizer("byte_bpe_50k.tiktoken")
+    tokens = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.substrings import without_repeats
+
+    return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.token_files import round_trip
+
+    return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), 2)
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_files": op8_token_files,
+}
 SQL: dict[str, str] = {}
