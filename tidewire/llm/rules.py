@@ -50,9 +50,9 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # every 3-word window as (hash, place), sorted, so that equal windows stand side by side
     windows = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("p")))
-    found = found.withColumn("_sorted", F.when(F.size("_words") >= 3, F.array_sort(windows)))
+    found = found.withColumn("_sorted", F.when(F.size("_words") >= 3, F.sort_array(windows)))
     twice = F.filter("_sorted", lambda x, i: (F.get("_sorted", i - 1)["h"] == x["h"]) | (F.get("_sorted", i + 1)["h"] == x["h"]))
-    found = found.withColumn("_places", F.array_sort(F.transform(twice, lambda x: x["p"])))
+    found = found.withColumn("_places", F.sort_array(F.transform(twice, lambda x: x["p"])))
     # each place covers three words, less what the next one covers too
     covered = F.aggregate(F.transform("_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_places", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     found = found.withColumns(

@@ -36,7 +36,7 @@ WINDOW = 35
 GRAM = 6
 PRINT = 6
 #: Bytes of text that a map task parses against itself at a time, and bytes of a block that meet at a time.
-SLICE = 12_000_000
+SLICE = 4_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
