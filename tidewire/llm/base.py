@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.plans.session import ship
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, as a Java and as an RE2 class body.
 SPACE = r"\x20\x09-\x0D"
 #: Words whose hash a Python worker keeps before it starts afresh.
@@ -97,7 +99,7 @@ def multipliers(n: int, seed: int) -> np.ndarray:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def sha256_hex(column) -> F.Column:

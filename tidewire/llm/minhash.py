@@ -9,9 +9,12 @@ parted at the next depth beyond that, so depth adapts to how crowded the order i
 1. Documents with equal sets become one node.
 2. Every node takes one leader: the first member it meets most often as the head of its regions. The
    pair is confirmed on the full sets.
-3. Regions that still hold several components are searched whole, in blocks, for pairs from different
-   components whose signatures agree well enough; these are confirmed on the full sets too.
-4. Components of the confirmed links by alternating large and small stars.
+3. In regions that still hold several components, every node takes one more partner: the member of
+   another component whose signature agrees best. These pairs are confirmed on the full sets too.
+4. Regions that hold several components even now get their members' texts. All pairs from different
+   components whose signatures agree well enough are confirmed there on the full sets, best first; a
+   confirmed pair joins its components, so a region of n members sends on fewer than n links.
+5. Components of the confirmed links, by alternating large and small stars.
 
 A pair of similarity 0.75 shares a region of the first depth with probability 0.42 in each of 24
 orders, so it is missed with probability 2e-6. Nothing is capped: a crowded region is parted by depth,
@@ -39,7 +42,7 @@ TREES, STEP = 24, 4
 VALUES = TREES * STEP
 DEPTHS = (3, 6, 10, 16)
 #: Members up to which a region is searched as a whole.
-REGION = 2048
+REGION = 1024
 #: Signature values that must agree before a pair of the last search is confirmed: 4 standard deviations under 0.75.
 AGREE = round(VALUES * 0.75 - 4 * (VALUES * 0.75 * 0.25) ** 0.5)
 SIMILAR = (75, 100)
@@ -113,40 +116,89 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct()
 
 
-def _pairs_in(x: np.ndarray, ids: np.ndarray, comps: np.ndarray) -> list[np.ndarray]:
-    """Pairs of one region from different components that agree in AGREE values, in blocks of 64 rows."""
-    out = []
-    for at in range(0, len(ids) - 1, 64):
-        some = x[at : at + 64]
-        count = np.zeros((len(some), len(ids) - at), np.int16)
-        for k in range(VALUES):
-            count += some[:, k, None] == x[None, at:, k]
-        i, j = np.nonzero(count >= AGREE)
-        i, j = i + at, j + at
-        ok = (i < j) & (comps[i] != comps[j])
-        out.append(np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], axis=1))
-    return out
-
-
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by region; a region is at most REGION rows, or two neighbouring blocks of that."""
+def _agreeing(x: np.ndarray, comps: np.ndarray, at: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of 64 rows from ``at`` on with all later rows, from different components, that agree in AGREE
+    values: (i, j, agreement). ``first``: only pairs whose first shared order, at the first depth, it is."""
+    some = x[at : at + 64]
+    count = np.zeros((len(some), len(x) - at), np.int16)
+    earlier = np.zeros(count.shape, bool)
+    for tree in range(TREES):
+        shared = np.ones(count.shape, bool)
+        for k in range(tree * STEP, (tree + 1) * STEP):
+            same = some[:, k, None] == x[None, at:, k]
+            count += same
+            if k < tree * STEP + DEPTHS[0]:
+                shared &= same
+        if first is not None and tree < first:
+            earlier |= shared
+    i, j = np.nonzero((count >= AGREE) & ~earlier)
+    n = count[i, j]
+    i, j = i + at, j + at
+    ok = (i < j) & (comps[i] != comps[j])
+    return i[ok], j[ok], n[ok]
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(tree, signatures, nodes, components, sets) of each region; rows come sorted by region."""
+    region, rows = None, []
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        x = np.frombuffer(b"".join(r[3] for r in rows), np.int32).reshape(-1, VALUES)
-        ids, comps = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        pairs = np.concatenate([np.empty((0, 2), np.int64), *_pairs_in(x, ids, comps)])
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list]:
+        x = np.frombuffer(b"".join(r[2] for r in rows), np.int32).reshape(-1, VALUES)
+        return rows[0][4], x, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[3] for r in rows]
 
-    region, rows = None, []
     for batch in batches:
-        for r, node, comp, sig in zip(*(batch.column(k).to_pylist() for k in ("region", "node", "comp", "sig")), strict=True):
+        texts = batch.column("text") if "text" in batch.schema.names else None
+        flat = batch.column("sig").flatten().to_numpy().reshape(-1, VALUES)
+        for i, (r, tree, node, comp) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("region", "tree", "node", "comp")), strict=True)):
             if r != region:
                 if len(rows) > 1:
-                    yield found(rows)
+                    yield whole()
                 region, rows = r, []
-            rows.append((r, node, comp, np.array(sig, np.int32).tobytes()))
+            rows.append((node, comp, flat[i].tobytes(), shingles(texts[i].as_py()) if texts else None, tree))
     if len(rows) > 1:
-        yield found(rows)
+        yield whole()
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of a region, the node of another component that agrees best with it."""
+    for _, x, nodes, comps, _ in _regions(batches):
+        best, whom = np.zeros(len(nodes), np.int64), np.full(len(nodes), -1)
+        for at in range(0, len(nodes) - 1, 64):
+            i, j, n = _agreeing(x, comps, at, None)
+            for a, b in ((i, j), (j, i)):
+                order = np.argsort(n, kind="stable")
+                a, b, m = a[order], b[order], n[order]
+                np.maximum.at(best, a, m)
+                hit = best[a] == m
+                whom[a[hit]] = b[hit]
+        has = np.flatnonzero(whom >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[whom[has]]), pa.array(best[has])], names=["node", "other", "agree"])
+
+
+def _joined(first_only: bool):
+    """Links, confirmed on the full sets, that join the components of a region."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, x, nodes, comps, sets in _regions(batches):
+            above: dict[int, int] = {}
+
+            def head(c: int, above: dict[int, int] = above) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            a, b = [], []
+            for at in range(0, len(nodes) - 1, 64):
+                i, j, n = _agreeing(x, comps, at, tree if first_only else None)
+                for k in np.argsort(-n, kind="stable").tolist():
+                    p, q = head(comps[i[k]]), head(comps[j[k]])
+                    if p != q and similar(sets[i[k]], sets[j[k]]):
+                        above[max(p, q)] = min(p, q)
+                        a.append(min(nodes[i[k]], nodes[j[k]]))
+                        b.append(max(nodes[i[k]], nodes[j[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return joined
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,34 +247,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = votes.select(F.col("node").alias("b"), (-F.col("best.col2")).alias("a"))
     links = materialize(_confirm(led, texts), "links")
 
-    # What the leaders left apart: regions with more than one component.
     comps = materialize(components(links), "components")
-    level = members.select("region", "node").join(comps, "node", "left").select("region", "node", F.coalesce("comp", "node").alias("comp"))
-    more = []
-    for at, depth in enumerate(DEPTHS):
-        level = materialize(level, "level")
-        mixed = level.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region", "n")
-        parted = materialize(level.join(mixed, "region"), "parted")
-        discard(level)
-        leaf, crowded = parted.where(F.col("n") <= REGION), parted.where(F.col("n") > REGION)
-        more.append(_search(leaf.select("region", "node", "comp"), sigs))
-        if crowded.isEmpty():
-            break
-        if at + 1 < len(DEPTHS):
-            # the next depth of the same order; the order is found again from the region's key
-            deeper = _orders(sigs, depth).withColumnRenamed("region", "was")
-            then = _orders(sigs, DEPTHS[at + 1])
-            moved = crowded.select(F.col("region").alias("was"), "node", "comp").join(deeper, ["was", "node"])
-            level = moved.join(then, ["node", "tree"]).select("region", "node", "comp")
-        else:
-            more.append(_search(_blocks(crowded.select("region", "node", "comp"), sigs), sigs))
-    found = more[0]
-    for other in more[1:]:
-        found = found.union(other)
-    pairs = materialize(found.distinct(), "pairs")
+    members = members.select("region", "tree", "node")
+
+    # What the leaders left apart: first one more partner each, then everything else.
+    leaves, _ = _mixed(members, comps, sigs)
+    best = leaves.mapInArrow(_partners, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", -F.col("other"))).alias("x")).select("node", (-F.col("x.col2")).alias("other"))
+    pairs = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.union(materialize(_confirm(pairs, texts), "links"))
         comps = materialize(components(links), "components")
+        leaves, first_only = _mixed(members, comps, sigs, texts)
+        rest = materialize(leaves.mapInArrow(_joined(first_only), "a long, b long"), "rest")
+        if not rest.isEmpty():
+            comps = materialize(components(links.union(rest)), "components")
     discard(texts)
 
     named = heads.join(comps, "node", "left").select("n_shingles", "fp1", "fp2", F.coalesce("comp", "node").alias("c"))
@@ -231,9 +269,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
-def _search(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    dealt = rows.join(sigs, "node").repartition(spread(rows), "region").sortWithinPartitions("region", "node")
-    return dealt.select("region", "node", "comp", "sig").mapInArrow(_searched, "a long, b long")
+def _mixed(members: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Rows of the regions that hold several components, sorted by region, with the signature and, from
+    ``texts``, the text; and whether all of these regions are of the first depth."""
+    level = members.join(comps, "node", "left").select("region", "tree", "node", F.coalesce("comp", "node").alias("comp"))
+    leaves = None
+    for at in range(len(DEPTHS)):
+        level = materialize(level, "level")
+        several = level.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region", "n")
+        parted = materialize(level.join(several, "region"), "parted")
+        discard(level)
+        leaf = parted.where(F.col("n") <= REGION).drop("n")
+        leaves = leaf if leaves is None else leaves.union(leaf)
+        crowded = parted.where(F.col("n") > REGION)
+        if crowded.isEmpty():
+            break
+        if at + 1 < len(DEPTHS):  # the same order, read deeper
+            level = crowded.select("tree", "node", "comp").join(_orders(sigs, DEPTHS[at + 1]), ["tree", "node"]).select("region", "tree", "node", "comp")
+        else:
+            leaves = leaves.union(_blocks(crowded, sigs))
+    rows = leaves.join(sigs, "node")
+    if texts is not None:
+        rows = rows.join(texts, "node")
+    return rows.repartition(spread(rows), "region").sortWithinPartitions("region", "node"), at == 0
 
 
 def _blocks(rows: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -241,5 +299,5 @@ def _blocks(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     sized = rows.join(sigs, "node").withColumn("part", F.pmod(F.hash("sig"), F.lit(64)))
     w = Window.partitionBy("region", "part").orderBy("sig", "node")
     cut = sized.withColumn("block", F.floor((F.row_number().over(w) - 1) / (REGION // 2)))
-    twice = cut.select("node", "comp", "region", "part", F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    return twice.select(F.xxhash64("region", "part", "block").alias("region"), "node", "comp")
+    twice = cut.select("tree", "node", "comp", "region", "part", F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    return twice.select(F.xxhash64("region", "part", "block").alias("region"), "tree", "node", "comp")
