@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import SPACE
+from tidewire.llm.base import SPACE, materialize
 
 MIN_WORDS = 50
 REPEATED = (50, 100)
@@ -111,15 +111,21 @@ def bounds(sketch: DataFrame) -> DataFrame:
     return limits.groupBy("lang", "source").agg(*columns)
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts, base_failed, the rates and kept."""
+def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the counts, base_failed, the rates and kept; without the text if it isn't asked for.
+
+    The counts are written once: both the sketches and the verdicts read them, and a filter on a count
+    can't be pushed into the projections that make it.
+    """
     clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RATES}
     rows = docs.select(*(c for c in docs.columns if c.lower() not in clash))
     for c in ("lang", "source"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
+    counts = counted(rows)
+    counts = materialize(counts if keep_text else counts.drop("text"), "counts")
     failed = (F.col("n_words") < MIN_WORDS) | (REPEATED[1] * F.col("n_repeat_words") > REPEATED[0] * F.col("n_words"))
-    return _verdicts(counted(rows).withColumn("base_failed", failed))
+    return _verdicts(counts.withColumn("base_failed", failed))
 
 
 def _verdicts(counts: DataFrame) -> DataFrame:
