@@ -20,6 +20,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.html_text import extract
+
+    return extract(documents(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.rules import judged
 
@@ -48,11 +54,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), 2)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.shards import shards
+
+    return shards(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
+    "op9_sharding": op9_sharding,
 }
 SQL: dict[str, str] = {}
