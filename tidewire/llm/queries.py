@@ -60,6 +60,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.pii import find
+
+    found = find(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_html_extraction": op4_html_extraction,
@@ -68,5 +75,6 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {}
