@@ -20,6 +20,7 @@ import base64
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 CACHE_CHUNKS = 400_000
 #: Characters of text whose chunks are looked up at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Unicode's White_Space, which the split patterns mean by \s.
 _WS = r"\t-\r \x85\xa0  -     　"
 #: Chunks whose ends are ends of matches of the split pattern too: it has no match over white space but for one leading blank.
@@ -186,10 +187,10 @@ class Ranks:
 
 
 class Encoder:
-    """Ids of texts; ``learn`` gives the little-endian 32-bit ids of new chunks."""
+    """Ids of texts; ``learn`` gives the ids of new chunks as bytes, of which ``most`` are kept."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
-        self.learn, self.known = learn, {}
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = CACHE_CHUNKS):
+        self.learn, self.most, self.known = learn, most, {}
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         some, size = [], 0
@@ -202,12 +203,13 @@ class Encoder:
         yield from self._look_up(some)
 
     def _look_up(self, texts: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = list({c for chunks in texts for c in chunks if c not in self.known})
+        known = self.known
+        if len(known) > self.most:  # the first to come are the common ones
+            self.known = known = dict(islice(known.items(), self.most // 2))
+        new = [c for c in set(chain.from_iterable(texts)) if c not in known]
         for at in range(0, len(new), 50_000):
-            self.known.update(zip(new[at : at + 50_000], self.learn(new[at : at + 50_000]), strict=True))
-        of = self.known.__getitem__
+            known.update(zip(new[at : at + 50_000], self.learn(new[at : at + 50_000]), strict=True))
+        of = known.__getitem__
         for chunks in texts:
             yield b"".join(map(of, chunks))
 

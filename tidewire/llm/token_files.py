@@ -17,6 +17,7 @@ doc_id. Rows of one doc_id stand side by side, ordered by text. Extra columns ar
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.base import new_path, spread
-from tidewire.llm.bpe import Encoder, parted
+from tidewire.llm.bpe import CACHE_CHUNKS, Encoder, parted
 
+#: A blank in the vocabulary's byte alphabet.
+BLANK = "\u0120"
 #: Stands in the files for a missing doc_id.
 NO_ID = -(2**63)
 
@@ -40,16 +43,33 @@ NO_ID = -(2**63)
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> tuple[Encoder, int]:
     """Encoder by the tokenizers library, chunk by chunk, and the bytes of an id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     kind = "<u2" if tokenizer.get_vocab_size() <= 2**16 else "<u4"
 
-    def learn(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    blank = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        blank[i] = token.startswith(BLANK)
 
-    return Encoder(learn), int(kind[-1])
+    def learn(chunks: list[str]) -> list[bytes]:
+        # chunks that start with their one blank are encoded end to end: each begins where a token has a blank
+        out: dict[str, bytes] = {}
+        joined = [c for c in chunks if c[0] == " " and not c.isspace()]
+        for at in range(0, len(joined), 2000):
+            some = joined[at : at + 2000]
+            ids = np.array(tokenizer.encode("".join(some), add_special_tokens=False).ids, kind)
+            starts = np.flatnonzero(blank[ids])
+            if len(starts) == len(some):
+                ends, flat = (starts * ids.itemsize).tolist(), ids.tobytes()
+                out.update(zip(some, (flat[i:j] for i, j in zip(ends, [*ends[1:], None], strict=True)), strict=True))
+        rest = [c for c in chunks if c not in out]
+        out.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [out[c] for c in chunks]
+
+    return Encoder(learn, 2 * CACHE_CHUNKS), int(kind[-1])
 
 
 def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
