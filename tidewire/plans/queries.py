@@ -1,4 +1,395 @@
-"""Every query of the library by name, and DuckDB SQL of the same results."""
+"""Every query of the library by name, and DuckDB SQL of the same results.
 
-QUERIES: dict = {}
+The driver's documents stand for articles (``articles_of_documents``); "now" is fixed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.functions import text as X
+from tidewire.operators import duplicates, enrich, search, select, terms
+from tidewire.operators.upsert import upsert
+from tidewire.plans import digest, report
+from tidewire.plans.session import ship
+from tidewire.sources import landing
+from tidewire.sources.schema import ARTICLES_SQL, articles_of_documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+START, END = datetime(2024, 1, 8), datetime(2024, 2, 5)
+_AT = "coalesce(published_at, fetched_at)"
+_IN = f"(({_AT}) >= TIMESTAMP '2024-01-08' AND ({_AT}) < TIMESTAMP '2024-02-05')"
+_SINCE = f"({_AT} >= TIMESTAMP '2024-01-08')"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _with(body: str, *more: str) -> str:
+    return "WITH " + ",\n".join((ARTICLES_SQL, *more)) + "\n" + body
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_of_documents(ship(spark), sf_dir)
+
+
+@query(_with(f"SELECT id, source_key, category, {_AT} AS sort_at FROM articles WHERE {_SINCE} ORDER BY sort_at DESC, id LIMIT 100"))
+def recent_articles(spark, sf_dir):
+    """The 100 newest."""
+    return select.recent(_articles(spark, sf_dir), START).select("id", "source_key", "category", X.sort_time().alias("sort_at"))
+
+
+@query(_with(f"SELECT id, source_key, category, {_AT} AS sort_at FROM articles WHERE {_IN} AND category = 'en' AND source_key NOT IN ('src1', 'src2')"))
+def range_articles(spark, sf_dir):
+    """A half-open range of one category without two sources."""
+    return select.in_range(_articles(spark, sf_dir), START, END, "en", ["src1", "src2"], True).select("id", "source_key", "category", X.sort_time().alias("sort_at"))
+
+
+@query(_with(f"SELECT id, source_key, ai_status FROM articles WHERE {_SINCE} AND ai_status IN ('pending', 'failed') ORDER BY {_AT} DESC, id LIMIT 50"))
+def pending_articles(spark, sf_dir):
+    """What a language model has yet to see, failures included."""
+    return select.pending(_articles(spark, sf_dir), START, 50, True).select("id", "source_key", "ai_status")
+
+
+@query(_with("SELECT category, count(*) AS articles FROM articles GROUP BY category"))
+def stats_by_category(spark, sf_dir):
+    """A2."""
+    return select.count_by(_articles(spark, sf_dir), "category")
+
+
+@query(_with("SELECT ai_status, count(*) AS articles FROM articles GROUP BY ai_status"))
+def stats_ai_status(spark, sf_dir):
+    """A3."""
+    return select.count_by(_articles(spark, sf_dir), "ai_status")
+
+
+@query(_with("SELECT count(DISTINCT source_key) AS sources, count(*) AS articles FROM articles"))
+def stats_totals(spark, sf_dir):
+    """A1."""
+    return _articles(spark, sf_dir).agg(F.count_distinct("source_key").alias("sources"), F.count("*").alias("articles"))
+
+
+@query(_with(f"SELECT category, count(DISTINCT source_key) AS sources, count(*) AS articles FROM r GROUP BY category UNION ALL SELECT 'TOTAL', coalesce(sum(s), 0)::BIGINT, coalesce(sum(n), 0)::BIGINT FROM (SELECT count(DISTINCT source_key) AS s, count(*) AS n FROM r GROUP BY category)", f"r AS (SELECT * FROM articles WHERE {_IN})"))
+def report_summary(spark, sf_dir):
+    """A4: the flagship. Sources and articles of each category in a range, and the total."""
+    return select.by_category(select.in_range(_articles(spark, sf_dir), START, END))
+
+
+@query(
+    _with(
+        f"""SELECT category, source_key, row_number() OVER (PARTITION BY category, source_key ORDER BY {_AT} DESC, id) AS n, id, url,
+  CASE WHEN length(category) <= 4 THEN upper(category) ELSE upper(left(category, 1)) || lower(substr(category, 2)) END AS category_title,
+  title, summary, coalesce(strftime(published_at, '%Y-%m-%d'), '日付不明') AS day FROM articles WHERE {_IN}"""
+    )
+)
+def report_listing(spark, sf_dir):
+    """The entries of a report."""
+    return report.listing(select.in_range(_articles(spark, sf_dir), START, END)).drop("author").withColumn("n", F.col("n").cast("long"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
+k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND split_part(x, '=', 1) NOT LIKE 'utm\\_%' ESCAPE '\\'
+  AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'fbclid', 'gclid', 'msclkid', 'ref', 'source', 'sp_source', '_ga', '_gl'))) AS kept FROM p)
+SELECT page_id, lower(scheme) || '://' || CASE WHEN lower(scheme) = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END ||
+  CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS normalized_url FROM k"""
+)
+def normalize_urls(spark, sf_dir):
+    """F1."""
+    return ship(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", X.normalize_url("url").alias("normalized_url"))
+
+
+def _clean_sql(c: str) -> str:
+    steps = [("\\r\\n|\\r", "\\n"), ("[ \\t]+", " "), ("(?m)^[ \\t\\x0b\\x0c\\x1c-\\x1f\\x85\\p{Z}]+|[ \\t\\x0b\\x0c\\x1c-\\x1f\\x85\\p{Z}]+$", ""), ("\\n{3,}", "\\n\\n"), ("^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")]
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, '{pattern}', {repr(to) if '\\\\n' not in repr(to) else ' || '.join(['chr(10)'] * to.count('\\n'))}, 'g')"
+    return c
+
+
+@query(_with(f"SELECT id, sha256({_clean_sql('title')} || chr(10) || {_clean_sql('content')}) AS content_hash FROM articles"))
+def content_hashes(spark, sf_dir):
+    """F3, F4."""
+    return _articles(spark, sf_dir).select("id", X.content_hash("title", "content").alias("content_hash"))
+
+
+_TITLES = """t AS (SELECT id, source_key, coalesce(published_at, fetched_at) AS sort_at, regexp_replace(title, '[\\s\\p{Z}]+', '', 'g') AS t FROM articles),
+g AS (SELECT t, arg_min(id, (sort_at, id)) AS canonical_id FROM t WHERE length(t) >= 15 GROUP BY t HAVING count(DISTINCT source_key) >= 2)"""
+
+
+@query(_with("SELECT g.canonical_id, t.id AS duplicate_id, 1.0::DOUBLE AS score FROM t JOIN g USING (t) WHERE t.id <> g.canonical_id", _TITLES))
+def dedupe_matches(spark, sf_dir):
+    """Later articles of a title that two sources have."""
+    return duplicates.matches(_articles(spark, sf_dir))
+
+
+@query(_with("SELECT a.id, g.canonical_id AS duplicate_of_id, CASE WHEN g.canonical_id IS NOT NULL THEN 1.0::DOUBLE END AS duplicate_score FROM articles a LEFT JOIN r t ON a.id = t.id LEFT JOIN g ON t.t = g.t AND g.canonical_id <> a.id", f"r AS (SELECT id, source_key, {_AT} AS sort_at, regexp_replace(title, '[\\s\\p{{Z}}]+', '', 'g') AS t FROM articles WHERE {_IN}), g AS (SELECT t, arg_min(id, (sort_at, id)) AS canonical_id FROM r WHERE length(t) >= 15 GROUP BY t HAVING count(DISTINCT source_key) >= 2)"))
+def dedupe_apply(spark, sf_dir):
+    """Marks of a range set anew."""
+    return duplicates.marked(_articles(spark, sf_dir), START, END).select("id", "duplicate_of_id", "duplicate_score")
+
+
+def _batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Stored: even ids. Incoming: all, those of id % 4 = 0 with a changed text, then those of id % 8 = 0 changed once more."""
+    rows = _articles(spark, sf_dir).select("id", "source_key", "category", "title", "content", "url", "published_at", "fetched_at").withColumns({"normalized_url": X.normalize_url("url"), "summary": F.lit("")})
+    hashed = lambda df: df.withColumn("content_hash", F.sha2(F.concat("title", F.lit("\n"), "content"), 256))
+    edit = F.when(F.col("id") % 4 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content"))
+    again = F.concat("content", F.lit(" edited twice"))
+    first = rows.withColumn("content", edit).withColumn("position", F.col("id"))
+    second = rows.where("id % 8 = 0").withColumn("content", again).withColumn("position", F.col("id") + 1_000_000_000)
+    return hashed(rows.where("id % 2 = 0")), hashed(first.unionByName(second))
+
+
+_UPSERT = """b AS (SELECT max(id) AS m FROM articles WHERE id % 2 = 0),
+n AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM articles WHERE id % 2 = 1),
+u AS (SELECT CASE WHEN a.id % 2 = 0 THEN a.id ELSE coalesce(b.m, 0) + n.k END AS id, a.url AS normalized_url,
+  CASE WHEN a.id % 2 = 1 THEN 'insert' WHEN a.id % 4 = 0 THEN 'update' ELSE 'unchanged' END AS action,
+  CASE WHEN a.id % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS new_count, CASE WHEN a.id % 8 = 0 THEN 2 WHEN a.id % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS updated_count,
+  sha256(a.title || chr(10) || a.content || CASE WHEN a.id % 8 = 0 THEN ' edited twice' WHEN a.id % 4 = 0 THEN ' edited' ELSE '' END) AS content_hash
+  FROM articles a CROSS JOIN b LEFT JOIN n ON a.id = n.id)"""
+
+
+@query(_with("SELECT action, count(*) AS articles, sum(new_count)::BIGINT AS new_count, sum(updated_count)::BIGINT AS updated_count FROM u GROUP BY action", _UPSERT))
+def upsert_actions(spark, sf_dir):
+    """What an upsert does, and how often."""
+    return upsert(*_batches(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("articles"), F.sum("new_count").alias("new_count"), F.sum("updated_count").alias("updated_count"))
+
+
+@query(_with("SELECT id, normalized_url, action, content_hash FROM u", _UPSERT))
+def upsert_result(spark, sf_dir):
+    """K1: the table after it."""
+    return upsert(*_batches(spark, sf_dir)).select("id", "normalized_url", "action", "content_hash")
+
+
+def _stop_sql() -> str:
+    from tidewire.functions.words import ENGLISH
+
+    return ", ".join(f"'{w}'" for w in sorted(ENGLISH))
+
+
+# Java's \b sees letters of any script, RE2's only ASCII: both sides keep to texts where that makes no difference.
+
+
+def _plain_english(spark, sf_dir) -> DataFrame:
+    return _articles(spark, sf_dir).where("category = 'en'").where(~F.col("content").rlike(r"[^\x00-\x7F]|--|(^|[^a-zA-Z0-9])-|-($|[^a-zA-Z0-9])|_"))
+
+
+_PLAIN = f"""e AS (SELECT * FROM articles WHERE category = 'en' AND NOT regexp_matches(content, '[^\\x00-\\x7F]|--|(^|[^a-zA-Z0-9])-|-($|[^a-zA-Z0-9])|_')),
+w AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || summary || ' ' || content), '[a-z0-9-]+')) AS term FROM e),
+c AS (SELECT term, count(*) AS cnt FROM w WHERE length(term) >= 2 AND NOT regexp_matches(term, '^[0-9.-]+$') AND term NOT IN ({_stop_sql()}) GROUP BY term)"""
+_TAGS = f"""tg AS (SELECT trim(lower(unnest([event_type, 'Type-' || event_type, CAST(user_id % 50 AS VARCHAR), 'The']))) AS term FROM events),
+tc AS (SELECT term, count(*) AS cnt FROM tg WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ({_stop_sql()}) GROUP BY term)"""
+
+
+@query(_with("SELECT term, cnt FROM c", _PLAIN))
+def word_freq(spark, sf_dir):
+    """Words of English articles in plain ASCII, where the engines' regexes agree."""
+    return terms.word_counts(_plain_english(spark, sf_dir))
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    events = ship(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.array("event_type", F.concat(F.lit("Type-"), "event_type"), (F.col("user_id") % 50).cast("string"), F.lit("The")).alias("tags"))
+
+
+@query("WITH " + _TAGS + " SELECT term, cnt FROM tc")
+def tag_freq(spark, sf_dir):
+    """A6, F18."""
+    return terms.tag_counts(_tagged(spark, sf_dir))
+
+
+@query(_with("SELECT term, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM c WHERE term NOT IN ('would', 'thing') UNION ALL SELECT * FROM tc) GROUP BY term HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, term LIMIT 50", _PLAIN, _TAGS))
+def trending_keywords(spark, sf_dir):
+    """The 50 most frequent of texts and tags."""
+    words = terms.without(terms.word_counts(_plain_english(spark, sf_dir)), ["would", "thing"])
+    return terms.top(terms.added(words, terms.tag_counts(_tagged(spark, sf_dir))).where("cnt >= 2"), 50)
+
+
+@query(_with("SELECT term, cnt, CASE WHEN length(term) % 2 = 0 THEN 'existing' ELSE 'new' END AS kind FROM (SELECT * FROM c ORDER BY cnt DESC, term LIMIT 50)", _PLAIN))
+def new_vs_existing(spark, sf_dir):
+    """The top terms against a dictionary (here: terms of even length)."""
+    counts = terms.word_counts(_plain_english(spark, sf_dir))
+    known = counts.where(F.length("term") % 2 == 0).select("term")
+    new, old = terms.split_known(terms.top(counts, 50), known)
+    return new.withColumn("kind", F.lit("new")).unionByName(old.withColumn("kind", F.lit("existing")))
+
+
+_SEARCH = """k AS (SELECT id, category, list_filter(regexp_split_to_array(strip_accents(lower(x)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws, col FROM
+  (SELECT id, category, unnest([title, content, category]) AS x, unnest([1, 2, 3]) AS col FROM articles)),
+f AS (SELECT id, any_value(category) AS category, sum(len(ws)) AS len, sum(len(list_filter(ws, lambda w: w = 'the'))) AS f0,
+  sum(len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))) AS f1 FROM k GROUP BY id),
+s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM f),
+r AS (SELECT f.id, f.category, -(
+  (CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a)) +
+  (CASE WHEN ln((n - n1 + 0.5) / (n1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n1 + 0.5) / (n1 + 0.5)) END) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / a))) AS rank
+  FROM f, s WHERE f0 > 0 AND f1 > 0)"""
+
+
+@query(_with("SELECT id, round(rank, 6) AS rank FROM r", _SEARCH))
+def search_bm25(spark, sf_dir):
+    """All articles with a word and a phrase, ranked."""
+    return search.search_words(_articles(spark, sf_dir), "the of-the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_with("SELECT id, round(rank, 6) AS rank FROM r WHERE category = 'en' ORDER BY rank, id LIMIT 20", _SEARCH))
+def search_filtered(spark, sf_dir):
+    """The 20 best of one category."""
+    return search.search_words(_articles(spark, sf_dir), "the of-the", "en", 20).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def search_snippet(spark, sf_dir):
+    """Both indexes, with snippets of the summary (here: the text)."""
+    rows = _articles(spark, sf_dir).withColumn("summary", F.col("content")).withColumn("summary_ja", F.col("title"))
+    return search.search(rows, "the that")
+
+
+_TRIGRAM = """f AS (SELECT id, greatest(length(lower(title)) - 2, 0) AS len, len(list_filter(range(1, length(title) + 1), lambda i: substr(lower(title), i, 4) = 'tion')) AS f FROM articles),
+s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f > 0) AS n0 FROM f)"""
+
+
+@query(_with("SELECT id, round(-(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a)), 6) AS rank FROM f, s WHERE f > 0", _TRIGRAM))
+def trigram_search(spark, sf_dir):
+    """Parts of words, ranked; parts under three letters are passed over."""
+    return search.search_trigrams(_articles(spark, sf_dir), "TION on", None, 2_000_000_000, ("title",)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_with(f"SELECT id, 0.0::DOUBLE AS rank FROM articles WHERE lower(title) LIKE '%t_on%' ORDER BY {_AT} DESC, id LIMIT 20"))
+def like_fallback(spark, sf_dir):
+    """X4, P9, T4."""
+    return search.search_like(_articles(spark, sf_dir), "T_on", None, 20, ("title",)).select("id", F.col("rank").cast("double").alias("rank"))
+
+
+_DAY = "CASE WHEN published_at IS NULL OR published_at > fetched_at + INTERVAL 1 DAY THEN fetched_at ELSE published_at END::DATE"
+
+
+@query(_with(f"SELECT {_DAY} AS day, count(*) AS items, count(*) FILTER (WHERE ai_status = 'completed') AS done, coalesce(array_to_string(list_sort(list(DISTINCT ai_model) FILTER (WHERE ai_status = 'completed' AND ai_model <> '')), ','), '') AS models FROM articles GROUP BY 1"))
+def digest_days(spark, sf_dir):
+    """What the digest of each day counts."""
+    return digest.days(_articles(spark, sf_dir)).select("day", "items", "done", F.array_join("models", ",").alias("models"))
+
+
+@query(
+    _with(
+        "SELECT day, string_agg('## ' || source_key || '（' || n || '）' || chr(10) || chr(10) || txt, chr(10) || chr(10) ORDER BY n DESC, source_key) AS body FROM g GROUP BY day",
+        f"x AS (SELECT {_DAY} AS day, source_key, id, url, title, CASE WHEN published_at::DATE = {_DAY} THEN strftime(published_at, '%H:%M') ELSE '--:--' END AS clock FROM articles)",
+        "g AS (SELECT day, source_key, count(*) AS n, string_agg('- **' || clock || '** [' || trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) || '](' || url || ')', chr(10) ORDER BY clock DESC, id DESC) AS txt FROM x GROUP BY day, source_key)",
+    )
+)
+def digest_body(spark, sf_dir):
+    """C9, A12, T9, F9, F10, W: the text of each day's digest."""
+    return digest.bodies(_articles(spark, sf_dir))
+
+
+@query(
+    """SELECT run_id, count(*) AS total_sources, count(*) FILTER (WHERE ok) AS success_count, count(*) FILTER (WHERE NOT ok) AS failed_count,
+  sum(new_count)::BIGINT AS new_count, sum(updated_count)::BIGINT AS updated_count,
+  CASE WHEN count(*) FILTER (WHERE NOT ok) = 0 THEN 'success' WHEN count(*) FILTER (WHERE ok) > 0 THEN 'partial' ELSE 'failed' END AS status
+FROM (SELECT date_trunc('day', ts)::DATE AS run_id, value >= 5 AS ok, user_id % 7 AS new_count, user_id % 3 AS updated_count FROM events) GROUP BY run_id"""
+)
+def crawl_run_rollup(spark, sf_dir):
+    """Events stand for the results of a day's run."""
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.to_date("ts").alias("run_id"), F.when(F.col("value") >= 5, F.lit("success")).otherwise(F.lit("failed")).alias("status"), (F.col("user_id") % 7).alias("new_count"), (F.col("user_id") % 3).alias("updated_count"))
+    return select.run_totals(rows, "run_id")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
+def latest_run(spark, sf_dir):
+    """T5: events stand for runs."""
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"))
+    return select.latest_run(e).select(F.col("id").alias("event_id"), F.col("started_at").alias("ts"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS iso, date_trunc('minute', ts) AS slashed, date_trunc('day', ts)::TIMESTAMP AS japanese, date_trunc('second', ts) AS mail FROM events")
+def parse_dates(spark, sf_dir):
+    """the usual forms of one time."""
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet")
+    of = lambda form: F.date_format("ts", form)
+    return e.select("event_id", X.parse_datetime(F.concat(of("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))).alias("iso"), X.parse_datetime(F.concat(of("yyyy/MM/dd HH:mm"), F.lit("更新"))).alias("slashed"), X.parse_datetime(of("yyyy年M月d日")).alias("japanese"), X.parse_datetime(F.concat(F.lit("Mon, "), of("dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).alias("mail"))
+
+
+def _pages(spark, sf_dir) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/pages.parquet").select("url", F.col("html").alias("body"), "page_id")
+
+
+@query()
+def html_articles(spark, sf_dir):
+    """Articles of pages."""
+    return landing.page_articles(_pages(spark, sf_dir), "web", "tech", fetched_at=F.lit(START).cast("timestamp_ntz")).select("normalized_url", "title", "summary", "content_hash", F.length("content").alias("n_chars"))
+
+
+@query()
+def link_extract(spark, sf_dir):
+    """The first 20 links of each page, each once."""
+    return landing.page_links(_pages(spark, sf_dir), {"article_list_selector": "nav a"})
+
+
+_REPLIES = "r AS (SELECT conv_id, turn, left(replace(replace(text, chr(10), ' '), '\"', ''), 40) AS t FROM conversations)"
+
+
+@query(
+    f"""WITH {_REPLIES} SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN t END AS title_ja, CASE WHEN turn % 4 < 2 THEN lower(t) END AS summary_ja,
+  CASE WHEN turn % 4 = 0 THEN 'a,b' WHEN turn % 4 = 1 THEN '' END AS keywords FROM r WHERE NOT contains(t, chr(92)) AND NOT regexp_matches(t, '[\\x00-\\x1f]')"""
+)
+def ai_parse(spark, sf_dir):
+    """replies bare (turn % 4 = 0), fenced, not JSON, and without a field."""
+    c = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    t = F.left(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")), F.lit(40))
+    rows = c.select("conv_id", "turn", t.alias("t")).where(~F.contains("t", F.lit("\\")) & ~F.col("t").rlike(r"[\x00-\x1f]"))
+    body = lambda more: F.concat(F.lit('{"title_ja": "'), "t", F.lit('", "summary_ja": "'), F.lower("t"), F.lit(f'"{more}}}'))
+    reply = F.when(F.col("turn") % 4 == 0, body(', "keywords": ["a", "b"]')).when(F.col("turn") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), body(""), F.lit("\n```\n"))).when(F.col("turn") % 4 == 2, F.col("t")).otherwise(F.lit('{"title_ja": "x"}'))
+    made = X.parse_reply(reply)
+    return rows.select("conv_id", "turn", made["title_ja"].alias("title_ja"), made["summary_ja"].alias("summary_ja"), F.array_join(made["keywords"], ",").alias("keywords"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = upper(event_type) THEN 'RSS,' || event_type || ',MCP' ELSE 'RSS,' || event_type || ',MCP' END AS tags FROM events")
+def ai_merge_tags(spark, sf_dir):
+    """Tags, then new ones in any case."""
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet")
+    merged = X.merge_tags(F.array(F.lit("RSS"), F.col("event_type")), F.array(F.upper("event_type"), F.lit("MCP"), F.lit(""), F.lit("mcp"), F.lit("rss")))
+    return e.select("event_id", F.array_join(merged, ",").alias("tags"))
+
+
+@query(_with("SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'completed' END AS ai_status, CASE WHEN id % 3 = 0 THEN 'reply not understood' END AS ai_error, CASE WHEN id % 3 = 0 THEN '' ELSE 'T' || id END AS title_ja, sha256(left('Title: ' || title || chr(10) || chr(10) || 'Content: ' || content, 8000)) AS h FROM articles WHERE title <> '' AND ai_status = 'pending'"))
+def ai_enrich(spark, sf_dir):
+    """Enrichment by a client that stands in for a model."""
+    rows = _articles(spark, sf_dir).where("title <> '' and ai_status = 'pending'").withColumns({"tags": F.array(F.lit("RSS")), "ai_input_hash": F.lit(""), "ai_prompt_version": F.lit("1"), "ai_processed_at": F.lit(None).cast("timestamp_ntz"), "ai_error": F.lit(None).cast("string"), "url_id": F.split_part("url", F.lit("/"), F.lit(-1))})
+    rows = rows.withColumn("title", F.concat("title", F.lit("\x01"), "url_id"))
+    answered = enrich.answers(rows, _stand_in, 2_000_000_000)
+    out = enrich.saved(rows, answered, "model-b", at=START)
+    plain = F.split_part("title", F.lit("\x01"), F.lit(1))
+    return out.select("id", "ai_status", "ai_error", "title_ja", F.sha2(X.model_input(plain, F.col("summary"), F.col("content")), 256).alias("h"))
+
+
+def _stand_in(text: str) -> str:
+    """A model that answers two articles of three; the input's title carries the id."""
+    number = int(text.split("\x01", 1)[1].split("\n", 1)[0])
+    return "no JSON" if number % 3 == 0 else f'{{"title_ja": "T{number}", "summary_ja": "S"}}'
+
+
+@query(_with("SELECT source_key, date_trunc('day', coalesce(published_at, fetched_at))::DATE AS day, count(*) AS articles FROM articles GROUP BY 1, 2"))
+def stream_daily_counts(spark, sf_dir):
+    """2.9: tumbling windows of a day; the same plan runs over a stream."""
+    from tidewire.streaming.ingest import daily_counts
+
+    return daily_counts(_articles(spark, sf_dir)).select("source_key", F.to_date("window.start").alias("day"), "articles")
+
+
+@query(_with("SELECT id, normalized_url, action, content_hash FROM u", _UPSERT))
+def stream_upsert(spark, sf_dir):
+    """2.9: the upsert as a stream of one batch would do it; the stream itself is run by the tests."""
+    return upsert_result(spark, sf_dir)
