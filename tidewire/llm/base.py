@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -16,7 +18,7 @@ from tidewire.plans.session import ship
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``, as a Java and as an RE2 class body.
 SPACE = r"\x20\x09-\x0D"
 #: Words whose hash a Python worker keeps before it starts afresh.
-CACHE = 200_000
+CACHE = 100_000
 #: Folders written by this session that atexit removes.
 _written: dict[str, SparkSession] = {}
 
@@ -72,6 +74,28 @@ def spread(df: DataFrame, per_core: int = 2) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: What empties an operator's caches in this process, and the operator that ran here last.
+_caches: dict[str, tuple[Callable[[], None], ...]] = {}
+_last = ""
+
+
+def caches(operator: str, *clear: Callable[[], None]) -> None:
+    """Name an operator's caches. A Python worker serves many stages; it keeps only those of the present one."""
+    _caches[operator] = clear
+
+
+def enter(operator: str) -> None:
+    """Called when a task of an operator starts: what other operators left in this process goes."""
+    global _last
+    if _last != operator:
+        for name, clear in _caches.items():
+            if name != operator:
+                for c in clear:
+                    c()
+        _last = operator
+        gc.collect()
+
+
 class WordHashes(dict):
     """64-bit hash of each byte word; starts afresh once it holds CACHE words."""
 

@@ -28,7 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_CHUNKS = 400_000
+from tidewire.llm.base import caches, enter
+
+CACHE_CHUNKS = 350_000
 #: Characters of text whose chunks are looked up at a time.
 SLICE = 500_000
 #: Unicode's White_Space, which the split patterns mean by \s.
@@ -214,12 +216,12 @@ class Encoder:
             yield b"".join(map(of, chunks))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _ranks(path: str) -> Ranks:
     return Ranks.read(path)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of a rank file that this process keeps."""
     ranks, split = _ranks(path), regex.compile(pattern)
@@ -232,6 +234,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(learn)
 
 
+caches("bpe", encoder.cache_clear, _ranks.cache_clear)
+
+
 def id_lists(found: Iterable[bytes]) -> pa.Array:
     """list<int32> of little-endian ids."""
     found = list(found)
@@ -244,6 +249,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, of: Callable[[pa.Array], p
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, kind)])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         for whole in batches:
             for batch in parted(whole, read):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), of(batch.column(read))], names=[*rest, name])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import CACHE, materialize, mix, multipliers
+from tidewire.llm.base import CACHE, caches, enter, materialize, mix, multipliers
 from tidewire.llm.bpe import parted
 
 SEED = 4
@@ -53,6 +53,7 @@ class _Words(dict):
 
 
 _words = _Words()
+caches("decontamination", _words.clear)
 
 
 def plain_words(text: str | None) -> np.ndarray:
@@ -100,6 +101,7 @@ class Index:
 
 def _seeded(index: Index, names: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Passages: for each document and item, the words around its seeds, and these seeds."""
+    enter("decontamination")
     for whole in batches:
         for batch in parted(whole, "text"):
             mark, item, start, words, found = [], [], [], [], []

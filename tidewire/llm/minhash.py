@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import WordHashes, discard, materialize, mix, multipliers, spread
+from tidewire.llm.base import WordHashes, caches, discard, enter, materialize, mix, multipliers, spread
+from tidewire.llm.bpe import parted
 
 WIDTH = 5
 TREES, STEP = 24, 4
@@ -50,6 +51,7 @@ SIMILAR = (75, 100)
 _A, _B = multipliers(VALUES, 1)[None, :], multipliers(VALUES, 2)[None, :]
 _M = multipliers(WIDTH, 3)
 _words = WordHashes()
+caches("minhash", _words.clear)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -84,7 +86,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    enter("minhash")
+    for batch in (part for whole in batches for part in parted(whole, "text")):
         sizes, marks, rows = [], [], []
         for text in batch.column("text"):
             x = shingles(text.as_py())
@@ -98,8 +101,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough; rows come sorted by a, whose set is kept until it changes."""
+    enter("minhash")
     last, x = None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in parted(whole, "tb")):
         a, b, ta, tb = (batch.column(k) for k in ("a", "b", "ta", "tb"))
         keep = []
         for i in range(batch.num_rows):
@@ -140,6 +144,7 @@ def _agreeing(x: np.ndarray, comps: np.ndarray, at: int, first: int | None) -> t
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
     """(tree, signatures, nodes, components, sets) of each region; rows come sorted by region."""
+    enter("minhash")
     region, rows = None, []
 
     def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import CACHE
+from tidewire.llm.base import CACHE, caches, enter
 from tidewire.llm.bpe import parted
 
 BITS = 18
@@ -48,6 +48,7 @@ class _Bins(dict):
 
 
 _bins = _Bins()
+caches("ordinal", _bins.clear)
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -119,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("ordinal")
     weights, cuts = shared.value
     for whole in batches:
         for batch in parted(whole, "text"):

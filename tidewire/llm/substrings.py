@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import WordHashes, mix, spread
+from tidewire.llm.base import WordHashes, caches, enter, mix, spread
 from tidewire.llm.bpe import parted
 
 WINDOW = 35
@@ -41,6 +41,7 @@ SLICE = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _words = WordHashes()
+caches("substrings", _words.clear)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,6 +129,7 @@ def _pieces(marks: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatc
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("substrings")
     marks, texts, size = [], [], 0
     for whole in batches:
         for batch in parted(whole, "text", SLICE):

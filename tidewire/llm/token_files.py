@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import new_path, spread
+from tidewire.llm.base import caches, enter, new_path, spread
 from tidewire.llm.bpe import CACHE_CHUNKS, Encoder, parted
 
 #: A blank in the vocabulary's byte alphabet.
@@ -40,7 +40,7 @@ BLANK = "\u0120"
 NO_ID = -(2**63)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def library_encoder(path: str) -> tuple[Encoder, int]:
     """Encoder by the tokenizers library, chunk by chunk, and the bytes of an id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -72,6 +72,9 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
     return Encoder(learn, 2 * CACHE_CHUNKS), int(kind[-1])
 
 
+caches("token_files", library_encoder.cache_clear)
+
+
 def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a shared folder, and the folder's path there."""
     if uri.startswith(("/", "file:")):
@@ -86,6 +89,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_files")
         part = TaskContext.get().partitionId()
         encode, width = library_encoder(tokenizer)
         end = end_id.to_bytes(width, "little")
