@@ -51,7 +51,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number of tokens, their ids, and whether the decoded bytes are the text again."""
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    tokens = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     same = F.coalesce(F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(False))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

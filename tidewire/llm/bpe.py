@@ -10,8 +10,7 @@ row each; long ones alone. Results equal tiktoken's ``encode_ordinary`` of the s
 A worker keeps the ids of the white-space separated chunks it has met, bounded by CACHE_CHUNKS.
 
 Defined cases: a null text is encoded as an empty one, to no ids. A null doc_id is passed on. Extra
-columns are passed on by ``encode`` and ``decode``, but for ``ids``, ``decoded`` and clashing names,
-which they replace.
+columns are passed on, but for ``ids`` and ``decoded`` of other meaning, which are replaced.
 """
 
 from __future__ import annotations
@@ -244,15 +243,16 @@ def id_lists(found: Iterable[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, of: Callable[[pa.Array], pa.Array], read: str) -> DataFrame:
-    rest = [c for c in df.columns if c.lower() != name]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, kind)])
+def _with(df: DataFrame, read: str, more: dict[str, T.DataType], of: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` with columns made of one of its columns; they replace those of their names."""
+    rest = [c for c in df.columns if c.lower() not in more]
+    schema = T.StructType([*(df.schema[c] for c in rest), *(T.StructField(c, kind) for c, kind in more.items())])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("bpe")
         for whole in batches:
             for batch in parted(whole, read):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), of(batch.column(read))], names=[*rest, name])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *of(batch.column(read))], names=[*rest, *more])
 
     return df.select(*dict.fromkeys([*rest, read])).mapInArrow(mapped, schema)
 
@@ -264,16 +264,33 @@ def parted(batch: pa.RecordBatch, by: str, most: int = 16_000_000) -> Iterator[p
         yield batch.slice(at, rows)
 
 
+IDS, DECODED = {"ids": T.ArrayType(T.IntegerType(), False)}, {"decoded": T.BinaryType()}
+
+
+def _encoded(path: str, pattern: str, texts: pa.Array) -> pa.Array:
+    return id_lists(encoder(path, pattern)(t.as_py() or "" for t in texts))
+
+
+def _decoded(path: str, ids: pa.Array) -> pa.Array:
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(i) if i.is_valid else 0 for i in ids)])
+    return pa.array([_ranks(path).decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ids, the token ids of the whole text."""
-    return _with(docs, "ids", T.ArrayType(T.IntegerType(), False), lambda x: id_lists(encoder(path, pattern)(t.as_py() or "" for t in x)), text)
+    return _with(docs, text, IDS, lambda x: [_encoded(path, pattern, x)])
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``tokens`` with decoded, the bytes that the ids stand for."""
+    return _with(tokens, "ids", DECODED, lambda x: [_decoded(path, x)])
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids and decoded, in one Python worker for each task."""
 
-    def decoded(x: pa.Array) -> pa.Array:
-        flat, ends = x.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(i) if i.is_valid else 0 for i in x)])
-        return pa.array([_ranks(path).decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = _encoded(path, pattern, texts)
+        return [ids, _decoded(path, ids)]
 
-    return _with(tokens, "decoded", T.BinaryType(), decoded, "ids")
+    return _with(docs, text, IDS | DECODED, both)

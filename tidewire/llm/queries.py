@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.base import documents
+from tidewire.llm.sql import SQL  # noqa: F401
 
 
 def _tokenizer(name: str) -> str:
@@ -47,10 +48,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tidewire.llm.bpe import decode, encode
+    from tidewire.llm.bpe import round_trip
 
     path = _tokenizer("byte_bpe_50k.tiktoken")
-    tokens = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    tokens = round_trip(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -91,4 +92,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {}
+
