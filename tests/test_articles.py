@@ -108,6 +108,34 @@ def test_search(spark):
     assert ranks == sorted(ranks) and all(x <= 0 for x in ranks)
 
 
+def test_index_is_kept_up(spark):
+    rows = articles(spark, {"title": "old words"}, {"title": "other"}, {"title": "gone words"})
+    index = search.word_index(rows)
+    changed = rows.where("id = 1").withColumn("title", F.lit("new words"))
+    kept = search.refreshed(index, changed, rows.where("id = 3").select("id"))
+    assert ids(search.search_words(kept, "old", indexed=True)) == []
+    assert ids(search.search_words(kept, "words", indexed=True)) == [1]
+
+
+def test_fetch(spark, tmp_path):
+    import http.server
+    import threading
+
+    from tidewire.sources import fetch
+
+    (tmp_path / "a.xml").write_text(RSS)
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_port}"
+        sources = [{"key": "feed", "feed_url": f"{at}/a.xml"}, {"key": "none", "list_url": f"{at}/none"}, {"key": "off", "base_url": "http://127.0.0.1:9/"}]
+        rows = {r["source_key"]: r for r in fetch.fetched(spark, sources, delay=0, timeout=5).collect()}
+        server.shutdown()
+    assert rows["feed"]["status"] == 200 and bytes(rows["feed"]["body"]).decode() == RSS
+    assert rows["none"]["status"] == 404 and rows["off"]["status"] is None
+    assert fetch.address({"fetch_method": "github", "base_url": "https://github.com/org/repo/"}).endswith("/repos/org/repo/releases")
+
+
 def test_snippet(spark):
     rows = articles(spark, {"title": "t", "summary": " ".join(f"w{i}" for i in range(40)) + " target end"})
     assert search.search_words(rows, "w30").first()["snippet"].startswith("...<b>w30</b> w31")

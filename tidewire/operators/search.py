@@ -27,6 +27,12 @@ def word_index(articles: DataFrame) -> DataFrame:
     return made.withColumn("_len", sum((count(f"_w_{c}") for c in WORD_COLUMNS), F.lit(0)))
 
 
+def refreshed(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """A stored word index with changed articles replaced and removed ones (id) left out."""
+    gone = changed.select("id") if removed is None else changed.select("id").union(removed.select("id"))
+    return index.join(gone, "id", "left_anti").unionByName(word_index(changed))
+
+
 def _phrases(query: str) -> list[str]:
     found = []
     for piece in pieces(query):

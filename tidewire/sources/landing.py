@@ -1,7 +1,7 @@
 """Articles out of landed responses: feeds, pages, release and model lists.
 
-Fetching is left to a landing zone, or to a client behind the ``articles`` data source; these readers turn
-what was fetched into the one row shape. A response that can't be read gives no row.
+``fetch`` fills the landing zone, or something else does, such as a browser for rendered pages; these readers
+turn what was fetched into the one row shape. A response that can't be read gives no row.
 """
 
 from __future__ import annotations
