@@ -8,7 +8,8 @@ lines). It gives the expected grade, and the tail probability of the best grade,
 selected.
 
 Trained on at most TRAIN labelled documents, those of least hash of their doc_id, by Adam on the whole
-sample; the bound keeps the driver's memory fixed. Every document is scored.
+sample; the bound keeps the driver's memory fixed. Bins seen in fewer than SEEN of them have no weight.
+Every document is scored.
 
 Defined cases: a null text has the traits of an empty one. Labels with a null doc_id, quality or toxic,
 or of no document, are not used; a document labelled twice counts twice. Without labels every grade is as
@@ -32,7 +33,9 @@ from tidewire.llm.bpe import parted
 
 BITS = 18
 GRADES = 3
-TRAIN = 6000
+TRAIN = 10_000
+#: Training documents that a bin must be seen in.
+SEEN = 8
 #: Documents with at least this probability of the best grade are kept.
 TAIL = 0.5
 _MARKS = b"\"'`.,;:!?()[]{}<>|#$%&*=-_~^/\\"
@@ -76,7 +79,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(grades: np.ndarray, rows: list[np.ndarray], rounds: int = 150, rate: float = 0.02, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(grades: np.ndarray, rows: list[np.ndarray], rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the least regularised negative log-likelihood."""
     weights = np.zeros(1 << BITS)
     shares = np.array([(grades <= k).mean() if len(grades) else (k + 1) / GRADES for k in range(GRADES - 1)]).clip(0.01, 0.99)
@@ -84,6 +87,8 @@ def fit(grades: np.ndarray, rows: list[np.ndarray], rounds: int = 150, rate: flo
     free = np.array([start[0], *np.log(np.maximum(np.diff(start), 1e-2))])  # the first, and logarithms of the steps
     if not len(grades):
         return weights, start
+    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= SEEN
+    rows = [r[seen[r]] for r in rows]
     flat, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
     owner = np.repeat(np.arange(len(rows)), np.diff(ends))
     used, flat = np.unique(flat, return_inverse=True)
