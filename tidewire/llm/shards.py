@@ -91,14 +91,20 @@ def pack(classes: list[tuple[int, int]], capacity: int, bins: int) -> list[tuple
 
 
 def tightest(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
-    """Runs of the least capacity for which ``bins`` suffice."""
-    low, high = max([0, *(s for s, _ in classes)]), sum(s * n for s, n in classes)
-    low = max(low, -(-high // bins))
-    best, step = pack(classes, low, bins), max(1, low // 10000)
-    while best is None:  # the least capacity is close to an even share
-        high = low + step
-        best, low, step = pack(classes, high, bins), high + 1, step * 2
-    low = max(0, low - step)
+    """Runs of the least capacity found for which ``bins`` suffice: doubling steps up from an even share, then halving."""
+    low = max([0, *(s for s, _ in classes), -(-sum(s * n for s, n in classes) // bins)])
+    best, step = pack(classes, low, bins), 1
+    if best is not None:
+        return best
+    while (best := pack(classes, low + step, bins)) is None:
+        low, step = low + step, step * 2
+    high = low + step
+    while high - low > 1:
+        mid = (low + high) // 2
+        if (made := pack(classes, mid, bins)) is None:
+            low = mid
+        else:
+            best, high = made, mid
     return best
 
 
