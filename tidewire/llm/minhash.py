@@ -3,22 +3,22 @@
 A document's set is its distinct 5-word shingles (fewer words: the whole sequence). One signature of
 TREES * STEP min-hash values is read in TREES sorted orders: order t starts at value t * STEP and goes
 round. In each order the documents that share their first DEPTHS[0] values form a region; its members
-are one another's longest-common-prefix neighbours. Regions stay whole up to REGION members and are
-parted at the next depth beyond that, so depth adapts to how crowded the order is there.
+are one another's longest-common-prefix neighbours. Where a search has a region of more than REGION
+members, it reads on to the next depth, so depth adapts to how crowded the order is there.
 
 1. Documents with equal sets become one node.
 2. Every node takes one leader: the first member it meets most often as the head of its regions. The
    pair is confirmed on the full sets.
-3. In regions that still hold several components, every node takes one more partner: the member of
-   another component whose signature agrees best. These pairs are confirmed on the full sets too.
-4. Regions that hold several components even now get their members' texts. All pairs from different
-   components whose signatures agree well enough are confirmed there on the full sets, best first; a
-   confirmed pair joins its components, so a region of n members sends on fewer than n links.
+3. In regions that still hold several components, crowded ones parted by depth, every node takes one more
+   partner: the member of another component whose signature agrees best. These pairs are confirmed too.
+4. Regions of the first depth that hold several components even now get their members' texts. All pairs
+   from different components whose signatures agree well enough are confirmed there on the full sets, best
+   first; a confirmed pair joins its components, so n members send on fewer than n links. A region of more
+   than REGION members is read in blocks, to which its members outside the largest component are queries.
 5. Components of the confirmed links, by alternating large and small stars.
 
 A pair of similarity 0.75 shares a region of the first depth with probability 0.42 in each of 24
-orders, so it is missed with probability 2e-6. Nothing is capped: a crowded region is parted by depth,
-and at the last depth read in overlapping blocks of its sorted order.
+orders, so it is missed with probability 2e-6. Nothing is capped.
 
 Defined cases: a text that is null, empty or without words has no shingles and no links. Rows of one
 doc_id are one document. A row without doc_id is linked with nothing: component_id is null, kept true.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.base import WordHashes, caches, discard, enter, materialize, mix, multipliers, spread
@@ -120,9 +120,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct()
 
 
-def _agreeing(x: np.ndarray, comps: np.ndarray, at: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of 64 rows from ``at`` on with all later rows, from different components, that agree in AGREE
-    values: (i, j, agreement). ``first``: only pairs whose first shared order, at the first depth, it is."""
+def _agreeing(x: np.ndarray, comps: np.ndarray, roles: np.ndarray, at: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of 64 rows from ``at`` on with all later rows, from different components, not both of a block or
+    both queries, that agree in AGREE values: (i, j, agreement). ``first``: only pairs whose first shared
+    order, at the first depth, it is."""
     some = x[at : at + 64]
     count = np.zeros((len(some), len(x) - at), np.int16)
     earlier = np.zeros(count.shape, bool)
@@ -138,38 +139,45 @@ def _agreeing(x: np.ndarray, comps: np.ndarray, at: int, first: int | None) -> t
     i, j = np.nonzero((count >= AGREE) & ~earlier)
     n = count[i, j]
     i, j = i + at, j + at
-    ok = (i < j) & (comps[i] != comps[j])
+    ok = (i < j) & (comps[i] != comps[j]) & ((roles[i] == 0) | (roles[i] != roles[j]))
     return i[ok], j[ok], n[ok]
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """(tree, signatures, nodes, components, sets) of each region; rows come sorted by region."""
-    enter("minhash")
-    region, rows = None, []
+class Region:
+    """Rows that are searched together: signatures, nodes, components, roles and, in the last search, sets."""
+
+    def __init__(self, rows: list[tuple]):
+        self.x = np.frombuffer(b"".join(r[0] for r in rows), np.int32).reshape(-1, VALUES)
+        self.nodes, self.comps, self.roles = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        self.sets, self.tree = [r[4] for r in rows], rows[0][5]
+
+    def pairs(self, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, len(self.nodes) - 1, 64):
+            yield _agreeing(self.x, self.comps, self.roles, at, first)
 
-    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list]:
-        x = np.frombuffer(b"".join(r[2] for r in rows), np.int32).reshape(-1, VALUES)
-        return rows[0][4], x, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[3] for r in rows]
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
+    """Each region; rows come sorted by region."""
+    enter("minhash")
+    region, rows = None, []
     for batch in batches:
         texts = batch.column("text") if "text" in batch.schema.names else None
         flat = batch.column("sig").flatten().to_numpy().reshape(-1, VALUES)
-        for i, (r, tree, node, comp) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("region", "tree", "node", "comp")), strict=True)):
+        for i, (r, tree, node, comp, role) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("region", "tree", "node", "comp", "role")), strict=True)):
             if r != region:
                 if len(rows) > 1:
-                    yield whole()
+                    yield Region(rows)
                 region, rows = r, []
-            rows.append((node, comp, flat[i].tobytes(), shingles(texts[i].as_py()) if texts else None, tree))
+            rows.append((flat[i].tobytes(), node, comp, role, shingles(texts[i].as_py()) if texts else None, tree))
     if len(rows) > 1:
-        yield whole()
+        yield Region(rows)
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each node of a region, the node of another component that agrees best with it."""
-    for _, x, nodes, comps, _ in _regions(batches):
-        best, whom = np.zeros(len(nodes), np.int64), np.full(len(nodes), -1)
-        for at in range(0, len(nodes) - 1, 64):
-            i, j, n = _agreeing(x, comps, at, None)
+    for r in _regions(batches):
+        best, whom = np.zeros(len(r.nodes), np.int64), np.full(len(r.nodes), -1)
+        for i, j, n in r.pairs(None):
             for a, b in ((i, j), (j, i)):
                 order = np.argsort(n, kind="stable")
                 a, b, m = a[order], b[order], n[order]
@@ -177,33 +185,28 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = best[a] == m
                 whom[a[hit]] = b[hit]
         has = np.flatnonzero(whom >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(nodes[whom[has]]), pa.array(best[has])], names=["node", "other", "agree"])
+        yield pa.RecordBatch.from_arrays([pa.array(r.nodes[has]), pa.array(r.nodes[whom[has]]), pa.array(best[has])], names=["node", "other", "agree"])
 
 
-def _joined(first_only: bool):
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links, confirmed on the full sets, that join the components of a region."""
+    for r in _regions(batches):
+        above: dict[int, int] = {}
+        a, b = [], []
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tree, x, nodes, comps, sets in _regions(batches):
-            above: dict[int, int] = {}
-
-            def head(c: int, above: dict[int, int] = above) -> int:
-                while c in above:
-                    c = above[c]
-                return c
+        def head(c: int, above: dict[int, int] = above) -> int:
+            while c in above:
+                c = above[c]
+            return c
 
-            a, b = [], []
-            for at in range(0, len(nodes) - 1, 64):
-                i, j, n = _agreeing(x, comps, at, tree if first_only else None)
-                for k in np.argsort(-n, kind="stable").tolist():
-                    p, q = head(comps[i[k]]), head(comps[j[k]])
-                    if p != q and similar(sets[i[k]], sets[j[k]]):
-                        above[max(p, q)] = min(p, q)
-                        a.append(min(nodes[i[k]], nodes[j[k]]))
-                        b.append(max(nodes[i[k]], nodes[j[k]]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return joined
+        for i, j, n in r.pairs(r.tree):
+            for k in np.argsort(-n, kind="stable").tolist():
+                p, q = head(r.comps[i[k]]), head(r.comps[j[k]])
+                if p != q and similar(r.sets[i[k]], r.sets[j[k]]):
+                    above[max(p, q)] = min(p, q)
+                    a.append(min(r.nodes[i[k]], r.nodes[j[k]]))
+                    b.append(max(r.nodes[i[k]], r.nodes[j[k]]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,14 +259,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.select("region", "tree", "node")
 
     # What the leaders left apart: first one more partner each, then everything else.
-    leaves, _ = _mixed(members, comps, sigs)
-    best = leaves.mapInArrow(_partners, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", -F.col("other"))).alias("x")).select("node", (-F.col("x.col2")).alias("other"))
+    best = _dealt(_parted(members, comps, sigs), sigs).mapInArrow(_partners, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", -F.col("other"))).alias("x")).select("node", (-F.col("x.col2")).alias("other"))
     pairs = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.union(materialize(_confirm(pairs, texts), "links"))
         comps = materialize(components(links), "components")
-        leaves, first_only = _mixed(members, comps, sigs, texts)
-        rest = materialize(leaves.mapInArrow(_joined(first_only), "a long, b long"), "rest")
+        rest = materialize(_dealt(_blocked(members, comps), sigs, texts).mapInArrow(_joined, "a long, b long"), "rest")
         if not rest.isEmpty():
             comps = materialize(components(links.union(rest)), "components")
     discard(texts)
@@ -274,35 +275,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).select("doc_id", "n_shingles", F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
-def _mixed(members: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """Rows of the regions that hold several components, sorted by region, with the signature and, from
-    ``texts``, the text; and whether all of these regions are of the first depth."""
-    level = members.join(comps, "node", "left").select("region", "tree", "node", F.coalesce("comp", "node").alias("comp"))
-    leaves = None
-    for at in range(len(DEPTHS)):
-        level = materialize(level, "level")
-        several = level.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region", "n")
-        parted = materialize(level.join(several, "region"), "parted")
-        discard(level)
-        leaf = parted.where(F.col("n") <= REGION).drop("n")
+def _several(level: DataFrame) -> DataFrame:
+    """Rows (region, tree, node, comp) of the regions that hold several components, with their number."""
+    found = level.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region", "n")
+    return materialize(level.join(found, "region"), "several")
+
+
+def _with_comps(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return members.join(comps, "node", "left").select("region", "tree", "node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _parted(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Regions of several components; those of more than REGION members at the first depth that parts them."""
+    level, leaves = _several(_with_comps(members, comps)), None
+    for depth in (*DEPTHS[1:], None):
+        leaf = level.where(F.col("n") <= REGION)
         leaves = leaf if leaves is None else leaves.union(leaf)
-        crowded = parted.where(F.col("n") > REGION)
-        if crowded.isEmpty():
+        crowded = level.where(F.col("n") > REGION).select("tree", "node", "comp")
+        if depth is None or crowded.isEmpty():  # what is crowded at the last depth, too, is left to the last search
             break
-        if at + 1 < len(DEPTHS):  # the same order, read deeper
-            level = crowded.select("tree", "node", "comp").join(_orders(sigs, DEPTHS[at + 1]), ["tree", "node"]).select("region", "tree", "node", "comp")
-        else:
-            leaves = leaves.union(_blocks(crowded, sigs))
-    rows = leaves.join(sigs, "node")
+        level = _several(crowded.join(_orders(sigs, depth), ["tree", "node"]).select("region", "tree", "node", "comp"))
+    return leaves.select("region", "tree", "node", "comp", F.lit(0).alias("role"))
+
+
+def _blocked(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Regions of several components, at the first depth. A region of more than REGION members is cut into
+    blocks; the members outside its largest component are queries to every block, and every pair of
+    different components has one of them."""
+    level = _several(_with_comps(members, comps))
+    leaf = level.where(F.col("n") <= REGION).select("region", "tree", "node", "comp", F.lit(0).alias("role"))
+    crowded = level.where(F.col("n") > REGION)
+    if crowded.isEmpty():
+        return leaf
+    sizes = crowded.groupBy("region", "comp", "n").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "comp")).alias("x"), F.max("n").alias("m")).select("region", F.col("x.comp").alias("major"), F.ceil(F.col("m") * 2 / REGION).alias("blocks"), F.ceil((F.col("m") - F.col("x.k")) * 2 / REGION).alias("queries"))
+    rows = crowded.join(sizes, "region")
+    spots = lambda own, all_of, salt: (F.pmod(F.xxhash64("node", F.lit(salt)), own), F.explode(F.sequence(F.lit(0).cast("long"), all_of - 1)))
+    mine, others = spots(F.col("blocks"), F.col("queries"), 1)
+    base = rows.select("region", "tree", "node", "comp", F.lit(1).alias("role"), mine.alias("b"), others.alias("q"))
+    mine, others = spots(F.col("queries"), F.col("blocks"), 2)
+    asked = rows.where("comp <> major").select("region", "tree", "node", "comp", F.lit(2).alias("role"), others.alias("b"), mine.alias("q"))
+    return leaf.unionByName(base.unionByName(asked).withColumn("region", F.xxhash64("region", "b", "q")).drop("b", "q"))
+
+
+def _dealt(rows: DataFrame, sigs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the signature and, from ``texts``, the text, sorted by region."""
+    rows = rows.join(sigs, "node")
     if texts is not None:
         rows = rows.join(texts, "node")
-    return rows.repartition(spread(rows), "region").sortWithinPartitions("region", "node"), at == 0
-
-
-def _blocks(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Crowded regions of the last depth as blocks of their sorted order, each with its successor."""
-    sized = rows.join(sigs, "node").withColumn("part", F.pmod(F.hash("sig"), F.lit(64)))
-    w = Window.partitionBy("region", "part").orderBy("sig", "node")
-    cut = sized.withColumn("block", F.floor((F.row_number().over(w) - 1) / (REGION // 2)))
-    twice = cut.select("tree", "node", "comp", "region", "part", F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    return twice.select(F.xxhash64("region", "part", "block").alias("region"), "tree", "node", "comp")
+    return rows.repartition(spread(rows), "region").sortWithinPartitions("region", "node")
