@@ -69,6 +69,15 @@ def _clean() -> None:
             return
 
 
+#: Rows up to which a narrow table, once written and counted, is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def joinable(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def spread(df: DataFrame, per_core: int = 2) -> int:
     """Partitions for a stage whose rows are few but dear."""
     return max(df.sparkSession.sparkContext.defaultParallelism * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import CACHE, caches, enter, materialize, mix, multipliers
+from tidewire.llm.base import CACHE, caches, enter, joinable, materialize, mix, multipliers
 from tidewire.llm.bpe import parted
 
 SEED = 4
@@ -166,13 +166,18 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["item", "item_id", "item_words", "item_seeds"])
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", mark_of())
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """mark, doc_id, item_id, score and start_word: each document with each item that leaks into it, best passage first.
+    """doc_id, item_id, score and start_word: each document with each item that leaks into it, its best passage."""
+    return _marked(docs).select("doc_id", "mark").join(_leaking(docs, benchmark), "mark").drop("mark")
+
 
-    ``mark`` is ``mark_of``'s value of the document's row.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", mark_of())
+def _leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """mark, item_id, score and start_word; ``mark`` stands for a document's row."""
+    spark, rows = docs.sparkSession, _marked(docs)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
     items = materialize(bench.mapInArrow(_items, "item long, item_id long, item_words binary, item_seeds array<long>"), "items")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_words")), F.lit(0))).first()
@@ -194,8 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeded = passages.join(kept, "item").where(F.arrays_overlap("seeds", "kept")).select("mark", "item", "start", "words", "item_words").repartition("mark")
     scored = seeded.mapInArrow(_aligned, "mark long, item long, score double, start long")
     best = scored.groupBy("mark", "item").agg(F.max(F.struct("score", -F.col("start"))).alias("x")).join(items.select("item", "item_id"), "item")
-    found = best.select("mark", "item_id", F.col("x.score").alias("score"), (-F.col("x.col2")).alias("start_word"))
-    return rows.select("doc_id", "mark").join(found, "mark")
+    return best.select("mark", "item_id", F.col("x.score").alias("score"), (-F.col("x.col2")).alias("start_word"))
 
 
 def mark_of() -> F.Column:
@@ -209,5 +213,5 @@ def _of_shared(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents into which an item leaks."""
-    found = leaks(docs, benchmark).select(F.col("mark").alias("_mark")).distinct()
+    found = joinable(materialize(_leaking(docs, benchmark).select(F.col("mark").alias("_mark")).distinct(), "leaking"))
     return docs.join(found, mark_of() == F.col("_mark"), "left_anti")

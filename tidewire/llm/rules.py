@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import SPACE, materialize
+from tidewire.llm.base import SPACE, joinable, materialize
 
 MIN_WORDS = 50
 REPEATED = (50, 100)
@@ -131,6 +131,7 @@ def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 def _verdicts(counts: DataFrame) -> DataFrame:
     rated = counts.withColumns(_rates())
     limits = bounds(sketches(rated.where(~F.col("base_failed")).select("lang", "source", *RATES))).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(f"high_{k}" for k in RATES), *(f"low_{k}" for k in LOW))
+    limits = joinable(materialize(limits, "limits"))
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for k in RATES:
