@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,9 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(to))
         sc._tidewire_shipped = sc.applicationId
     return spark
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, or in a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewire-")
+    return f"{root.rstrip('/')}/tidewire/{uuid.uuid4().hex}/{label}"

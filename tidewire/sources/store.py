@@ -37,7 +37,7 @@ class Store:
         found = self.versions(table)
         new = (found[-1] if found else 0) + 1
         at = f"{self.root}/{table}"
-        rows.select(*conformed(empty(self.spark, TABLES[table]), TABLES[table]).columns).write.mode("overwrite").parquet(f"{at}/.next")
+        conformed(rows, TABLES[table]).write.mode("overwrite").parquet(f"{at}/.next")
         if not self._fs.rename(self._path(f"{at}/.next"), self._path(f"{at}/v{new}")):
             raise OSError(f"version {new} of {table} can't be named")
         for old in found[: 1 - keep or None] if keep > 1 else found:
