@@ -78,9 +78,18 @@ def joinable(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def spread(df: DataFrame, per_core: int = 2) -> int:
-    """Partitions for a stage whose rows are few but dear."""
-    return max(df.sparkSession.sparkContext.defaultParallelism * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a table's files for each partition that it is dealt to.
+PARTITION_BYTES = 32_000_000
+
+
+def spread(table: DataFrame, per_core: int = 2) -> int:
+    """Partitions to deal a table to: as the session has them, more where its files are large."""
+    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = 0
+    if leaves.size() == 1 and leaves.head().getClass().getSimpleName() == "LogicalRelation":
+        size = int(str(leaves.head().stats().sizeInBytes()))
+    spark = table.sparkSession
+    return max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
 
 
 #: What empties an operator's caches in this process, and the operator that ran here last.

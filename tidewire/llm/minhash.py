@@ -322,4 +322,4 @@ def _dealt(rows: DataFrame, sigs: DataFrame, texts: DataFrame | None = None) ->
     rows = rows.join(sigs, "node")
     if texts is not None:
         rows = rows.join(texts, "node")
-    return rows.repartition(spread(rows), "region").sortWithinPartitions("region", "node")
+    return rows.repartition(spread(sigs), "region").sortWithinPartitions("region", "node")
