@@ -431,3 +431,16 @@ def test_bpe_digests(spark, tmp_path):
     rows = {r["doc_id"]: r for r in queries.op6_byte_bpe(spark, str(tmp_path)).collect()}
     assert rows[1]["decoded_sha256"] == hashlib.sha256(b"Hello world").hexdigest()
     assert rows[2]["n_tokens"] == 0 and rows[2]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_pieces_of_many_empty_documents_stay_apart():
+    import pyarrow as pa
+
+    r = random.Random(11)
+    rows = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(60)) if i % 50 == 0 else "") for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"mark": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
+    for b in substrings._sliced(iter([batch])):
+        assert b.num_rows >= 30
+        for mark, payload in zip(b.column("mark").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            start = int.from_bytes(payload[:4], "little", signed=True)
+            assert mark % 50 == 0 and (start < 0 or start + (len(payload) - 4) // substrings.PRINT <= 60 - substrings.WINDOW + 1)

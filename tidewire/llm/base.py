@@ -142,7 +142,3 @@ def multipliers(n: int, seed: int) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def sha256_hex(column) -> F.Column:
-    return F.sha2(column, 256)

@@ -27,7 +27,8 @@ MIN_WORDS = 50
 REPEATED = (50, 100)
 SUPPORT = 100
 SPREAD = 6
-#: Rates and what a value may exceed the spread by: rates are per 10,000, word length in hundredths.
+#: Rates and what a value may exceed the spread by: symbols per 10,000 characters, repeated lines per 100,000
+#: words, repeated words per 10,000, word length in hundredths.
 RATES = {"symbol_rate": 300, "line_rate": 1500, "repeat_rate": 1500, "word_length": 150}
 #: Rates that have a bound below, too.
 LOW = ("word_length",)

@@ -100,7 +100,7 @@ def _pieces(marks: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatc
     sent[once] = True
     e = np.flatnonzero(sent)
     # a piece: windows in a row of one document and anchor, all of them sent
-    starts = _runs(at[e] + (np.arange(len(e)) - place[e]) * (len(words) + 1) + doc[e] * 7)
+    starts = np.flatnonzero(np.concatenate([[True], (doc[e][1:] != doc[e][:-1]) | (place[e][1:] != place[e][:-1] + 1) | (at[e][1:] != at[e][:-1])]))
     row = np.zeros(len(e), np.int64)
     row[starts] = 1
     row = np.cumsum(row) - 1
