@@ -62,4 +62,11 @@ k AS (SELECT r, p, ws[p] AS x FROM (SELECT r, ws, unnest(range(1, len(ws) + 1))
 t AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM k GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM w LEFT JOIN g USING (r) LEFT JOIN t USING (r)"""
 
-SQL = {"op1_minhash_near_dedup": OP1, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
+# The pages of the driver's tables have one article element with paragraphs and a heading in it.
+_BLOCK = "trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g'))"
+_PLAIN = f"replace(replace(replace(replace(regexp_replace({_BLOCK}, '&amp$', '&amp;'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+OP4 = f"""WITH b AS (SELECT page_id, url, regexp_split_to_array(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<br>', ' '), '</?(?:p|h1)>') AS bs FROM pages),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(bs, lambda x: {_PLAIN}), lambda x: x <> ''), chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
+
+SQL = {"op4_html_extraction": OP4, "op1_minhash_near_dedup": OP1, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
