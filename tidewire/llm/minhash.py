@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     orders = materialize(_orders(sigs, DEPTHS[0]), "orders")
     regions = materialize(orders.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "regions")
     members = materialize(orders.join(regions, "region"), "members")
+    used = [regions, members, sigs]
     discard(orders)
     needed = members.select("node").distinct()
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(needed, "node", "left_semi"), "texts")
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = materialize(_dealt(_blocked(members, comps), sigs, texts).mapInArrow(_joined, "a long, b long"), "rest")
         if not rest.isEmpty():
             comps = materialize(components(links.union(rest)), "components")
-    discard(texts)
+    discard(texts, *used)
 
     named = heads.join(comps, "node", "left").select("n_shingles", "fp1", "fp2", F.coalesce("comp", "node").alias("c"))
     linked = whole.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["n_shingles", "fp1", "fp2"]).select("doc_id", "n_shingles", "c")
