@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from tidewire.llm.base import caches, enter, new_path, spread
 from tidewire.llm.bpe import CACHE_CHUNKS, Encoder, parted
 
+#: Chunks that are encoded end to end.
+JOINED = 8000
 #: A blank in the vocabulary's byte alphabet.
 BLANK = "\u0120"
 #: Stands in the files for a missing doc_id.
@@ -58,9 +60,9 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         # chunks that start with their one blank are encoded end to end: each begins where a token has a blank
         out: dict[str, bytes] = {}
         joined = [c for c in chunks if c[0] == " " and not c.isspace()]
-        for at in range(0, len(joined), 2000):
-            some = joined[at : at + 2000]
-            ids = np.array(tokenizer.encode("".join(some), add_special_tokens=False).ids, kind)
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, kind)
             starts = np.flatnonzero(blank[ids])
             if len(starts) == len(some):
                 ends, flat = (starts * ids.itemsize).tolist(), ids.tobytes()
@@ -69,7 +71,7 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         out.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [out[c] for c in chunks]
 
-    return Encoder(learn, 2 * CACHE_CHUNKS), int(kind[-1])
+    return Encoder(learn, 3 * CACHE_CHUNKS), int(kind[-1])
 
 
 caches("token_files", library_encoder.cache_clear)
