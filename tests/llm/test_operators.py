@@ -130,6 +130,14 @@ def test_leaks_of_an_item_that_many_documents_hold(spark):
     assert len(found) == 300
 
 
+def test_an_edited_copy_of_an_item_that_many_documents_hold(spark):
+    item = [f"w{k}" for k in range(37)]
+    edited = [f"new{k}" if k in (5, 12, 19, 26) else w for k, w in enumerate(item)]
+    rows = [(i, f"a{i} b{i} c{i} {' '.join(item)} d{i} e{i}") for i in range(300)] + [(300, " ".join(edited))]
+    found = collected(decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")), "doc_id", "score")
+    assert sorted(found) == [*((i, 1.0) for i in range(300)), (300, 62 / 74)]
+
+
 def test_alignment_is_smith_waterman():
     r = np.random.default_rng(0)
 

@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared without case and without marks around them. The seeds of an item are its SEED-word
-n-grams; how often each occurs is counted over the whole corpus. An item keeps its RAREST least frequent
-seeds and all that occur at most RARE times. Where a kept seed of an item occurs in a document, the words
+n-grams. Where any seed of an item occurs in a document, however often it does in others, the words
 around it, as long as the item with SLACK words to each side, are aligned to the item: a match scores
 MATCH, a mismatch or gap costs one. A passage whose score is at least SHARE of the item's own is a leak,
 exact, edited or paraphrased.
@@ -23,15 +22,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.base import CACHE, caches, enter, joinable, materialize, mix, multipliers
 from tidewire.llm.bpe import parted
 
 SEED = 4
-RAREST = 16
-RARE = 100
 SLACK = 12
 MATCH = 2
 SHARE = 0.5
@@ -100,11 +97,11 @@ class Index:
 
 
 def _seeded(index: Index, names: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages: for each document and item, the words around its seeds, and these seeds."""
+    """Passages: for each document and item, the words around its seeds."""
     enter("decontamination")
     for whole in batches:
         for batch in parted(whole, "text"):
-            mark, item, start, words, found = [], [], [], [], []
+            mark, item, start, words = [], [], [], []
             for m, text in zip(batch.column("mark").to_pylist(), batch.column("text"), strict=True):
                 w = plain_words(text.as_py())
                 if len(w) < SEED:
@@ -124,8 +121,7 @@ def _seeded(index: Index, names: np.ndarray, batches: Iterator[pa.RecordBatch])
                     item.append(names[o[a]])
                     start.append(low)
                     words.append(w[low:high].tobytes())
-                    found.append(np.unique(index.key[row[order[a:b]]]).view(np.int64).tolist())
-            yield pa.RecordBatch.from_pydict({"mark": pa.array(mark, pa.int64()), "item": pa.array(item, pa.int64()), "start": pa.array(start, pa.int64()), "words": pa.array(words, pa.binary()), "seeds": pa.array(found, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"mark": pa.array(mark, pa.int64()), "item": pa.array(item, pa.int64()), "start": pa.array(start, pa.int64()), "words": pa.array(words, pa.binary())})
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -162,8 +158,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [plain_words(t.as_py()) for t in batch.column("text")]
-        found = [np.unique(seeds(w)).view(np.int64).tolist() for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["item", "item_id", "item_words", "item_seeds"])
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary())], names=["item", "item_id", "item_words"])
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -179,7 +174,7 @@ def _leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """mark, item_id, score and start_word; ``mark`` stands for a document's row."""
     spark, rows = docs.sparkSession, _marked(docs)
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
-    items = materialize(bench.mapInArrow(_items, "item long, item_id long, item_words binary, item_seeds array<long>"), "items")
+    items = materialize(bench.mapInArrow(_items, "item long, item_id long, item_words binary"), "items")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_words")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
     passages = None
@@ -187,16 +182,11 @@ def _leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         some = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "item_words").collect()  # a block
         index = Index([np.frombuffer(r[1], np.uint64) for r in some])
         shared = spark.sparkContext.broadcast((index, np.array([r[0] for r in some], np.int64)))
-        found = rows.select("mark", "text").mapInArrow(partial(_of_shared, shared), "mark long, item long, start long, words binary, seeds array<long>")
+        found = rows.select("mark", "text").mapInArrow(partial(_of_shared, shared), "mark long, item long, start long, words binary")
         passages = found if passages is None else passages.union(found)
     passages = materialize(passages, "passages")
 
-    counts = passages.select(F.explode("seeds").alias("seed"), "mark").groupBy("seed").agg(F.count("*").alias("n"))
-    own = items.select("item", F.explode("item_seeds").alias("seed")).join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "seed"))
-    kept = own.withColumn("rank", rank).where((F.col("rank") <= RAREST) | (F.col("n") <= RARE)).groupBy("item").agg(F.collect_list("seed").alias("kept"))
-    kept = kept.join(items.select("item", "item_id", "item_words"), "item")
-    seeded = passages.join(kept, "item").where(F.arrays_overlap("seeds", "kept")).select("mark", "item", "start", "words", "item_words").repartition("mark")
+    seeded = passages.join(items.select("item", "item_words"), "item").repartition("mark")
     scored = seeded.mapInArrow(_aligned, "mark long, item long, score double, start long")
     best = scored.groupBy("mark", "item").agg(F.max(F.struct("score", -F.col("start"))).alias("x")).join(items.select("item", "item_id"), "item")
     return best.select("mark", "item_id", F.col("x.score").alias("score"), (-F.col("x.col2")).alias("start_word"))
