@@ -334,6 +334,29 @@ def test_shards(docs, odd):
     assert sizes
 
 
+def test_shards_beside_a_group_of_a_third(spark):
+    r = random.Random(5)
+    texts = ["x" * r.randint(20, 400) + str(i) for i in range(1000)]
+    hot = "h" * 192
+    texts += [hot] * (sum(len(t) + 8 for t in texts) // 2 // 200)
+    load, homes = Counter(), set()
+    for row in shards.shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        load[row["shard"]] += row["size"]
+        if texts[row["doc_id"]] == hot:
+            homes.add(row["shard"])
+    assert sorted(load) == list(range(24)) and len(homes) == 1
+    assert load[homes.pop()] == 200 * texts.count(hot)
+    rest = sorted(load.values())[:-1]
+    assert rest[-1] - rest[0] <= 0.02 * rest[-1]
+
+
+def test_large_groups_that_do_not_divide_evenly():
+    load = Counter()
+    for s, a, b, k in shards.balanced([(10, 25)], 24):
+        load[k] += s * (b - a)
+    assert sorted(load.values()) == [10] * 23 + [20]
+
+
 def test_packing_is_best_fit_decreasing():
     r = random.Random(8)
     items = [r.randint(1, 60) for _ in range(200)]

@@ -10,7 +10,9 @@ driver packs (class, groups) pairs and gives back runs: which ranks of a class g
 and slots are counted in salted parts with prefix sums over the parts' totals, so a class, a shard or a
 text that holds most rows is not one task's work.
 
-A group larger than an even share can't be parted; the shard that takes it is as large as it is.
+A group larger than an even share can't be parted; the shard that takes it is as large as it is. Where a shard
+must be over an even share, for this or because large groups don't divide evenly, it is closed, and the rest is
+packed anew into the other shards, with the least capacity that does for them.
 
 Defined cases: a null text counts as an empty one. Rows without doc_id are placed like others. Repeated
 rows are members of one group. An empty table gives no rows. Extra columns are ignored.
@@ -19,6 +21,7 @@ rows are members of one group. An empty table gives no rows. Extra columns are i
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +111,33 @@ def tightest(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int,
     return best
 
 
+def _load(box: Counter) -> int:
+    return sum(s * n for s, n in box.items())
+
+
+def balanced(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int, int]]:
+    """Runs as of ``tightest``, where a bin that is over an even share is closed before the rest is packed anew."""
+    left, boxes, kept = Counter(dict(classes)), [], None
+    for free in range(bins, 0, -1):
+        made = [Counter() for _ in range(free)]
+        for size, first, beyond, which in tightest(list(left.items()), free):
+            made[which][size] += beyond - first
+        made.sort(key=lambda box: (_load(box), max(box, default=0)))
+        if kept and _load(kept[-1]) < _load(made[-1]):
+            made = kept
+        if free == 1 or _load(made[-1]) * free <= _load(left) * (1 + 2**-BITS):
+            boxes += made
+            break
+        boxes.append(made.pop())
+        left, kept = left - boxes[-1], made
+    runs, taken = [], Counter()
+    for which, box in enumerate(boxes):
+        for size, n in box.items():
+            runs.append((size, taken[size], taken[size] + n, which))
+            taken[size] += n
+    return runs
+
+
 def size_class(x: Column) -> Column:
     """Size rounded up to BITS bits."""
     unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.conv(x.cast("string"), 10, 2)) - BITS, F.lit(0)).cast("int"))
@@ -131,7 +161,7 @@ def shards(docs: DataFrame, bins: int = SHARDS) -> DataFrame:
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("class", size_class(F.col("bytes")))
     groups = materialize(_ranked(groups.select("key", "class"), "class", "rank", "key"), "groups")
     classes = [(r[0], r[1]) for r in groups.groupBy("class").count().collect()]  # at most 1024 for each doubling
-    runs = rows.sparkSession.createDataFrame(tightest(classes, bins), "class long, first long, beyond long, shard int")
+    runs = rows.sparkSession.createDataFrame(balanced(classes, bins), "class long, first long, beyond long, shard int")
     placed = groups.join(F.broadcast(runs), "class").where("rank >= first and rank < beyond").select("key", "shard")  # as few as the classes and shards
     dealt = materialize(rows.join(placed, "key").drop("key"), "shards")
     slots = _ranked(dealt, "shard", "slot", "doc_id", "text_crc32", "size")
