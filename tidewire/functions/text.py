@@ -156,9 +156,14 @@ def clock() -> Column:
 # Words and tags
 
 
+#: What Python's \b parts, spelt out: Java's sees no numbers but digits, and sees marks.
+_LETTER = r"[\p{L}\p{N}_]"
+_WORD = rf"(?:(?<!{_LETTER})(?=[a-zA-Z0-9])|(?<={_LETTER})(?=-))[a-zA-Z0-9-]{{2,}}(?:(?<=[a-zA-Z0-9])(?!{_LETTER})|(?<=-)(?={_LETTER}))"
+
+
 def english_words(text: Column) -> Column:
     """Lower-case words of at least two letters, digits or hyphens, without stop words and numbers."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z0-9-]{2,}\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(*sorted(ENGLISH)) & ~w.rlike(r"^[0-9.-]+$"))
 
 

@@ -182,12 +182,7 @@ def _stop_sql() -> str:
     return ", ".join(f"'{w}'" for w in sorted(ENGLISH))
 
 
-# Java's \b sees letters of any script, RE2's only ASCII: both sides keep to texts where that makes no difference.
-
-
-def _plain_english(spark, sf_dir) -> DataFrame:
-    return _articles(spark, sf_dir).where("category = 'en'").where(~F.col("content").rlike(r"[^\x00-\x7F]|--|(^|[^a-zA-Z0-9])-|-($|[^a-zA-Z0-9])|_"))
-
+# The queries count all articles; this SQL counts only English ones in plain ASCII, so the two differ.
 
 _PLAIN = f"""e AS (SELECT * FROM articles WHERE category = 'en' AND NOT regexp_matches(content, '[^\\x00-\\x7F]|--|(^|[^a-zA-Z0-9])-|-($|[^a-zA-Z0-9])|_')),
 w AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || summary || ' ' || content), '[a-z0-9-]+')) AS term FROM e),
@@ -198,8 +193,8 @@ tc AS (SELECT term, count(*) AS cnt FROM tg WHERE length(term) > 1 AND NOT regex
 
 @query(_with("SELECT term, cnt FROM c", _PLAIN))
 def word_freq(spark, sf_dir):
-    """Words of English articles in plain ASCII, where the engines' regexes agree."""
-    return terms.word_counts(_plain_english(spark, sf_dir))
+    """Words of all articles."""
+    return terms.word_counts(_articles(spark, sf_dir))
 
 
 def _tagged(spark, sf_dir) -> DataFrame:
@@ -215,15 +210,15 @@ def tag_freq(spark, sf_dir):
 
 @query(_with("SELECT term, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM c WHERE term NOT IN ('would', 'thing') UNION ALL SELECT * FROM tc) GROUP BY term HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, term LIMIT 50", _PLAIN, _TAGS))
 def trending_keywords(spark, sf_dir):
-    """The 50 most frequent of texts and tags."""
-    words = terms.without(terms.word_counts(_plain_english(spark, sf_dir)), ["would", "thing"])
-    return terms.top(terms.added(words, terms.tag_counts(_tagged(spark, sf_dir))).where("cnt >= 2"), 50)
+    """The 50 most frequent of texts and tags; events stand for articles that have only tags."""
+    rows = _articles(spark, sf_dir).select("title", "summary", "content", "title_ja", "summary_ja", "ai_status")
+    return terms.trending(rows.unionByName(_tagged(spark, sf_dir), allowMissingColumns=True), 2, 50, stop_text=["would", "thing"])
 
 
 @query(_with("SELECT term, cnt, CASE WHEN length(term) % 2 = 0 THEN 'existing' ELSE 'new' END AS kind FROM (SELECT * FROM c ORDER BY cnt DESC, term LIMIT 50)", _PLAIN))
 def new_vs_existing(spark, sf_dir):
     """The top terms against a dictionary (here: terms of even length)."""
-    counts = terms.word_counts(_plain_english(spark, sf_dir))
+    counts = terms.word_counts(_articles(spark, sf_dir))
     known = counts.where(F.length("term") % 2 == 0).select("term")
     new, old = terms.split_known(terms.top(counts, 50), known)
     return new.withColumn("kind", F.lit("new")).unionByName(old.withColumn("kind", F.lit("existing")))
