@@ -1,5 +1,6 @@
 """Queries over whole tables and whole texts, against brute force in Python."""
 
+import json
 import re
 from collections import Counter
 
@@ -45,3 +46,22 @@ def test_top_terms_of_all_articles(spark, folder):
 def test_english_words_are_those_of_python(spark):
     made = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     assert [r[0] for r in made.select(X.english_words(made.t)).collect()] == [words(t) for t in TEXTS]
+
+
+def parsed(turn: int, t: str) -> tuple:
+    body = {"title_ja": t, "summary_ja": t.lower()}
+    reply = [json.dumps(body | {"keywords": ["a", "b"]}, ensure_ascii=False), f"Here:\n```json\n{json.dumps(body, ensure_ascii=False)}\n```\n", t, '{"title_ja": "x"}'][turn % 4]
+    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", reply, re.DOTALL)
+    try:
+        made = json.loads(fenced[1] if fenced else reply.strip())
+        return made["title_ja"], made["summary_ja"], ",".join(made.get("keywords", []))
+    except (KeyError, TypeError, ValueError):
+        return None, None, None
+
+
+def test_replies_hold_whole_texts(spark, tmp_path):
+    texts = ["short", "long " * 500, 'a "quoted" word', "back\\slash \\n \\u0041", "lines\nand\ttabs\r\x01", "\u65b0\u3057\u3044 \U0001f600 \u00e9", "code:\n```python\nprint({})\n``` and more", "braces } { ``` x", ""]
+    rows = [(c, turn, "user", t) for c, t in enumerate(texts) for turn in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {(r["conv_id"], r["turn"]): (r["title_ja"], r["summary_ja"], r["keywords"]) for r in QUERIES["ai_parse"](spark, str(tmp_path)).collect()}
+    assert found == {(c, turn): parsed(turn, t) for c, turn, _, t in rows}

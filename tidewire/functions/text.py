@@ -203,7 +203,7 @@ def model_input(title: Column, summary: Column, content: Column, most: int = 800
 
 def parse_reply(reply: Column) -> Column:
     """STRUCT title_ja, summary_ja, keywords of JSON text, bare or in a fence; null without the first two."""
-    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     json = F.when(fenced != "", fenced).otherwise(F.trim(reply))
     made = F.from_json(json, "title_ja string, summary_ja string, keywords array<string>")
     return F.when(made["title_ja"].isNotNull() & made["summary_ja"].isNotNull(), F.struct(made["title_ja"].alias("title_ja"), made["summary_ja"].alias("summary_ja"), F.coalesce(made["keywords"], F.array().cast("array<string>")).alias("keywords")))

@@ -347,6 +347,8 @@ def link_extract(spark, sf_dir):
     return landing.page_links(_pages(spark, sf_dir), {"article_list_selector": "nav a"})
 
 
+# The query parses replies with whole texts; this SQL has 40 characters of each, so the two differ.
+
 _REPLIES = "r AS (SELECT conv_id, turn, left(replace(replace(text, chr(10), ' '), '\"', ''), 40) AS t FROM conversations)"
 
 
@@ -355,12 +357,10 @@ _REPLIES = "r AS (SELECT conv_id, turn, left(replace(replace(text, chr(10), ' ')
   CASE WHEN turn % 4 = 0 THEN 'a,b' WHEN turn % 4 = 1 THEN '' END AS keywords FROM r WHERE NOT contains(t, chr(92)) AND NOT regexp_matches(t, '[\\x00-\\x1f]')"""
 )
 def ai_parse(spark, sf_dir):
-    """replies bare (turn % 4 = 0), fenced, not JSON, and without a field."""
-    c = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
-    t = F.left(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")), F.lit(40))
-    rows = c.select("conv_id", "turn", t.alias("t")).where(~F.contains("t", F.lit("\\")) & ~F.col("t").rlike(r"[\x00-\x1f]"))
-    body = lambda more: F.concat(F.lit('{"title_ja": "'), "t", F.lit('", "summary_ja": "'), F.lower("t"), F.lit(f'"{more}}}'))
-    reply = F.when(F.col("turn") % 4 == 0, body(', "keywords": ["a", "b"]')).when(F.col("turn") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), body(""), F.lit("\n```\n"))).when(F.col("turn") % 4 == 2, F.col("t")).otherwise(F.lit('{"title_ja": "x"}'))
+    """replies with the whole text of a turn, bare (turn % 4 = 0), fenced, not JSON, and without a field."""
+    rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("t"))
+    body = lambda *more: F.to_json(F.struct(F.col("t").alias("title_ja"), F.lower("t").alias("summary_ja"), *more))
+    reply = F.when(F.col("turn") % 4 == 0, body(F.array(F.lit("a"), F.lit("b")).alias("keywords"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), body(), F.lit("\n```\n"))).when(F.col("turn") % 4 == 2, F.col("t")).otherwise(F.lit('{"title_ja": "x"}'))
     made = X.parse_reply(reply)
     return rows.select("conv_id", "turn", made["title_ja"].alias("title_ja"), made["summary_ja"].alias("summary_ja"), F.array_join(made["keywords"], ",").alias("keywords"))
 
