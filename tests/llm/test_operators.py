@@ -98,6 +98,18 @@ def test_a_large_group_of_near_copies_is_one_component(spark, monkeypatch):
     assert found == components(rows)
 
 
+def test_crowded_regions_are_searched_where_no_partner_is_found(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION", 1)  # so that every region is left to the last search
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(40):
+        base[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    found = {x[0]: x[1:] for x in collected(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id", "kept")}
+    assert found == components(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     found = collected(minhash.near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")
     assert len(found) == 13
