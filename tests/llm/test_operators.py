@@ -296,18 +296,65 @@ def test_substrings(docs, odd, monkeypatch):
         assert sorted(found, key=str) == windows(collected(table, "doc_id", "text"))
 
 
-def test_substrings_in_small_slices():
+def removed(rows, some, hot=()):
+    """Words that each document loses, by the operator's steps without Spark; ``some`` documents to a slice."""
     import pyarrow as pa
 
-    rows = [(i, t) for i, t in enumerate(texts(80, 7))]
-    batch = pa.RecordBatch.from_pydict({"mark": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
-    pieces = [b for k in range(0, 80, 5) for b in substrings._sliced(iter([batch.slice(k, 5)]))]
-    table = pa.Table.from_batches(pieces).sort_by("key")
+    class Shared:
+        value = np.array(sorted(hot), np.int32)
+
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([i for i, _ in rows]), "mark": pa.array([7 * i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
+    dealt = lambda batches: pa.Table.from_batches(batches).sort_by("key").to_batches(max_chunksize=50)
+    pieces = [b for k in range(0, len(rows), some) for b in substrings._sliced(Shared if hot else None, iter([batch.slice(k, some)]))]
+    found = [x for b in substrings._candidates(iter(dealt(pieces))) for x in b.to_pylist()]
+    spans = {i: [r for r in found if r["id"] == i] for i, _ in rows}
+    listed = [{"id": i, "mark": 7 * i, "text": t, "spans": spans[i]} for i, t in rows if spans[i]]
+    cuts = list(substrings._cut(iter([pa.RecordBatch.from_pylist(listed)]))) if listed else []
     covered = {i: set() for i, _ in rows}
-    for b in substrings._parsed(iter(table.to_batches(max_chunksize=50))):
-        for m, s, e in zip(*(b.column(c).to_pylist() for c in ("mark", "s", "e")), strict=True):
-            covered[m].update(range(s, e))
-    assert sorted(((i, len(covered[i])) for i in covered), key=str) == [(i, n) for i, _, n, _ in windows(rows)]
+    for b in substrings._factored(iter(dealt(cuts) if cuts else [])):
+        for i, m, s, e in zip(*(b.column(c).to_pylist() for c in ("id", "mark", "s", "e")), strict=True):
+            assert m == 7 * i
+            covered[i].update(range(s, e))
+    return {i: len(x) for i, x in covered.items()}, pieces
+
+
+def test_substrings_in_small_slices(monkeypatch):
+    for seed in (7, 8):
+        rows = list(enumerate(texts(80, seed)))
+        want = {i: n for i, _, n, _ in windows(rows)}
+        found, pieces = removed(rows, 5)
+        assert found == want
+        keys = Counter(k for b in pieces for k, p in zip(b.column("key").to_pylist(), b.column("prints").to_pylist(), strict=True) if p)
+        assert removed(rows, 5, [k for k, _ in keys.most_common(40)])[0] == want  # hot anchors are parted by window
+        with monkeypatch.context() as m:
+            m.setattr(substrings, "SLICE", 400)  # so that blocks are read in parts
+            assert removed(rows, 5)[0] == want
+
+
+def test_substrings_compare_words(monkeypatch):
+    rows = list(enumerate(texts(60, 9)))
+    want = {i: n for i, _, n, _ in windows(rows)}
+    true = substrings.rolling
+    monkeypatch.setattr(substrings, "rolling", lambda w, widths: [x % np.uint64(97) if k == substrings.WINDOW else x for x, k in zip(true(w, widths), widths, strict=True)])
+    assert removed(rows, 5)[0] == want  # though hashes of different windows are equal everywhere
+
+
+def test_a_factor_is_the_longest_match_with_one_source():
+    r = random.Random(12)
+    rows = [[b"w%d" % r.randrange(2) for _ in range(50)] for _ in range(3)]
+    rows += [rows[0][:40] + rows[1][5:50], rows[2][3:48], rows[0][2:45]]
+    flat, sizes = [w for x in rows for w in x], [len(x) for x in rows]
+    base = np.cumsum([0, *sizes])
+    at = np.concatenate([np.arange(b, b + n - 34) for b, n in zip(base, sizes)])
+    of = np.concatenate([np.full(n - 34, k) for k, n in enumerate(sizes)])
+    (prints,) = substrings.rolling(substrings._words.array(flat), (35,))
+    index, (first, size, source) = substrings.parse(flat, prints[at], at, np.concatenate([[False], np.diff(of) == 0]))
+    assert len(first)
+    for i, n, j in zip(first, size, source):
+        x, y = index.found[i], index.found[j]
+        text = rows[of[x]][at[x] - base[of[x]] :]
+        match = lambda z: next((k for k, (p, q) in enumerate(zip(text, rows[of[z]][at[z] - base[of[z]] :])) if p != q), min(len(text), len(rows[of[z]]) - (at[z] - base[of[z]])))
+        assert match(y) == n + 34 == max(match(z) for z in range(len(at)) if z != x)
 
 
 def test_token_files(docs, odd):
@@ -477,13 +524,11 @@ def test_bpe_digests(spark, tmp_path):
 
 
 def test_pieces_of_many_empty_documents_stay_apart():
-    import pyarrow as pa
-
     r = random.Random(11)
     rows = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(60)) if i % 50 == 0 else "") for i in range(1500)]
-    batch = pa.RecordBatch.from_pydict({"mark": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
-    for b in substrings._sliced(iter([batch])):
+    found, pieces = removed(rows, 1500)
+    assert not any(found.values())
+    for b in pieces:
         assert b.num_rows >= 30
-        for mark, payload in zip(b.column("mark").to_pylist(), b.column("payload").to_pylist(), strict=True):
-            start = int.from_bytes(payload[:4], "little", signed=True)
-            assert mark % 50 == 0 and (start < 0 or start + (len(payload) - 4) // substrings.PRINT <= 60 - substrings.WINDOW + 1)
+        for i, s, prints in zip(*(b.column(c).to_pylist() for c in ("id", "s", "prints")), strict=True):
+            assert i % 50 == 0 and s + len(prints) // substrings.PRINT <= 60 - substrings.WINDOW + 1

@@ -1,31 +1,43 @@
-"""Substring dedup by relative Lempel-Ziv parsing of every document against indexed reference blocks.
+"""Substring dedup by relative Lempel-Ziv parsing of documents against indexed reference blocks.
 
 The corpus is its own reference. It is cut into blocks by content: the least of the GRAM-word hashes
-inside a window of WINDOW words is that window's anchor, and the windows of all documents that share an
-anchor form one reference block. Equal windows have equal anchors, so whatever a piece of a document
-can be copied from stands in the one block that the piece is sent to; no piece need be tried against
-another block. A block is indexed by the hashes of its windows. A document's piece is parsed against
-it greedily: the factor that starts at a window found elsewhere grows while the next window is found
-elsewhere too. Each window at a factor's two ends is looked up on its own, so a factor of WINDOW words or
-more ends exactly where the copy ends; shorter ones hold no window and are literals.
-
-A task first parses its own slice of documents against itself: windows it has twice are settled there
-and sent on once, so a block gets at most one copy of a window from each slice, however many copies of a
-text the corpus has. Windows are judged on the input, never on what is left.
-
-Windows are compared by 48 bits of hash within 31 bits of anchor.
+inside a window of WINDOW words is that window's anchor, and the passages of all documents that share an
+anchor form one reference block. Equal windows have equal anchors, so whatever a passage can be copied
+from stands in the one block that the passage is dealt to; against all other blocks its parse is literal.
+
+A block is indexed by the sorted suffixes of its windows (``Index``). A passage is parsed against it
+greedily: the factor that starts at a window is the longest match with any other place of the block, one
+source for the whole of it, found beside it in the sorted suffixes. The words of factor and source are
+compared, not only their hashes. The next factor starts at the first window beyond the factor's last
+one: it still holds 34 words of it, so a copy that goes on from another source is found at the boundary.
+A window that stands nowhere else is a literal. Factors of WINDOW words or more are duplicate spans;
+shorter ones hold no window. Windows are judged on the input, never on what is left.
+
+1. A task parses each slice of SLICE bytes of its documents against itself, as a first block. Every
+   different window of the slice is sent on once, as PRINT bytes of hash, so a block gets at most one copy
+   of a window from each slice, however many copies of a text the corpus has.
+2. In the blocks, passages whose windows' hashes meet others are candidates; all else is literal.
+3. Candidates fetch their words and are parsed in their blocks.
+
+Blocks are read in parts. What one part leaves for the next are the first places of its different
+windows, so a passage that every slice has doesn't pile up. An anchor with HOT passages in a sample of one
+document in SAMPLED is hot: its windows are dealt by their own hashes. The sample only decides how rows
+are dealt; it changes no result.
 
 Defined cases: a null text, or one without words, has n_words 0 and keeps the empty text. Fewer than
-WINDOW words hold no window. Repeated rows are copies of one another. A null doc_id is passed on. Extra
-columns are ignored.
+WINDOW words hold no window. Repeated rows are copies of one another. A null doc_id is passed on. An empty
+table gives no rows. Texts are read whole, whatever their length. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +46,21 @@ from tidewire.llm.bpe import parted
 
 WINDOW = 35
 GRAM = 6
-PRINT = 6
-#: Bytes of text that a map task parses against itself at a time, and bytes of a block that meet at a time.
+PRINT = 4
+#: Bytes of text that a task parses against itself at a time, and bytes of blocks that are read at a time.
 SLICE = 4_000_000
+#: One document in so many is sampled for hot anchors, and the passages there that make an anchor hot.
+SAMPLED, HOT = 256, 1024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _words = WordHashes()
 caches("substrings", _words.clear)
 
+_PIECES = "key int, id long, mark long, s int, e int, prints binary"
+_SPANS = "key int, id long, mark long, s int, e int, settled boolean"
+_CUTS = "key int, id long, mark long, s int, e int, words binary"
+
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     x = np.full(n, base)
@@ -63,25 +81,98 @@ def anchors(grams: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(grams, span)[:n].argmin(axis=1) + np.arange(n)
 
 
-def _runs(key: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values."""
-    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-
-
-def _binary(parts: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, total: int) -> pa.Array:
-    """Binary values of ``sizes`` bytes; parts are (places, bytes)."""
-    flat = np.empty(total, np.uint8)
-    for places, values in parts:
-        flat[places] = values
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-
-
-def _pieces(marks: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-    """Pieces of documents for their blocks, and the factors that this slice shows by itself."""
+def _breaks(new: np.ndarray) -> np.ndarray:
+    """Places where a run starts: the first one, and wherever ``new`` says so of the one after."""
+    return np.flatnonzero(np.concatenate([[True], new]))
+
+
+class Index:
+    """The windows at the places ``at`` of ``words`` that stand there more than once in their block.
+
+    ``follows``: whether a window comes right after the one before it in the same passage. Windows of one
+    run, found one after the other, have one number after the other here.
+    """
+
+    def __init__(self, words: list[bytes], prints: np.ndarray, at: np.ndarray, follows: np.ndarray, block: np.ndarray | None = None, exact: bool = False):
+        self.words = words
+        if exact:  # hashes of different windows have met
+            names: dict[tuple, int] = {}
+            keys = np.array([names.setdefault((b"\0".join(words[a : a + WINDOW]), 0 if block is None else int(block[k])), len(names)) for k, a in enumerate(at.tolist())])
+        else:
+            keys = prints if block is None else mix(prints ^ (block.astype(np.uint64) * _BASE))
+        _, self.first, of, seen = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        self.found = np.flatnonzero(seen[of] > 1)
+        self.at = at[self.found]
+        n = len(self.found)
+        self.starts = _breaks((np.diff(self.found) != 1) | ~follows[self.found[1:]]) if n else np.empty(0, np.int64)
+        self.ends = np.append(self.starts[1:], n) if n else self.starts
+        self.left = np.repeat(self.ends, self.ends - self.starts) - np.arange(n)
+        # ranks[k] orders the windows by the 2**k windows that follow; ends of runs come first
+        self.ranks = [np.unique(of[self.found], return_inverse=True)[1]] if n else []
+        width = 1
+        while n and width < self.left.max():
+            ahead, has = np.zeros(n, np.int64), np.flatnonzero(self.left > width)
+            ahead[has] = self.ranks[-1][has + width] + 1
+            self.ranks.append(np.unique(self.ranks[-1] * np.int64(n + 1) + ahead, return_inverse=True)[1])
+            width *= 2
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many windows from i on equal those from j on."""
+        most, n = np.minimum(self.left[i], self.left[j]), np.zeros(len(i), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            more = np.flatnonzero(n < most)
+            more = more[self.ranks[k][i[more] + n[more]] == self.ranks[k][j[more] + n[more]]]
+            n[more] += 1 << k
+        return np.minimum(n, most)
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(first window, windows, source) of each factor; None if words differ where hashes agree."""
+        n = len(self.found)
+        if not n:
+            return self.found, self.found, self.found
+        order = np.argsort(self.ranks[-1], kind="stable")
+        size, source = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        beside = self.common(order[:-1], order[1:])
+        size[order[1:]], source[order[1:]] = beside, order[:-1]
+        longer = beside > size[order[:-1]]
+        size[order[:-1][longer]], source[order[:-1][longer]] = beside[longer], order[1:][longer]
+        at, stop, made = self.starts, self.ends, []
+        while len(at):
+            made.append(at)
+            at = at + size[at]
+            at, stop = at[at < stop], stop[at < stop]
+        first = np.sort(np.concatenate(made))
+        size, source, w = size[first], source[first], self.words
+        for a, b, k in zip(self.at[first].tolist(), self.at[source].tolist(), (size + WINDOW - 1).tolist(), strict=True):
+            if w[a : a + k] != w[b : b + k]:
+                return None
+        return first, size, source
+
+
+def parse(words: list[bytes], prints: np.ndarray, at: np.ndarray, follows: np.ndarray, block: np.ndarray | None = None) -> tuple[Index, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The index of some blocks and the factors of their passages, each compared word by word."""
+    index = Index(words, prints, at, follows, block)
+    made = index.factors()
+    if made is None:
+        index = Index(words, prints, at, follows, block, exact=True)
+        made = index.factors()
+    return index, made
+
+
+def _spans(index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) windows, as numbers in ``index.found``, of the runs that factors cover without a gap."""
+    return index.starts, index.ends - 1
+
+
+# Documents, slice by slice
+
+
+def _pieces(hot: np.ndarray, ids: list[int], marks: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+    """Passages of documents for their blocks, and the spans that this slice shows by itself."""
     lists = [t.encode().split() if t else [] for t in texts]
     sizes = np.array([len(x) for x in lists])
-    words = np.concatenate([np.empty(0, np.uint64), *(_words.array(x) for x in lists if x)])
+    flat = list(chain.from_iterable(lists))
+    words = _words.array(flat)
     if len(words) < WINDOW:
         return
     windows, grams = rolling(words, (WINDOW, GRAM))
@@ -91,106 +182,201 @@ def _pieces(marks: list[int], texts: list[str | None]) -> Iterator[pa.RecordBatc
     real = np.flatnonzero((place + WINDOW <= sizes[doc])[: len(windows)])
     if not len(real):
         return
-    at = anchors(grams, len(windows))[real]
+    anchor = anchors(grams, len(windows))[real]
     prints, doc, place = windows[real], doc[real], place[real]
-    _, once, back, seen = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-    names = np.array(marks, np.int64)
-
-    sent = np.zeros(len(real), bool)
-    sent[once] = True
-    e = np.flatnonzero(sent)
-    # a piece: windows in a row of one document and anchor, all of them sent
-    starts = np.flatnonzero(np.concatenate([[True], (doc[e][1:] != doc[e][:-1]) | (place[e][1:] != place[e][:-1] + 1) | (at[e][1:] != at[e][:-1])]))
-    row = np.zeros(len(e), np.int64)
-    row[starts] = 1
-    row = np.cumsum(row) - 1
-    counts = np.diff(np.append(starts, len(e)))
-    bytes_of = 4 + PRINT * counts
-    heads = np.cumsum(bytes_of) - bytes_of
-    payload = _binary(
-        [
-            ((heads[:, None] + np.arange(4)).ravel(), place[e][starts].astype("<i4").view(np.uint8)),
-            (((4 * (row + 1) + PRINT * np.arange(len(e)))[:, None] + np.arange(PRINT)).ravel(), prints[e].view(np.uint8).reshape(-1, 8)[:, :PRINT].ravel()),
-        ],
-        bytes_of,
-        int(bytes_of.sum()),
-    )
-    key = (grams[at[e][starts]] >> np.uint64(33)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(names[doc[e][starts]]), payload], names=["key", "mark", "payload"])
-
-    d = np.flatnonzero(seen[back] > 1)
-    if len(d):
-        starts = _runs(place[d] - np.arange(len(d)) + doc[d] * (len(words) + 1))
-        ends = np.append(starts[1:], len(d)) - 1
-        spans = np.stack([np.full(len(starts), -1), place[d][starts], place[d][ends] + WINDOW], axis=1).astype("<i4")
-        payload = _binary([(np.arange(12 * len(starts)), spans.ravel().view(np.uint8))], np.full(len(starts), 12), 12 * len(starts))
-        mark = names[doc[d][starts]]
-        yield pa.RecordBatch.from_arrays([pa.array((mark & 0x7FFFFFFF).astype(np.int32)), pa.array(mark), payload], names=["key", "mark", "payload"])
-
-
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, marks = np.array(ids, np.int64), np.array(marks, np.int64)
+    index, _ = parse(flat, prints, real, np.concatenate([[False], (np.diff(real) == 1) & (np.diff(doc) == 0)]))
+
+    e = np.sort(index.first)
+    key = (grams[anchor[e]] >> np.uint64(33)).astype(np.int32)
+    lone = np.isin(key, hot)
+    key[lone] = ((prints[e] >> np.uint64(16)) & np.uint64(0x7FFFFFFF)).astype(np.int32)[lone]
+    starts = _breaks((np.diff(doc[e]) != 0) | (np.diff(place[e]) != 1) | (np.diff(anchor[e]) != 0) | lone[1:] | lone[:-1])
+    ends = PRINT * np.append(starts, len(e)).astype(np.int32)
+    low = np.ascontiguousarray(prints[e].view(np.uint8).reshape(-1, 8)[:, :PRINT])
+    payload = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+    of = doc[e][starts]
+    yield pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(ids[of]), pa.array(marks[of]), pa.array(place[e][starts].astype(np.int32)), pa.nulls(len(starts), pa.int32()), payload], schema=_PIECES_ARROW)
+
+    a, b = _spans(index)
+    if len(a):
+        a, b = index.found[a], index.found[b]
+        mark = marks[doc[a]]
+        yield pa.RecordBatch.from_arrays([pa.array((mark & 0x7FFFFFFF).astype(np.int32)), pa.array(ids[doc[a]]), pa.array(mark), pa.array(place[a].astype(np.int32)), pa.array((place[b] + WINDOW).astype(np.int32)), pa.nulls(len(a), pa.binary())], schema=_PIECES_ARROW)
+
+
+_PIECES_ARROW = pa.schema([("key", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("prints", pa.binary())])
+
+
+def _sliced(hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``hot`` is a broadcast of the hot anchors, or None."""
     enter("substrings")
-    marks, texts, size = [], [], 0
+    hot = np.empty(0, np.int32) if hot is None else hot.value
+    ids, marks, texts, size = [], [], [], 0
     for whole in batches:
         for batch in parted(whole, "text", SLICE):
+            ids += batch.column("id").to_pylist()
             marks += batch.column("mark").to_pylist()
             texts += batch.column("text").to_pylist()
             size += batch.column("text").nbytes
             if size >= SLICE:
-                yield from _pieces(marks, texts)
-                marks, texts, size = [], [], 0
+                yield from _pieces(hot, ids, marks, texts)
+                ids, marks, texts, size = [], [], [], 0
     if texts:
-        yield from _pieces(marks, texts)
-
-
-def _parse(keys: np.ndarray, marks: np.ndarray, payloads: list[bytes]) -> pa.RecordBatch:
-    """Factors of the pieces of some whole blocks."""
-    heads = np.array([int.from_bytes(p[:4], "little", signed=True) for p in payloads])
-    own = np.flatnonzero(heads < 0)
-    spans = np.frombuffer(b"".join(payloads[i][4:] for i in own), "<i4").reshape(-1, 2)
-    sent = np.flatnonzero(heads >= 0)
-    counts = np.array([(len(payloads[i]) - 4) // PRINT for i in sent], np.int64)
-    raw = np.frombuffer(b"".join(payloads[i][4:] for i in sent), np.uint8).reshape(-1, PRINT)
-    prints = np.zeros((len(raw), 8), np.uint8)
-    prints[:, :PRINT] = raw
-    prints = prints.view(np.uint64).ravel()
-    row = np.repeat(np.arange(len(sent)), counts)
-    within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    order = np.lexsort((prints, keys[sent][row]))
-    p, k = prints[order], keys[sent][row][order]
-    same = (p[1:] == p[:-1]) & (k[1:] == k[:-1])
-    found = np.zeros(len(row), bool)
-    found[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(row) else found
-    hit = np.flatnonzero(found)
-    starts = _runs(hit - np.arange(len(hit)) + row[hit] * (len(row) + 1))
-    ends = np.append(starts[1:], len(hit)) - 1 if len(hit) else starts
-    base = heads[sent][row[hit]] + within[hit]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([marks[own], marks[sent][row[hit]][starts]])), pa.array(np.concatenate([spans[:, 0], base[starts]]).astype(np.int32)), pa.array(np.concatenate([spans[:, 1], base[ends] + WINDOW]).astype(np.int32))],
-        names=["mark", "s", "e"],
-    )
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; blocks are parsed together until they hold SLICE bytes."""
-    keys, marks, payloads, size = [], [], [], 0
+        yield from _pieces(hot, ids, marks, texts)
+
+
+# Blocks, by hashes
+
+
+class _Windows:
+    """Windows of passages: columns key, print, id, mark, place, and whether it is known as a candidate."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = columns
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> _Windows:
+        flat = batch.column("prints")
+        n = pc.binary_length(flat).to_numpy(zero_copy_only=False) // PRINT
+        prints = np.frombuffer(b"".join(flat.to_pylist()), f"<u{PRINT}")
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key, id_, mark, s = (np.repeat(batch.column(c).to_numpy(), n) for c in ("key", "id", "mark", "s"))
+        return _Windows(key, prints, id_, mark, s + within, np.zeros(len(prints), bool))
+
+    @staticmethod
+    def joined(parts: list[_Windows]) -> _Windows:
+        return _Windows(*(np.concatenate(c) for c in zip(*(p.columns for p in parts), strict=True)))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def take(self, at: np.ndarray) -> _Windows:
+        return _Windows(*(c[at] for c in self.columns))
+
+    def met(self) -> tuple[pa.RecordBatch, _Windows]:
+        """New candidates, and one window of each kind."""
+        key, prints, id_, mark, place, known = self.columns
+        order = np.lexsort((~known, prints, key))
+        same = (prints[order][1:] == prints[order][:-1]) & (key[order][1:] == key[order][:-1])
+        found = np.zeros(len(order), bool)
+        found[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        hit = np.flatnonzero(found & ~known)
+        starts = _breaks((np.diff(key[hit]) != 0) | (np.diff(mark[hit]) != 0) | (np.diff(id_[hit]) != 0) | (np.diff(place[hit]) != 1)) if len(hit) else hit
+        last = np.append(starts[1:], len(hit))[: len(starts)] - 1
+        batch = _settled(key[hit][starts], id_[hit][starts], mark[hit][starts], place[hit][starts], place[hit][last] + WINDOW, False)
+        kinds = order[_breaks(~same)] if len(order) else order
+        return batch, _Windows(*(c[kinds] for c in (key, prints, id_, mark, place)), (known | found)[kinds])
+
+
+def _settled(key, id_, mark, s, e, settled: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(id_, pa.int64()), pa.array(mark, pa.int64()), pa.array(np.asarray(s).astype(np.int32)), pa.array(np.asarray(e).astype(np.int32)), pa.array(np.full(len(key), settled))], names=["key", "id", "mark", "s", "e", "settled"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block. Spans known by slices pass; passages whose windows meet others become candidates."""
+    enter("substrings")
+    held: list[_Windows] = []
+    size, most = 0, SLICE // PRINT // 4
+    for whole in batches:
+        own = whole.filter(pc.is_null(whole.column("prints")))
+        if own.num_rows:
+            yield _settled(*(own.column(c).to_numpy() for c in ("key", "id", "mark", "s", "e")), True)
+        for batch in parted(whole.filter(pc.is_valid(whole.column("prints"))), "prints", SLICE // 4):
+            if not batch.num_rows:
+                continue
+            held.append(_Windows.of(batch))
+            size += len(held[-1])
+            if size < most:
+                continue
+            rows = _Windows.joined(held)
+            split = int(np.searchsorted(rows.columns[0], rows.columns[0][-1]))  # of the last block there may be more
+            if split:
+                yield rows.take(np.arange(split)).met()[0]
+                rows = rows.take(np.arange(split, len(rows)))
+            if len(rows) >= most // 2:
+                found, rows = rows.met()
+                yield found
+            held, size = [rows], len(rows)
+            most = max(SLICE // PRINT // 4, 2 * size)
+    if held:
+        yield _Windows.joined(held).met()[0]
+
+
+# Blocks, by words
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each candidate; spans known by slices pass without."""
+    for whole in batches:
+        for batch in parted(whole, "text"):
+            rows: list[list] = [[], [], [], [], [], []]
+            for id_, mark, text, spans in zip(*(batch.column(c) for c in ("id", "mark", "text", "spans")), strict=True):
+                words = None
+                for x in spans.as_py():
+                    if not x["settled"] and words is None:
+                        words = (text.as_py() or "").encode().split()
+                    for to, v in zip(rows, (x["key"], id_.as_py(), mark.as_py(), x["s"], x["e"], None if x["settled"] else b" ".join(words[x["s"] : x["e"]])), strict=True):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, _CUTS_ARROW.types, strict=True)], schema=_CUTS_ARROW)
+
+
+_CUTS_ARROW = pa.schema([("key", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("words", pa.binary())])
+
+
+def _parsed(rows: list[tuple]) -> tuple[pa.RecordBatch, list[tuple]]:
+    """Spans of the factors of (key, id, mark, s, words), and the rows that hold the first place of a window."""
+    lists = [r[4].split(b" ") for r in rows]
+    sizes = np.array([len(x) for x in lists])
+    flat = list(chain.from_iterable(lists))
+    first = np.cumsum(sizes) - sizes
+    n = sizes - WINDOW + 1
+    piece = np.repeat(np.arange(len(rows)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = first[piece] + offset
+    (prints,) = rolling(_words.array(flat), (WINDOW,))
+    block = np.array([r[0] for r in rows], np.int64)[piece]
+    index, _ = parse(flat, prints[at], at, offset > 0, block)
+    a, b = _spans(index)
+    of = piece[index.found[a]].tolist()
+    s, e = offset[index.found[a]].tolist(), (offset[index.found[b]] + WINDOW).tolist()
+    spans = _ends([rows[k][1] for k in of], [rows[k][2] for k in of], [rows[k][3] + x for k, x in zip(of, s, strict=True)], [rows[k][3] + x for k, x in zip(of, e, strict=True)])
+    return spans, [rows[k] for k in np.unique(piece[index.first]).tolist()]
+
+
+def _ends(ids: list, marks: list, s: list, e: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["id", "mark", "s", "e"])
+
+
+def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block. Spans known by slices pass; candidates are parsed in their blocks."""
+    enter("substrings")
+    held: list[tuple] = []
+    size, most = 0, SLICE
     for whole in batches:
-        for batch in parted(whole, "payload", SLICE // 4):
-            k = batch.column("key").to_numpy()
-            cut = 0
-            if size >= SLICE and (change := np.flatnonzero(k != (keys[-1][-1] if keys else k[0]))).size:
-                cut = int(change[0])
-                keys.append(k[:cut])
-                marks.append(batch.column("mark").to_numpy()[:cut])
-                payloads += batch.column("payload")[:cut].to_pylist()
-                yield _parse(np.concatenate(keys), np.concatenate(marks), payloads)
-                keys, marks, payloads, size = [], [], [], 0
-            keys.append(k[cut:])
-            marks.append(batch.column("mark").to_numpy()[cut:])
-            payloads += batch.column("payload")[cut:].to_pylist()
-            size += batch.column("payload").nbytes
-    if payloads:
-        yield _parse(np.concatenate(keys), np.concatenate(marks), payloads)
+        for batch in parted(whole, "words", SLICE // 4):
+            own = batch.filter(pc.is_null(batch.column("words")))
+            if own.num_rows:
+                yield _ends(*(own.column(c).to_pylist() for c in ("id", "mark", "s", "e")))
+            given = batch.filter(pc.is_valid(batch.column("words")))
+            held += zip(*(given.column(c).to_pylist() for c in ("key", "id", "mark", "s", "words")), strict=True)
+            size += given.column("words").nbytes
+            if size < most:
+                continue
+            last = held[-1][0]
+            done, held = [r for r in held if r[0] != last], [r for r in held if r[0] == last]
+            if done:
+                yield _parsed(done)[0]
+            if sum(len(r[4]) for r in held) >= most // 2:
+                spans, held = _parsed(held)
+                yield spans
+            size = sum(len(r[4]) for r in held)
+            most = max(SLICE, 2 * size)
+    if held:
+        yield _parsed(held)[0]
+
+
+# Texts
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +398,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def hot_anchors(rows: DataFrame) -> list[int]:
+    """Blocks with HOT passages or more in the sample: at most one for each HOT passages of it."""
+    some = rows.where(F.pmod(F.xxhash64("mark"), F.lit(SAMPLED)) == 0).mapInArrow(partial(_sliced, None), _PIECES)
+    return [r[0] for r in some.where("prints is not null").groupBy("key").count().where(F.col("count") >= HOT).select("key").collect()]
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
-    pieces = rows.select("mark", "text").mapInArrow(_sliced, "key int, mark long, payload binary")
-    blocks = pieces.repartition(spread(rows), "key").sortWithinPartitions("key")
-    factors = blocks.mapInArrow(_parsed, "mark long, s int, e int")
-    spans = factors.groupBy("mark").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return rows.join(spans, "mark", "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+    # a document is known by its id and a hash of both columns
+    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(0).cast("long")), "mark": F.xxhash64("doc_id", "text")})
+    given, parts = rows.select("id", "mark", "text"), spread(rows)
+    hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot_anchors(given)), np.int32))
+    in_blocks = lambda table: table.repartition(parts, "key").sortWithinPartitions("key")
+    found = in_blocks(given.mapInArrow(partial(_sliced, hot), _PIECES)).mapInArrow(_candidates, _SPANS)
+    listed = found.groupBy("id", "mark").agg(F.collect_set(F.struct("key", "s", "e", "settled")).alias("spans"))
+    # doc_id comes along so that both joins read one shuffle of the texts
+    cuts = rows.join(listed, ["id", "mark"]).select("doc_id", "id", "mark", "text", "spans").mapInArrow(_cut, _CUTS)
+    spans = in_blocks(cuts).mapInArrow(_factored, "id long, mark long, s int, e int").groupBy("id", "mark").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return rows.join(spans, ["id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
