@@ -327,7 +327,8 @@ def test_substrings_in_small_slices(monkeypatch):
         keys = Counter(k for b in pieces for k, p in zip(b.column("key").to_pylist(), b.column("prints").to_pylist(), strict=True) if p)
         assert removed(rows, 5, [k for k, _ in keys.most_common(40)])[0] == want  # hot anchors are parted by window
         with monkeypatch.context() as m:
-            m.setattr(substrings, "SLICE", 400)  # so that blocks are read in parts
+            m.setattr(substrings, "SLICE", 400)
+            m.setattr(substrings, "PART", 3)  # so that blocks are read in parts
             assert removed(rows, 5)[0] == want
 
 

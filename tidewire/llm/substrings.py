@@ -19,10 +19,11 @@ shorter ones hold no window. Windows are judged on the input, never on what is l
 2. In the blocks, passages whose windows' hashes meet others are candidates; all else is literal.
 3. Candidates fetch their words and are parsed in their blocks.
 
-Blocks are read in parts. What one part leaves for the next are the first places of its different
-windows, so a passage that every slice has doesn't pile up. An anchor with HOT passages in a sample of one
-document in SAMPLED is hot: its windows are dealt by their own hashes. The sample only decides how rows
-are dealt; it changes no result.
+In step 2 a block is read in parts of PART windows. What a part leaves for the next are the first places of
+its different windows, so a passage that every slice has doesn't pile up. Each part, with the first places
+that it meets, is a block of its own in step 3: a window that stands twice meets another one in some part.
+An anchor with HOT passages in a sample of one document in SAMPLED is hot: its windows are dealt by their
+own hashes. The sample only decides how rows are dealt; it changes no result.
 
 Defined cases: a null text, or one without words, has n_words 0 and keeps the empty text. Fewer than
 WINDOW words hold no window. Repeated rows are copies of one another. A null doc_id is passed on. An empty
@@ -48,7 +49,9 @@ WINDOW = 35
 GRAM = 6
 PRINT = 4
 #: Bytes of text that a task parses against itself at a time, and bytes of blocks that are read at a time.
-SLICE = 4_000_000
+SLICE = 2_000_000
+#: Windows of a block that are read at a time.
+PART = 4096
 #: One document in so many is sampled for hot anchors, and the passages there that make an anchor hot.
 SAMPLED, HOT = 256, 1024
 
@@ -108,12 +111,12 @@ class Index:
         self.ends = np.append(self.starts[1:], n) if n else self.starts
         self.left = np.repeat(self.ends, self.ends - self.starts) - np.arange(n)
         # ranks[k] orders the windows by the 2**k windows that follow; ends of runs come first
-        self.ranks = [np.unique(of[self.found], return_inverse=True)[1]] if n else []
+        self.ranks = [np.unique(of[self.found], return_inverse=True)[1].astype(np.int32)] if n else []
         width = 1
         while n and width < self.left.max():
             ahead, has = np.zeros(n, np.int64), np.flatnonzero(self.left > width)
             ahead[has] = self.ranks[-1][has + width] + 1
-            self.ranks.append(np.unique(self.ranks[-1] * np.int64(n + 1) + ahead, return_inverse=True)[1])
+            self.ranks.append(np.unique(self.ranks[-1] * np.int64(n + 1) + ahead, return_inverse=True)[1].astype(np.int32))
             width *= 2
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -230,7 +233,7 @@ def _sliced(hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Windows:
-    """Windows of passages: columns key, print, id, mark, place, and whether it is known as a candidate."""
+    """Windows of passages: columns key, print, id, mark and place."""
 
     def __init__(self, *columns: np.ndarray):
         self.columns = columns
@@ -242,7 +245,7 @@ class _Windows:
         prints = np.frombuffer(b"".join(flat.to_pylist()), f"<u{PRINT}")
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         key, id_, mark, s = (np.repeat(batch.column(c).to_numpy(), n) for c in ("key", "id", "mark", "s"))
-        return _Windows(key, prints, id_, mark, s + within, np.zeros(len(prints), bool))
+        return _Windows(key, prints, id_, mark, s + within)
 
     @staticmethod
     def joined(parts: list[_Windows]) -> _Windows:
@@ -254,53 +257,76 @@ class _Windows:
     def take(self, at: np.ndarray) -> _Windows:
         return _Windows(*(c[at] for c in self.columns))
 
-    def met(self) -> tuple[pa.RecordBatch, _Windows]:
-        """New candidates, and one window of each kind."""
-        key, prints, id_, mark, place, known = self.columns
-        order = np.lexsort((~known, prints, key))
+    def met(self, part: int) -> tuple[pa.RecordBatch, _Windows]:
+        """Candidates, as runs of windows that meet another one in this part, and the first window of each kind."""
+        key, prints, id_, mark, place = self.columns
+        order = np.lexsort((prints, key))
         same = (prints[order][1:] == prints[order][:-1]) & (key[order][1:] == key[order][:-1])
         found = np.zeros(len(order), bool)
         found[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        hit = np.flatnonzero(found & ~known)
+        hit = np.flatnonzero(found)
         starts = _breaks((np.diff(key[hit]) != 0) | (np.diff(mark[hit]) != 0) | (np.diff(id_[hit]) != 0) | (np.diff(place[hit]) != 1)) if len(hit) else hit
         last = np.append(starts[1:], len(hit))[: len(starts)] - 1
-        batch = _settled(key[hit][starts], id_[hit][starts], mark[hit][starts], place[hit][starts], place[hit][last] + WINDOW, False)
-        kinds = order[_breaks(~same)] if len(order) else order
-        return batch, _Windows(*(c[kinds] for c in (key, prints, id_, mark, place)), (known | found)[kinds])
+        to = key[hit][starts]
+        if part:
+            to = (mix(to.astype(np.uint64) + np.uint64(part << 32)) >> np.uint64(33)).astype(np.int32)
+        batch = _settled(to, id_[hit][starts], mark[hit][starts], place[hit][starts], place[hit][last] + WINDOW, False)
+        return batch, self.take(np.sort(order[_breaks(~same)]))
 
 
 def _settled(key, id_, mark, s, e, settled: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(id_, pa.int64()), pa.array(mark, pa.int64()), pa.array(np.asarray(s).astype(np.int32)), pa.array(np.asarray(e).astype(np.int32)), pa.array(np.full(len(key), settled))], names=["key", "id", "mark", "s", "e", "settled"])
 
 
+class _Parts:
+    """Reads blocks, whose windows come sorted by key, in parts of PART windows."""
+
+    def __init__(self) -> None:
+        self.last, self.parts, self.first = None, 0, None  # the block that may go on, its parts so far, its first places
+
+    def read(self, rows: _Windows) -> Iterator[pa.RecordBatch]:
+        key = rows.columns[0]
+        starts = _breaks(np.diff(key) != 0)
+        part = (np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))) // PART
+        if key[0] == self.last:
+            part[: starts[1] if len(starts) > 1 else len(key)] += self.parts
+        else:
+            self.first = None
+        first = self.first
+        for k in range(int(part.min()), int(part.max()) + 1):
+            more = rows.take(np.flatnonzero(part == k))
+            if not len(more):
+                continue
+            waits = []
+            if first is not None:
+                goes = np.isin(first.columns[0], more.columns[0])
+                waits, more = [first.take(np.flatnonzero(~goes))], _Windows.joined([first.take(np.flatnonzero(goes)), more])
+            found, first = more.met(k)
+            first = _Windows.joined([*waits, first])
+            if found.num_rows:
+                yield found
+        self.last, self.parts = key[-1], int(part[-1]) + 1
+        self.first = first.take(np.flatnonzero(first.columns[0] == self.last))
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block. Spans known by slices pass; passages whose windows meet others become candidates."""
     enter("substrings")
     held: list[_Windows] = []
-    size, most = 0, SLICE // PRINT // 4
+    blocks, size = _Parts(), 0
     for whole in batches:
         own = whole.filter(pc.is_null(whole.column("prints")))
         if own.num_rows:
             yield _settled(*(own.column(c).to_numpy() for c in ("key", "id", "mark", "s", "e")), True)
         for batch in parted(whole.filter(pc.is_valid(whole.column("prints"))), "prints", SLICE // 4):
-            if not batch.num_rows:
-                continue
-            held.append(_Windows.of(batch))
-            size += len(held[-1])
-            if size < most:
-                continue
-            rows = _Windows.joined(held)
-            split = int(np.searchsorted(rows.columns[0], rows.columns[0][-1]))  # of the last block there may be more
-            if split:
-                yield rows.take(np.arange(split)).met()[0]
-                rows = rows.take(np.arange(split, len(rows)))
-            if len(rows) >= most // 2:
-                found, rows = rows.met()
-                yield found
-            held, size = [rows], len(rows)
-            most = max(SLICE // PRINT // 4, 2 * size)
+            if batch.num_rows:
+                held.append(_Windows.of(batch))
+                size += len(held[-1])
+            if size >= SLICE // PRINT // 2:
+                yield from blocks.read(_Windows.joined(held))
+                held, size = [], 0
     if held:
-        yield _Windows.joined(held).met()[0]
+        yield from blocks.read(_Windows.joined(held))
 
 
 # Blocks, by words
@@ -309,7 +335,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each candidate; spans known by slices pass without."""
     for whole in batches:
-        for batch in parted(whole, "text"):
+        for batch in parted(whole, "text", SLICE):
             rows: list[list] = [[], [], [], [], [], []]
             for id_, mark, text, spans in zip(*(batch.column(c) for c in ("id", "mark", "text", "spans")), strict=True):
                 words = None
@@ -324,8 +350,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CUTS_ARROW = pa.schema([("key", pa.int32()), ("id", pa.int64()), ("mark", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("words", pa.binary())])
 
 
-def _parsed(rows: list[tuple]) -> tuple[pa.RecordBatch, list[tuple]]:
-    """Spans of the factors of (key, id, mark, s, words), and the rows that hold the first place of a window."""
+def _parsed(rows: list[tuple]) -> pa.RecordBatch:
+    """Spans of the factors of (key, id, mark, s, words)."""
     lists = [r[4].split(b" ") for r in rows]
     sizes = np.array([len(x) for x in lists])
     flat = list(chain.from_iterable(lists))
@@ -340,8 +366,7 @@ def _parsed(rows: list[tuple]) -> tuple[pa.RecordBatch, list[tuple]]:
     a, b = _spans(index)
     of = piece[index.found[a]].tolist()
     s, e = offset[index.found[a]].tolist(), (offset[index.found[b]] + WINDOW).tolist()
-    spans = _ends([rows[k][1] for k in of], [rows[k][2] for k in of], [rows[k][3] + x for k, x in zip(of, s, strict=True)], [rows[k][3] + x for k, x in zip(of, e, strict=True)])
-    return spans, [rows[k] for k in np.unique(piece[index.first]).tolist()]
+    return _ends([rows[k][1] for k in of], [rows[k][2] for k in of], [rows[k][3] + x for k, x in zip(of, s, strict=True)], [rows[k][3] + x for k, x in zip(of, e, strict=True)])
 
 
 def _ends(ids: list, marks: list, s: list, e: list) -> pa.RecordBatch:
@@ -352,7 +377,7 @@ def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block. Spans known by slices pass; candidates are parsed in their blocks."""
     enter("substrings")
     held: list[tuple] = []
-    size, most = 0, SLICE
+    size = 0
     for whole in batches:
         for batch in parted(whole, "words", SLICE // 4):
             own = batch.filter(pc.is_null(batch.column("words")))
@@ -361,19 +386,13 @@ def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             given = batch.filter(pc.is_valid(batch.column("words")))
             held += zip(*(given.column(c).to_pylist() for c in ("key", "id", "mark", "s", "words")), strict=True)
             size += given.column("words").nbytes
-            if size < most:
-                continue
-            last = held[-1][0]
-            done, held = [r for r in held if r[0] != last], [r for r in held if r[0] == last]
-            if done:
-                yield _parsed(done)[0]
-            if sum(len(r[4]) for r in held) >= most // 2:
-                spans, held = _parsed(held)
-                yield spans
-            size = sum(len(r[4]) for r in held)
-            most = max(SLICE, 2 * size)
+            if size >= SLICE and held[0][0] != held[-1][0]:
+                last = held[-1][0]
+                yield _parsed([r for r in held if r[0] != last])
+                held = [r for r in held if r[0] == last]  # of a block, at most 2 * PART windows
+                size = sum(len(r[4]) for r in held)
     if held:
-        yield _parsed(held)[0]
+        yield _parsed(held)
 
 
 # Texts
