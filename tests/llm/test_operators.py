@@ -296,6 +296,20 @@ def test_substrings(docs, odd, monkeypatch):
         assert sorted(found, key=str) == windows(collected(table, "doc_id", "text"))
 
 
+def test_kept_ids_are_bounded_in_bytes(monkeypatch):
+    import tiktoken
+
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(BPE).ranks, special_tokens={})
+    encode, r = bpe.Encoder(bpe.encoder(BPE, public_tokenizers.PATTERN).learn, 2_000_000), random.Random(13)
+    monkeypatch.setattr(bpe, "SLICE", 20_000)
+    unspaced = ["".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(1500)) for _ in range(60)]
+    some = [*unspaced, *(" ".join(str(r.random()) for _ in range(300)) for _ in range(60)), *unspaced[:3]]
+    for text, found in zip(some, encode(some), strict=True):
+        assert np.frombuffer(found, "<i4").tolist() == known.encode_ordinary(text)
+        assert all(len(c) <= bpe.KEPT for c in encode.known) and encode.size == bpe._bytes(encode.known.items())
+        assert encode.size < 2_000_000 + 20_000 * bpe.ENTRY
+
+
 def removed(rows, some, hot=()):
     """Words that each document loses, by the operator's steps without Spark; ``some`` documents to a slice."""
     import pyarrow as pa
@@ -358,12 +372,12 @@ def test_a_factor_is_the_longest_match_with_one_source():
         assert match(y) == n + 34 == max(match(z) for z in range(len(at)) if z != x)
 
 
-def test_token_files(docs, odd):
+def test_token_files(spark, docs, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    for table in (docs, odd):
+    named = spark.createDataFrame([(1, "hello <|endoftext|> world"), (1, "two  <|endoftext|><|endoftext|>\n x"), (2, "<|endoftext"), (None, "a<|endoftext|>b")], "doc_id long, text string")
+    for table in (docs, odd, named):
         rows = sorted(collected(table, "doc_id", "text"), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
         at, want = 0, []
         for i, text in rows:

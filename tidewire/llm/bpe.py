@@ -7,10 +7,13 @@ token at its position and updates three leaves, the pair's, its dead right half'
 neighbour's, each on a path of logarithmic length. Short matches are merged many at a time, one tree
 row each; long ones alone. Results equal tiktoken's ``encode_ordinary`` of the same ranks and pattern.
 
-A worker keeps the ids of the white-space separated chunks it has met, bounded by CACHE_CHUNKS.
+A worker keeps the ids of the white-space separated chunks it has met, up to CACHE_BYTES of them in
+memory; a chunk of over KEPT characters is encoded each time.
 
-Defined cases: a null text is encoded as an empty one, to no ids. A null doc_id is passed on. Extra
-columns are passed on, but for ``ids`` and ``decoded`` of other meaning, which are replaced.
+Defined cases: a null text is encoded as an empty one, to no ids. A null doc_id is passed on. Repeated rows
+give repeated results, and an empty table none. Equal ranks of pairs, as in a run of one letter, merge from
+the left. Texts are read whole, whatever their length and however few blanks they hold. Extra columns are
+passed on, but for ``ids`` and ``decoded`` of other meaning, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from pyspark.sql import types as T
 
 from tidewire.llm.base import caches, enter
 
-CACHE_CHUNKS = 350_000
+CACHE_BYTES = 96_000_000
+#: Characters of the longest chunk that is kept, and bytes that one takes in memory besides its text and ids.
+KEPT, ENTRY = 64, 250
 #: Characters of text whose chunks are looked up at a time.
 SLICE = 500_000
 #: Unicode's White_Space, which the split patterns mean by \s.
@@ -187,11 +192,22 @@ class Ranks:
         return out
 
 
+class _Known(dict):
+    """Ids of kept chunks; those of long ones, for the present texts only, are in ``passing``."""
+
+    def __init__(self, items: Iterable = ()):
+        super().__init__(items)
+        self.passing: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.passing[chunk]
+
+
 class Encoder:
-    """Ids of texts; ``learn`` gives the ids of new chunks as bytes, of which ``most`` are kept."""
+    """Ids of texts; ``learn`` gives the ids of new chunks as bytes, of which about ``most`` bytes are kept."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = CACHE_CHUNKS):
-        self.learn, self.most, self.known = learn, most, {}
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = CACHE_BYTES):
+        self.learn, self.most, self.known, self.size = learn, most, _Known(), 0
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         some, size = [], 0
@@ -204,15 +220,26 @@ class Encoder:
         yield from self._look_up(some)
 
     def _look_up(self, texts: list[list[str]]) -> Iterator[bytes]:
+        if self.size > self.most:  # the first to come are the common ones
+            self.known = _Known(islice(self.known.items(), len(self.known) // 2))
+            self.size = _bytes(self.known.items())
         known = self.known
-        if len(known) > self.most:  # the first to come are the common ones
-            self.known = known = dict(islice(known.items(), self.most // 2))
         new = [c for c in set(chain.from_iterable(texts)) if c not in known]
         for at in range(0, len(new), 50_000):
-            known.update(zip(new[at : at + 50_000], self.learn(new[at : at + 50_000]), strict=True))
+            found = list(zip(new[at : at + 50_000], self.learn(new[at : at + 50_000]), strict=True))
+            short = [x for x in found if len(x[0]) <= KEPT]
+            known.update(short)
+            self.size += _bytes(short)
+            if len(short) < len(found):
+                known.passing.update(x for x in found if len(x[0]) > KEPT)
         of = known.__getitem__
         for chunks in texts:
             yield b"".join(map(of, chunks))
+        known.passing = {}
+
+
+def _bytes(items: Iterable[tuple[str, bytes]]) -> int:
+    return sum(ENTRY + len(c) + len(ids) for c, ids in items)
 
 
 @lru_cache(maxsize=1)

@@ -11,8 +11,13 @@ The base of a part, the ids of all parts before it, is a prefix sum over the par
 sees one row for each part: its number, documents and ids. Parts are written under a name of their own
 and renamed, so a task that runs twice, or an executor that is lost, leaves one whole part.
 
+Ids are those of the library's ``encode`` with ``add_special_tokens=False``: the string of a special token in
+a text is that token. Texts that hold one are encoded whole, all others chunk by chunk.
+
 Defined cases: a null text has no ids but the end id. Rows without doc_id come first and keep a null
-doc_id. Rows of one doc_id stand side by side, ordered by text. Extra columns are ignored.
+doc_id. Rows of one doc_id stand side by side, ordered by text, and are dealt by the text's first HEAD
+characters too, so that many of them are no one task's work. An empty table has no files. Texts are read
+whole, whatever their length. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -32,10 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.base import caches, enter, new_path, spread
-from tidewire.llm.bpe import CACHE_CHUNKS, Encoder, parted
+from tidewire.llm.bpe import Encoder, parted
 
 #: Chunks that are encoded end to end.
 JOINED = 8000
+#: Memory of the ids that a worker keeps.
+CACHE_BYTES = 280_000_000
+#: Characters of a text by which rows of one doc_id are dealt.
+HEAD = 32
 #: A blank in the vocabulary's byte alphabet.
 BLANK = "\u0120"
 #: Stands in the files for a missing doc_id.
@@ -43,13 +52,12 @@ NO_ID = -(2**63)
 
 
 @lru_cache(maxsize=1)
-def library_encoder(path: str) -> tuple[Encoder, int]:
-    """Encoder by the tokenizers library, chunk by chunk, and the bytes of an id."""
+def library_encoder(path: str) -> tuple[Callable[[Iterable[str | None]], Iterator[bytes]], int]:
+    """An encoder of texts by the tokenizers library, and the bytes of an id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     kind = "<u2" if tokenizer.get_vocab_size() <= 2**16 else "<u4"
 
     blank = np.zeros(tokenizer.get_vocab_size(), bool)
@@ -71,7 +79,17 @@ def library_encoder(path: str) -> tuple[Encoder, int]:
         out.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         return [out[c] for c in chunks]
 
-    return Encoder(learn, 3 * CACHE_CHUNKS), int(kind[-1])
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    encoder = Encoder(learn, CACHE_BYTES)
+
+    def encode(texts: Iterable[str | None]) -> Iterator[bytes]:
+        texts = [t or "" for t in texts]
+        whole = [any(s in t for s in special) for t in texts]
+        plain = encoder(t for t, w in zip(texts, whole, strict=True) if not w)
+        for t, w in zip(texts, whole, strict=True):
+            yield np.array(tokenizer.encode(t, add_special_tokens=False).ids, kind).tobytes() if w else next(plain)
+
+    return encode, int(kind[-1])
 
 
 caches("token_files", library_encoder.cache_clear)
@@ -102,7 +120,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             for whole in batches:
                 for batch in parted(whole, "text"):
                     ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
-                    for found in encode(t.as_py() or "" for t in batch.column("text")):
+                    for found in encode(t.as_py() for t in batch.column("text")):
                         out.write(found)
                         out.write(end)
                         sizes.append(len(found) // width + 1)
@@ -117,7 +135,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(sizes)], pa.int64()), "ids": pa.array([total], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(spread(rows), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    dealt = rows.repartitionByRange(spread(rows), F.asc_nulls_first("doc_id"), F.left("text", F.lit(HEAD))).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     parts = dealt.mapInArrow(written, "part int, docs long, ids long").collect()
     return folder, sorted((p, d, n) for p, d, n in parts if d)
 
