@@ -1,19 +1,22 @@
 """Personal data: exact patterns, and what a linear-chain conditional random field adds.
 
 The base finds emails, IPv4 addresses, card numbers and phone numbers by pattern, leftmost and not
-overlapping per kind, and drops matches that fail their test. Its spans stay. The field labels tokens
-(runs without white space) by the shapes of the word and its neighbours and by a few key words before
-it; it adds ``secret`` spans: keys, tokens and passwords, without quotes around them. It is trained on
-TABLE by gradient ascent on the regularised likelihood, with forward and backward sums over all its
-sequences at once, and decoded by Viterbi over all segments of a batch at once.
-
-Tokens without a digit or @ can't be secrets, nor change the label of one over two tokens away, so only
-segments of REACH tokens around the others are decoded.
+overlapping per kind, and drops matches that fail their test. Its spans stay. The field labels every token
+(runs without white space) of the whole text by the shapes of the word and its neighbours, and by whether a
+key word and an assignment stand before it; it adds ``secret`` spans: keys, tokens and passwords, without
+quotes around them. Its other labels tell secrets from what else has digits or follows a key word; what
+they mark and the base doesn't has failed the base's test, and isn't added. The field is trained on TABLE
+by gradient ascent on the regularised likelihood, with forward and backward sums over all its sequences at
+once, and decoded by Viterbi over all texts of a batch at once. A text of over BLOCK tokens is cut in
+blocks, each decoded once for every label that may stand before it; joining them is exact, too.
+
+Features depend on a token's shape only, so a worker keeps a row of scores for each shape it has met and
+the shape of each word of up to 64 characters, both bounded.
 
 Spans are in code points, the end exclusive. Defined cases: a null text counts as an empty one and has
-no spans. A null doc_id is passed on. Repeated rows give repeated results. Texts are read whole,
-whatever their length, in time proportional to it. Extra columns are passed on by ``redact``, and
-ignored by ``find``.
+no spans. A null doc_id is passed on. Repeated rows give repeated results, an empty table none. Of equally
+good labellings the one with the earlier label in LABELS is taken. Texts are read whole, whatever their
+length, in time proportional to it. Extra columns are passed on by ``redact``, and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from tidewire.llm.bpe import parted
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("other", *KINDS)
-REACH = 3
+#: Tokens of a text beyond which it is decoded in blocks, and texts' tokens that are decoded at a time.
+BLOCK, BATCH = 2048, 400_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,13 +44,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_HOT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 #: Sum of the digits of twice a digit.
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 #: Labelled sequences; a token is other unless a label and a colon stand before it. Braces are drawn: a word,
-#: hex digits, letters and digits, an email, an address, a card, a phone number, a number, a year, a time.
+#: hex digits, letters and digits, letters of both cases, lower-case letters, an email, an address, a card, a
+#: phone number, a number, a year, a time.
 TABLE = """
 {w} {w} token = secret:"{hex}" {w} {w}
 {w} {w}. token = secret:'{hex}' {w} {w}
@@ -66,12 +70,25 @@ TABLE = """
 {w} email:{email} token = secret:"{hex}" {w} {w}
 {w}&&& {w}%%% token = secret:"{hex}"### {w}***
 TOKEN = secret:"{hex}"!! {w} {w}
+{w} password = secret:"{cased}" {w} {w}
+{w} {w} api_key = secret:"{cased}" {w}
+{w} token: secret:{cased} {w} {w}
+{w} Authorization: Bearer secret:{cased} {w}
+{w} {w} secret = secret:'{cased}' {w}
+{w} {w} secret:password="{cased}" {w}
+{w} password = secret:"{lower}" {w} {w}
+{w} {w} passwd: secret:"{lower}" {w}
+{w} secret = secret:'{lower}' {w} {w}
+{w} pass: secret:{w}{n} {w} {w}
+{w} {w} password: secret:{w}{n} {w}
+{w} password = secret:"{w}{n}" {w} {w}
 {w} {w} email:{email} {w} {w}.
 {w}. email:{email} {w} {w} {w}
 {w} {w} ip:{ip} {w} {w} {w}
 {w} ip:{ip}!! {w} {w}
 {w} {w} card:{card} {w} {w}
 {w} {w} card:{card}$$$ {w}
+{w} card = card:{card} {w} {w}
 {w} phone:+1 phone:(425) phone:{tel} {w} {w}
 {w} {w} phone:+1 phone:(212) phone:{tel}%%% {w}
 {w} {w} {n} {w} {w}
@@ -82,16 +99,26 @@ TOKEN = secret:"{hex}"!! {w} {w}
 {w} Creative Commons BY-NC {n}.{n} {w}
 {w} {w} {n}%, {w} {w}
 {w} {w} {w} {w} {w} {w}
+{w} "{w} {w}" {w} {w}
+{w} "{w}" {w} "{w}" {w}
+{w} {lower} {w} {lower} {w}
+{w} {w}: {w} {w} {w}
+{w} {w} = "{w}" {w}
 {w} the token {w} {w} {w}
+{w} the token: {w} {w} {w}
 {w} {w} = {n} {w} {w}
 {w} key {w} {n} {w} {w}
+{w} key: {w} {w} {w}
 {w} password {w} {w} {w}
+{w} password: {w} {w} {w}
+{w} a pass {n} {w} {w}
+{w} {w} secret {w}, {w} {w}
 {w} {w} http://{w}.example.com/{n} {w}
 {w} chapter {n} {w} page {n} {w}
 """
 DRAWS = 12
 #: Key words whose presence before a token is a feature.
-KEYS = frozenset("token key apikey api_key secret secret_key access_token access_key password passwd pwd bearer authorization auth credential credentials private_key client_secret".split())
+KEYS = frozenset("token key apikey api_key secret secret_key access_token access_key password passwd pass pwd bearer authorization auth credential credentials private_key client_secret".split())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -126,42 +153,76 @@ def luhn(digits: str) -> bool:
     return sum(_DOUBLED[int(d)] if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+_MARKS = "\"'`.,;:!?()[]{}<>|#$%&*="
+QUOTES = "\"'`"
+_HEX = frozenset("0123456789abcdefABCDEF")
+
+
+class _Kinds(dict):
+    """For str.translate: 9 for a digit of ASCII, X for a capital, x for every other letter or sign beyond ASCII."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = to = ord("9") if 48 <= c < 58 else ord("X") if chr(c).isupper() else ord("x") if chr(c).islower() or c > 127 else c
+        return to
+
+
+_kinds = _Kinds()
+#: What stands before a token: nothing of note, a key word up to two tokens before, and an assignment to one.
+LEADS = ("x", "key", "set")
+
+
+def coded(token: str) -> tuple[str, bool, bool, int]:
+    """What the features of a token depend on: its shape, whether it is long and hexadecimal, whether it is
+    an assignment to a key word, and what it is to the tokens after it: nothing, a key word, one with an
+    assignment, or an assignment (0 to 3)."""
+    core = token.strip(_MARKS)
+    key = core.lower() in KEYS
+    role = (2 if token[-1] in ":=" else 1) if key else 3 if token in ("=", ":", ":=", "=>") else 0
+    name, sign, value = token.partition("=")
+    return token[:400].translate(_kinds), len(core) >= 16 and _HEX.issuperset(core), bool(sign and value and name.lower().strip("\"'") in KEYS), role
+
+
 @lru_cache(maxsize=20_000)
-def shape(token: str) -> tuple[str, ...]:
-    """Features of a token by itself."""
-    core = token.strip("\"'`.,;:!?()[]{}<>|#$%&*=")
-    kinds = re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", re.sub(r"[0-9]", "9", re.sub(r"[^\x00-\x7F]", "x", token))))
-    run = re.sub(r"(.)\1+", r"\1+", kinds)
-    size = min(len(core), 64) // 4
-    letters, numbers = any(c.isalpha() for c in core), any(c.isdigit() for c in core)
-    plain = all(c.isalnum() or c in "-_+/=" for c in core)
-    found = [f"run={run[:16]}", f"size={size}", f"mixed={letters and numbers}", f"long={letters and numbers and plain and len(core) >= 16}", f"hex={len(core) >= 16 and not set(core) - set('0123456789abcdefABCDEF')}"]
-    if "=" in token and token.split("=", 1)[0].lower().strip("\"'") in KEYS and token.split("=", 1)[1]:
+def shape(kinds: str, hexadecimal: bool, assigned: bool) -> tuple[str, ...]:
+    """Features of a token by itself; the first is its run of kinds, which its neighbours see too."""
+    core = kinds.strip(_MARKS)
+    run = "run=" + re.sub(r"(.)\1+", r"\1+", kinds)[:16]
+    numbers, letters = "9" in core, "x" in core or "X" in core
+    plain = not core.strip("xX9-_+/=") and not set(core) - set("xX9-_+/=")
+    changes = sum(a != b for a, b in zip(core, core[1:], strict=False) if a in "xX" and b in "xX")
+    found = [run, f"size={min(len(core), 64) // 4}", f"mixed={letters and numbers}", f"long={plain and letters and numbers and len(core) >= 16}", f"hex={hexadecimal}", f"cased={plain and len(core) >= 12 and changes >= 4}", f"quoted={kinds[0] in QUOTES}.{letters and not numbers and len(core) >= 8}"]
+    if assigned:
         found.append("assigned")
     return tuple(found)
 
 
-@lru_cache(maxsize=20_000)
-def _key(token: str) -> str:
-    word = token.strip("\"'`.,;:!?()[]{}<>|#$%&*=").lower()
-    return "key" if word in KEYS else "=" if token in ("=", ":", ":=", "=>") else "x"
+caches("pii", shape.cache_clear)
 
 
-caches("pii", shape.cache_clear, _key.cache_clear)
+def leads(roles: np.ndarray) -> np.ndarray:
+    """For the roles of the tokens of a text, each one's place in LEADS."""
+    one, two = np.concatenate([[0], roles[:-1]]), np.concatenate([[0, 0], roles[:-2]])[: len(roles)]
+    named = lambda r: (r == 1) | (r == 2)
+    return np.where((one == 2) | ((one == 3) & named(two)), 2, np.where(named(one) | named(two), 1, 0))
 
 
 def described(tokens: list[str]) -> list[list[str]]:
     """Features of each token of a sequence."""
-    own, keys = [shape(t) for t in tokens], ["^", "^", *map(_key, tokens)]
+    known = [coded(t) for t in tokens]
+    own, lead = [shape(*k[:3]) for k in known], leads(np.array([k[3] for k in known]))
     out = []
     for i, f in enumerate(own):
         before = own[i - 1][0] if i else "run=^"
         after = own[i + 1][0] if i + 1 < len(own) else "run=$"
-        lead = "lead=" + ("key" if "key" in (keys[i], keys[i + 1]) else "x")
-        out.append([*f, f"before.{before}", f"after.{after}", lead, f"{lead}.{f[3]}", f"{lead}.{f[2]}"])
+        out.append([*f, f"before.{before}", f"after.{after}", *led(LEADS[lead[i]], f)])
     return out
 
 
+def led(lead: str, own: tuple[str, ...]) -> list[str]:
+    """Features of a token with its lead."""
+    return [f"lead={lead}", *(f"lead={lead}.{x}" for x in own[2:7])]
+
+
 def table() -> list[tuple[list[str], list[int]]]:
     """TABLE drawn out: tokens and labels of each sequence."""
     random = np.random.default_rng(0)
@@ -172,6 +233,8 @@ def table() -> list[tuple[list[str], list[int]]]:
         "w": word,
         "hex": lambda: pick("0123456789abcdef", 24, 48),
         "mix": lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 44) + pick("0123456789", 1, 1),
+        "cased": lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20, 44),
+        "lower": lambda: pick("abcdefghijklmnopqrstuvwxyz", 14, 30),
         "email": lambda: f"{pick('abcdefghij', 2, 8)}.{random.integers(10, 99)}@{pick('abcdefghij', 3, 8)}.example.com",
         "ip": lambda: ".".join(str(x) for x in random.integers(1, 256, 4)),
         "card": lambda: pick("0123456789", 16, 16),
@@ -198,34 +261,118 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self.clear()
+
+    def __getstate__(self):
+        return self.names, self.weights, self.moves
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def clear(self) -> None:
+        """Forget the shapes met. Row 0 of the scores stands for the end of a text."""
+        self.rows: dict[tuple, int] = {}
+        self.tokens: dict[str, int] = {}
+        self.own, self.role, self.n = np.zeros((3, 1024, len(LABELS))), np.zeros(1024, int), 1
+        self.beside = np.zeros((2, 1024, len(LABELS)))
+        self.beside[:, 0] = self.sum(["before.run=^"]), self.sum(["after.run=$"])
+
+    def sum(self, found: list[str]) -> np.ndarray:
+        return self.weights[[k for f in found if (k := self.names.get(f)) is not None]].sum(axis=0)
+
+    def _row(self, token: str) -> int:
+        """The row of a token's shape."""
+        known = coded(token)
+        row = self.rows.get(known)
+        if row is None:
+            if self.n == len(self.role):
+                self.own, self.beside, self.role = (np.concatenate([x, np.zeros_like(x)], axis=x.ndim - 2 if x.ndim > 1 else 0) for x in (self.own, self.beside, self.role))
+            self.rows[known] = row = self.n
+            self.n += 1
+            own = shape(*known[:3])
+            for k, lead in enumerate(LEADS):
+                self.own[k, row] = self.sum([*own, *led(lead, own)])
+            self.beside[0, row], self.beside[1, row] = self.sum([f"before.{own[0]}"]), self.sum([f"after.{own[0]}"])
+            self.role[row] = known[3]
+        if len(token) <= 64:
+            self.tokens[token] = row
+        return row
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), len(LABELS)))
-        for i, found in enumerate(described(tokens)):
-            at = [k for f in found if (k := self.names.get(f)) is not None]
-            out[i] = self.weights[at].sum(axis=0)
+        if len(self.tokens) > CACHE or self.n > SHAPES:
+            self.clear()
+        of = self.tokens
+        rows = np.array([of[t] if t in of else self._row(t) for t in tokens], int)
+        around = np.concatenate([[0], rows, [0]])
+        return self.own[leads(self.role[rows]), rows] + self.beside[0][around[:-2]] + self.beside[1][around[2:]]
+
+    def _viterbi(self, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best scores at the end by label, labels before by time, label and sequence) of scores by time, label and sequence."""
+        best, back = scores[0], np.zeros(scores.shape, np.int8)
+        for t in range(1, len(scores)):
+            ways = best[:, None, :] + self.moves[:, :, None]
+            back[t] = ways.argmax(axis=0)
+            best = np.where(t < sizes, ways.max(axis=0) + scores[t], best)
+        return best, back
+
+    @staticmethod
+    def _path(back: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Labels by time and sequence that end in ``label``."""
+        out, each = np.zeros((len(back), len(sizes)), np.int8), np.arange(len(sizes))
+        for t in range(len(back) - 1, -1, -1):
+            out[t] = label
+            if t:
+                label = np.where(t < sizes, back[t, label, each], label)
+        return out
+
+    def _long(self, scores: np.ndarray) -> np.ndarray:
+        """Best labels of one long sequence. Each block is decoded for every label before it, all at once."""
+        many, n = len(LABELS), -(-len(scores) // BLOCK)
+        sizes = np.full(n, BLOCK)
+        sizes[-1] = len(scores) - BLOCK * (n - 1)
+        cut = np.zeros((n, BLOCK, many))
+        cut.reshape(-1, many)[: len(scores)] = scores
+        ends, back = np.zeros((many, n, many)), np.zeros((BLOCK, many, n, many), np.int8)  # label, block, label before
+        for at in range(0, n, 64):
+            some = np.repeat(cut[at : at + 64].transpose(1, 2, 0)[:, :, :, None], many, axis=3)
+            some[0, :, at == 0 :] += self.moves.T[:, None, :]
+            x, y = self._viterbi(some.reshape(BLOCK, many, -1), np.repeat(sizes[at : at + 64], many))
+            ends[:, at : at + 64], back[:, :, at : at + 64] = x.reshape(many, -1, many), y.reshape(BLOCK, many, -1, many)
+        best, before = ends[:, 0, 0], np.zeros((n, many), int)
+        for k in range(1, n):
+            ways = best[:, None] + ends[:, k].T  # label before, label at the end
+            before[k], best = ways.argmax(axis=0), ways.max(axis=0)
+        last = np.zeros(n, int)
+        last[-1] = best.argmax()
+        for k in range(n - 1, 0, -1):
+            last[k - 1] = before[k, last[k]]
+        chosen = np.concatenate([[0], last[:-1]])
+        return self._path(back[:, :, np.arange(n), chosen], sizes, last).T.reshape(-1)[: len(scores)]
+
+    def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
+        """Best labels of each sequence: Viterbi over many at once, padded at the end."""
+        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(sequences)
+        order = sorted((k for k, s in enumerate(sequences) if s), key=lambda k: len(sequences[k]))
+        while order and len(sequences[order[-1]]) > BLOCK:
+            k = order.pop()
+            out[k] = self._long(self.emissions(sequences[k]))
+        while order:
+            longest = len(sequences[order[-1]])
+            some = order[-max(1, BATCH // longest) :]
+            del order[-len(some) :]
+            sizes = np.array([len(sequences[k]) for k in some])
+            scores = np.zeros((longest, len(LABELS), len(some)))
+            for i, k in enumerate(some):
+                scores[: sizes[i], :, i] = self.emissions(sequences[k])
+            best, back = self._viterbi(scores, sizes)
+            labels = self._path(back, sizes, best.argmax(axis=0))
+            for i, k in enumerate(some):
+                out[k] = labels[: sizes[i], i]
         return out
 
-    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
-        """Best labels of each sequence: Viterbi over all of them at once, padded at the end."""
-        if not sequences:
-            return []
-        n, longest = len(sequences), max(map(len, sequences))
-        scores = np.zeros((n, longest, len(LABELS)))
-        sizes = np.array([len(s) for s in sequences])
-        for i, s in enumerate(sequences):
-            scores[i, : len(s)] = self.emissions(s)
-        best, back = scores[:, 0], np.zeros((n, longest, len(LABELS)), np.int8)
-        for t in range(1, longest):
-            ways = best[:, :, None] + self.moves[None]
-            back[:, t] = ways.argmax(axis=1)
-            moved = ways.max(axis=1) + scores[:, t]
-            best = np.where((t < sizes)[:, None], moved, best)
-        label, out = best.argmax(axis=1), np.zeros((n, longest), np.int8)
-        for t in range(longest - 1, -1, -1):
-            out[:, t] = label
-            label = np.where((t < sizes) & (t > 0), back[np.arange(n), t, label], label)
-        return [row[:k].tolist() for row, k in zip(out, sizes.tolist(), strict=True)]
+
+#: Words and shapes that a worker keeps.
+CACHE, SHAPES = 100_000, 50_000
 
 
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
@@ -275,29 +422,6 @@ def field() -> Field:
     return train(table())
 
 
-def segments(text: str) -> list[list[tuple[str, int]]]:
-    """Runs of (token, start) within REACH tokens of one that has a digit or @."""
-    out: list[list[tuple[str, int]]] = []
-    behind: list[tuple[str, int]] = []  # since the last segment's end; at most REACH + 1 tokens
-    left = 0  # that still belong to it
-    for m in _TOKEN.finditer(text):
-        here = (m[0], m.start())
-        if _HOT.search(m[0]):
-            if out and len(behind) <= REACH:
-                out[-1] += [*behind, here]
-            else:
-                out.append([*behind[-REACH:], here])
-            behind, left = [], REACH
-        elif left:
-            out[-1].append(here)
-            left -= 1
-        else:
-            behind.append(here)
-            if len(behind) > REACH + 1:
-                del behind[0]
-    return out
-
-
 _EDGE = "\"'`.,;:!?()[]{}<>|#$%&*"
 
 
@@ -315,24 +439,19 @@ def _core(token: str, start: int) -> tuple[int, int]:
 
 def spans_of(texts: list[str | None], model: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, all spans) of each text; (start, kind, end), ordered."""
-    base = [base_spans(t) if t else [] for t in texts]
-    pieces, owners = [], []
-    for i, t in enumerate(texts):
-        if t and _HOT.search(t):
-            for s in segments(t):
-                pieces.append(s)
-                owners.append(i)
-    added: dict[int, list[tuple[int, int, int]]] = {}
-    order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
-    for at in range(0, len(order), 512):
-        some = order[at : at + 512]
-        for k, labels in zip(some, model.decode([[t for t, _ in pieces[k]] for k in some]), strict=True):
-            for (token, start), label in zip(pieces[k], labels, strict=True):
-                if LABELS[label] == "secret":
-                    s, e = _core(token, start)
-                    if e > s and not any(a < e and s < b for a, _, b in base[owners[k]]):
-                        added.setdefault(owners[k], []).append((s, KINDS.index("secret"), e))
-    return [(b, sorted({*b, *added[i]}) if i in added else b) for i, b in enumerate(base)]
+    secret, out = LABELS.index("secret"), []
+    for text, labels in zip(texts, model.decode([(t or "").split() for t in texts]), strict=True):
+        base = all_of = base_spans(text) if text else []
+        if (labels == secret).any():
+            added = set(base)
+            for m, label in zip(_TOKEN.finditer(text), labels.tolist(), strict=True):
+                if label == secret:
+                    s, e = _core(m[0], m.start())
+                    if e > s and not any(a < e and s < b for a, _, b in base):
+                        added.add((s, KINDS.index("secret"), e))
+            all_of = sorted(added)
+        out.append((base, all_of))
+    return out
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
