@@ -210,6 +210,46 @@ def test_main_text():
     assert html_text.main_text(plain).split("\n") == ["Title here", ("word " * 50).strip(), ("more " * 40).strip()]
 
 
+def of(n, word="word"):
+    return " ".join([word] * n)
+
+
+MAIN = [
+    (f'<article><h1>Head</h1><p>{of(30)}</p><p class="ad">Buy now cheap</p><p>{of(20, "more")}</p></article>', ["Head", of(30), of(20, "more")]),
+    (f'<article><p>{of(10)} <span class="advert">BUY <b>NOW</b> <span>!</span></span> {of(10, "more")}</p></article>', [of(10) + " " + of(10, "more")]),
+    (f'<article><p>{of(10)}</p><p hidden>no</p><div style="display: none">gone {of(30)}</div><p style="color:red">red</p></article>', [of(10), "red"]),
+    (f'<article><section class="search-results-study"><h2>Title</h2><p>{of(40)}</p><p>{of(5)}</p></section></article>', ["Title", of(40), of(5)]),
+    (f'<article><p>{of(30)}</p><div class="post-comments"><p>{of(40, "reply")}</p></div></article><article class="comment"><p>{of(40, "nice")}</p></article>', [of(30)]),
+    (f'<article class="post has-sidebar"><p>{of(30)}</p></article>', [of(30)]),
+    (f'<article><header class="entry-header"><h1>Title</h1></header><p>{of(30)}</p><footer>by me</footer></article>', ["Title", of(30)]),
+    (f'<div class="cookieNotice"><p>{of(30, "cookie")}</p></div><main><p>{of(30)}</p></main>', [of(30)]),
+    (f'<article><p>{of(30)}</p><ul><li><a href=1>read this one too</a></li><li><a href=2>and another story</a></li><li><a href=3>third story to read</a></li></ul></article>', [of(30)]),
+    (f'<div><a href=1>Home</a> <a href=2>About</a></div><div><h1>A title</h1><p>{of(40)}<p>short one<p>{of(60, "more")}</div><div><a href=3>Next page</a></div><p>Copyright 2024</p>', ["A title", of(40), "short one", of(60, "more")]),
+    (f'<ul><li><a href=1>x y</a><li><a href=2>z</a></ul><div class="entry-content"><p>{of(40)}</p><ul><li>one item<li>two items</ul><p>{of(30, "z")}</p></div><div class="related-posts"><a href=q>some other story</a></div>', [of(40), "one item", "two items", of(30, "z")]),
+    ("".join(f"<div><a href={i}>Teaser number {i} title</a> {of(4)}</div>" for i in range(10)), [""]),
+]
+
+
+@pytest.mark.parametrize("page, lines", MAIN)
+def test_main_text_of_page_kinds(page, lines):
+    assert html_text.main_text(page).split("\n") == lines
+
+
+def test_neighbours_decide_where_nothing_is_named():
+    tree = html_text.tree()
+    row = lambda **k: [{"words": 9, "links": 0, **k}.get(f, 0) for f in html_text.FEATURES]
+    between, alone = row(words_before=80, words_after=90), row(words_before=3, links_before=100, words_after=2, links_after=100)
+    linked = row(words=12, links=60, words_before=8, links_before=70, words_after=9, links_after=80)
+    assert html_text.classify(tree, np.array([between, alone, linked], float)).tolist() == [True, False, False]
+
+
+def test_tree_on_blocks_that_it_has_not_seen(monkeypatch):
+    x, y = html_text.table()
+    held = np.arange(len(x)) // 40 % 4 == 0
+    made = html_text.grow(x[~held], y[~held])
+    assert (html_text.classify(made, x[held]) == (y[held] > 0.5)).mean() > 0.97
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (3, "v", "<div>" * 3000 + "x", 3), (4, "w", "<a " * 20000, 4), (5, "z", "<p title='" + "x" * 100000, 5)]
     found = collected(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")), "page_id", "url", "text", "n_chars")
