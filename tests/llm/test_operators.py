@@ -164,6 +164,62 @@ def test_alignment_is_smith_waterman():
     assert decontamination.align([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [score(a, b) for a, b in pairs]
 
 
+def aligned(a, b):
+    """Smith-Waterman score of two lists of words."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        then = [0]
+        for j, y in enumerate(b):
+            then.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, then[j] - 1))
+        row, best = then, max(best, *then)
+    return best
+
+
+def test_leaks_equal_full_alignment_of_all_pairs(spark):
+    r = random.Random(14)
+    common = [f"c{k}" for k in range(12)]  # frequent words, so that seeds meet by chance
+    word = lambda: r.choice(common) if r.random() < 0.6 else f"w{r.randrange(400)}"
+    items = [[word() for _ in range(r.randint(12, 40))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(r.randint(0, 120))]
+        if i % 2:
+            copy = list(r.choice(items))
+            for _ in range(r.randint(0, len(copy) // 3)):  # paraphrases: words changed, dropped and put in
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice([[word()], [], [copy[at], word()]])
+            at = r.randint(0, len(w))
+            w[at:at] = copy[: r.randint(len(copy) // 2, len(copy) + 1)]
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = {(d, k): s for d, k, s in collected(decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench), "doc_id", "item_id", "score")}
+    want = {(i, k): s / (2 * len(x)) for i, t in rows for k, x in enumerate(items) if (s := aligned(x, t.split())) >= len(x)}
+    assert set(found) <= set(want) and len(want) > 50
+    assert len(found) >= 0.9 * len(want)
+    whole = [p for p in found if found[p] == want[p]]  # else the best alignment reaches beyond the passage
+    assert len(whole) >= 0.95 * len(found)
+
+
+def test_a_passage_that_may_leak_is_aligned():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        item, passage = r.integers(1, 9, r.integers(4, 20)).astype(np.uint64), r.integers(1, 9, r.integers(4, 30)).astype(np.uint64)
+        if decontamination.align([item], [passage])[0] >= len(item):
+            assert decontamination.enough(item, passage)
+
+
+def test_leaks_of_odd_rows_and_of_a_benchmark_in_blocks(odd, spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(20000, 20030))
+    bench = spark.createDataFrame([(1, long, 0), (2, "same words again and again the same words", 0), (None, long, 0), (3, "", 0), (4, "one", 0)], "item_id long, text string, doc_id long")
+    want = {(6, 1), (7, 1), (6, None), (7, None), (-5, 2)}
+    for size in (20_000, 1):
+        monkeypatch.setattr(decontamination, "BLOCK", size)
+        assert set(collected(decontamination.leaks(odd, bench), "doc_id", "item_id")) == want
+        rest = decontamination.decontaminated(odd.withColumnRenamed("mark", "_mark"), bench)
+        assert rest.columns == [c.replace("mark", "_mark") for c in odd.columns]
+        assert sorted(str(x) for x, in collected(rest, "doc_id")) == sorted(["1", "2", "3", "4", "4", "5", "8", "9", "None", "None"])
+
+
 def graded_rows():
     r = random.Random(4)
     known = ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(300)]

@@ -1,17 +1,24 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared without case and without marks around them. The seeds of an item are its SEED-word
-n-grams. Where any seed of an item occurs in a document, however often it does in others, the words
-around it, as long as the item with SLACK words to each side, are aligned to the item: a match scores
-MATCH, a mismatch or gap costs one. A passage whose score is at least SHARE of the item's own is a leak,
-exact, edited or paraphrased.
+n-grams. Where any seed of an item occurs in a document, the words around it, as long as the item with
+SLACK words to each side, are aligned to the item: a match scores MATCH, a mismatch or gap costs one. A
+passage whose score is at least SHARE of the item's own is a leak, exact, edited or paraphrased.
 
-The index of the items is broadcast in blocks of at most BLOCK items and BLOCK_BYTES bytes; a larger
-benchmark is read in several blocks against all documents.
+Seeds aren't chosen by how rare they are in the corpus: where many documents hold an item, its rarest seeds
+are those that an edited copy lacks. Instead a passage is only aligned if it has words enough in common
+with the item; every match takes one of them, so a passage that has fewer can't reach the score. That
+drops what a common seed brings, and no leak.
+
+The index of the items is broadcast in blocks of at most BLOCK items and BLOCK_BYTES bytes of words; a
+larger benchmark is read in several blocks against all documents. Documents are read where they lie:
+nothing is shuffled.
 
 Defined cases: a null text or item has no words. An item of fewer than SEED words marks nothing. A null
 doc_id is passed on, a null item_id is an item of its own. Repeated documents are each reported, repeated
-items once for each id. Extra columns are ignored. Empty tables give no leaks.
+items once for each id. Of passages with the same score the first counts. Texts are read whole, whatever
+their length. Extra columns are ignored by ``leaks`` and passed on by ``decontaminated``. Empty tables give
+no leaks.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import CACHE, caches, enter, joinable, materialize, mix, multipliers
+from tidewire.llm.base import CACHE, caches, enter, materialize, mix, multipliers
 from tidewire.llm.bpe import parted
 
 SEED = 4
@@ -33,6 +40,8 @@ SLACK = 12
 MATCH = 2
 SHARE = 0.5
 BLOCK, BLOCK_BYTES = 20_000, 32_000_000
+#: Words of passages and items, padded to the longest, that are aligned at a time.
+CELLS = 400_000
 
 _M = multipliers(SEED, 4)
 _MARKS = "\"'`.,;:!?()[]{}<>|#$%&*=-_~^/\\“”‘’«»…–—"
@@ -72,9 +81,10 @@ def seeds(w: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Seeds of a block of items: sorted, with the item and the place of each."""
+    """Seeds of a block of items: sorted, with the item and the place of each. The items' names and words."""
 
-    def __init__(self, items: list[np.ndarray]):
+    def __init__(self, names: list[int | None], items: list[np.ndarray]):
+        self.names, self.items = names, items
         found = [seeds(w) for w in items]
         sizes = [len(f) for f in found]
         self.lengths = np.array([len(w) for w in items])
@@ -96,32 +106,45 @@ class Index:
         return np.repeat(at, n), rows
 
 
-def _seeded(index: Index, names: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages: for each document and item, the words around its seeds."""
-    enter("decontamination")
-    for whole in batches:
-        for batch in parted(whole, "text"):
-            mark, item, start, words = [], [], [], []
-            for m, text in zip(batch.column("mark").to_pylist(), batch.column("text"), strict=True):
-                w = plain_words(text.as_py())
-                if len(w) < SEED:
-                    continue
-                at, row = index.hits(w)
-                if not len(at):
-                    continue
-                of, from_ = index.item[row], at - index.place[row]
-                order = np.lexsort((from_, of))
-                # seeds of one item whose beginnings lie within SLACK of one another are one passage
-                o, f = of[order], from_[order]
-                cuts = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] - f[:-1] > SLACK)]))
-                for a, b in zip(cuts, [*cuts[1:], len(o)], strict=True):
-                    low = max(0, int(f[a]) - SLACK)
-                    high = min(len(w), int(f[b - 1]) + int(index.lengths[o[a]]) + SLACK)
-                    mark.append(m)
-                    item.append(names[o[a]])
-                    start.append(low)
-                    words.append(w[low:high].tobytes())
-            yield pa.RecordBatch.from_pydict({"mark": pa.array(mark, pa.int64()), "item": pa.array(item, pa.int64()), "start": pa.array(start, pa.int64()), "words": pa.array(words, pa.binary())})
+def enough(item: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether the words in common, each of which a match may take, could make a leak."""
+    return min(np.isin(passage, item).sum(), np.isin(item, passage).sum()) >= SHARE * len(item)
+
+
+def _passages(index: Index, w: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end) of the words around the seeds of a document."""
+    at, row = index.hits(w)
+    if not len(at):
+        return
+    of, from_ = index.item[row], at - index.place[row]
+    order = np.lexsort((from_, of))
+    # seeds of one item whose beginnings lie within SLACK of one another are one passage
+    o, f = of[order], from_[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] - f[:-1] > SLACK)]))
+    for a, b in zip(cuts, [*cuts[1:], len(o)], strict=True):
+        low, high = max(0, int(f[a]) - SLACK), min(len(w), int(f[b - 1]) + int(index.lengths[o[a]]) + SLACK)
+        if enough(index.items[o[a]], w[low:high]):
+            yield int(o[a]), low, high
+
+
+def leaking(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, float, int]]:
+    """(text, item, score as a share of the item's own, first word of the passage): the best passage of each leak."""
+    held: list[tuple[int, int, int, np.ndarray]] = []
+    for k, text in enumerate(texts):
+        w = plain_words(text)
+        if len(w) >= SEED:
+            held += ((k, item, low, w[low:high].copy()) for item, low, high in _passages(index, w))
+    held.sort(key=lambda h: max(len(h[3]), index.lengths[h[1]]))
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    while held:
+        some = held[-max(1, CELLS // max(len(held[-1][3]), int(index.lengths[held[-1][1]]))) :]
+        del held[-len(some) :]
+        for (k, item, low, _), score in zip(some, align([index.items[h[1]] for h in some], [h[3] for h in some]).tolist(), strict=True):
+            share = score / (MATCH * int(index.lengths[item]))
+            if share >= SHARE:
+                best[k, item] = max(best.get((k, item), (0.0, 0)), (share, -low))
+    for (k, item), (share, low) in sorted(best.items()):
+        yield k, item, share, -low
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -141,67 +164,56 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            items, passages = ([np.frombuffer(x, np.uint64) for x in some.column(c).to_pylist()] for c in ("item_words", "words"))
-            if not items:
-                continue
-            score = align(items, passages)
-            share = score / (MATCH * np.array([len(x) for x in items]))
-            keep = pa.array(share >= SHARE)
-            out = pa.RecordBatch.from_arrays([some.column("mark"), some.column("item"), pa.array(share), some.column("start")], names=["mark", "item", "score", "start"])
-            yield out.filter(keep)
-
-
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [plain_words(t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array([w.tobytes() for w in words], pa.binary())], names=["item", "item_id", "item_words"])
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", mark_of())
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, score and start_word: each document with each item that leaks into it, its best passage."""
-    return _marked(docs).select("doc_id", "mark").join(_leaking(docs, benchmark), "mark").drop("mark")
-
-
-def _leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """mark, item_id, score and start_word; ``mark`` stands for a document's row."""
-    spark, rows = docs.sparkSession, _marked(docs)
+def indexes(benchmark: DataFrame) -> list:
+    """Broadcasts of the index of each block of items."""
+    spark = benchmark.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text"))
     items = materialize(bench.mapInArrow(_items, "item long, item_id long, item_words binary"), "items")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_words")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
-    passages = None
+    blocks, out = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES)), []
     for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).select("item", "item_words").collect()  # a block
-        index = Index([np.frombuffer(r[1], np.uint64) for r in some])
-        shared = spark.sparkContext.broadcast((index, np.array([r[0] for r in some], np.int64)))
-        found = rows.select("mark", "text").mapInArrow(partial(_of_shared, shared), "mark long, item long, start long, words binary")
-        passages = found if passages is None else passages.union(found)
-    passages = materialize(passages, "passages")
+        some = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item_id", "item").collect()  # a block
+        out.append(spark.sparkContext.broadcast(Index([r["item_id"] for r in some], [np.frombuffer(r["item_words"], np.uint64) for r in some])))
+    return out
+
 
-    seeded = passages.join(items.select("item", "item_words"), "item").repartition("mark")
-    scored = seeded.mapInArrow(_aligned, "mark long, item long, score double, start long")
-    best = scored.groupBy("mark", "item").agg(F.max(F.struct("score", -F.col("start"))).alias("x")).join(items.select("item", "item_id"), "item")
-    return best.select("mark", "item_id", F.col("x.score").alias("score"), (-F.col("x.col2")).alias("start_word"))
+def _found(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("decontamination")
+    index = shared.value
+    for whole in batches:
+        for batch in parted(whole, "text"):
+            made = list(leaking(index, batch.column("text").to_pylist()))
+            ids = batch.column("doc_id").take(pa.array([m[0] for m in made], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([index.names[m[1]] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.float64()), pa.array([m[3] for m in made], pa.int64())], names=["doc_id", "item_id", "score", "start_word"])
 
 
-def mark_of() -> F.Column:
-    """64 bits that stand for a row's document."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, score and start_word: each document with each item that leaks into it, its best passage."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [rows.mapInArrow(partial(_found, shared), "doc_id long, item_id long, score double, start_word long") for shared in indexes(benchmark)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
-def _of_shared(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _seeded(*shared.value, batches)
+def _clean(shared, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter("decontamination")
+    for whole in batches:
+        for batch in parted(whole, whole.schema.names[at]):
+            stays = np.ones(batch.num_rows, bool)
+            stays[[k for k, *_ in leaking(shared.value, batch.column(at).to_pylist())]] = False
+            yield batch.filter(pa.array(stays))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents into which an item leaks."""
-    found = joinable(materialize(_leaking(docs, benchmark).select(F.col("mark").alias("_mark")).distinct(), "leaking"))
-    return docs.join(found, mark_of() == F.col("_mark"), "left_anti")
+    for shared in indexes(benchmark):
+        docs = docs.mapInArrow(partial(_clean, shared, docs.columns.index(text)), docs.schema)
+    return docs
