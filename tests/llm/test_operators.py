@@ -340,6 +340,25 @@ def test_rules_adapt_to_their_group(spark):
     assert not kept.pop(1000) and all(kept.values())
 
 
+def test_rules_of_clashing_columns(spark, docs):
+    names = ["_lang", "_source", "high_symbol_rate", "low_word_length", "_t", "_words", "_sorted", "_places", "symbol_rate", "kept", "n_words", "total"]
+    wide = docs.withColumns({n: docs.text for n in names})
+    pick = lambda t: sorted(collected(rules.judged(t), "doc_id", "n_words", "symbol_rate", "kept"))
+    assert pick(wide) == pick(docs) and pick(docs.drop("lang", "source"))
+    assert set(rules.judged(wide).columns) == set(rules.judged(docs).columns)
+
+
+def test_small_groups_lean_on_wider_ones(spark):
+    rows = [("en", "a", "word_length", v, n) for v, n in ((4, 300), (8, 100))] + [("en", "b", "word_length", 15, 1), (None, None, "word_length", 2, 50)]
+    table = spark.createDataFrame(rows, "lang string, source string, rate string, bucket int, n long")
+    found = {(r["lang"], r["source"]): r for r in rules.bounds(table).collect()}
+    mean = lambda n, own, wider: (n * own + rules.SUPPORT * wider) / (n + rules.SUPPORT)
+    q50, q90 = mean(1, 15, mean(401, 4, 4)), mean(1, 15, mean(401, 8, 8))
+    assert found["en", "b"]["high_word_length"] == q50 + rules.SPREAD * (q90 - q50) + rules.RATES["word_length"]
+    q50, q90 = mean(50, 2, mean(50, 2, 4)), mean(50, 2, mean(50, 2, 8))
+    assert found[None, None]["high_word_length"] == q50 + rules.SPREAD * (q90 - q50) + rules.RATES["word_length"]
+
+
 def test_buckets_are_narrow(spark):
     from pyspark.sql import functions as F
 

@@ -4,16 +4,18 @@ Counts of a text give four rates, whole numbers. A quantile sketch of a group (l
 rate is a histogram over buckets of fixed relative width: values under 16 have one each, and each
 doubling beyond is cut in 8, so that a bucket is at most an eighth of its value wide. Sketches merge by
 adding counts, which Spark does before and after its shuffle; a sketch has at most a few hundred buckets
-whatever the rows. A group with fewer than SUPPORT documents uses the merged sketch of its language, and
-a language with fewer that of the corpus.
+whatever the rows. Quantiles of small groups are drawn towards those of their language, and these towards
+the corpus's, as if SUPPORT more documents were of that kind: (n * own + SUPPORT * wider) / (n + SUPPORT).
 
-A rate is out of bounds beyond ``median + SPREAD * (q90 - median) + slack``, taken from the sketch; mean
-word length also under the like bound below. Documents are joined with their group's bounds, and those
+A rate is out of bounds beyond ``median + SPREAD * (q90 - median) + slack``; mean word length also under
+the like bound below. The slack of a rate is fixed and serves groups whose documents are all alike: where
+median and q90 are both 0, it alone is the bound. Documents are joined with their group's bounds, and those
 out of any bound are not kept. What fails the base rule (too few words, or mostly repeated ones) is
 counted in no sketch and not kept.
 
 Defined cases: a null text has no words and fails the base rule. A null language or source is a group of
-its own. Repeated rows count each. Extra columns are ignored. Any whole number of words has exact counts.
+its own. Repeated rows count each. A value equal to a bound is inside. An empty table gives no rows. Any
+whole number of words has exact counts. Of columns other than COLUMNS none is read or passed on.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.base import SPACE, joinable, materialize
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_WORDS = 50
 REPEATED = (50, 100)
+#: Documents that the wider group's quantiles count for.
 SUPPORT = 100
 SPREAD = 6
 #: Rates and what a value may exceed the spread by: symbols per 10,000 characters, repeated lines per 100,000
@@ -103,9 +107,11 @@ def bounds(sketch: DataFrame) -> DataFrame:
         at = {name: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, edge(F.col("bucket")))).alias(name) for name, q in (("q10", 10), ("q50", 50), ("q90", 90))}
         made.append(ranked.groupBy(*keys).agg(F.max("total").alias("total"), *at.values()))
     own, lang, corpus = made
-    join = own.alias("o").join(lang.alias("l"), (F.col("o.lang").eqNullSafe(F.col("l.lang"))) & (F.col("o.rate") == F.col("l.rate"))).join(F.broadcast(corpus.alias("c")), F.col("o.rate") == F.col("c.rate"))  # the corpus has one row for each rate
-    use = lambda q: F.when(F.col("o.total") >= SUPPORT, F.col(f"o.{q}")).when(F.col("l.total") >= SUPPORT, F.col(f"l.{q}")).otherwise(F.col(f"c.{q}"))
-    used = join.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.rate").alias("rate"), use("q10").alias("q10"), use("q50").alias("q50"), use("q90").alias("q90"))
+    drawn = lambda a, b, q: ((F.col(f"{a}.total") * F.col(f"{a}.{q}") + SUPPORT * F.col(f"{b}.{q}")) / (F.col(f"{a}.total") + SUPPORT)).alias(q)
+    quantiles = ("q10", "q50", "q90")
+    wide = lang.alias("l").join(F.broadcast(corpus.alias("c")), F.col("l.rate") == F.col("c.rate")).select("l.lang", "l.rate", *(drawn("l", "c", q) for q in quantiles))  # the corpus has one row for each rate
+    join = own.alias("o").join(wide.alias("w"), (F.col("o.lang").eqNullSafe(F.col("w.lang"))) & (F.col("o.rate") == F.col("w.rate")))
+    used = join.select("o.lang", "o.source", "o.rate", *(drawn("o", "w", q) for q in quantiles))
     slack = F.create_map(*(F.lit(x) for kv in RATES.items() for x in kv))
     limits = used.select("lang", "source", "rate", (F.col("q50") + SPREAD * (F.col("q90") - F.col("q50")) + slack[F.col("rate")]).alias("high"), (F.col("q50") - SPREAD * (F.col("q50") - F.col("q10")) - slack[F.col("rate")]).alias("low"))
     columns = [F.max(F.when(F.col("rate") == k, F.col("high"))).alias(f"high_{k}") for k in RATES] + [F.max(F.when(F.col("rate") == k, F.col("low"))).alias(f"low_{k}") for k in LOW]
@@ -113,16 +119,14 @@ def bounds(sketch: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with the counts, base_failed, the rates and kept; without the text if it isn't asked for.
+    """COLUMNS of ``docs``, as far as it has them, with the counts, base_failed, the rates and kept; without
+    the text if it isn't asked for. A language or source that it doesn't have is null.
 
     The counts are written once: both the sketches and the verdicts read them, and a filter on a count
     can't be pushed into the projections that make it.
     """
-    clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RATES}
-    rows = docs.select(*(c for c in docs.columns if c.lower() not in clash))
-    for c in ("lang", "source"):
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    there = [c.lower() for c in docs.columns]
+    rows = docs.select(*(F.col(c) if c in there else F.lit(None).cast("string").alias(c) for c in COLUMNS if c in there or c in ("lang", "source")))
     counts = counted(rows)
     counts = materialize(counts if keep_text else counts.drop("text"), "counts")
     failed = (F.col("n_words") < MIN_WORDS) | (REPEATED[1] * F.col("n_repeat_words") > REPEATED[0] * F.col("n_words"))

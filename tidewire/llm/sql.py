@@ -28,8 +28,8 @@ def _bounds(keys: str) -> str:
   FROM (SELECT {by}, bucket, any_value(edge) AS edge, sum(n) AS n FROM k GROUP BY {by}, bucket)) GROUP BY {by}"""
 
 
-def _use(q: str) -> str:
-    return f"CASE WHEN o.total >= {rules.SUPPORT} THEN o.{q} WHEN l.total >= {rules.SUPPORT} THEN l.{q} ELSE c.{q} END"
+def _drawn(a: str, b: str) -> str:
+    return ", ".join(f"(({a}.total * {a}.{q} + {rules.SUPPORT} * {b}.{q}) / ({a}.total + {rules.SUPPORT}))::DOUBLE AS {q}" for q in ("q10", "q50", "q90"))
 
 
 _SLACK = "CASE o.rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RATES.items()) + " END"
@@ -46,8 +46,8 @@ u AS (SELECT lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'w
 z AS (SELECT *, CASE WHEN v < 16 THEN v ELSE 16 + (length(bin(v)) - 5) * 8 + (v >> (length(bin(v)) - 4)) - 8 END AS bucket FROM u),
 k AS (SELECT lang, source, rate, bucket, CASE WHEN bucket < 16 THEN bucket ELSE ((bucket - 16) % 8 + 8) << ((bucket - 16) // 8 + 1) END AS edge, count(*) AS n FROM z GROUP BY ALL),
 o AS ({_bounds("lang, source")}), ll AS ({_bounds("lang")}), cc AS ({_bounds("")}),
-h AS (SELECT o.lang, o.source, o.rate, {_use("q10")} AS q10, {_use("q50")} AS q50, {_use("q90")} AS q90, {_SLACK} AS slack
-  FROM o JOIN ll l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN cc c ON o.rate = c.rate),
+ww AS (SELECT l.lang, l.rate, {_drawn("l", "c")} FROM ll l JOIN cc c ON l.rate = c.rate),
+h AS (SELECT o.lang, o.source, o.rate, {_drawn("o", "w")}, {_SLACK} AS slack FROM o JOIN ww w ON o.lang IS NOT DISTINCT FROM w.lang AND o.rate = w.rate),
 j AS (SELECT x.r, bool_and(CASE h.rate WHEN 'symbol_rate' THEN symbol_rate WHEN 'line_rate' THEN line_rate WHEN 'repeat_rate' THEN repeat_rate ELSE word_length END <= q50 + {rules.SPREAD} * (q90 - q50) + slack
   AND (h.rate <> 'word_length' OR word_length >= q50 - {rules.SPREAD} * (q50 - q10) - slack)) AS ok
   FROM x JOIN h ON x.lang IS NOT DISTINCT FROM h.lang AND x.source IS NOT DISTINCT FROM h.source GROUP BY x.r)
