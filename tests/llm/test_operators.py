@@ -247,6 +247,28 @@ def test_grades_on_held_out_documents(spark):
     assert all(0 <= f[1] <= f[0] <= 2 for f, _ in held)
 
 
+def test_grades_of_words_never_met(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for i in range(500):
+        toxic = int(i % 4 == 0)
+        rows.append((i, " ".join([word() for _ in range(40)] + [("vilex" if toxic else r.choice(["calmo", "vilex"][k > 0 :])) + word() for k in range(4 if toxic else 2)]), 1, toxic))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2], x[3]) for x in rows if x[0] < 300], "doc_id long, quality int, toxic int")
+    kept = dict(collected(ordinal.graded(docs, labels), "doc_id", "kept"))
+    assert np.mean([kept[i] != bool(t) for i, _, _, t in rows if i >= 300]) > 0.95
+
+
+def test_repeated_labels_and_documents_train_within_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 5, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(ordinal, "TRAIN", 12)
+    monkeypatch.setattr(ordinal, "fit", lambda grades, rows: seen.append(len(rows)) or (np.zeros(1 << ordinal.BITS), np.array([0.0, 1.0])))
+    ordinal.train(docs, labels)
+    assert seen == [12]
+
+
 def test_grades_without_labels(odd, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert len(collected(ordinal.graded(odd, none), "doc_id", "kept")) == 13

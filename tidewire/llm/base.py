@@ -24,9 +24,12 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a local session, as in tests, gets a new
+    temporary one; on a cluster no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,23 +2,25 @@
 
 A labelled document's grade is its quality plus one if it is not toxic: 0, 1 or 2. The model is
 P(grade <= k) = logistic(threshold_k - w.x) with one weight vector w for all grades and ordered
-thresholds. x is hashed text: one of 2**BITS bins for each distinct word, without case and marks, and for
-each of a few traits of the text (its length, the shares of distinct words, of marks and of repeated
-lines). It gives the expected grade, and the tail probability of the best grade, by which documents are
-selected.
+thresholds. x is hashed text: one of 2**BITS bins for each distinct word, without case and marks; for each
+beginning of words, of STEMS bytes, that SHARED distinct words or more of the document have, so that words
+never met are told by their kin; and for each of a few traits of the text (its length, the shares of
+distinct words, of marks and of repeated lines). It gives the expected grade, and the tail probability of
+the best grade, by which documents are selected.
 
 Trained on at most TRAIN labelled documents, those of least hash of their doc_id, by Adam on the whole
-sample; the bound keeps the driver's memory fixed. Bins seen in fewer than SEEN of them have no weight.
-Every document is scored.
+sample; the bound keeps the driver's memory fixed. Every document is scored.
 
 Defined cases: a null text has the traits of an empty one. Labels with a null doc_id, quality or toxic,
-or of no document, are not used; a document labelled twice counts twice. Without labels every grade is as
-likely as in no data: thresholds are those of equal shares. Null doc_ids are passed on. Extra columns are
-ignored. Texts are scored whole.
+or of no document, are not used; a document labelled twice counts twice. Of several documents of one doc_id
+the least text is trained on. Without labels every grade is as likely as in no data: thresholds are those of
+equal shares. Null doc_ids are passed on. Repeated rows give repeated results, an empty table none. A tail
+probability equal to TAIL is kept. Extra columns are ignored. Texts are scored whole, whatever their length.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,24 +36,35 @@ from tidewire.llm.bpe import parted
 BITS = 18
 GRADES = 3
 TRAIN = 10_000
-#: Training documents that a bin must be seen in.
-SEEN = 8
-#: Documents with at least this probability of the best grade are kept.
-TAIL = 0.5
+#: Documents with at least this probability of the best grade are kept. Toxic documents are few, so that one
+#: without a known word still looks likely to be good.
+TAIL = 0.7
+STEMS = (5, 6, 7, 8)
+#: Numbers of distinct words with one beginning that are a feature.
+SHARED = (2, 4)
 _MARKS = b"\"'`.,;:!?()[]{}<>|#$%&*=-_~^/\\"
 
 
+class _Plain(dict):
+    """A byte word without marks and case."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = plain = word.strip(_MARKS).lower()
+        return plain
+
+
 class _Bins(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, name: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        plain = word.strip(_MARKS)
-        self[word] = h = xxhash.xxh64_intdigest(plain.lower()) >> (64 - BITS)
+        self[name] = h = xxhash.xxh64_intdigest(name) >> (64 - BITS)
         return h
 
 
-_bins = _Bins()
-caches("ordinal", _bins.clear)
+_plain, _bins = _Plain(), _Bins()
+caches("ordinal", _plain.clear, _bins.clear)
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -64,15 +77,18 @@ def features(text: str | None) -> np.ndarray:
     share = lambda a, b: min(9, 10 * a // max(1, b))
     marks = len(raw) - len(raw.translate(None, _SYMBOLS))
     traits = [f"length={len(words).bit_length()}", f"distinct={share(len(distinct), len(words))}", f"marks={min(20, 50 * marks // max(1, len(raw)))}", f"lines={share(len(lines) - len(set(lines)), len(lines))}"]
-    bins = set(map(_bins.__getitem__, distinct))
-    bins.update(xxhash.xxh64_intdigest(" " + t) >> (64 - BITS) for t in traits)
+    names = set(map(_plain.__getitem__, distinct))
+    stems = Counter(w[:k] for k in STEMS for w in names if len(w) > k)
+    names.update(b"%d^%s" % (n, stem) for stem, found in stems.items() if found >= SHARED[0] for n in SHARED if found >= n)
+    names.update(b" " + t.encode() for t in traits)
+    bins = set(map(_bins.__getitem__, names))
     return np.fromiter(bins, np.int32, len(bins))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in parted(whole, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([np.sort(features(t.as_py())).tobytes() for t in batch.column("text")], pa.binary())], names=["grade", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("n"), pa.array([np.sort(features(t.as_py())).tobytes() for t in batch.column("text")], pa.binary())], names=["grade", "n", "bins"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,8 +103,6 @@ def fit(grades: np.ndarray, rows: list[np.ndarray], rounds: int = 300, rate: flo
     free = np.array([start[0], *np.log(np.maximum(np.diff(start), 1e-2))])  # the first, and logarithms of the steps
     if not len(grades):
         return weights, start
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= SEEN
-    rows = [r[seen[r]] for r in rows]
     flat, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
     owner = np.repeat(np.arange(len(rows)), np.diff(ends))
     used, flat = np.unique(flat, return_inverse=True)
@@ -118,10 +132,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) from at most TRAIN labelled documents."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality").cast("int").cast("boolean").cast("int") + 1 - F.col("toxic").cast("int").cast("boolean").cast("int")).alias("grade")).where("doc_id is not null and grade is not null")
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(TRAIN)
+    chosen = chosen.groupBy("doc_id", "grade").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(_coded, "grade int, bins binary").collect()  # TRAIN rows at most
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    return fit(np.array([r[0] for r in rows], int), [np.frombuffer(r[1], np.int32) for r in rows])
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade", "n").agg(F.min("text").alias("text"))  # TRAIN labels at most
+    rows = [r for r in one.select("grade", "n", "text").mapInArrow(_coded, "grade int, n long, bins binary").collect() for _ in range(r["n"])]
+    rows.sort(key=lambda r: (r["grade"], bytes(r["bins"])))
+    return fit(np.array([r["grade"] for r in rows], int), [np.frombuffer(r["bins"], np.int32) for r in rows])
 
 
 def _scored(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
