@@ -100,6 +100,7 @@ def test_a_large_group_of_near_copies_is_one_component(spark, monkeypatch):
 
 def test_crowded_regions_are_searched_where_no_partner_is_found(spark, monkeypatch):
     monkeypatch.setattr(minhash, "REGION", 1)  # so that every region is left to the last search
+    monkeypatch.setattr(minhash, "SHINGLES", 600)
     r = random.Random(3)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
     rows = []

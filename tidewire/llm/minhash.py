@@ -11,17 +11,22 @@ members, it reads on to the next depth, so depth adapts to how crowded the order
    pair is confirmed on the full sets.
 3. In regions that still hold several components, crowded ones parted by depth, every node takes one more
    partner: the member of another component whose signature agrees best. These pairs are confirmed too.
-4. Regions of the first depth that hold several components even now get their members' texts. All pairs
-   from different components whose signatures agree well enough are confirmed there on the full sets, best
-   first; a confirmed pair joins its components, so n members send on fewer than n links. A region of more
-   than REGION members is read in blocks, to which its members outside the largest component are queries.
+4. Regions of the first depth that hold several components even now are searched for all pairs from
+   different components whose signatures agree well enough. Members that have such a pair get their texts,
+   and the pairs are confirmed on the full sets, best first; a confirmed pair joins its components, so n
+   members send on fewer than n links. A region of more than REGION members or SHINGLES shingles is read in
+   blocks, to which its members outside the largest component are queries.
 5. Components of the confirmed links, by alternating large and small stars.
 
 A pair of similarity 0.75 shares a region of the first depth with probability 0.42 in each of 24
 orders, so it is missed with probability 2e-6. Nothing is capped.
 
+Numbers of regions and components are written before they are joined to the members, so a region that holds
+most members is a skewed join of two written tables, which Spark splits, or a broadcast of a counted one.
+
 Defined cases: a text that is null, empty or without words has no shingles and no links. Rows of one
 doc_id are one document. A row without doc_id is linked with nothing: component_id is null, kept true.
+Ties go to the smaller doc_id. An empty table gives no rows. Texts are read whole, whatever their length.
 Extra columns are ignored.
 """
 
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.base import WordHashes, caches, discard, enter, materialize, mix, multipliers, spread
+from tidewire.llm.base import WordHashes, caches, discard, enter, joinable, materialize, mix, multipliers, spread
 from tidewire.llm.bpe import parted
 
 WIDTH = 5
@@ -44,6 +49,8 @@ VALUES = TREES * STEP
 DEPTHS = (3, 6, 10, 16)
 #: Members up to which a region is searched as a whole.
 REGION = 1024
+#: Shingles up to which a region's sets are compared in one piece.
+SHINGLES = 4_000_000
 #: Signature values that must agree before a pair of the last search is confirmed: 4 standard deviations under 0.75.
 AGREE = round(VALUES * 0.75 - 4 * (VALUES * 0.75 * 0.25) ** 0.5)
 SIMILAR = (75, 100)
@@ -146,7 +153,8 @@ def _agreeing(x: np.ndarray, comps: np.ndarray, roles: np.ndarray, at: int, firs
 class Region:
     """Rows that are searched together: signatures, nodes, components, roles and, in the last search, sets."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, name: int, rows: list[tuple]):
+        self.name = name
         self.x = np.frombuffer(b"".join(r[0] for r in rows), np.int32).reshape(-1, VALUES)
         self.nodes, self.comps, self.roles = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
         self.sets, self.tree = [r[4] for r in rows], rows[0][5]
@@ -166,11 +174,11 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
         for i, (r, tree, node, comp, role) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("region", "tree", "node", "comp", "role")), strict=True)):
             if r != region:
                 if len(rows) > 1:
-                    yield Region(rows)
+                    yield Region(region, rows)
                 region, rows = r, []
             rows.append((flat[i].tobytes(), node, comp, role, shingles(texts[i].as_py()) if texts else None, tree))
     if len(rows) > 1:
-        yield Region(rows)
+        yield Region(region, rows)
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +196,17 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(r.nodes[has]), pa.array(r.nodes[whom[has]]), pa.array(best[has])], names=["node", "other", "agree"])
 
 
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each region that have a pair whose signatures agree well enough."""
+    for r in _regions(batches):
+        has = np.zeros(len(r.nodes), bool)
+        for i, j, _ in r.pairs(r.tree):
+            has[i] = has[j] = True
+        if has.any():
+            n = int(has.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r.name)), pa.array(np.full(n, r.tree, np.int32)), pa.array(r.nodes[has]), pa.array(r.comps[has]), pa.array(r.roles[has].astype(np.int32))], names=["region", "tree", "node", "comp", "role"])
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links, confirmed on the full sets, that join the components of a region."""
     for r in _regions(batches):
@@ -232,9 +251,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _orders(sigs: DataFrame, depth: int) -> DataFrame:
-    """(tree, region, node, *rest): the region of each node in every sorted order."""
+    """(node, size, tree, region): the region of each node in every sorted order."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(F.concat("sig", "sig"), t * STEP + 1, depth)))
-    return sigs.select("node", F.posexplode(keys).alias("tree", "region"))
+    return sigs.select("node", "size", F.posexplode(keys).alias("tree", "region"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -242,7 +261,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signed, "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>"), "signatures")
     whole = signed.where("n_shingles > 0 and doc_id is not null")
     heads = materialize(whole.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("node")), "nodes")
-    sigs = materialize(whole.select("doc_id", "sig").join(heads.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"), "forest")
+    sigs = whole.select("doc_id", "sig", F.col("n_shingles").alias("size")).join(heads.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sigs = materialize(sigs.withColumnRenamed("doc_id", "node"), "forest")
 
     orders = materialize(_orders(sigs, DEPTHS[0]), "orders")
     regions = materialize(orders.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "regions")
@@ -257,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_confirm(led, texts), "links")
 
     comps = materialize(components(links), "components")
-    members = members.select("region", "tree", "node")
+    members = members.select("region", "tree", "node", "size")
 
     # What the leaders left apart: first one more partner each, then everything else.
     best = _dealt(_parted(members, comps, sigs), sigs).mapInArrow(_partners, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", -F.col("other"))).alias("x")).select("node", (-F.col("x.col2")).alias("other"))
@@ -265,7 +285,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not pairs.isEmpty():
         links = links.union(materialize(_confirm(pairs, texts), "links"))
         comps = materialize(components(links), "components")
-    rest = materialize(_dealt(_blocked(members, comps), sigs, texts).mapInArrow(_joined, "a long, b long"), "rest")
+    active = _dealt(_blocked(members, comps), sigs).mapInArrow(_active, "region long, tree int, node long, comp long, role int")
+    rest = materialize(_dealt(materialize(active, "active"), sigs, texts).mapInArrow(_joined, "a long, b long"), "rest")
     if not rest.isEmpty():
         comps = materialize(components(links.union(rest)), "components")
     discard(texts, *used)
@@ -277,13 +298,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _several(level: DataFrame) -> DataFrame:
-    """Rows (region, tree, node, comp) of the regions that hold several components, with their number."""
-    found = level.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region", "n")
-    return materialize(level.join(found, "region"), "several")
+    """Rows (region, tree, node, size, comp) of the regions that hold several components, with the members and shingles of each."""
+    found = level.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region", "n", "weight")
+    return materialize(level.join(joinable(materialize(found, "found")), "region"), "several")
 
 
 def _with_comps(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps, "node", "left").select("region", "tree", "node", F.coalesce("comp", "node").alias("comp"))
+    return members.join(comps, "node", "left").select("region", "tree", "node", "size", F.coalesce("comp", "node").alias("comp"))
 
 
 def _parted(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -295,21 +316,24 @@ def _parted(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
         crowded = level.where(F.col("n") > REGION).select("tree", "node", "comp")
         if depth is None or crowded.isEmpty():  # what is crowded at the last depth, too, is left to the last search
             break
-        level = _several(crowded.join(_orders(sigs, depth), ["tree", "node"]).select("region", "tree", "node", "comp"))
+        level = _several(crowded.join(_orders(sigs, depth), ["tree", "node"]).select("region", "tree", "node", "size", "comp"))
     return leaves.select("region", "tree", "node", "comp", F.lit(0).alias("role"))
 
 
 def _blocked(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Regions of several components, at the first depth. A region of more than REGION members is cut into
-    blocks; the members outside its largest component are queries to every block, and every pair of
-    different components has one of them."""
+    """Regions of several components, at the first depth. A region of more than REGION members or SHINGLES
+    shingles is cut into blocks; the members outside its largest component are queries to every block, and
+    every pair of different components has one of them."""
     level = _several(_with_comps(members, comps))
-    leaf = level.where(F.col("n") <= REGION).select("region", "tree", "node", "comp", F.lit(0).alias("role"))
-    crowded = level.where(F.col("n") > REGION)
+    whole = (F.col("n") <= REGION) & (F.col("weight") <= SHINGLES)
+    leaf = level.where(whole).select("region", "tree", "node", "comp", F.lit(0).alias("role"))
+    crowded = level.where(~whole)
     if crowded.isEmpty():
         return leaf
-    sizes = crowded.groupBy("region", "comp", "n").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "comp")).alias("x"), F.max("n").alias("m")).select("region", F.col("x.comp").alias("major"), F.ceil(F.col("m") * 2 / REGION).alias("blocks"), F.ceil((F.col("m") - F.col("x.k")) * 2 / REGION).alias("queries"))
-    rows = crowded.join(sizes, "region")
+    sizes = crowded.groupBy("region", "comp", "n", "weight").agg(F.count("*").alias("k"), F.sum("size").alias("w")).groupBy("region").agg(F.max(F.struct("k", "comp", "w")).alias("x"), F.max("n").alias("n"), F.max("weight").alias("weight"))
+    pieces = lambda n, weight: F.ceil(F.greatest(n * 2 / REGION, weight * 2 / SHINGLES)).cast("long")
+    sizes = sizes.select("region", F.col("x.comp").alias("major"), pieces(F.col("n"), F.col("weight")).alias("blocks"), pieces(F.col("n") - F.col("x.k"), F.col("weight") - F.col("x.w")).alias("queries"))
+    rows = crowded.select("region", "tree", "node", "comp").join(joinable(materialize(sizes, "sizes")), "region")
     spots = lambda own, all_of, salt: (F.pmod(F.xxhash64("node", F.lit(salt)), own), F.explode(F.sequence(F.lit(0).cast("long"), all_of - 1)))
     mine, others = spots(F.col("blocks"), F.col("queries"), 1)
     base = rows.select("region", "tree", "node", "comp", F.lit(1).alias("role"), mine.alias("b"), others.alias("q"))
@@ -320,7 +344,7 @@ def _blocked(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, sigs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``rows`` with the signature and, from ``texts``, the text, sorted by region."""
-    rows = rows.join(sigs, "node")
+    rows = rows.join(sigs.select("node", "sig"), "node")
     if texts is not None:
         rows = rows.join(texts, "node")
     return rows.repartition(spread(sigs), "region").sortWithinPartitions("region", "node")
