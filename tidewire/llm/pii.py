@@ -4,8 +4,8 @@ The base finds emails, IPv4 addresses, card numbers and phone numbers by pattern
 overlapping per kind, and drops matches that fail their test. Its spans stay. The field labels every token
 (runs without white space) of the whole text by the shapes of the word and its neighbours, and by whether a
 key word and an assignment stand before it; it adds ``secret`` spans: keys, tokens and passwords, without
-quotes around them. Its other labels tell secrets from what else has digits or follows a key word; what
-they mark and the base doesn't has failed the base's test, and isn't added. The field is trained on TABLE
+quotes around them. Its label for the base's kinds tells secrets from what else has digits or follows a key
+word; what it marks and the base doesn't has failed the base's test, and isn't added. The field is trained on TABLE
 by gradient ascent on the regularised likelihood, with forward and backward sums over all its sequences at
 once, and decoded by Viterbi over all texts of a batch at once. A text of over BLOCK tokens is cut in
 blocks, each decoded once for every label that may stand before it; joining them is exact, too.
@@ -22,7 +22,7 @@ length, in time proportional to it. Extra columns are passed on by ``redact``, a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -34,9 +34,10 @@ from tidewire.llm.base import caches, enter
 from tidewire.llm.bpe import parted
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-LABELS = ("other", *KINDS)
+#: Of the field: nothing, one of the kinds of the base, a secret.
+LABELS = ("other", "known", "secret")
 #: Tokens of a text beyond which it is decoded in blocks, and texts' tokens that are decoded at a time.
-BLOCK, BATCH = 2048, 400_000
+BLOCK, BATCH = 2048, 2_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -251,16 +252,26 @@ def table() -> list[tuple[list[str], list[int]]]:
                 label, _, rest = part.partition(":")
                 known = label in KINDS and rest
                 tokens.append(re.sub(r"\{(\w+)\}", lambda m: makers[m[1]](), rest if known else part))
-                labels.append(LABELS.index(label) if known else 0)
+                labels.append((LABELS.index("secret") if label == "secret" else LABELS.index("known")) if known else 0)
             out.append((tokens, labels))
     return out
 
 
+class _Rows(dict):
+    """Rows of tokens; ``find`` gives, and may keep, those that aren't here."""
+
+    def __init__(self, find: Callable[[str], int]):
+        self.find = find
+
+    def __missing__(self, token: str) -> int:
+        return self.find(token)
+
+
 class Field:
     """Weights of a linear-chain conditional random field."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.names, self.weights, self.moves = names, weights, moves
+        self.names, self.weights, self.moves = names, weights.astype(np.float32), moves.astype(np.float32)
         self.clear()
 
     def __getstate__(self):
@@ -272,9 +283,10 @@ class Field:
     def clear(self) -> None:
         """Forget the shapes met. Row 0 of the scores stands for the end of a text."""
         self.rows: dict[tuple, int] = {}
-        self.tokens: dict[str, int] = {}
-        self.own, self.role, self.n = np.zeros((3, 1024, len(LABELS))), np.zeros(1024, int), 1
-        self.beside = np.zeros((2, 1024, len(LABELS)))
+        self.simple: dict[str, int] = {}  # rows of short words by their kinds alone
+        self.tokens = _Rows(self._row)
+        self.own, self.role, self.n = np.zeros((len(LEADS), 1024, len(LABELS)), np.float32), np.zeros(1024, int), 1
+        self.beside = np.zeros((2, 1024, len(LABELS)), np.float32)
         self.beside[:, 0] = self.sum(["before.run=^"]), self.sum(["after.run=$"])
 
     def sum(self, found: list[str]) -> np.ndarray:
@@ -282,6 +294,10 @@ class Field:
 
     def _row(self, token: str) -> int:
         """The row of a token's shape."""
+        simple = len(token) < 16 and "=" not in token and (core := token.strip(_MARKS)) and core.lower() not in KEYS
+        if simple and (row := self.simple.get(token.translate(_kinds))) is not None:
+            self.tokens[token] = row
+            return row
         known = coded(token)
         row = self.rows.get(known)
         if row is None:
@@ -294,6 +310,8 @@ class Field:
                 self.own[k, row] = self.sum([*own, *led(lead, own)])
             self.beside[0, row], self.beside[1, row] = self.sum([f"before.{own[0]}"]), self.sum([f"after.{own[0]}"])
             self.role[row] = known[3]
+        if simple:
+            self.simple[known[0]] = row
         if len(token) <= 64:
             self.tokens[token] = row
         return row
@@ -301,8 +319,7 @@ class Field:
     def emissions(self, tokens: list[str]) -> np.ndarray:
         if len(self.tokens) > CACHE or self.n > SHAPES:
             self.clear()
-        of = self.tokens
-        rows = np.array([of[t] if t in of else self._row(t) for t in tokens], int)
+        rows = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
         around = np.concatenate([[0], rows, [0]])
         return self.own[leads(self.role[rows]), rows] + self.beside[0][around[:-2]] + self.beside[1][around[2:]]
 
@@ -325,43 +342,51 @@ class Field:
                 label = np.where(t < sizes, back[t, label, each], label)
         return out
 
-    def _long(self, scores: np.ndarray) -> np.ndarray:
-        """Best labels of one long sequence. Each block is decoded for every label before it, all at once."""
-        many, n = len(LABELS), -(-len(scores) // BLOCK)
-        sizes = np.full(n, BLOCK)
-        sizes[-1] = len(scores) - BLOCK * (n - 1)
-        cut = np.zeros((n, BLOCK, many))
-        cut.reshape(-1, many)[: len(scores)] = scores
-        ends, back = np.zeros((many, n, many)), np.zeros((BLOCK, many, n, many), np.int8)  # label, block, label before
-        for at in range(0, n, 64):
-            some = np.repeat(cut[at : at + 64].transpose(1, 2, 0)[:, :, :, None], many, axis=3)
-            some[0, :, at == 0 :] += self.moves.T[:, None, :]
-            x, y = self._viterbi(some.reshape(BLOCK, many, -1), np.repeat(sizes[at : at + 64], many))
-            ends[:, at : at + 64], back[:, :, at : at + 64] = x.reshape(many, -1, many), y.reshape(BLOCK, many, -1, many)
-        best, before = ends[:, 0, 0], np.zeros((n, many), int)
-        for k in range(1, n):
-            ways = best[:, None] + ends[:, k].T  # label before, label at the end
-            before[k], best = ways.argmax(axis=0), ways.max(axis=0)
-        last = np.zeros(n, int)
-        last[-1] = best.argmax()
-        for k in range(n - 1, 0, -1):
-            last[k - 1] = before[k, last[k]]
-        chosen = np.concatenate([[0], last[:-1]])
-        return self._path(back[:, :, np.arange(n), chosen], sizes, last).T.reshape(-1)[: len(scores)]
+    def _long(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of the scores of long sequences. Each block is decoded for every label before it, all at once."""
+        many, each = len(LABELS), [-(-len(x) // BLOCK) for x in sequences]
+        starts, n = np.cumsum([0, *each])[:-1], sum(each)
+        sizes, later = np.full(n, BLOCK), np.ones(n, bool)
+        later[starts] = False
+        ends, back = np.zeros((many, n, many), np.float32), np.zeros((BLOCK, many, n, many), np.int8)  # label, block, label before
+        cut = np.zeros((n, BLOCK, many), np.float32)
+        for x, start, k in zip(sequences, starts, each, strict=True):
+            cut[start : start + k].reshape(-1, many)[: len(x)] = x
+            sizes[start + k - 1] = len(x) - BLOCK * (k - 1)
+        for at in range(0, n, 256):
+            some = np.repeat(cut[at : at + 256].transpose(1, 2, 0)[:, :, :, None], many, axis=3)
+            some[0] += self.moves.T[:, None, :] * later[None, at : at + 256, None]
+            x, y = self._viterbi(some.reshape(BLOCK, many, -1), np.repeat(sizes[at : at + 256], many))
+            ends[:, at : at + 256], back[:, :, at : at + 256] = x.reshape(many, -1, many), y.reshape(BLOCK, many, -1, many)
+        last, before = np.zeros(n, int), np.zeros((n, many), int)
+        for start, k in zip(starts.tolist(), each, strict=True):
+            best = ends[:, start, 0]
+            for i in range(start + 1, start + k):
+                ways = best[:, None] + ends[:, i].T  # label before, label at the end
+                before[i], best = ways.argmax(axis=0), ways.max(axis=0)
+            last[start + k - 1] = best.argmax()
+            for i in range(start + k - 1, start, -1):
+                last[i - 1] = before[i, last[i]]
+        chosen = np.where(later, np.concatenate([[0], last[:-1]]), 0)
+        labels = self._path(back[:, :, np.arange(n), chosen], sizes, last).T
+        return [labels[start : start + k].reshape(-1)[: len(x)] for x, start, k in zip(sequences, starts, each, strict=True)]
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """Best labels of each sequence: Viterbi over many at once, padded at the end."""
         out: list[np.ndarray] = [np.empty(0, np.int8)] * len(sequences)
         order = sorted((k for k, s in enumerate(sequences) if s), key=lambda k: len(sequences[k]))
         while order and len(sequences[order[-1]]) > BLOCK:
-            k = order.pop()
-            out[k] = self._long(self.emissions(sequences[k]))
+            some = []
+            while order and len(sequences[order[-1]]) > BLOCK and sum(len(x) for _, x in some) < BATCH // 4:
+                some.append((k := order.pop(), self.emissions(sequences[k])))
+            for (k, _), labels in zip(some, self._long([x for _, x in some]), strict=True):
+                out[k] = labels
         while order:
             longest = len(sequences[order[-1]])
             some = order[-max(1, BATCH // longest) :]
             del order[-len(some) :]
             sizes = np.array([len(sequences[k]) for k in some])
-            scores = np.zeros((longest, len(LABELS), len(some)))
+            scores = np.zeros((longest, len(LABELS), len(some)), np.float32)
             for i, k in enumerate(some):
                 scores[: sizes[i], :, i] = self.emissions(sequences[k])
             best, back = self._viterbi(scores, sizes)
@@ -372,7 +397,7 @@ class Field:
 
 
 #: Words and shapes that a worker keeps.
-CACHE, SHAPES = 100_000, 50_000
+CACHE, SHAPES = 200_000, 50_000
 
 
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Field:
