@@ -48,7 +48,7 @@ TREES, STEP = 24, 4
 VALUES = TREES * STEP
 DEPTHS = (3, 6, 10, 16)
 #: Members up to which a region is searched as a whole.
-REGION = 1024
+REGION = 512
 #: Shingles up to which a region's sets are compared in one piece.
 SHINGLES = 4_000_000
 #: Signature values that must agree before a pair of the last search is confirmed: 4 standard deviations under 0.75.
