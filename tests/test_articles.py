@@ -89,7 +89,7 @@ def test_terms(spark):
     assert counts["gpt-4"] == 2 and counts["openai"] == 2 and "is" not in counts and "42" not in counts
     assert dict(terms.tag_counts(rows).collect()) == {"ai": 2, "deep learning": 2}
     best = [tuple(x) for x in terms.trending(rows, 2, 3).collect()]
-    assert best == [("ai", 2), ("deep learning", 2), ("gpt-4", 2)]
+    assert best == [("OpenAI", 2), ("ai", 2), ("deep learning", 2)]
     assert dict(terms.japanese_counts(rows).collect()) == {"モデル": 1, "発表": 1}
     assert round(sum(x["share"] for x in terms.shares(terms.tag_counts(rows), 5).collect()), 6) == 1
 
@@ -108,13 +108,26 @@ def test_search(spark):
     assert ranks == sorted(ranks) and all(x <= 0 for x in ranks)
 
 
-def test_index_is_kept_up(spark):
-    rows = articles(spark, {"title": "old words"}, {"title": "other"}, {"title": "gone words"})
-    index = search.word_index(rows)
-    changed = rows.where("id = 1").withColumn("title", F.lit("new words"))
-    kept = search.refreshed(index, changed, rows.where("id = 3").select("id"))
-    assert ids(search.search_words(kept, "old", indexed=True)) == []
-    assert ids(search.search_words(kept, "words", indexed=True)) == [1]
+def test_index_is_kept_up(spark, tmp_path):
+    rows = articles(spark, {"title": "old words"}, {"title": "other words words"}, {"title": "gone words"})
+    store = Store(spark, f"{tmp_path}/store")
+    store.write("articles", rows)
+    store.index()
+    at = lambda q: ids(search.search_index(store.read("postings"), store.read("lengths"), q))
+    assert at("old") == [1] and at("old-words") == [1] and at("words") == [2, 1, 3] and at("...") == [] and at("words old-other") == []
+    store.index(rows.where("id = 1").withColumn("title", F.lit("new words")), rows.where("id = 3").select("id"))
+    assert at("old") == [] and at("new-words") == [1] and at("words") == [2, 1]
+    plan = search.search_index(store.read("postings"), store.read("lengths"), "new")  # it reads its own terms only
+    assert plan.count() == 1
+
+
+def test_a_stored_index_ranks_like_a_scan(spark):
+    r = random.Random(3)
+    rows = articles(spark, *({"title": " ".join(r.choice("abc") for _ in range(r.randint(0, 6))), "content": " ".join(r.choice("abcdé") for _ in range(r.randint(0, 30)))} for _ in range(60)))
+    index, sizes = search.postings(rows), search.lengths(rows)
+    for q in ("a", "a-b", "e d", "b-a-b c", "zz a"):
+        found = [(x["id"], round(x["rank"], 9)) for x in search.search_index(index, sizes, q, None, 1000).collect()]
+        assert found == [(x["id"], round(x["rank"], 9)) for x in search.search_words(rows, q, None, 1000).collect()]
 
 
 def test_fetch(spark, tmp_path):
@@ -137,8 +150,17 @@ def test_fetch(spark, tmp_path):
 
 
 def test_snippet(spark):
-    rows = articles(spark, {"title": "t", "summary": " ".join(f"w{i}" for i in range(40)) + " target end"})
-    assert search.search_words(rows, "w30").first()["snippet"].startswith("...<b>w30</b> w31")
+    text = "Start: " + " ".join(f"w{i}," for i in range(40)) + " Naïve-Target, end!"
+    rows = articles(spark, {"title": "t", "summary": text}, {"title": "t w30", "summary": "  Short (w30)."}, {"title": "w30", "summary": ""}, {"title": "w30", "summary": "nothing here. "})
+    found = {x["id"]: x["snippet"] for x in search.search_words(rows, "w30").collect()}
+    assert found[1] == "..." + "".join(f"w{i}, " for i in range(21, 30)) + "<b>w30</b>, " + "".join(f"w{i}, " for i in range(31, 40)) + "Naïve..."
+    assert found[2] == "  Short (<b>w30</b>)." and found[3] == "" and found[4] == "nothing here. "
+    (x,) = search.search_words(rows, "naive-target w0").collect()
+    assert x["snippet"] == "Start: <b>w0</b>, " + ", ".join(f"w{i}" for i in range(1, 19)) + "..."
+    (x,) = search.search_words(rows, "Naive-TARGET").collect()
+    assert x["snippet"] == "..." + "".join(f"w{i}, " for i in range(23, 40))[:-2] + ", <b>Naïve-Target</b>, end!"
+    japanese = articles(spark, {"summary_ja": "あいう" * 5 + "新しいモデルの発表とモデルの説明について詳しく書いた文章です"})
+    assert search.search_trigrams(japanese, "モデルの").first()["snippet"] == "...<b>モデルの</b>発表と<b>モデルの</b>説明について詳しく書い..."
 
 
 def test_report_and_digest(spark, tmp_path):
@@ -183,7 +205,7 @@ def test_enrich(spark):
     assert made[3]["ai_model"] == ""
 
 
-def test_retries():
+def test_retries(monkeypatch):
     import urllib.error
 
     waits, left = [], [urllib.error.HTTPError("u", 429, "", {"Retry-After": "3"}, None), TimeoutError(), None]
@@ -195,6 +217,10 @@ def test_retries():
         return "ok"
 
     assert enrich.with_retries(call, 3, waits.append) == "ok" and waits == [3.0, 2.0]
+    tried = []
+    with pytest.raises(TimeoutError):
+        enrich.with_retries(lambda: tried.append(1) or (_ for _ in ()).throw(TimeoutError()), 3, waits.append)
+    assert len(tried) == 4 and waits[2:] == [1.0, 2.0, 4.0]
     with pytest.raises(urllib.error.HTTPError):
         enrich.with_retries(lambda: (_ for _ in ()).throw(urllib.error.HTTPError("u", 404, "", None, None)), 3, waits.append)
     assert enrich.select_endpoint([{"name": "a"}, {"name": "b"}], lambda e: "m" if e["name"] == "b" else None) == ({"name": "b"}, "m")
@@ -202,9 +228,47 @@ def test_retries():
         enrich.select_endpoint([{"name": "a"}], lambda e: None, "x")
     with pytest.raises(RuntimeError):
         enrich.select_endpoint([{"name": "a"}], lambda e: None)
+    assert enrich.select_endpoint([{"name": "a"}, {"name": "b"}], lambda e: "m", order=["b", "a"])[0] == {"name": "b"}
+    assert enrich.endpoint_of({"proxy_url": "http://p/v1", "model": "m"}, lambda e: None) == ({"name": "default", "proxy_url": "http://p/v1", "max_tokens": 500}, "m")
+    assert enrich.endpoint_of({"endpoints": [{"name": "a", "max_tokens": 9}], "max_tokens": 7}, lambda e: "m")[0]["max_tokens"] == 9
+    with pytest.raises(ValueError):
+        enrich.endpoint_of({}, lambda e: "m")
+    monkeypatch.delenv("A_KEY", raising=False)
+    assert enrich.probe({"name": "a", "base_url": "http://127.0.0.1:9", "api_key_env": "A_KEY"}) is None
+
+
+def test_chat_endpoint():
+    import http.server
+    import threading
+
+    seen = []
 
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
 
-RSS = """<rss version="2.0"><channel><title>c</title><item><title>Next Gen</title><link>https://example.com/blog/next-gen-ai?utm_source=rss&amp;utm_medium=feed</link>
+        def do_GET(self):
+            self.answer({"data": [{"id": "models/m1"}, {"id": "m2"}]})
+
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.answer({"choices": [{"message": {"content": "hi"}}]})
+
+        def log_message(self, *_):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = {"name": "a", "proxy_url": f"http://127.0.0.1:{server.server_port}/"}
+        assert [enrich.probe(at | m) for m in ({}, {"model": "m2"}, {"model": "m3"})] == ["m1", "m2", None]
+        assert enrich.chat_client(at, "m1", "be brief")("text") == "hi"
+        server.shutdown()
+    assert (seen[0]["max_tokens"], seen[0]["temperature"], seen[0]["messages"][1]["content"]) == (500, 0.3, "text")
+
+
+RSS = """<rss version="2.0"><channel><title>c</title><item><title>Tide Gauge</title><link>https://harbour.example/notes/tide?utm_source=rss&amp;sp_source=x</link>
 <description>&lt;p&gt;Big &lt;b&gt;news&lt;/b&gt;&lt;/p&gt;</description><pubDate>Mon, 14 Sep 2026 10:00:00 GMT</pubDate><author>ann</author><category>AI</category><category>LLM</category></item>
 <item><title>No link</title><link></link></item></channel></rss>"""
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Entry</title><link href="https://e.com/a" rel="alternate"/><link href="https://e.com/self" rel="self"/>
@@ -215,22 +279,22 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "a.xml").write_text(RSS)
     (tmp_path / "b.xml").write_text(ATOM)
     made = {r["title"]: r for r in landing.feed(spark, str(tmp_path), "s", "tech").collect()}
-    assert set(made) == {"Next Gen", "Entry"}
-    r = made["Next Gen"]
-    assert (r["normalized_url"], r["summary"], r["author"], r["tags"], r["published_at"]) == ("https://example.com/blog/next-gen-ai", "Big news", "ann", ["AI", "LLM"], datetime(2026, 9, 14, 10))
+    assert set(made) == {"Tide Gauge", "Entry"}
+    r = made["Tide Gauge"]
+    assert (r["normalized_url"], r["summary"], r["author"], r["tags"], r["published_at"]) == ("https://harbour.example/notes/tide", "Big news", "ann", ["AI", "LLM"], datetime(2026, 9, 14, 10))
     r = made["Entry"]
     assert (r["url"], r["content"], r["author"], r["tags"], r["published_at"]) == ("https://e.com/a", "one\ntwo", "bob", ["x"], datetime(2026, 9, 14, 10))
 
 
-LIST = '<main><article class="post-card"><h2><a href="/p/1">1</a></h2></article><article class="post-card"><h2><a href="/p/2?utm_source=x">2</a><a href="/p/2">again</a><a href="#x">x</a></h2></article></main>'
-PAGE = '<html><head><title>doc</title><meta name="description" content="desc"><meta property="article:published_time" content="2026-09-14"></head><body><h1 class="article-title">Head</h1><span class="author-name">Ann</span><div class="article-body"><p>one</p><p>two</p></div></body></html>'
+LIST = '<main><section class="card"><h3><a href="/p/1">1</a></h3></section><section class="card"><h3><a href="/p/2?utm_source=x">2</a><a href="/p/2">again</a><a href="#x">x</a></h3></section></main>'
+PAGE = '<html><head><title>doc</title><meta name="description" content="desc"><meta property="article:published_time" content="2026-09-14"></head><body><h1 class="headline">Head</h1><em class="byline">Ann</em><div class="prose"><p>one</p><p>two</p></div></body></html>'
 
 
 def test_pages(spark):
     pages = spark.createDataFrame([("https://e.com/list", LIST)], "url string, body string")
-    links = landing.page_links(pages, {"article_list_selector": "article.post-card h2 a"}).orderBy("rank").collect()
+    links = landing.page_links(pages, {"article_list_selector": "section.card h3 a"}).orderBy("rank").collect()
     assert [(x["rank"], x["normalized_url"]) for x in links] == [(1, "https://e.com/p/1"), (2, "https://e.com/p/2")]
-    own = {"title_selector": "h1.article-title", "author_selector": "span.author-name", "content_selector": "div.article-body", "date_selector": "time.pub-date"}
+    own = {"title_selector": "h1.headline", "author_selector": "em.byline", "content_selector": "div.prose", "date_selector": "time.stamp"}
     rows = [("https://e.com/1", 200, PAGE.encode()), ("https://e.com/2", 404, PAGE.encode()), ("https://e.com/3", 200, b"<h1></h1><title>x</title>"), ("https://e.com/4", 200, '<meta charset="shift_jis"><title>日本語</title><main>本文</main>'.encode("shift_jis"))]
     made = {x["url"]: x for x in landing.page_articles(spark.createDataFrame(rows, "url string, status int, body binary"), "s", "tech", own).collect()}
     assert set(made) == {"https://e.com/1", "https://e.com/4"}
@@ -288,7 +352,7 @@ def test_store_crawl_and_cli(spark, tmp_path, capsys):
     touched = {r["key"]: r["last_crawled_at"] for r in store.read("sources").collect()}
     assert touched["feed"] is not None and touched["gone"] is None
     dates = ["--start-date", "2026-09-01", "--end-date", "2026-09-30"]
-    main([*base, "search", "gen", *more], spark)
+    main([*base, "search", "gauge", *more], spark)
     main([*base, "stats", *more], spark)
     main([*base, "list-sources", *more], spark)
     main([*base, "report", *more, *dates, "-o", f"{tmp_path}/r.md"], spark)
@@ -296,11 +360,66 @@ def test_store_crawl_and_cli(spark, tmp_path, capsys):
     main([*base, "dedupe", *more, *dates, "--apply"], spark)
     main([*base, "extract-keywords", *more, *dates, "--min-count", "1", "--append"], spark)
     main([*base, "enrich", *more, "-d", "100000"], spark, lambda text: '{"title_ja": "題", "summary_ja": "要"}')
-    assert "Next Gen" in (tmp_path / "r.md").read_text() and (tmp_path / "d/2026/2026-09-14.md").exists()
+    assert "Tide Gauge" in (tmp_path / "r.md").read_text() and (tmp_path / "d/2026/2026-09-14.md").exists()
     assert store.read("articles").first()["ai_status"] == "completed"
     assert "new\tnews" in capsys.readouterr().out
 
 
+def test_a_crawl_fetches_its_sources(spark, tmp_path):
+    import http.server
+    import threading
+
+    from tidewire.plans.crawl import crawl
+
+    (tmp_path / "a.xml").write_text(RSS)
+    (tmp_path / "list.html").write_text('<main><a href="/p1.html">1</a><a href="/p2.html">2</a><a href="/none.html">3</a></main>')
+    for k in (1, 2):
+        (tmp_path / f"p{k}.html").write_text(f"<h1>Page {k}</h1><main>Text {k}</main>")
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *a):
+            super().__init__(*a, directory=str(tmp_path))
+
+        def log_message(self, *_):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_port}"
+        sources = [config.checked(s) for s in ({"key": "feed", "feed_url": f"{at}/a.xml", "category": "tech"}, {"key": "pages", "fetch_method": "html", "list_url": f"{at}/list.html"}, {"key": "lost", "feed_url": f"{at}/lost.xml"})]
+        store = Store(spark, f"{tmp_path}/store")
+        found = {r["source_key"]: r for r in crawl(store, sources, delay=0, timeout=5).collect()}
+        server.shutdown()
+    assert {k: (r["status"], r["new_count"]) for k, r in found.items()} == {"feed": ("success", 1), "pages": ("success", 2), "lost": ("failed", 0)}
+    assert {r["title"] for r in store.read("articles").collect()} == {"Tide Gauge", "Page 1", "Page 2"}
+
+
+def test_rows_of_a_crawl_count_for_their_source(spark):
+    from tidewire.operators.upsert import effects
+
+    old = spark.createDataFrame([(1, "u1", "A"), (2, "u2", "A")], "id long, normalized_url string, content_hash string")
+    new = spark.createDataFrame([(0, "u1", "B", "a"), (1, "u3", "A", "a"), (2, "u3", "A", "b"), (3, "u3", "C", "b"), (4, "u2", "A", "b"), (5, "u1", "A", "b")], "position long, normalized_url string, content_hash string, source_key string")
+    assert {r[0]: (r[1], r[2]) for r in effects(old, new, "source_key").collect()} == {"a": (1, 1), "b": (0, 2)}
+
+
+def test_a_report_has_its_frequencies(spark, tmp_path, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(report, "word_cloud", lambda counts, output, *size: drawn.append((output.name, dict(counts.collect()), size)) or True)
+    rows = articles(spark, {"title": "tide gauge", "tags": ["Sea"]}, {"title": "ebb", "ai_status": "completed", "title_ja": "潮位"})
+    text = report.report(rows, days=7, now=NOW + timedelta(hours=1), output=tmp_path / "r.md", settings={"wordcloud_width": 10})
+    assert [(n, c) for n, c, _ in drawn] == [("wordcloud_ja.png", {"潮位": 1, "sea": 1}), ("wordcloud_original.png", {"tide": 1, "gauge": 1, "ebb": 1, "sea": 1})]
+    assert drawn[0][2] == (10, 400) and "![原文ワードクラウド](r_assets/wordcloud_original.png)" in text and text.index(report.FREQUENCIES) < text.index(report.SUMMARY[0])
+    text = report.report(rows.where("id = 1"), days=7, now=NOW + timedelta(hours=1), output=tmp_path / "r.md")
+    assert report.CLOUDS[0][2][1] in text and "原文ワードクラウド" in text
+    assert report.FREQUENCIES not in report.report(rows, days=7, now=NOW + timedelta(hours=1), output=tmp_path / "r.md", settings={"visualize": False})
+
+
+def test_a_category_may_be_called_total(spark):
+    rows = articles(spark, {"category": "TOTAL"}, {"category": "x"}, {"category": "x", "source_key": "b"})
+    assert sorted(tuple(r) for r in select.by_category(rows).collect()) == [("TOTAL", 1, 1, False), ("TOTAL", 3, 3, True), ("x", 2, 2, False)]
+    assert "| **TOTAL** | 1 | 1 |" in report.report(rows, days=7, now=NOW + timedelta(hours=1))
+
+
 def test_stream_upserts_what_lands(spark, tmp_path):
     from tidewire.streaming import ingest
 

@@ -5,9 +5,12 @@ import re
 from collections import Counter
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
-from tidewire.functions.words import ENGLISH
+from tidewire.functions.words import ENGLISH, JAPANESE
+from tidewire.operators import terms
 from tidewire.plans.queries import QUERIES
 
 TEXTS = ["it\u2019s a well-known na\u00efve caf\u00e9 -- co-op", "-dash dash- -x- a--b snake_case x\u00b2 gpt-4\u6f22\u5b57", "\u201cquoted words\u201d \u2014 wor\u0301ds", "caf\u00e9-bar 3.5-4 --", "\u00e9-ab-\u00e9 -ab", ""]
@@ -23,23 +26,37 @@ def folder(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "Click"), (2, "word"), (7, "would")], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    return str(tmp_path), Counter(w for _, t, *_ in rows for w in words(t.split("\n")[0] + "  " + t))
+    return str(tmp_path), [t.split("\n")[0] + " " + (t[:500] if i % 4 == 1 else "") + " " + t for i, t, *_ in rows]
+
+
+def runs(text: str) -> list[str]:
+    found = regex.findall(r"[\p{Han}々]+|[\p{Katakana}ー]+|[A-Za-z0-9][A-Za-z0-9.-]*", text)
+    return [w for w in found if len(w) > 1 and w not in JAPANESE and not re.match(r"^[0-9.]+$", w)]
 
 
 def test_words_of_all_articles(spark, folder):
-    assert dict(QUERIES["word_freq"](spark, folder[0]).collect()) == dict(folder[1])
+    assert dict(QUERIES["word_freq"](spark, folder[0]).collect()) == dict(Counter(w for t in folder[1] for w in words(t)))
 
 
 def test_trending_counts_all_articles_and_tags(spark, folder):
-    want = Counter({w: n for w, n in folder[1].items() if w not in ("would", "thing")})
+    want = Counter(w for t in folder[1] for w in runs(t) if w.lower() not in ("would", "thing"))
+    want.update(runs("新モデル src0 発表された\nモデル v0"))  # of the one article that has a label
     want.update(["click", "type-click", "word", "type-word", "would", "type-would"])
     want.subtract(["would"])  # a stop word as a tag
     want = sorted(((w, n) for w, n in want.items() if n >= 2), key=lambda x: (-x[1], x[0]))[:50]
     assert [tuple(r) for r in QUERIES["trending_keywords"](spark, folder[0]).collect()] == want
 
 
+def test_english_words_count_where_the_segmenter_finds_none(spark):
+    rows = spark.createDataFrame([("tide and tide", "", "gauge 漢字")], "title string, summary string, content string")
+    nothing = lambda c: F.array().cast("array<string>")
+    assert dict(terms.original_counts(rows, nothing).collect()) == {"tide": 2, "gauge": 1}
+    assert dict(terms.original_counts(rows).collect()) == {"tide": 2, "and": 1, "gauge": 1, "漢字": 1}
+    assert dict(terms.original_counts(rows, stop=["tide", "and", "漢字"], keep=["gauge", "tide"]).collect()) == {"gauge": 1}
+
+
 def test_top_terms_of_all_articles(spark, folder):
-    want = sorted(folder[1].items(), key=lambda x: (-x[1], x[0]))[:50]
+    want = sorted(Counter(w for t in folder[1] for w in words(t)).items(), key=lambda x: (-x[1], x[0]))[:50]
     assert sorted(tuple(r) for r in QUERIES["new_vs_existing"](spark, folder[0]).collect()) == sorted((w, n, "existing" if len(w) % 2 == 0 else "new") for w, n in want)
 
 

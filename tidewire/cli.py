@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     c = command("crawl")
     c.add_argument("-s", "--source")
     c.add_argument("--dry-run", action="store_true")
-    c.add_argument("--landing", default="data/landing", help="folder of what was fetched, one folder a source")
+    c.add_argument("--landing", help="folder of what was fetched before, one folder a source; without it, sources are fetched")
     c = command("report", dates=True)
     c.add_argument("--title")
     c.add_argument("--tags", action="append", default=[])
@@ -79,12 +79,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, clien
 
 
 def _crawl(o, store, settings, _):
-    crawl.crawl(store, settings.sources, o.landing, o.source, o.dry_run).show(1000, truncate=False)
+    c = settings.crawler
+    crawl.crawl(store, settings.sources, o.landing, o.source, o.dry_run, delay=c.get("download_delay", 2.0), timeout=c.get("timeout_seconds", 30), useragent=c.get("user_agent", "tidewire")).show(1000, truncate=False)
 
 
 def _report(o, store, settings, _):
     own = settings.report | {k: v for k, v in {"title": o.title, "tags": config.tag_option(o.tags) or None, "visualize": o.visualize, "top_n": o.top_n}.items() if v is not None}
-    text = report.report(store.read("articles"), o.days, o.start_date, o.end_date, o.period, o.category, config.excluded(settings.sources, o.exclude_source), o.exclude_duplicates, o.output, own)
+    text = report.report(store.read("articles"), o.days, o.start_date, o.end_date, o.period, o.category, config.excluded(settings.sources, o.exclude_source), o.exclude_duplicates, o.output, own, dictionary=config.dictionary(own.get("ai_keywords_path") or f"{o.config_dir}/ai_keywords.yaml"))
     if o.output is None:
         print(text)
 
@@ -100,16 +101,16 @@ def _enrich(o, store, settings, client):
         print("nothing is pending")
         return
     if client is None:
-        endpoint, model = enrich.select_endpoint(settings.ai.get("endpoints", []), enrich.probe, o.llm)
+        endpoint, model = enrich.endpoint_of(settings.ai, enrich.probe, o.llm)
         client = enrich.chat_client(endpoint, model, settings.ai.get("system_prompt", ""), settings.ai.get("timeout_seconds", 60), settings.ai.get("max_retries", 3))
-    answered = enrich.answers(rows, client, settings.ai.get("max_input_chars", 8000), settings.ai.get("request_interval", 2.0)).persist()
+    answered = enrich.answers(rows, client, settings.ai.get("max_input_chars", 8000), settings.ai.get("request_interval", 2.0), 1)
     enrich.totals(answered).show()
     store.write("articles", enrich.saved(articles, answered, model, str(settings.ai.get("prompt_version", "1"))))
 
 
 def _search(o, store, settings, _):
     articles = store.read("articles")
-    search.search(articles, o.query, o.category, o.limit).join(articles.select("id", "title", "url", "source_key"), "id").orderBy("rank", "id").show(o.limit, truncate=False)
+    select.numbered(search.search(articles, o.query, o.category, o.limit), articles).orderBy("n").show(o.limit, truncate=False)
 
 
 def _dedupe(o, store, settings, _):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import normalize_title, sort_time
 from tidewire.operators.select import within
+from tidewire.plans.session import written
 
 MIN_TITLE = 15
 
@@ -16,11 +17,12 @@ MIN_TITLE = 15
 def matches(articles: DataFrame, min_title: int = MIN_TITLE, title: Column | None = None) -> DataFrame:
     """canonical_id, duplicate_id and score: the earliest article of a title, and each later one.
 
-    Groups are aggregated before their shuffle; the join back sees one row for each title, so a title that
-    most articles share is a skewed join, which Spark splits, and never a pair of its rows.
+    Groups are aggregated before their shuffle and written: the join back is one of two tables, in which Spark
+    splits a title that most articles share, or broadcasts the groups if they are few. No pair of rows is formed.
     """
     rows = articles.select("id", "source_key", sort_time().alias("at"), (normalize_title("title") if title is None else title).alias("t")).where(F.length("t") >= min_title)
     groups = rows.groupBy("t").agg(F.min(F.struct("at", F.coalesce("id", F.lit(0)).alias("k"), "id")).alias("first"), F.min("source_key").alias("s0"), F.max("source_key").alias("s1")).where("s0 <> s1").select("t", F.col("first.id").alias("canonical_id"))
+    groups = written(groups, "titles")
     return rows.join(groups, "t").where(F.col("id") != F.col("canonical_id")).select("canonical_id", F.col("id").alias("duplicate_id"), F.lit(1.0).alias("score"))
 
 

@@ -1,18 +1,28 @@
-"""Full-text search: phrases over words and over trigrams, ranked by BM25."""
+"""Full-text search: phrases over words and over trigrams, ranked by BM25.
+
+Without an index a search reads the texts once: the pass that counts phrases also gathers the corpus
+statistics, and only articles that hold every phrase are written. With a stored index (``postings`` and
+``lengths``) it reads the rows of its own terms, and no text but those that it shows.
+"""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
+from tidewire.plans.session import written
 
 WORD_COLUMNS = ("title", "summary", "content", "category")
 JAPANESE_COLUMNS = ("title_ja", "summary_ja")
 K1, B = 1.2, 0.75
-SNIPPET = 20
+#: Words of a snippet, and letters of one of the trigram index: as many as so many trigrams span.
+SNIPPET, LETTERS = 20, 22
+POSTINGS = "term STRING, id BIGINT, col INT, places ARRAY<INT>"
+LENGTHS = "id BIGINT, category STRING, words BIGINT"
 
 
 def pieces(query: str) -> list[str]:
@@ -20,84 +30,128 @@ def pieces(query: str) -> list[str]:
     return query.replace('"', " ").split()
 
 
-def word_index(articles: DataFrame) -> DataFrame:
-    """``articles`` with each column's tokens as padded text and the number of all tokens."""
-    made = articles.withColumns({f"_w_{c}": X.padded(X.tokens(c)) for c in WORD_COLUMNS})
-    count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.regexp_count(c, F.lit("  ")) + 1)
-    return made.withColumn("_len", sum((count(f"_w_{c}") for c in WORD_COLUMNS), F.lit(0)))
-
-
-def refreshed(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """A stored word index with changed articles replaced and removed ones (id) left out."""
-    gone = changed.select("id") if removed is None else changed.select("id").union(removed.select("id"))
-    return index.join(gone, "id", "left_anti").unionByName(word_index(changed))
-
-
-def _phrases(query: str) -> list[str]:
+def _phrases(query: str) -> list[list[str]]:
+    """The words of each part that has any, folded."""
     found = []
     for piece in pieces(query):
         lowered = "".join(X._TO[X._FROM.index(c)] if c in X._FROM else c for c in piece).lower()
         words = [w for w in re.split(r"[\W_]+", lowered) if w]
         if words:
-            found.append(" " + "  ".join(words) + " ")
+            found.append(words)
     return found
 
 
+def _literal(text: str) -> str:
+    """A pattern that matches just this text."""
+    return "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def _occurrences(columns: list[str], phrase: str) -> Column:
     """Places of a phrase in all columns, overlapping ones too."""
-    pattern = F.lit("(?=" + "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in phrase) + ")")
+    pattern = F.lit(f"(?={_literal(phrase)})")
     return sum((F.when(F.contains(F.col(c), F.lit(phrase)), F.regexp_count(c, pattern)).otherwise(0) for c in columns), F.lit(0))
 
 
+def _score(n: Column, average: Column, holding: list[Column]) -> Column:
+    """BM25, smaller is better, of the counts _f0, _f1 ... and the length _len of an article."""
+    score = F.lit(0.0)
+    for i, k in enumerate(holding):
+        weight, f = F.ln((n - k + 0.5) / (k + 0.5)), F.col(f"_f{i}")
+        score = score + F.when(weight <= 0, F.lit(1e-6)).otherwise(weight) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_len") / average))
+    return -score
+
+
+def _best(hits: DataFrame, category: str | None, limit: int) -> DataFrame:
+    rows = hits.where(F.col("category") == category) if category else hits
+    return rows.select("id", "rank").orderBy("rank", "id").limit(limit)
+
+
 def ranked(index: DataFrame, columns: list[str], phrases: list[str], category: str | None, limit: int) -> DataFrame:
-    """``index`` rows that hold every phrase, with ``rank``: BM25, smaller is better. It has ``_len``."""
+    """id and rank of the best rows of ``index`` that hold every phrase; it has ``id``, ``category`` and ``_len``."""
     if not phrases:
-        return index.where("false").withColumn("rank", F.lit(0.0))
-    counted = index.withColumns({f"_f{i}": _occurrences(columns, p) for i, p in enumerate(phrases)})
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))))
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        weight = F.ln((F.col("_n") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
-        f = F.col(f"_f{i}")
-        score = score + F.when(weight <= 0, F.lit(1e-6)).otherwise(weight) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    hits = counted
-    for i in range(len(phrases)):
-        hits = hits.where(F.col(f"_f{i}") > 0)
-    if category:
-        hits = hits.where(F.col("category") == category)
-    scored = hits.crossJoin(F.broadcast(stats)).withColumn("rank", -score)  # one row
-    return scored.drop("_n", "_avg", *(f"_f{i}" for i in range(len(phrases))), *(f"_n{i}" for i in range(len(phrases)))).orderBy("rank", "id").limit(limit)
+        return index.where("false").select("id", F.lit(0.0).alias("rank"))
+    names, seen = [f"_f{i}" for i in range(len(phrases))], Observation()
+    counted = index.select("id", "category", "_len", *(_occurrences(columns, p).alias(f) for f, p in zip(names, phrases, strict=True)))
+    counted = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_len").alias("average"), *(F.count_if(F.col(f) > 0).alias(f) for f in names))
+    hits = written(counted.where(" and ".join(f"{f} > 0" for f in names)), "hits")
+    stats = seen.get
+    rank = _score(F.lit(stats["n"]), F.lit(stats["average"]), [F.lit(stats[f]) for f in names])
+    return _best(hits.withColumn("rank", rank), category, limit)
 
 
-def search_words(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, indexed: bool = False) -> DataFrame:
+def search_words(articles: DataFrame, query: str, category: str | None = None, limit: int = 20) -> DataFrame:
     """id, rank and snippet of the articles that hold every part of the query as a phrase of words."""
-    index = articles if indexed else word_index(articles)
+    made = articles.select("id", "category", *(X.padded(X.tokens(c)).alias(f"_w_{c}") for c in WORD_COLUMNS))
+    count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.regexp_count(c, F.lit("  ")) + 1)
+    index = made.withColumn("_len", sum((count(f"_w_{c}") for c in WORD_COLUMNS), F.lit(0)))
     phrases = _phrases(query)
-    hits = ranked(index, [f"_w_{c}" for c in WORD_COLUMNS], phrases, category, limit)
-    return hits.select("id", "rank", snippet(X.tokens("summary"), phrases[0] if phrases else "").alias("snippet"))
-
-
-def snippet(words: Column, phrase: str) -> Column:
-    """SNIPPET words from a phrase's first place on, its words in <b>; the first words where it has none."""
-    wanted = phrase.split()
-    if not wanted:
-        return F.array_join(F.slice(words, 1, SNIPPET), " ")
-    at = F.greatest(F.array_position(words, wanted[0]), F.lit(1))
-    shown = F.transform(F.slice(words, at.cast("int"), F.lit(SNIPPET)), lambda w: F.when(w.isin(*wanted), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-    return F.concat(F.when(at > 1, F.lit("...")).otherwise(F.lit("")), F.array_join(shown, " "), F.when(F.size(words) - at >= SNIPPET, F.lit("...")).otherwise(F.lit("")))
+    best = ranked(index, [f"_w_{c}" for c in WORD_COLUMNS], [" " + "  ".join(p) + " " for p in phrases], category, limit)
+    return shown(best, articles, phrases)
+
+
+def shown(best: DataFrame, articles: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """id, rank and snippet of hits (id, rank), best first."""
+    rows = with_snippet(best.join(articles.select("id", "summary"), "id"), "summary", phrases)
+    return rows.select("id", "rank", "snippet").orderBy("rank", "id")
+
+
+def with_snippet(rows: DataFrame, column: str, phrases: list[list[str]]) -> DataFrame:
+    """``rows`` with snippet: SNIPPET words of the text as it stands, with the phrases that the first of them begins in
+    the middle, as far as the text allows; without any, from its start. Words of phrases are marked, what is left
+    out is dotted. Each step is a projection of its own, so that an array is built once."""
+    word = r"[\p{L}\p{N}]+"
+    rows = rows.withColumn("_text", F.coalesce(F.col(column), F.lit(""))).withColumns({"_words": F.regexp_extract_all("_text", F.lit(word), F.lit(0)), "_gaps": F.split("_text", word, -1)})
+    rows = rows.withColumn("_folded", F.transform("_words", X.folded))
+
+    def marked(_: Column, i: Column) -> Column:
+        hit = F.lit(False)
+        for p in phrases:
+            for j in range(len(p)):
+                here = F.lit(True)
+                for k, w in enumerate(p):
+                    here = here & (F.get("_folded", i - j + k) == w)
+                hit = hit | F.coalesce(here, F.lit(False))
+        return hit
+
+    rows = rows.withColumn("_marks", F.transform("_folded", marked))
+    rows = rows.withColumn("_first", F.array_position("_marks", F.lit(True)).cast("int"))
+    rows = rows.withColumn("_seen", F.slice("_marks", F.greatest("_first", F.lit(1)), F.lit(SNIPPET)))
+    beside = F.floor((SNIPPET - (F.size("_seen") - F.array_position(F.reverse("_seen"), F.lit(True)) + 1)) / 2).cast("int")
+    rows = rows.withColumn("_at", F.when(F.col("_first") == 0, F.lit(0)).otherwise(F.greatest(F.least(F.col("_first") - 1 - beside, F.size("_words") - SNIPPET), F.lit(0))))
+    rows = rows.withColumn("_end", F.least(F.col("_at") + SNIPPET, F.size("_words")))
+    mark = lambda i: F.coalesce(F.get("_marks", i), F.lit(False))
+    first, last = (lambda i: i == F.col("_at")), (lambda i: i == F.col("_end") - 1)
+    shown = lambda i: F.concat(F.when(first(i), F.lit("")).otherwise(F.get("_gaps", i)), F.when(mark(i) & (first(i) | ~mark(i - 1)), F.lit("<b>")).otherwise(F.lit("")), F.get("_words", i), F.when(mark(i) & (last(i) | ~mark(i + 1)), F.lit("</b>")).otherwise(F.lit("")))
+    body = F.when(F.col("_end") > F.col("_at"), F.array_join(F.transform(F.sequence("_at", F.col("_end") - 1), shown), "")).otherwise(F.lit(""))
+    before = F.when(F.col("_at") > 0, F.lit("...")).otherwise(F.get("_gaps", F.lit(0)))
+    after = F.when(F.col("_end") < F.size("_words"), F.lit("...")).when(F.size("_words") == 0, F.lit("")).otherwise(F.get("_gaps", F.col("_end")))
+    return rows.withColumn("snippet", F.concat(before, body, after)).drop("_text", "_words", "_gaps", "_folded", "_marks", "_first", "_seen", "_at", "_end")
 
 
 def search_trigrams(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, columns: tuple[str, ...] = JAPANESE_COLUMNS) -> DataFrame:
     """id, rank and snippet of the articles that hold every part of at least three letters, in any case."""
-    phrases = [p.lower() for p in pieces(query) if len(p) >= 3]
-    made = articles.withColumns({f"_t_{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns})
+    parts = [p.lower() for p in pieces(query) if len(p) >= 3]
+    made = articles.select("id", "category", *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_t_{c}") for c in columns))
     index = made.withColumn("_len", sum((F.greatest(F.length(f"_t_{c}") - 2, F.lit(0)) for c in columns), F.lit(0)))
-    hits = ranked(index, [f"_t_{c}" for c in columns], phrases, category, limit)
-    return hits.select("id", "rank", X.preview(F.col(columns[-1]), 60).alias("snippet"))
+    best = ranked(index, [f"_t_{c}" for c in columns], parts, category, limit)
+    text = F.coalesce(F.col(columns[-1]), F.lit(""))
+    return best.join(articles.select("id", columns[-1]), "id").select("id", "rank", letters(text, parts).alias("snippet")).orderBy("rank", "id")
+
+
+def letters(text: Column, parts: list[str]) -> Column:
+    """LETTERS letters of a text from the first of the parts on, each part marked."""
+    at = F.lit(1)
+    if parts:
+        places = [F.nullif(F.instr(F.lower(text), p), F.lit(0)) for p in parts]
+        at = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1))
+    some = F.substring(text, at, F.lit(LETTERS))
+    if parts:
+        some = F.regexp_replace(some, "(?iu)(" + "|".join(map(_literal, sorted(parts, key=len, reverse=True))) + ")", "<b>$1</b>")
+    return F.concat(F.when(at > 1, F.lit("...")).otherwise(F.lit("")), some, F.when(F.length(text) >= at + LETTERS, F.lit("...")).otherwise(F.lit("")))
 
 
 def search_like(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, columns: tuple[str, ...] = JAPANESE_COLUMNS) -> DataFrame:
-    """The fallback: LIKE in any case, newest first, rank 0. % and _ in the query are wildcards."""
+    """The fallback: LIKE in any case, newest first, rank 0, without a snippet. % and _ in the query are wildcards."""
     pattern = f"%{query}%".lower().replace("\\", "\\\\")
     found = F.lit(False)
     for c in columns:
@@ -105,7 +159,7 @@ def search_like(articles: DataFrame, query: str, category: str | None = None, li
     rows = articles.where(found)
     if category:
         rows = rows.where(F.col("category") == category)
-    return rows.orderBy(X.sort_time().desc(), "id").limit(limit).select("id", F.lit(0.0).alias("rank"), X.preview(F.col(columns[-1]), 60).alias("snippet"))
+    return rows.orderBy(X.sort_time().desc(), "id").limit(limit).select("id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet"))
 
 
 def search(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, fall_back: bool = False) -> DataFrame:
@@ -118,3 +172,49 @@ def search(articles: DataFrame, query: str, category: str | None = None, limit:
         both = both.unionByName(search_like(articles, query, category, limit).withColumn("_list", F.lit(2)))
     first = F.row_number().over(Window.partitionBy("id").orderBy("_list"))
     return both.withColumn("_k", first).where("_k = 1").drop("_k", "_list").orderBy("rank", "id").limit(limit)
+
+
+# The stored index
+
+
+def postings(articles: DataFrame) -> DataFrame:
+    """term, id, col and places: where each word stands in each article; dealt and sorted by term, so that a search
+    reads few row groups."""
+    columns = F.array(*(F.struct(F.lit(k).alias("col"), X.tokens(c).alias("words")) for k, c in enumerate(WORD_COLUMNS)))
+    placed = articles.select("id", F.explode(columns).alias("x")).select("id", "x.col", F.posexplode("x.words").alias("place", "term"))
+    rows = placed.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return rows.repartition("term").sortWithinPartitions("term", "id")
+
+
+def lengths(articles: DataFrame) -> DataFrame:
+    """id, category and the number of words of each article."""
+    return articles.select("id", "category", sum((F.size(X.tokens(c)) for c in WORD_COLUMNS), F.lit(0)).cast("long").alias("words"))
+
+
+def refreshed(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None, build=postings) -> DataFrame:
+    """A stored table of the index with the rows of changed articles made anew, and those of removed ones (id) left out."""
+    gone = changed.select("id") if removed is None else changed.select("id").union(removed.select("id"))
+    return index.join(gone.distinct(), "id", "left_anti").select(*index.columns).unionByName(build(changed))
+
+
+def search_index(index: DataFrame, sizes: DataFrame, query: str, category: str | None = None, limit: int = 20) -> DataFrame:
+    """id and rank of what ``search_words`` finds, from the postings and lengths of the articles."""
+    phrases = _phrases(query)
+    if not phrases:
+        return sizes.where("false").select("id", F.lit(0.0).alias("rank"))
+    rows = index.where(F.col("term").isin(*sorted({w for p in phrases for w in p})))
+    held = rows.groupBy("id", "col").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m"))
+
+    def starts(word: str, place: int) -> Column:
+        """Where a phrase would start that has the word in this place."""
+        return F.transform(F.coalesce(F.try_element_at("m", F.lit(word)), F.array().cast("array<int>")), lambda p: p - place)
+
+    def times(phrase: list[str]) -> Column:
+        return F.size(reduce(F.array_intersect, [starts(w, k) for k, w in enumerate(phrase)]))
+
+    counted = held.select("id", *(times(p).alias(f"_f{i}") for i, p in enumerate(phrases))).groupBy("id").agg(*(F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(phrases))))
+    counted = written(counted, "counted")
+    holding = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases)))).first()
+    whole = sizes.agg(F.count("*").alias("n"), F.avg("words").alias("average")).first()
+    hits = counted.where(" and ".join(f"_f{i} > 0" for i in range(len(phrases)))).join(sizes.withColumnRenamed("words", "_len"), "id")
+    return _best(hits.withColumn("rank", _score(F.lit(whole["n"]), F.lit(whole["average"]), [F.lit(n) for n in holding])), category, limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import sort_time
@@ -36,7 +36,8 @@ def recent(articles: DataFrame, at: datetime, category: str | None = None, sourc
     return newest(rows, limit)
 
 
-def in_range(articles: DataFrame, start: datetime, end: datetime, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False) -> DataFrame:
+def ranged(articles: DataFrame, start: datetime, end: datetime, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False) -> DataFrame:
+    """Articles of a range, in no order: what aggregates need."""
     rows = articles.where(within(start, end))
     if category:
         rows = rows.where(F.col("category") == category)
@@ -44,7 +45,12 @@ def in_range(articles: DataFrame, start: datetime, end: datetime, category: str
         rows = rows.where(~F.col("source_key").isin(*without))
     if without_duplicates:
         rows = rows.where(F.col("duplicate_of_id").isNull())
-    return newest(rows)
+    return rows
+
+
+def in_range(articles: DataFrame, start: datetime, end: datetime, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False) -> DataFrame:
+    """Articles of a range, newest first."""
+    return newest(ranged(articles, start, end, category, without, without_duplicates))
 
 
 def pending(articles: DataFrame, at: datetime, limit: int = 50, retry_failed: bool = False) -> DataFrame:
@@ -74,7 +80,20 @@ def orphans(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> Dat
 
 
 def by_category(articles: DataFrame) -> DataFrame:
-    """Sources and articles of each category, and a total, whose sources are the sum over categories."""
-    groups = articles.groupBy("category").agg(F.count_distinct("source_key").alias("sources"), F.count("*").alias("articles"))
-    total = groups.agg(F.lit("TOTAL").alias("category"), F.coalesce(F.sum("sources"), F.lit(0)).alias("sources"), F.coalesce(F.sum("articles"), F.lit(0)).alias("articles"))
-    return groups.unionByName(total)
+    """category, sources, articles and total: each category, and a row for all of them, whose sources are the
+    sum over categories. ``total`` tells that row from a category of its name. Without articles there is none."""
+    groups = articles.groupBy("category", "source_key").agg(F.count("*").alias("n")).groupBy("category").agg(F.count("source_key").alias("sources"), F.sum("n").alias("articles"))
+    both = groups.rollup("category").agg(F.sum("sources").alias("sources"), F.sum("articles").alias("articles"), (F.grouping("category") == 1).alias("total"))
+    return both.withColumn("category", F.when(F.col("total"), F.lit("TOTAL")).otherwise(F.col("category")))
+
+
+def numbered(hits: DataFrame, articles: DataFrame) -> DataFrame:
+    """Hits of a search (id, rank, snippet) with n, their place from 1, and what is shown of their articles."""
+    n = F.row_number().over(Window.orderBy("rank", "id"))  # as few as the search's limit
+    return hits.withColumn("n", n).join(articles.select("id", "title", "url", "source_key"), "id")
+
+
+def listed(sources: DataFrame) -> DataFrame:
+    """Sources by key, with the address that is shown for each."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    return sources.select("key", "name", "category", "fetch_method", "enabled", F.coalesce(filled("feed_url"), filled("list_url"), "base_url").alias("address")).orderBy("key")

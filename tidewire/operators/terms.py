@@ -50,6 +50,14 @@ def japanese_counts(articles: DataFrame, segment: Callable[[Column], Column] = X
     return only(without(count_terms(translated(articles), segment(F.concat_ws(" ", "title_ja", "summary_ja"))), stop), keep)
 
 
+def original_counts(articles: DataFrame, segment: Callable[[Column], Column] = X.script_runs, stop: Iterable[str] = (), keep: Iterable[str] = ()) -> DataFrame:
+    """Counts of the original texts by the Japanese segmenter; English words, if that leaves none."""
+    found = articles.select(F.explode(segment(original_text())).alias("term"))
+    if only(without(found, stop), keep).isEmpty():
+        return word_counts(articles, stop, keep)
+    return only(without(count_terms(articles, segment(original_text())), stop), keep)
+
+
 def tag_counts(articles: DataFrame, stop: Iterable[str] = ()) -> DataFrame:
     return without(count_terms(articles, X.clean_tags(F.col("tags"))), stop)
 
@@ -60,7 +68,7 @@ def top(counts: DataFrame, n: int) -> DataFrame:
 
 def trending(articles: DataFrame, min_count: int = 2, top_n: int = 50, stop: Iterable[str] = (), stop_text: Iterable[str] = (), segment: Callable[[Column], Column] = X.script_runs) -> DataFrame:
     """(term, cnt): tags, Japanese text and original text added. ``stop_text`` isn't applied to tags."""
-    texts = [without(japanese_counts(articles, segment, stop), stop_text), without(word_counts(articles, stop), stop_text)]
+    texts = [without(japanese_counts(articles, segment, stop), stop_text), without(original_counts(articles, segment, stop), stop_text)]
     return top(added(tag_counts(articles, stop), *texts).where(F.col("cnt") >= min_count), top_n)
 
 

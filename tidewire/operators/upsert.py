@@ -12,51 +12,71 @@ CONTENT = ("title", "summary", "content", "category", "tags", "content_hash", "n
 #: Columns that a changed text replaces where it has a value.
 KNOWN = ("published_at", "published_offset", "author")
 #: Columns that a changed text clears, and to what.
-CLEARED = {"title_ja": "''", "summary_ja": "''", "ai_input_hash": "''", "ai_model": "''", "ai_status": "'pending'", "ai_processed_at": "NULL", "ai_error": "NULL", "duplicate_of_id": "NULL", "duplicate_score": "NULL"}
+CLEARED = {"title_ja": "''", "summary_ja": "''", "ai_input_hash": "''", "ai_model": "''", "ai_status": "'pending'", "ai_processed_at": "CAST(NULL AS TIMESTAMP_NTZ)", "ai_error": "CAST(NULL AS STRING)", "duplicate_of_id": "CAST(NULL AS BIGINT)", "duplicate_score": "CAST(NULL AS DOUBLE)"}
+
+
+def folded(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows of both tables that count, of the URLs that come in: without texts, in order of arrival by URL.
+
+    Rows of one URL are folded in that order, the stored row first, whose _pos is -1: a row counts if its
+    hash differs from that of the row before it. ``_new`` says that it makes its URL known.
+    """
+    narrow = ("normalized_url", "content_hash", "id", "source_key", "url", "ai_prompt_version", *KNOWN, "_pos")
+    met = stored.join(incoming.select("normalized_url").distinct(), "normalized_url", "left_semi").withColumn("_pos", F.lit(-1).cast("long"))
+    w = Window.partitionBy("normalized_url").orderBy("_pos")
+    rows = met.select(*narrow).unionByName(incoming.select(*narrow))
+    return rows.withColumn("_last", F.lag("content_hash").over(w)).where("_last is null or _last <> content_hash").withColumn("_new", F.col("_last").isNull() & (F.col("_pos") >= 0)).drop("_last")
+
+
+def effects(stored: DataFrame, incoming: DataFrame, by: str, position: str = "position") -> DataFrame:
+    """``by``, new_count and updated_count: how many incoming rows of each make a URL known, or change its text."""
+    new = conformed(incoming.drop("id"), ARTICLES, F.col(position).cast("long").alias("_pos"))
+    counted = folded(conformed(stored), new).where("_pos >= 0")
+    return counted.groupBy(by).agg(F.count_if("_new").alias("new_count"), F.count_if(~F.col("_new")).alias("updated_count"))
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, position: str = "position") -> DataFrame:
     """The new table with an ``action``, ``new_count`` and ``updated_count`` for each row.
 
-    ``incoming`` has ``position``, the order of arrival. Rows of one URL are folded in that order, the
-    stored row first: a row counts if its hash differs from that of the row before it. Ids go on from the
-    largest stored one, in order of arrival.
+    ``incoming`` has ``position``, the order of arrival. Which row of a URL holds is found without texts;
+    stored rows that nothing changes are passed on as they are, and only the rows that hold bring theirs.
+    Ids go on from the largest stored one, in order of arrival.
     """
-    old = conformed(stored).withColumn("_pos", F.lit(-1).cast("long")).withColumn("_stored", F.lit(True))
-    new = conformed(incoming.drop("id"), ARTICLES, F.col(position).cast("long").alias("_pos")).withColumn("_stored", F.lit(False))
-    both = old.unionByName(new)
-    w = Window.partitionBy("normalized_url").orderBy("_pos")
-    rows = both.withColumn("_counts", F.coalesce(F.lag("content_hash").over(w) != F.col("content_hash"), F.lit(True)))
-    last = lambda c: F.max_by(F.struct(c), "_pos")[c].alias(c)
-    effective = rows.where("_counts")
-    first = F.min_by(F.struct("id", "source_key", "url", "ai_prompt_version", *CLEARED), "_pos")
+    old = conformed(stored)
+    new = conformed(incoming.drop("id"), ARTICLES, F.col(position).cast("long").alias("_pos"))
+    first = F.min_by(F.struct("id", "source_key", "url", "ai_prompt_version"), "_pos")
     known = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(c)
-    folded = effective.groupBy("normalized_url").agg(first.alias("_first"), *(last(c) for c in CONTENT), *(known(c) for c in KNOWN), F.bool_or("_stored").alias("_old"), F.count("*").alias("_n"), F.min("_pos").alias("_at"))
-    changed = F.col("_n") > 1
-    out = folded.select(
+    urls = folded(old, new).groupBy("normalized_url").agg(first.alias("_first"), *(known(c) for c in KNOWN), F.max("_pos").alias("_pos"), F.min("_pos").alias("_at"), F.count("*").alias("_n")).where("_pos >= 0")
+    held = urls.select("normalized_url", "_pos", "_at", (F.col("_n") - 1).alias("updated_count"), (F.col("_at") < 0).alias("_old"), *(F.col(f"_first.{c}").alias(c) for c in ("id", "source_key", "url", "ai_prompt_version")), *KNOWN)
+    texts = new.select("normalized_url", "_pos", *CONTENT)
+    made = held.join(texts, ["normalized_url", "_pos"]).select(
         "normalized_url",
-        *(F.col(f"_first.{c}").alias(c) for c in ("id", "source_key", "url", "ai_prompt_version")),
+        "id",
+        "source_key",
+        "url",
+        "ai_prompt_version",
         *CONTENT,
         *KNOWN,
-        *(F.when(changed, F.expr(v)).otherwise(F.col(f"_first.{c}")).alias(c) for c, v in CLEARED.items()),
-        F.when(~F.col("_old"), F.lit("insert")).when(changed, F.lit("update")).otherwise(F.lit("unchanged")).alias("action"),
+        *(F.expr(v).alias(c) for c, v in CLEARED.items()),
+        F.when(F.col("_old"), F.lit("update")).otherwise(F.lit("insert")).alias("action"),
         F.when(F.col("_old"), 0).otherwise(1).cast("long").alias("new_count"),
-        (F.col("_n") - 1).alias("updated_count"),
+        "updated_count",
         "_at",
     )
-    return _numbered(out)
+    kept = old.join(urls.select("normalized_url"), "normalized_url", "left_anti").withColumns({"action": F.lit("unchanged"), "new_count": F.lit(0).cast("long"), "updated_count": F.lit(0).cast("long")})
+    return kept.unionByName(_numbered(made, old))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, old: DataFrame) -> DataFrame:
     """Ids for new rows: parts of the arrival order get a base by prefix sum, so no task sees all new rows."""
-    largest = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    part = F.floor(F.col("_at") / 100_000)
-    fresh = rows.where("id is null").select("normalized_url", "_at", part.alias("_part"))
+    largest = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
+    salted = rows.withColumn("_part", F.floor(F.col("_at") / 100_000))
+    fresh = salted.where("_at >= 0")
     sizes = fresh.groupBy("_part").agg(F.count("*").alias("_n"))
     bases = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # one row for each 100,000 new ones
-    ranks = fresh.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy("_at", "normalized_url"))).join(bases, "_part").select("normalized_url", (F.col("_base") + F.col("_rank")).alias("_new"))
-    joined = rows.join(ranks, "normalized_url", "left").crossJoin(F.broadcast(largest))  # one row
-    return joined.withColumn("id", F.coalesce("id", F.col("_max") + F.col("_new"))).drop("_new", "_max", "_at")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_at", "normalized_url"))
+    named = fresh.withColumn("_rank", rank).join(bases, "_part").crossJoin(F.broadcast(largest)).withColumn("id", F.col("_max") + F.col("_base") + F.col("_rank")).drop("_max", "_base", "_rank")  # one row
+    return named.unionByName(salted.where("_at < 0")).drop("_part", "_at")
 
 
 def upsert_sources(stored: DataFrame, incoming: DataFrame) -> DataFrame:

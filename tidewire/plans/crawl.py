@@ -1,24 +1,53 @@
-"""A crawl: what was landed for each source goes into the store; each source succeeds or fails by itself."""
+"""A crawl: what is fetched or was landed for each source goes into the store; each source succeeds or fails by itself."""
 
 from __future__ import annotations
 
 import time
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewire.operators.select import run_totals
-from tidewire.operators.upsert import touch_sources, upsert, upsert_sources
+from tidewire.operators.upsert import effects, touch_sources, upsert, upsert_sources
+from tidewire.plans.session import scratch, written
 from tidewire.sources.config import chosen
-from tidewire.sources.landing import read_source
+from tidewire.sources.fetch import fetched
+from tidewire.sources.landing import RENDERED, STATIC, page_links, read_source
 from tidewire.sources.schema import RESULTS, RUNS, SOURCES
 from tidewire.sources.store import Store
 
+#: Rows that one source may have in a run; positions of sources don't overlap below it.
+MOST = 1 << 40
 
-def crawl(store: Store, sources: list[dict], folder: str, key: str | None = None, dry_run: bool = False) -> DataFrame:
-    """Results of one run over ``folder``/<key> of each source. A dry run counts and writes nothing."""
+
+def land(spark: SparkSession, sources: list[dict], folder: str, **options: object) -> dict[str, str]:
+    """Fetch sources into ``folder``/<key>, as the readers take them; what went wrong, by key.
+
+    A first request for each source; for pages, the links of its list then are fetched, too. Pages that only a
+    browser renders are fetched as they come.
+    """
+    first, failed = written(fetched(spark, sources, **options), "fetched"), {}
+    for s in sources:
+        rows, at = first.where(F.col("source_key") == s["key"]), f"{folder.rstrip('/')}/{s['key']}"
+        status = [r["status"] for r in rows.select("status").collect()]  # one request
+        if status != [200]:
+            failed[s["key"]] = f"no answer, or status {status}"
+        elif s.get("fetch_method") in ("html", "playwright"):
+            profile = RENDERED if s["fetch_method"] == "playwright" else STATIC
+            links = [r["url"] for r in page_links(rows, s, profile).orderBy("rank").collect()]  # the profile's most
+            fetched(spark, [s], {s["key"]: links}, **options).select("url", "status", "body").write.mode("overwrite").parquet(at)
+        else:
+            rows.select(F.decode("body", "UTF-8")).write.mode("overwrite").text(at)
+    return failed
+
+
+def crawl(store: Store, sources: list[dict], folder: str | None = None, key: str | None = None, dry_run: bool = False, **options: object) -> DataFrame:
+    """Results of one run over ``folder``/<key> of each source, or over what is fetched now where no folder is
+    given. What the sources have is read one after the other, then folded into the store at once, in their
+    order. A dry run counts and writes nothing."""
     spark, began = store.spark, datetime.now()
     picked, results = chosen(sources, key), []
     names = [f.name for f in StructType.fromDDL(SOURCES)]
@@ -26,24 +55,32 @@ def crawl(store: Store, sources: list[dict], folder: str, key: str | None = None
         store.write("sources", upsert_sources(store.read("sources"), spark.createDataFrame([{k: s.get(k) for k in names} for s in picked], SOURCES)))
     runs = store.read("crawl_runs")
     number = (runs.agg(F.max("id")).first()[0] or 0) + 1
-    for s in picked:
+    lost: dict[str, str] = {}
+    if folder is None:
+        lost = land(spark, picked, folder := scratch(spark, "landing"), **options)
+    found: list[DataFrame] = []
+    for k, s in enumerate(picked):
         at = time.monotonic()
         row = {"run_id": number, "source_key": s["key"], "status": "success", "article_count": 0, "new_count": 0, "updated_count": 0, "error_message": None}
         try:
-            found = read_source(spark, f"{folder.rstrip('/')}/{s['key']}", s)
+            if s["key"] in lost:
+                raise OSError(lost[s["key"]])
+            # one document order for one source: that of its files; the rows are read once, so it stays
+            placed = written(read_source(spark, f"{folder.rstrip('/')}/{s['key']}", s).withColumn("position", F.monotonically_increasing_id()), "placed")
+            row["article_count"] = placed.count()
+            found.append(placed.withColumn("position", F.col("position") + k * MOST))
             if dry_run:
-                row["article_count"] = row["new_count"] = found.count()
-            else:
-                # one document order for one source: that of its files
-                placed = found.withColumn("position", F.monotonically_increasing_id())
-                stored = store.read("articles")
-                merged = upsert(stored, placed)
-                counts = merged.join(placed.select("normalized_url").distinct(), "normalized_url", "left_semi").agg(F.coalesce(F.sum("new_count"), F.lit(0)), F.coalesce(F.sum("updated_count"), F.lit(0))).first()
-                row |= {"article_count": found.count(), "new_count": counts[0], "updated_count": counts[1]}
-                store.write("articles", merged)
+                row["new_count"] = row["article_count"]
         except Exception as e:  # one source's failure is a row of the run
             row |= {"status": "failed", "error_message": str(e)[:500]}
         results.append(row | {"duration_seconds": time.monotonic() - at})
+    if found and not dry_run:
+        incoming, stored = reduce(DataFrame.unionByName, found), store.read("articles")
+        counts = {r["source_key"]: r for r in effects(stored, incoming, "source_key").collect()}  # one row for each source
+        for row in results:
+            if row["source_key"] in counts:
+                row |= {c: counts[row["source_key"]][c] for c in ("new_count", "updated_count")}
+        store.write("articles", upsert(stored, incoming))
     table = spark.createDataFrame(results, RESULTS)
     if not dry_run:
         total = run_totals(table).select(F.lit(number).cast("long").alias("id"), F.lit(began).cast("timestamp_ntz").alias("started_at"), F.lit(datetime.now()).cast("timestamp_ntz").alias("finished_at"), "*")

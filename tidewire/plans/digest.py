@@ -59,10 +59,12 @@ def rendered(articles: DataFrame, names: DataFrame | None = None, only_summarize
 def write(articles: DataFrame, root: str | Path, names: DataFrame | None = None, only_summarized: bool = False, day_range: tuple[date, date] | None = None, prefix: str = PREFIX, tags: list[str] | None = None) -> tuple[list[tuple[Path, int]], list[date]]:
     """Write the files; ((path, articles of the day), days out of range, which are left alone). Idempotent."""
     written, skipped = [], []
+    if day_range is not None:
+        inside = X.article_date().between(*day_range)
+        skipped = [r[0] for r in articles.where(~inside).select(X.article_date().alias("day")).distinct().orderBy("day").collect()]  # one row for each day
+        articles = articles.where(inside)
     for r in rendered(articles, names, only_summarized, prefix, tags).orderBy("day").toLocalIterator():
-        if day_range is not None and not day_range[0] <= r["day"] <= day_range[1]:
-            skipped.append(r["day"])
-        elif not only_summarized or r["done"]:
+        if not only_summarized or r["done"]:
             path = Path(root) / f"{r['day'].year}" / f"{r['day'].isoformat()}.md"
             path.parent.mkdir(parents=True, exist_ok=True)
             path.write_text(r["text"], encoding="utf-8")

@@ -1,51 +1,27 @@
-"""Every query of the library by name, and DuckDB SQL of the same results.
-
-The driver's documents stand for articles (``articles_of_documents``); "now" is fixed.
-"""
+"""Queries of the article library by name, and DuckDB SQL of the same results."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.operators import duplicates, enrich, search, select, terms
 from tidewire.operators.upsert import upsert
 from tidewire.plans import digest, report
+from tidewire.plans.registry import AT as _AT
+from tidewire.plans.registry import DAY as _DAY
+from tidewire.plans.registry import END, ONE_LINE, QUERIES, SQL, START, query, stop_words
+from tidewire.plans.registry import IN as _IN
+from tidewire.plans.registry import SINCE as _SINCE
+from tidewire.plans.registry import articles as _articles
+from tidewire.plans.registry import with_articles as _with
 from tidewire.plans.session import scratch, ship
 from tidewire.sources import landing
-from tidewire.sources.schema import ARTICLES_SQL, articles_of_documents
 from tidewire.sources.store import Store
 from tidewire.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-START, END = datetime(2024, 1, 8), datetime(2024, 2, 5)
-_AT = "coalesce(published_at, fetched_at)"
-_IN = f"(({_AT}) >= TIMESTAMP '2024-01-08' AND ({_AT}) < TIMESTAMP '2024-02-05')"
-_SINCE = f"({_AT} >= TIMESTAMP '2024-01-08')"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _with(body: str, *more: str) -> str:
-    return "WITH " + ",\n".join((ARTICLES_SQL, *more)) + "\n" + body
-
-
-def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles_of_documents(ship(spark), sf_dir)
+__all__ = ["QUERIES", "SQL"]
 
 
 @query(_with(f"SELECT id, source_key, category, {_AT} AS sort_at FROM articles WHERE {_SINCE} ORDER BY sort_at DESC, id LIMIT 100"))
@@ -54,13 +30,13 @@ def recent_articles(spark, sf_dir):
     return select.recent(_articles(spark, sf_dir), START).select("id", "source_key", "category", X.sort_time().alias("sort_at"))
 
 
-@query(_with(f"SELECT id, source_key, category, {_AT} AS sort_at FROM articles WHERE {_IN} AND category = 'en' AND source_key NOT IN ('src1', 'src2')"))
+@query(_with(f"SELECT id, source_key, category, {_AT} AS sort_at FROM articles WHERE {_IN} AND category = 'en' AND source_key NOT IN ('src1', 'src2') AND duplicate_of_id IS NULL"))
 def range_articles(spark, sf_dir):
     """A half-open range of one category without two sources."""
     return select.in_range(_articles(spark, sf_dir), START, END, "en", ["src1", "src2"], True).select("id", "source_key", "category", X.sort_time().alias("sort_at"))
 
 
-@query(_with(f"SELECT id, source_key, ai_status FROM articles WHERE {_SINCE} AND ai_status IN ('pending', 'failed') ORDER BY {_AT} DESC, id LIMIT 50"))
+@query(_with(f"SELECT id, source_key, ai_status FROM articles WHERE {_SINCE} AND ai_status IN ('pending', 'failed') AND duplicate_of_id IS NULL ORDER BY {_AT} DESC, id LIMIT 50"))
 def pending_articles(spark, sf_dir):
     """What a language model has yet to see, failures included."""
     return select.pending(_articles(spark, sf_dir), START, 50, True).select("id", "source_key", "ai_status")
@@ -84,22 +60,23 @@ def stats_totals(spark, sf_dir):
     return _articles(spark, sf_dir).agg(F.count_distinct("source_key").alias("sources"), F.count("*").alias("articles"))
 
 
-@query(_with(f"SELECT category, count(DISTINCT source_key) AS sources, count(*) AS articles FROM r GROUP BY category UNION ALL SELECT 'TOTAL', coalesce(sum(s), 0)::BIGINT, coalesce(sum(n), 0)::BIGINT FROM (SELECT count(DISTINCT source_key) AS s, count(*) AS n FROM r GROUP BY category)", f"r AS (SELECT * FROM articles WHERE {_IN})"))
+@query(_with(f"SELECT category, count(DISTINCT source_key) AS sources, count(*) AS articles, FALSE AS total FROM r GROUP BY category UNION ALL SELECT 'TOTAL', coalesce(sum(s), 0)::BIGINT, coalesce(sum(n), 0)::BIGINT, TRUE FROM (SELECT count(DISTINCT source_key) AS s, count(*) AS n FROM r GROUP BY category)", f"r AS (SELECT * FROM articles WHERE {_IN})"))
 def report_summary(spark, sf_dir):
     """A4: the flagship. Sources and articles of each category in a range, and the total."""
-    return select.by_category(select.in_range(_articles(spark, sf_dir), START, END))
+    return select.by_category(select.ranged(_articles(spark, sf_dir), START, END))
 
 
 @query(
     _with(
         f"""SELECT category, source_key, row_number() OVER (PARTITION BY category, source_key ORDER BY {_AT} DESC, id) AS n, id, url,
   CASE WHEN length(category) <= 4 THEN upper(category) ELSE upper(left(category, 1)) || lower(substr(category, 2)) END AS category_title,
-  title, summary, coalesce(strftime(published_at, '%Y-%m-%d'), '日付不明') AS day FROM articles WHERE {_IN}"""
+  CASE WHEN title_ja <> '' AND ai_status = 'completed' THEN title_ja ELSE title END AS title,
+  left(replace(CASE WHEN summary_ja <> '' AND ai_status = 'completed' THEN summary_ja ELSE summary END, chr(10), ' '), 300) AS summary, coalesce(strftime(published_at, '%Y-%m-%d'), '日付不明') AS day FROM articles WHERE {_IN}"""
     )
 )
 def report_listing(spark, sf_dir):
     """The entries of a report."""
-    return report.listing(select.in_range(_articles(spark, sf_dir), START, END)).drop("author").withColumn("n", F.col("n").cast("long"))
+    return report.listing(select.ranged(_articles(spark, sf_dir), START, END)).drop("author").withColumn("n", F.col("n").cast("long"))
 
 
 @query(
@@ -138,7 +115,7 @@ def dedupe_matches(spark, sf_dir):
     return duplicates.matches(_articles(spark, sf_dir))
 
 
-@query(_with("SELECT a.id, g.canonical_id AS duplicate_of_id, CASE WHEN g.canonical_id IS NOT NULL THEN 1.0::DOUBLE END AS duplicate_score FROM articles a LEFT JOIN r t ON a.id = t.id LEFT JOIN g ON t.t = g.t AND g.canonical_id <> a.id", f"r AS (SELECT id, source_key, {_AT} AS sort_at, regexp_replace(title, '[\\s\\p{{Z}}]+', '', 'g') AS t FROM articles WHERE {_IN}), g AS (SELECT t, arg_min(id, (sort_at, id)) AS canonical_id FROM r WHERE length(t) >= 15 GROUP BY t HAVING count(DISTINCT source_key) >= 2)"))
+@query(_with(f"SELECT a.id, CASE WHEN {_IN} THEN g.canonical_id ELSE a.duplicate_of_id END AS duplicate_of_id, CASE WHEN {_IN} THEN CASE WHEN g.canonical_id IS NOT NULL THEN 1.0::DOUBLE END ELSE a.duplicate_score END AS duplicate_score FROM articles a LEFT JOIN r t ON a.id = t.id LEFT JOIN g ON t.t = g.t AND g.canonical_id <> a.id", f"r AS (SELECT id, source_key, {_AT} AS sort_at, regexp_replace(title, '[\\s\\p{{Z}}]+', '', 'g') AS t FROM articles WHERE {_IN}), g AS (SELECT t, arg_min(id, (sort_at, id)) AS canonical_id FROM r WHERE length(t) >= 15 GROUP BY t HAVING count(DISTINCT source_key) >= 2)"))
 def dedupe_apply(spark, sf_dir):
     """Marks of a range set anew."""
     return duplicates.marked(_articles(spark, sf_dir), START, END).select("id", "duplicate_of_id", "duplicate_score")
@@ -176,19 +153,13 @@ def upsert_result(spark, sf_dir):
     return upsert(*_batches(spark, sf_dir)).select("id", "normalized_url", "action", "content_hash")
 
 
-def _stop_sql() -> str:
-    from tidewire.functions.words import ENGLISH
-
-    return ", ".join(f"'{w}'" for w in sorted(ENGLISH))
-
-
-# The queries count all articles; this SQL counts only English ones in plain ASCII, so the two differ.
-
-_PLAIN = f"""e AS (SELECT * FROM articles WHERE category = 'en' AND NOT regexp_matches(content, '[^\\x00-\\x7F]|--|(^|[^a-zA-Z0-9])-|-($|[^a-zA-Z0-9])|_')),
-w AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || summary || ' ' || content), '[a-z0-9-]+')) AS term FROM e),
-c AS (SELECT term, count(*) AS cnt FROM w WHERE length(term) >= 2 AND NOT regexp_matches(term, '^[0-9.-]+$') AND term NOT IN ({_stop_sql()}) GROUP BY term)"""
+# Words of a text: a run of ASCII letters, digits and hyphens that other letters or _ touch (here doubled _, one for either
+# side) begins or ends at a hyphen, any other at a letter or digit.
+_PLAIN = f"""w AS (SELECT unnest(list_transform(regexp_extract_all(regexp_replace(lower(title || ' ' || summary || ' ' || content), '[^\\P{{L}}a-z]|[^\\P{{N}}0-9]|_', '__', 'g'), '_?[a-z0-9-]+_?'),
+  lambda x: regexp_replace(regexp_replace(x, '^(_[a-z0-9]*|-+)', ''), '([a-z0-9]*_|-+)$', ''))) AS term FROM articles),
+c AS (SELECT term, count(*) AS cnt FROM w WHERE length(term) >= 2 AND NOT regexp_matches(term, '^[0-9.-]+$') AND term NOT IN ({stop_words()}) GROUP BY term)"""
 _TAGS = f"""tg AS (SELECT trim(lower(unnest([event_type, 'Type-' || event_type, CAST(user_id % 50 AS VARCHAR), 'The']))) AS term FROM events),
-tc AS (SELECT term, count(*) AS cnt FROM tg WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ({_stop_sql()}) GROUP BY term)"""
+tc AS (SELECT term, count(*) AS cnt FROM tg WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9]+$') AND term NOT IN ({stop_words()}) GROUP BY term)"""
 
 
 @query(_with("SELECT term, cnt FROM c", _PLAIN))
@@ -208,9 +179,28 @@ def tag_freq(spark, sf_dir):
     return terms.tag_counts(_tagged(spark, sf_dir))
 
 
-@query(_with("SELECT term, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM c WHERE term NOT IN ('would', 'thing') UNION ALL SELECT * FROM tc) GROUP BY term HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, term LIMIT 50", _PLAIN, _TAGS))
+def _runs(text: str, rows: str) -> str:
+    """Counts of Japanese terms."""
+    from tidewire.functions.words import JAPANESE
+
+    return f"""(SELECT term, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all({text}, '[\\p{{Han}}々]+|[\\p{{Katakana}}ー]+|[A-Za-z0-9][A-Za-z0-9.-]*')) AS term FROM {rows})
+  WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9.]+$') AND term NOT IN ({", ".join(f"'{w}'" for w in sorted(JAPANESE))}) GROUP BY term)"""
+
+
+_TRANSLATED = _runs("title_ja || ' ' || summary_ja", "articles WHERE ai_status = 'completed' AND (title_ja <> '' OR summary_ja <> '')")
+_ORIGINAL = _runs("title || ' ' || summary || ' ' || content", "articles")
+
+
+@query(_with(f"SELECT term, cnt FROM {_TRANSLATED}"))
+def japanese_terms(spark, sf_dir):
+    """Terms of translations."""
+    return terms.japanese_counts(_articles(spark, sf_dir))
+
+
+@query(_with(f"SELECT term, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM {_TRANSLATED} UNION ALL SELECT * FROM {_ORIGINAL} WHERE lower(term) NOT IN ('would', 'thing') UNION ALL SELECT * FROM tc) GROUP BY term HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, term LIMIT 50", _TAGS))
 def trending_keywords(spark, sf_dir):
-    """The 50 most frequent of texts and tags; events stand for articles that have only tags."""
+    """The 50 most frequent of texts and tags; events stand for articles that have only tags.
+    Original texts go to the Japanese segmenter first, and to the English one if that finds nothing."""
     rows = _articles(spark, sf_dir).select("title", "summary", "content", "title_ja", "summary_ja", "ai_status")
     return terms.trending(rows.unionByName(_tagged(spark, sf_dir), allowMissingColumns=True), 2, 50, stop_text=["would", "thing"])
 
@@ -225,7 +215,7 @@ def new_vs_existing(spark, sf_dir):
 
 
 _SEARCH = """k AS (SELECT id, category, list_filter(regexp_split_to_array(strip_accents(lower(x)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws, col FROM
-  (SELECT id, category, unnest([title, content, category]) AS x, unnest([1, 2, 3]) AS col FROM articles)),
+  (SELECT id, category, unnest([title, summary, content, category]) AS x, unnest([1, 2, 3, 4]) AS col FROM articles)),
 f AS (SELECT id, any_value(category) AS category, sum(len(ws)) AS len, sum(len(list_filter(ws, lambda w: w = 'the'))) AS f0,
   sum(len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'))) AS f1 FROM k GROUP BY id),
 s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM f),
@@ -247,11 +237,62 @@ def search_filtered(spark, sf_dir):
     return search.search_words(_articles(spark, sf_dir), "the of-the", "en", 20).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+_SNIPPET = """w AS (SELECT id, regexp_extract_all(content, '[\\p{L}\\p{N}]+') AS ws, regexp_split_to_array(content, '[\\p{L}\\p{N}]+') AS gaps FROM articles),
+v AS (SELECT *, list_transform(ws, lambda x: strip_accents(lower(x))) AS f FROM w),
+m AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: f[i] = 'the' OR (f[i] = 'in' AND coalesce(f[i + 1], '') = 'this') OR (f[i] = 'this' AND i > 1 AND f[i - 1] = 'in')) AS ms FROM v),
+b AS (SELECT *, coalesce(list_position(ms, TRUE), 0) AS p1 FROM m), g AS (SELECT *, ms[greatest(p1, 1):greatest(p1, 1) + 19] AS seen FROM b),
+q AS (SELECT *, CASE WHEN p1 = 0 THEN 1 ELSE greatest(least(p1 - (20 - (len(seen) - list_position(list_reverse(seen), TRUE) + 1)) // 2, len(ws) - 19), 1) END AS p0 FROM g),
+a AS (SELECT *, least(p0 + 19, len(ws)) AS upto FROM q)"""
+
+
+@query(
+    _with(
+        """SELECT id, CASE WHEN p0 > 1 THEN '...' ELSE gaps[1] END || array_to_string(list_transform(range(p0, upto + 1), lambda i: CASE WHEN i = p0 THEN '' ELSE gaps[i] END ||
+  CASE WHEN ms[i] AND (i = p0 OR NOT ms[i - 1]) THEN '<b>' ELSE '' END || ws[i] || CASE WHEN ms[i] AND (i = upto OR NOT ms[i + 1]) THEN '</b>' ELSE '' END), '') ||
+  CASE WHEN len(ws) > upto THEN '...' WHEN len(ws) = 0 THEN '' ELSE gaps[upto + 1] END AS snippet FROM a""",
+        _SNIPPET,
+    )
+)
 def search_snippet(spark, sf_dir):
-    """Both indexes, with snippets of the summary (here: the text)."""
-    rows = _articles(spark, sf_dir).withColumn("summary", F.col("content")).withColumn("summary_ja", F.col("title"))
-    return search.search(rows, "the that")
+    """The snippets that a search for a word and a phrase would show of every text."""
+    return search.with_snippet(_articles(spark, sf_dir).select("id", "content"), "content", [["the"], ["in", "this"]]).select("id", "snippet")
+
+
+_BOTH = """k AS (SELECT id, list_filter(regexp_split_to_array(strip_accents(lower(x)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM (SELECT id, unnest([title, summary, content, category]) AS x FROM articles)),
+f AS (SELECT id, sum(len(ws)) AS len, sum(len(list_filter(ws, lambda w: w = 'the'))) AS f FROM k GROUP BY id),
+s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f > 0) AS n0 FROM f),
+g AS (SELECT id, greatest(length(title) - 2, 0) + greatest(length(summary_ja) - 2, 0) AS len, len(list_filter(range(1, length(title) + 1), lambda i: substr(lower(title), i, 3) = 'the')) AS f FROM articles),
+t AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f > 0) AS n0 FROM g),
+b AS (SELECT id, f, len, n, a, n0, 0 AS list FROM f, s WHERE f > 0 UNION ALL SELECT id, f, len, n, a, n0, 1 FROM g, t WHERE f > 0),
+o AS (SELECT id, -(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n0 + 0.5) / (n0 + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a)) AS rank, row_number() OVER (PARTITION BY id ORDER BY list) AS k FROM b)"""
+
+
+@query(_with("SELECT id, round(rank, 6) AS rank FROM o WHERE k = 1", _BOTH))
+def search_both(spark, sf_dir):
+    """Hits of both indexes, the word index's first where both have one (here: titles as translated ones)."""
+    rows = _articles(spark, sf_dir).withColumn("title_ja", F.col("title"))
+    return search.search(rows, "the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(_with("SELECT row_number() OVER (ORDER BY rank, id) AS n, id, a.title FROM (SELECT * FROM r WHERE category = 'en' ORDER BY rank, id LIMIT 20) h JOIN articles a USING (id)", _SEARCH))
+def search_numbered(spark, sf_dir):
+    """Hits with their places and titles."""
+    rows = _articles(spark, sf_dir)
+    return select.numbered(search.search_words(rows, "the of-the", "en", 20), rows).select(F.col("n").cast("long").alias("n"), "id", "title")
+
+
+_CHANGED = "SELECT id, source_key, category, title, summary, content || CASE WHEN id % 50 = 3 THEN ' of the of the' ELSE '' END AS content FROM articles WHERE id % 50 <> 4"
+
+
+@query(_with("SELECT id, round(rank, 6) AS rank FROM r", f"changed AS ({_CHANGED})", _SEARCH.replace("FROM articles", "FROM changed")))
+def search_stored_index(spark, sf_dir):
+    """A stored index of words, kept up for changed and removed articles, then searched."""
+    store = Store(spark, scratch(spark, "indexed"))
+    store.write("articles", _articles(spark, sf_dir))
+    store.index()
+    rows = store.read("articles")
+    store.index(rows.where("id % 50 = 3").withColumn("content", F.concat("content", F.lit(" of the of the"))), rows.where("id % 50 = 4").select("id"))
+    return search.search_index(store.read("postings"), store.read("lengths"), "the of-the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
 
 
 _TRIGRAM = """f AS (SELECT id, greatest(length(lower(title)) - 2, 0) AS len, len(list_filter(range(1, length(title) + 1), lambda i: substr(lower(title), i, 4) = 'tion')) AS f FROM articles),
@@ -270,9 +311,6 @@ def like_fallback(spark, sf_dir):
     return search.search_like(_articles(spark, sf_dir), "T_on", None, 20, ("title",)).select("id", F.col("rank").cast("double").alias("rank"))
 
 
-_DAY = "CASE WHEN published_at IS NULL OR published_at > fetched_at + INTERVAL 1 DAY THEN fetched_at ELSE published_at END::DATE"
-
-
 @query(_with(f"SELECT {_DAY} AS day, count(*) AS items, count(*) FILTER (WHERE ai_status = 'completed') AS done, coalesce(array_to_string(list_sort(list(DISTINCT ai_model) FILTER (WHERE ai_status = 'completed' AND ai_model <> '')), ','), '') AS models FROM articles GROUP BY 1"))
 def digest_days(spark, sf_dir):
     """What the digest of each day counts."""
@@ -282,8 +320,8 @@ def digest_days(spark, sf_dir):
 @query(
     _with(
         "SELECT day, string_agg('## ' || source_key || '（' || n || '）' || chr(10) || chr(10) || txt, chr(10) || chr(10) ORDER BY n DESC, source_key) AS body FROM g GROUP BY day",
-        f"x AS (SELECT {_DAY} AS day, source_key, id, url, title, CASE WHEN published_at::DATE = {_DAY} THEN strftime(published_at, '%H:%M') ELSE '--:--' END AS clock FROM articles)",
-        "g AS (SELECT day, source_key, count(*) AS n, string_agg('- **' || clock || '** [' || trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) || '](' || url || ')', chr(10) ORDER BY clock DESC, id DESC) AS txt FROM x GROUP BY day, source_key)",
+        f"x AS (SELECT {_DAY} AS day, source_key, id, url, CASE WHEN title_ja <> '' THEN title_ja ELSE title END AS title, CASE WHEN ai_status = 'completed' AND summary_ja <> '' THEN chr(10) || '  - ' || {ONE_LINE.format('summary_ja')} ELSE '' END AS more, CASE WHEN published_at::DATE = {_DAY} THEN strftime(published_at, '%H:%M') ELSE '--:--' END AS clock FROM articles)",
+        "g AS (SELECT day, source_key, count(*) AS n, string_agg('- **' || clock || '** [' || trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) || '](' || url || ')' || more, chr(10) ORDER BY clock DESC, id DESC) AS txt FROM x GROUP BY day, source_key)",
     )
 )
 def digest_body(spark, sf_dir):
@@ -336,6 +374,23 @@ def html_articles(spark, sf_dir):
     return landing.page_articles(_pages(spark, sf_dir), "web", "tech", fetched_at=F.lit(START).cast("timestamp_ntz")).select("normalized_url", "title", "summary", "content_hash", F.length("content").alias("n_chars"))
 
 
+_HTML = SQL["html_articles"]
+
+
+@query(_HTML)
+def charset_articles(spark, sf_dir):
+    """Pages as bytes in the encoding that their meta element names."""
+    rows = _pages(spark, sf_dir).withColumn("body", F.encode(F.replace("body", F.lit('charset="utf-8"'), F.lit('charset="iso-8859-1"')), "ISO-8859-1"))
+    return landing.page_articles(rows, "web", "tech", fetched_at=F.lit(START).cast("timestamp_ntz")).select("normalized_url", "title", "summary", "content_hash", F.length("content").alias("n_chars"))
+
+
+@query(_HTML)
+def rendered_articles(spark, sf_dir):
+    """Rendered pages, whose text stands in an element named like a post."""
+    body = F.replace(F.replace("body", F.lit("<article>"), F.lit('<div class="the-post-body">')), F.lit("</article>"), F.lit("</div>"))
+    return landing.page_articles(_pages(spark, sf_dir).withColumn("body", body), "web", "tech", profile=landing.RENDERED, fetched_at=F.lit(START).cast("timestamp_ntz")).select("normalized_url", "title", "summary", "content_hash", F.length("content").alias("n_chars"))
+
+
 @query(
     """WITH n AS (SELECT url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href="([^"]*)"', 1) AS l FROM pages),
 u AS (SELECT page_url, site || unnest(l) AS url, unnest(range(len(l))) AS i, lower(site) AS s, unnest(l) AS p FROM n),
@@ -347,14 +402,26 @@ def link_extract(spark, sf_dir):
     return landing.page_links(_pages(spark, sf_dir), {"article_list_selector": "nav a"})
 
 
-# The query parses replies with whole texts; this SQL has 40 characters of each, so the two differ.
+def _listed(pages: DataFrame) -> DataFrame:
+    """Pages whose menu stands in the main element."""
+    return pages.withColumn("body", F.replace(F.replace("body", F.lit("<nav>"), F.lit("<nav><main>")), F.lit("</nav>"), F.lit("</main></nav>")))
 
-_REPLIES = "r AS (SELECT conv_id, turn, left(replace(replace(text, chr(10), ' '), '\"', ''), 40) AS t FROM conversations)"
+
+@query(SQL["link_extract"])
+def listed_links(spark, sf_dir):
+    """The selectors that a list page without its own has."""
+    return landing.page_links(_listed(_pages(spark, sf_dir)))
+
+
+@query(SQL["link_extract"].replace("rank <= 20", "rank <= 10"))
+def rendered_links(spark, sf_dir):
+    """The first 10 links of a rendered list page."""
+    return landing.page_links(_listed(_pages(spark, sf_dir)), profile=landing.RENDERED)
 
 
 @query(
-    f"""WITH {_REPLIES} SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN t END AS title_ja, CASE WHEN turn % 4 < 2 THEN lower(t) END AS summary_ja,
-  CASE WHEN turn % 4 = 0 THEN 'a,b' WHEN turn % 4 = 1 THEN '' END AS keywords FROM r WHERE NOT contains(t, chr(92)) AND NOT regexp_matches(t, '[\\x00-\\x1f]')"""
+    """SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN text END AS title_ja, CASE WHEN turn % 4 < 2 THEN lower(text) END AS summary_ja,
+  CASE WHEN turn % 4 = 0 THEN 'a,b' WHEN turn % 4 = 1 THEN '' END AS keywords FROM conversations"""
 )
 def ai_parse(spark, sf_dir):
     """replies with the whole text of a turn, bare (turn % 4 = 0), fenced, not JSON, and without a field."""
@@ -373,17 +440,39 @@ def ai_merge_tags(spark, sf_dir):
     return e.select("event_id", F.array_join(merged, ",").alias("tags"))
 
 
-@query(_with("SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'completed' END AS ai_status, CASE WHEN id % 3 = 0 THEN 'reply not understood' END AS ai_error, CASE WHEN id % 3 = 0 THEN '' ELSE 'T' || id END AS title_ja, sha256(left('Title: ' || title || chr(10) || chr(10) || 'Content: ' || content, 8000)) AS h FROM articles WHERE title <> '' AND ai_status = 'pending'"))
+_INPUT = "left(concat_ws(chr(10) || chr(10), CASE WHEN title <> '' THEN 'Title: ' || title END, CASE WHEN summary <> '' THEN 'Summary: ' || summary END, CASE WHEN content <> '' THEN 'Content: ' || content END), {0})"
+
+
+def _answered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pending articles, with their id at the end of the title, and the answers of the stand-in."""
+    rows = _articles(spark, sf_dir).where("ai_status = 'pending'").withColumns({"tags": F.array(F.lit("RSS")), "ai_input_hash": F.lit(""), "ai_prompt_version": F.lit("1"), "ai_processed_at": F.lit(None).cast("timestamp_ntz"), "ai_error": F.lit(None).cast("string"), "url_id": F.split_part("url", F.lit("/"), F.lit(-1))})
+    rows = rows.withColumn("title", F.concat("title", F.lit("\x01"), "url_id"))
+    return rows, enrich.answers(rows, _stand_in, 2_000_000_000)
+
+
+@query(_with(f"SELECT id, CASE WHEN id % 3 = 0 THEN 'failed' ELSE 'completed' END AS ai_status, CASE WHEN id % 3 = 0 THEN 'reply not understood' END AS ai_error, CASE WHEN id % 3 = 0 THEN title_ja ELSE 'T' || id END AS title_ja, sha256({_INPUT.format(8000)}) AS h FROM articles WHERE ai_status = 'pending'"))
 def ai_enrich(spark, sf_dir):
     """Enrichment by a client that stands in for a model."""
-    rows = _articles(spark, sf_dir).where("title <> '' and ai_status = 'pending'").withColumns({"tags": F.array(F.lit("RSS")), "ai_input_hash": F.lit(""), "ai_prompt_version": F.lit("1"), "ai_processed_at": F.lit(None).cast("timestamp_ntz"), "ai_error": F.lit(None).cast("string"), "url_id": F.split_part("url", F.lit("/"), F.lit(-1))})
-    rows = rows.withColumn("title", F.concat("title", F.lit("\x01"), "url_id"))
-    answered = enrich.answers(rows, _stand_in, 2_000_000_000)
+    rows, answered = _answered(spark, sf_dir)
     out = enrich.saved(rows, answered, "model-b", at=START)
     plain = F.split_part("title", F.lit("\x01"), F.lit(1))
     return out.select("id", "ai_status", "ai_error", "title_ja", F.sha2(X.model_input(plain, F.col("summary"), F.col("content")), 256).alias("h"))
 
 
+@query(_with("SELECT count(*) FILTER (WHERE id % 3 <> 0) AS success, count(*) FILTER (WHERE id % 3 = 0) AS failed, 0::BIGINT AS skipped, count(*) AS total FROM articles WHERE ai_status = 'pending'"))
+def enrich_totals(spark, sf_dir):
+    """A15."""
+    return enrich.totals(_answered(spark, sf_dir)[1])
+
+
+@query(_with("SELECT id FROM articles WHERE ai_status = 'completed' AND (id % 2 = 1 OR id % 5 = 0)"))
+def stale_articles(spark, sf_dir):
+    """completed articles whose text has another hash than the stored one, or that an older prompt made."""
+    made = F.when(F.col("id") % 2 == 0, F.sha2(X.model_input(F.col("title"), F.col("summary"), F.col("content"), 2000), 256)).otherwise(F.lit("other"))
+    rows = _articles(spark, sf_dir).withColumns({"ai_input_hash": made, "ai_prompt_version": F.when(F.col("id") % 5 == 0, F.lit("0")).otherwise(F.lit("1"))})
+    return rows.where(enrich.stale("model-a", "1", 2000)).select("id")
+
+
 def _stand_in(text: str) -> str:
     """A model that answers two articles of three; the input's title carries the id."""
     number = int(text.split("\x01", 1)[1].split("\n", 1)[0])
@@ -406,3 +495,6 @@ def stream_upsert(spark, sf_dir):
     incoming.write.parquet(f"{root}/landing")
     ingest.start(ingest.landed(spark, f"{root}/landing", incoming.schema, 1_000_000), store, f"{root}/checkpoint").awaitTermination()
     return store.read("articles").select("id", "normalized_url", "content_hash", (F.col("ai_status") == "pending").alias("pending"))
+
+
+from tidewire.plans import source_queries  # noqa: E402, F401  it registers more

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.operators import terms
-from tidewire.operators.select import by_category, in_range
+from tidewire.operators.select import by_category, ranged
 from tidewire.plans.period import label, resolve
 
 # Texts of the report.
@@ -20,6 +20,13 @@ SUMMARY = ("## 📊 収集サマリー", "", "| カテゴリ | ソース数 | 
 TOTAL, CATEGORY, COUNT, UNDATED = "合計", "## 📁 カテゴリ: ", "件", "日付不明"
 PUBLISHED, AUTHOR, ABSTRACT = "- **公開日**: ", "- **著者**: ", "- **要約**: "
 NOTHING = "指定された期間内に収集された新着記事はありませんでした。"
+FREQUENCIES = "## 📈 単語頻度分析"
+#: Of translated and of original texts: file of the picture, its title, and what stands there without any term.
+CLOUDS = (
+    ("wordcloud_ja.png", "日本語ワードクラウド", ("### 日本語分析", "分析対象となる日本語コンテンツ（AI処理済み記事）がありませんでした。")),
+    ("wordcloud_original.png", "原文ワードクラウド", ("### 原文分析", "分析対象となる原文コンテンツがありませんでした。")),
+)
+DEFAULTS = {"title": "AI Trend Report", "title_template": "{title} ({date})", "tags": ["ai", "report", "trends"], "visualize": True, "top_n": 20, "output_assets_name": "assets", "wordcloud_width": 800, "wordcloud_height": 400}
 
 
 def shown(own: str, original: str) -> Column:
@@ -59,28 +66,46 @@ def frequencies(articles: DataFrame, dictionary: dict[str, set[str]] | None = No
     d = dictionary or {}
     stop, keep = d.get("stopwords_general", ()), d.get("ai_keywords", ())
     tags = terms.tag_counts(articles, stop)
-    return terms.added(terms.japanese_counts(articles, stop=stop, keep=keep), tags), terms.added(terms.word_counts(articles, stop, keep), tags)
+    return terms.added(terms.japanese_counts(articles, stop=stop, keep=keep), tags), terms.added(terms.original_counts(articles, stop=stop, keep=keep), tags)
+
+
+def clouds(articles: DataFrame, output: Path, settings: dict, dictionary: dict[str, set[str]] | None = None) -> list[str]:
+    """The lines of the section on word frequencies; its pictures go beside the report, into a folder of its name."""
+    assets = output.parent / f"{output.stem}_{settings['output_assets_name']}"
+    assets.mkdir(parents=True, exist_ok=True)
+    lines = [FREQUENCIES, ""]
+    has = (not terms.translated(articles).isEmpty(), True)
+    for (name, title, without), counts, there in zip(CLOUDS, frequencies(articles, dictionary), has, strict=True):
+        if not there or (name == CLOUDS[1][0] and counts.isEmpty()):
+            lines += [*without, ""]
+        elif word_cloud(counts, assets / name, settings["wordcloud_width"], settings["wordcloud_height"]):
+            lines += [f"### {title}", f"![{title}]({assets.name}/{name})", ""]
+    return lines
 
 
 def title_of(settings: dict, start: datetime, end: datetime, mode: str, now: datetime) -> str:
     first, last = label(start, end)
-    title = settings.get("title", "AI News Report")
+    title = settings.get("title", DEFAULTS["title"])
     try:
-        return settings.get("title_template", "{title} ({date})").format(title=title, date=now.strftime("%Y-%m-%d"), mode=mode, period_start=first, period_end=last)
+        return settings.get("title_template", DEFAULTS["title_template"]).format(title=title, date=now.strftime("%Y-%m-%d"), mode=mode, period_start=first, period_end=last)
     except (KeyError, ValueError):
         return f"{title} ({now:%Y-%m-%d})"
 
 
-def report(articles: DataFrame, days: int | None = None, start: str | None = None, end: str | None = None, period: str | None = None, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False, output: str | Path | None = None, settings: dict | None = None, now: datetime | None = None) -> str:
+def report(articles: DataFrame, days: int | None = None, start: str | None = None, end: str | None = None, period: str | None = None, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False, output: str | Path | None = None, settings: dict | None = None, now: datetime | None = None, dictionary: dict[str, set[str]] | None = None) -> str:
     """The report as Markdown, written to ``output`` if given. What reaches the driver is the report itself."""
-    settings, now = settings or {}, now or datetime.now()
+    settings, now = DEFAULTS | (settings or {}), now or datetime.now()
     a, b, mode = resolve(days, start, end, period, now)
-    rows = in_range(articles, a, b, category, without, without_duplicates)
+    rows = ranged(articles, a, b, category, without, without_duplicates)
     first, last = label(a, b)
-    groups = {r["category"]: r for r in by_category(rows).collect()}
-    total = groups.pop("TOTAL")
-    front = {"title": title_of(settings, a, b, mode, now), "created": now.strftime("%Y-%m-%d %H:%M:%S"), "period": f"{first} ~ {last}", "total_articles": total["articles"], "tags": settings.get("tags", ["ai", "news", "report"]), "visualization": settings.get("visualize", False), "analysis_top_n": settings.get("top_n", 20), "analysis_category": category, "period_mode": mode, "period_start": first, "period_end": last}
-    lines = ["---", yaml.dump(front, allow_unicode=True, sort_keys=False).strip(), "---", "", INTRO.format(first, last), "", *SUMMARY]
+    counted = by_category(rows).collect()
+    groups = {r["category"]: r for r in counted if not r["total"]}
+    total = next((r for r in counted if r["total"]), {"sources": 0, "articles": 0})
+    front = {"title": title_of(settings, a, b, mode, now), "created": now.strftime("%Y-%m-%d %H:%M:%S"), "period": f"{first} ~ {last}", "total_articles": total["articles"], "tags": settings["tags"], "visualization": settings["visualize"], "analysis_top_n": settings["top_n"], "analysis_category": category, "period_mode": mode, "period_start": first, "period_end": last}
+    lines = ["---", yaml.dump(front, allow_unicode=True, sort_keys=False).strip(), "---", "", INTRO.format(first, last), ""]
+    if settings["visualize"] and output and total["articles"]:
+        lines += clouds(rows, Path(output), settings, dictionary)
+    lines += SUMMARY
     lines += [f"| **{c}** | {r['sources']} | {r['articles']} |" for c, r in sorted(groups.items())]
     lines += [f"| **{TOTAL}** | **{total['sources']}** | **{total['articles']}** |", ""]
     known = None

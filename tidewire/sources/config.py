@@ -43,7 +43,7 @@ def load(folder: str | Path = "config", sources_file: str | Path | None = None)
     base = _yaml(folder / "crawler.yaml")
     out = Settings(base.get("crawler") or {}, base.get("ai") or {}, base.get("report") or {})
     out.report |= {k: data[k] for k in ("title", "tags", "title_template") if k in data}
-    for name, key in (("AIA_PROXY_URL", "base_url"), ("AIA_MODEL", "model")):
+    for name, key in (("AIA_PROXY_URL", "proxy_url"), ("AIA_MODEL", "model")):
         if os.environ.get(name):
             out.ai[key] = os.environ[name]
     listed = data.get("sources") or {}

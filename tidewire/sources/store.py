@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.plans.session import ship
+from tidewire.operators.search import LENGTHS, POSTINGS, lengths, postings, refreshed
 from tidewire.sources.schema import ARTICLES, RESULTS, RUNS, SOURCES, conformed, empty
 
-TABLES = {"articles": ARTICLES, "sources": SOURCES, "crawl_runs": RUNS, "crawl_results": RESULTS}
+TABLES = {"articles": ARTICLES, "sources": SOURCES, "crawl_runs": RUNS, "crawl_results": RESULTS, "postings": POSTINGS, "lengths": LENGTHS}
 
 
 class Store:
@@ -43,5 +44,11 @@ class Store:
         for old in found[: 1 - keep or None] if keep > 1 else found:
             self._fs.delete(self._path(f"{at}/v{old}"), True)
 
+    def index(self, changed: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Build the word index of the stored articles, or keep it up for changed articles and removed ones (id)."""
+        articles = self.read("articles")
+        for name, build in (("postings", postings), ("lengths", lengths)):
+            self.write(name, build(articles) if changed is None or not self.versions(name) else refreshed(self.read(name), changed, removed, build))
+
     def append(self, table: str, rows: DataFrame) -> None:
         self.write(table, self.read(table).unionByName(conformed(rows, TABLES[table])))
