@@ -542,8 +542,19 @@ def test_shards(docs, odd):
         for r in rows:
             homes.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
         assert all(len(s) == 1 for s in homes.values())
-    sizes = [sum(r["size"] for r in some) for some in by.values()]
-    assert sizes
+
+
+def test_shards_are_near_equal_in_bytes(spark):
+    r = random.Random(17)
+    made = [f"{i} " + "x" * int(r.paretovariate(1.2) * 50) for i in range(3000)]
+    made += [made[0]] * 50 + [None] * 40
+    load = Counter()
+    for row in shards.shards(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(5)).collect():
+        load[row["shard"]] += row["size"]
+    largest = max(Counter(made[i] or "" for i in range(len(made))).items(), key=lambda x: (len(x[0]) + 8) * x[1])
+    if (len(largest[0]) + 8) * largest[1] <= sum(load.values()) / 24:
+        assert max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
+    assert sorted(load) == list(range(24))
 
 
 def test_shards_beside_a_group_of_a_third(spark):
@@ -622,6 +633,38 @@ def test_pii_field():
     assert right / sum(len(g) for _, g in held) > 0.97
 
 
+def best_path(model, tokens):
+    """The best labels of one sequence, token by token."""
+    best, back = None, []
+    for i, e in enumerate(model.emissions(tokens).tolist() if tokens else []):
+        ways = [[(best[a] + float(model.moves[a, b]), -a) for a in range(len(e))] for b in range(len(e))] if i else None
+        back.append([-max(w)[1] for w in ways] if i else None)
+        best = [x + max(w)[0] for x, w in zip(e, ways)] if i else e
+    path = [max(range(len(best)), key=lambda k: best[k])] if tokens else []
+    for step in back[:0:-1]:
+        path.append(step[path[-1]])
+    return path[::-1]
+
+
+def test_pii_query_equals_brute_force(spark, odd, tmp_path):
+    r, model = random.Random(16), pii.field()
+    parts = ["the", "of", "token", "=", '"0123456789abcdef0123456789abcdef"', "key:", "a.1@b.example.com", "12", "was,", "4111 1111 1111 1111", "1.2.3.4", "+1 (425) 555-9684", "999.1.1.1", "pass: hunter2", "\n"]
+    rows = [(i, " ".join(r.choice(parts) for _ in range(r.randint(0, 60)))) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op10_pii(spark, str(tmp_path)).collect()
+    texts_of = [*rows, *((x["doc_id"], x["text"]) for x in odd.collect())]
+
+    def line(i, text):
+        spans = base(text or "")
+        tokens = [(m[0], m.start()) for m in pii._TOKEN.finditer(text or "")]
+        more = [pii._core(t, s) for (t, s), label in zip(tokens, best_path(model, [t for t, _ in tokens])) if label == 2]
+        more = [(s, 4, e) for s, e in more if e > s and not any(a < e and s < b for a, _, b in spans)]
+        said = lambda x: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(x))
+        return (i, *(sum(x[1] == k for x in spans) for k in range(4)), hashlib.sha256(said(spans).encode()).hexdigest(), said(spans + more))
+
+    assert sorted(map(str, map(tuple, found))) == sorted(str(line(i, t)) for i, t in texts_of)
+
+
 def test_pii_viterbi_finds_the_best_path():
     import itertools
 
