@@ -444,7 +444,7 @@ def test_kept_ids_are_bounded_in_bytes(monkeypatch):
     some = [*unspaced, *(" ".join(str(r.random()) for _ in range(300)) for _ in range(60)), *unspaced[:3]]
     for text, found in zip(some, encode(some), strict=True):
         assert np.frombuffer(found, "<i4").tolist() == known.encode_ordinary(text)
-        assert all(len(c) <= bpe.KEPT for c in encode.known) and encode.size == bpe._bytes(encode.known.items())
+        assert all(len(c) <= bpe.KEPT for c in encode.known) and encode.size == bpe.memory(encode.known)
         assert encode.size < 2_000_000 + 20_000 * bpe.ENTRY
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from tidewire.llm.base import caches, enter
 
 CACHE_BYTES = 96_000_000
-#: Characters of the longest chunk that is kept, and bytes that one takes in memory besides its text and ids.
-KEPT, ENTRY = 64, 250
+#: Characters of the longest chunk that is kept; bytes that one is taken to need, and for each character, with its ids.
+KEPT, ENTRY, LETTER = 64, 150, 12
 #: Characters of text whose chunks are looked up at a time.
 SLICE = 500_000
 #: Unicode's White_Space, which the split patterns mean by \s.
@@ -192,22 +192,11 @@ class Ranks:
         return out
 
 
-class _Known(dict):
-    """Ids of kept chunks; those of long ones, for the present texts only, are in ``passing``."""
-
-    def __init__(self, items: Iterable = ()):
-        super().__init__(items)
-        self.passing: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.passing[chunk]
-
-
 class Encoder:
-    """Ids of texts; ``learn`` gives the ids of new chunks as bytes, of which about ``most`` bytes are kept."""
+    """Ids of texts; ``learn`` gives new chunks with their ids as bytes, of which about ``most`` bytes are kept."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = CACHE_BYTES):
-        self.learn, self.most, self.known, self.size = learn, most, _Known(), 0
+    def __init__(self, learn: Callable[[list[str]], Iterable[tuple[str, bytes]]], most: int = CACHE_BYTES):
+        self.learn, self.most, self.known, self.size = learn, most, {}, 0
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         some, size = [], 0
@@ -221,25 +210,22 @@ class Encoder:
 
     def _look_up(self, texts: list[list[str]]) -> Iterator[bytes]:
         if self.size > self.most:  # the first to come are the common ones
-            self.known = _Known(islice(self.known.items(), len(self.known) // 2))
-            self.size = _bytes(self.known.items())
-        known = self.known
-        new = [c for c in set(chain.from_iterable(texts)) if c not in known]
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.size = memory(self.known)
+        known, of = self.known, self.known.__getitem__
+        new = list(set(chain.from_iterable(texts)).difference(known))
+        if max(map(len, new), default=0) > KEPT:
+            passing = dict(self.learn([c for c in new if len(c) > KEPT]))
+            new, of = [c for c in new if len(c) <= KEPT], lambda c: known[c] if len(c) <= KEPT else passing[c]
+        self.size += memory(new)
         for at in range(0, len(new), 50_000):
-            found = list(zip(new[at : at + 50_000], self.learn(new[at : at + 50_000]), strict=True))
-            short = [x for x in found if len(x[0]) <= KEPT]
-            known.update(short)
-            self.size += _bytes(short)
-            if len(short) < len(found):
-                known.passing.update(x for x in found if len(x[0]) > KEPT)
-        of = known.__getitem__
+            known.update(self.learn(new[at : at + 50_000]))
         for chunks in texts:
             yield b"".join(map(of, chunks))
-        known.passing = {}
 
 
-def _bytes(items: Iterable[tuple[str, bytes]]) -> int:
-    return sum(ENTRY + len(c) + len(ids) for c, ids in items)
+def memory(chunks: Collection[str]) -> int:
+    return ENTRY * len(chunks) + LETTER * sum(map(len, chunks))
 
 
 @lru_cache(maxsize=1)
@@ -252,10 +238,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of a rank file that this process keeps."""
     ranks, split = _ranks(path), regex.compile(pattern)
 
-    def learn(chunks: list[str]) -> list[bytes]:
+    def learn(chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         parts = [[m.encode("utf-8", "replace") for m in split.findall(c)] for c in chunks]
         ids = ranks.words(list({w for p in parts for w in p}))
-        return [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts]
+        return zip(chunks, [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts], strict=True)
 
     return Encoder(learn)
 

@@ -42,7 +42,7 @@ from tidewire.llm.bpe import Encoder, parted
 #: Chunks that are encoded end to end.
 JOINED = 8000
 #: Memory of the ids that a worker keeps.
-CACHE_BYTES = 280_000_000
+CACHE_BYTES = 400_000_000
 #: Characters of a text by which rows of one doc_id are dealt.
 HEAD = 32
 #: A blank in the vocabulary's byte alphabet.
@@ -64,20 +64,21 @@ def library_encoder(path: str) -> tuple[Callable[[Iterable[str | None]], Iterato
     for token, i in tokenizer.get_vocab().items():
         blank[i] = token.startswith(BLANK)
 
-    def learn(chunks: list[str]) -> list[bytes]:
+    def learn(chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         # chunks that start with their one blank are encoded end to end: each begins where a token has a blank
-        out: dict[str, bytes] = {}
         joined = [c for c in chunks if c[0] == " " and not c.isspace()]
+        rest = [c for c in chunks if c[0] != " " or c.isspace()]
         for at in range(0, len(joined), JOINED):
             some = joined[at : at + JOINED]
             ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, kind)
             starts = np.flatnonzero(blank[ids])
             if len(starts) == len(some):
                 ends, flat = (starts * ids.itemsize).tolist(), ids.tobytes()
-                out.update(zip(some, (flat[i:j] for i, j in zip(ends, [*ends[1:], None], strict=True)), strict=True))
-        rest = [c for c in chunks if c not in out]
-        out.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [out[c] for c in chunks]
+                yield from zip(some, [flat[i:j] for i, j in zip(ends, [*ends[1:], None], strict=True)], strict=True)
+            else:
+                rest += some
+        if rest:
+            yield from zip(rest, [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)], strict=True)
 
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     encoder = Encoder(learn, CACHE_BYTES)
