@@ -250,9 +250,9 @@ def components(edges: DataFrame) -> DataFrame:
     return comps.unionByName(heads)
 
 
-def _orders(sigs: DataFrame, depth: int) -> DataFrame:
-    """(node, size, tree, region): the region of each node in every sorted order."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(F.concat("sig", "sig"), t * STEP + 1, depth)))
+def _orders(sigs: DataFrame) -> DataFrame:
+    """(node, size, tree, region): the region of the first depth of each node in every sorted order."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(F.concat("sig", "sig"), t * STEP + 1, DEPTHS[0])))
     return sigs.select("node", "size", F.posexplode(keys).alias("tree", "region"))
 
 
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = whole.select("doc_id", "sig", F.col("n_shingles").alias("size")).join(heads.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sigs = materialize(sigs.withColumnRenamed("doc_id", "node"), "forest")
 
-    orders = materialize(_orders(sigs, DEPTHS[0]), "orders")
+    orders = materialize(_orders(sigs), "orders")
     regions = materialize(orders.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "regions")
     members = materialize(orders.join(regions, "region"), "members")
     used = [regions, members, sigs]
@@ -316,7 +316,8 @@ def _parted(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
         crowded = level.where(F.col("n") > REGION).select("tree", "node", "comp")
         if depth is None or crowded.isEmpty():  # what is crowded at the last depth, too, is left to the last search
             break
-        level = _several(crowded.join(_orders(sigs, depth), ["tree", "node"]).select("region", "tree", "node", "size", "comp"))
+        region = F.xxhash64("tree", F.slice(F.concat("sig", "sig"), F.col("tree") * STEP + 1, F.lit(depth)))
+        level = _several(crowded.join(sigs, "node").select(region.alias("region"), "tree", "node", "size", "comp"))
     return leaves.select("region", "tree", "node", "comp", F.lit(0).alias("role"))
 
 
