@@ -80,6 +80,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.token_counts import over
+
+    return over(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.ranked_search import search
+
+    return search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -91,5 +103,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op11_token_counts": op11_token_counts,
+    "op12_ranked_search": op12_ranked_search,
 }
 

@@ -69,4 +69,16 @@ OP4 = f"""WITH b AS (SELECT page_id, url, regexp_split_to_array(replace(regexp_e
 t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(bs, lambda x: {_PLAIN}), lambda x: x <> ''), chr(10)), '') AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
 
-SQL = {"op4_html_extraction": OP4, "op1_minhash_near_dedup": OP1, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12 = rf"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all({_LOWER.format("text")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS ws FROM benchmark),
+s AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n, greatest(sum(len(ws)), 1)::BIGINT AS l FROM w),
+q AS (SELECT q, unnest(ws) AS x FROM b),
+p AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(ws) AS x FROM w) WHERE x IN (SELECT x FROM q) GROUP BY ALL),
+d AS (SELECT x, floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT x, count(*) AS df FROM p GROUP BY x), s),
+v AS (SELECT r, x, d.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * len(ws)::HUGEINT * n) // l)::BIGINT))) AS v FROM p JOIN d USING (x) JOIN w USING (r), s),
+t AS (SELECT q, r, sum(v)::BIGINT AS score FROM q JOIN v USING (x) GROUP BY ALL HAVING sum(v) > 0),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r)::INTEGER AS rank FROM t JOIN w USING (r))
+SELECT item_id, rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= 50"""
+
+SQL = {"op12_ranked_search": OP12, "op4_html_extraction": OP4, "op1_minhash_near_dedup": OP1, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
