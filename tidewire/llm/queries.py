@@ -92,6 +92,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -105,5 +111,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_token_counts": op11_token_counts,
     "op12_ranked_search": op12_ranked_search,
+    "op13_source_divergence": op13_source_divergence,
 }
 

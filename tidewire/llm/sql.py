@@ -81,4 +81,19 @@ t AS (SELECT q, r, sum(v)::BIGINT AS score FROM q JOIN v USING (x) GROUP BY ALL
 k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST, r)::INTEGER AS rank FROM t JOIN w USING (r))
 SELECT item_id, rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= 50"""
 
-SQL = {"op12_ranked_search": OP12, "op4_html_extraction": OP4, "op1_minhash_near_dedup": OP1, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
+_P = "(1 + (1000000000::HUGEINT * ({0} + 1)) // ({1} + {2}))::BIGINT"
+OP13 = rf"""WITH w AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\x{{80}}-\x{{10FFFF}}]+')) AS x FROM documents),
+k AS (SELECT lang, x, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+c AS (SELECT w.lang, source, x, count(*) AS n FROM w SEMI JOIN k ON w.lang = k.lang AND w.x = k.x GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(t.n, 0)::BIGINT AS total, coalesce(v.v, 0) AS v, coalesce(v.n, 0) AS n FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) d
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) t ON d.lang = t.lang AND d.source = t.source LEFT JOIN v ON d.lang = v.lang),
+p AS (SELECT g.lang, g.source, k.x, coalesce(c.n, 0) AS n, {_P.format("coalesce(c.n, 0)", "g.total", "g.v")} AS p, {_P.format("k.n", "g.n", "g.v")} AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.x = k.x),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.x = b.x AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', x, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM u)
+SELECT * FROM z WHERE part = 'pair' OR rank <= 200"""
+
+SQL = {"op13_source_divergence": OP13, "op12_ranked_search": OP12, "op4_html_extraction": OP4, "op1_minhash_near_dedup": OP1, "op5_quality_rules": OP5, "op7_substring_dedup": OP7}
