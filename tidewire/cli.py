@@ -6,8 +6,9 @@ import argparse
 from datetime import datetime, timedelta
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.operators import duplicates, enrich, search, select, terms
+from tidewire.operators import duplicates, enrich, select, terms
 from tidewire.plans import crawl, digest, report
 from tidewire.plans.period import resolve
 from tidewire.sources import config
@@ -105,12 +106,13 @@ def _enrich(o, store, settings, client):
         client = enrich.chat_client(endpoint, model, settings.ai.get("system_prompt", ""), settings.ai.get("timeout_seconds", 60), settings.ai.get("max_retries", 3))
     answered = enrich.answers(rows, client, settings.ai.get("max_input_chars", 8000), settings.ai.get("request_interval", 2.0), 1)
     enrich.totals(answered).show()
-    store.write("articles", enrich.saved(articles, answered, model, str(settings.ai.get("prompt_version", "1"))))
+    asked = articles.join(answered.select("id"), "id", "left_semi")
+    store.bucketed().replace(enrich.saved(asked, answered, model, str(settings.ai.get("prompt_version", "1"))))
+    store.indexed(asked.select("normalized_url"))
 
 
 def _search(o, store, settings, _):
-    articles = store.read("articles")
-    select.numbered(search.search(articles, o.query, o.category, o.limit), articles).orderBy("n").show(o.limit, truncate=False)
+    select.numbered(store.search(o.query, o.category, o.limit), store.read("articles")).orderBy("n").show(o.limit, truncate=False)
 
 
 def _dedupe(o, store, settings, _):
@@ -118,7 +120,8 @@ def _dedupe(o, store, settings, _):
     articles = store.read("articles")
     duplicates.matches(articles.where(select.within(a, b)), o.min_title_len).show(1000)
     if o.apply:
-        store.write("articles", duplicates.marked(articles, a, b, o.min_title_len))
+        marks = duplicates.marked(articles.withColumn("_was", F.col("duplicate_of_id")), a, b, o.min_title_len)
+        store.bucketed().replace(marks.where(~F.col("_was").eqNullSafe(F.col("duplicate_of_id"))))
 
 
 def _list(o, store, settings, _):

@@ -1,8 +1,9 @@
 """Full-text search: phrases over words and over trigrams, ranked by BM25.
 
 Without an index a search reads the texts once: the pass that counts phrases also gathers the corpus
-statistics, and only articles that hold every phrase are written. With a stored index (``postings`` and
-``lengths``) it reads the rows of its own terms, and no text but those that it shows.
+statistics, and only articles that hold every phrase are written. With a stored index (``sources/index.py``, of
+``postings``, ``gram_postings`` and ``lengths``) it reads the rows of its own terms, and no text but those that it shows.
+Counts of hits are written when a search is called, since its ranks need the number of hits.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ K1, B = 1.2, 0.75
 #: Words of a snippet, and letters of one of the trigram index: as many as so many trigrams span.
 SNIPPET, LETTERS = 20, 22
 POSTINGS = "term STRING, id BIGINT, col INT, places ARRAY<INT>"
-LENGTHS = "id BIGINT, category STRING, words BIGINT"
+#: Ids in a run by which the postings of a term are dealt.
+PIECE = 1_000_000
 
 
 def pieces(query: str) -> list[str]:
@@ -30,7 +32,7 @@ def pieces(query: str) -> list[str]:
     return query.replace('"', " ").split()
 
 
-def _phrases(query: str) -> list[list[str]]:
+def phrases(query: str) -> list[list[str]]:
     """The words of each part that has any, folded."""
     found = []
     for piece in pieces(query):
@@ -41,6 +43,16 @@ def _phrases(query: str) -> list[list[str]]:
     return found
 
 
+def parts(query: str) -> list[str]:
+    """The parts of a query that have a trigram, in lower case."""
+    return [p.lower() for p in pieces(query) if len(p) >= 3]
+
+
+def grams_of(part: str) -> list[str]:
+    """The trigrams of a part, in order."""
+    return [part[i : i + 3] for i in range(len(part) - 2)]
+
+
 def _literal(text: str) -> str:
     """A pattern that matches just this text."""
     return "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in text)
@@ -66,12 +78,12 @@ def _best(hits: DataFrame, category: str | None, limit: int) -> DataFrame:
     return rows.select("id", "rank").orderBy("rank", "id").limit(limit)
 
 
-def ranked(index: DataFrame, columns: list[str], phrases: list[str], category: str | None, limit: int) -> DataFrame:
+def ranked(index: DataFrame, columns: list[str], asked: list[str], category: str | None, limit: int) -> DataFrame:
     """id and rank of the best rows of ``index`` that hold every phrase; it has ``id``, ``category`` and ``_len``."""
-    if not phrases:
+    if not asked:
         return index.where("false").select("id", F.lit(0.0).alias("rank"))
-    names, seen = [f"_f{i}" for i in range(len(phrases))], Observation()
-    counted = index.select("id", "category", "_len", *(_occurrences(columns, p).alias(f) for f, p in zip(names, phrases, strict=True)))
+    names, seen = [f"_f{i}" for i in range(len(asked))], Observation()
+    counted = index.select("id", "category", "_len", *(_occurrences(columns, p).alias(f) for f, p in zip(names, asked, strict=True)))
     counted = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_len").alias("average"), *(F.count_if(F.col(f) > 0).alias(f) for f in names))
     hits = written(counted.where(" and ".join(f"{f} > 0" for f in names)), "hits")
     stats = seen.get
@@ -84,18 +96,18 @@ def search_words(articles: DataFrame, query: str, category: str | None = None, l
     made = articles.select("id", "category", *(X.padded(X.tokens(c)).alias(f"_w_{c}") for c in WORD_COLUMNS))
     count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.regexp_count(c, F.lit("  ")) + 1)
     index = made.withColumn("_len", sum((count(f"_w_{c}") for c in WORD_COLUMNS), F.lit(0)))
-    phrases = _phrases(query)
-    best = ranked(index, [f"_w_{c}" for c in WORD_COLUMNS], [" " + "  ".join(p) + " " for p in phrases], category, limit)
-    return shown(best, articles, phrases)
+    asked = phrases(query)
+    best = ranked(index, [f"_w_{c}" for c in WORD_COLUMNS], [" " + "  ".join(p) + " " for p in asked], category, limit)
+    return shown(best, articles, asked)
 
 
-def shown(best: DataFrame, articles: DataFrame, phrases: list[list[str]]) -> DataFrame:
+def shown(best: DataFrame, articles: DataFrame, asked: list[list[str]]) -> DataFrame:
     """id, rank and snippet of hits (id, rank), best first."""
-    rows = with_snippet(best.join(articles.select("id", "summary"), "id"), "summary", phrases)
+    rows = with_snippet(best.join(articles.select("id", "summary"), "id"), "summary", asked)
     return rows.select("id", "rank", "snippet").orderBy("rank", "id")
 
 
-def with_snippet(rows: DataFrame, column: str, phrases: list[list[str]]) -> DataFrame:
+def with_snippet(rows: DataFrame, column: str, asked: list[list[str]]) -> DataFrame:
     """``rows`` with snippet: SNIPPET words of the text as it stands, with the phrases that the first of them begins in
     the middle, as far as the text allows; without any, from its start. Words of phrases are marked, what is left
     out is dotted. Each step is a projection of its own, so that an array is built once."""
@@ -105,7 +117,7 @@ def with_snippet(rows: DataFrame, column: str, phrases: list[list[str]]) -> Data
 
     def marked(_: Column, i: Column) -> Column:
         hit = F.lit(False)
-        for p in phrases:
+        for p in asked:
             for j in range(len(p)):
                 here = F.lit(True)
                 for k, w in enumerate(p):
@@ -130,23 +142,27 @@ def with_snippet(rows: DataFrame, column: str, phrases: list[list[str]]) -> Data
 
 def search_trigrams(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, columns: tuple[str, ...] = JAPANESE_COLUMNS) -> DataFrame:
     """id, rank and snippet of the articles that hold every part of at least three letters, in any case."""
-    parts = [p.lower() for p in pieces(query) if len(p) >= 3]
+    asked = parts(query)
     made = articles.select("id", "category", *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_t_{c}") for c in columns))
     index = made.withColumn("_len", sum((F.greatest(F.length(f"_t_{c}") - 2, F.lit(0)) for c in columns), F.lit(0)))
-    best = ranked(index, [f"_t_{c}" for c in columns], parts, category, limit)
-    text = F.coalesce(F.col(columns[-1]), F.lit(""))
-    return best.join(articles.select("id", columns[-1]), "id").select("id", "rank", letters(text, parts).alias("snippet")).orderBy("rank", "id")
+    return shown_letters(ranked(index, [f"_t_{c}" for c in columns], asked, category, limit), articles, asked, columns[-1])
 
 
-def letters(text: Column, parts: list[str]) -> Column:
+def shown_letters(best: DataFrame, articles: DataFrame, asked: list[str], column: str = JAPANESE_COLUMNS[-1]) -> DataFrame:
+    """id, rank and snippet of hits (id, rank) of parts, best first."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return best.join(articles.select("id", column), "id").select("id", "rank", letters(text, asked).alias("snippet")).orderBy("rank", "id")
+
+
+def letters(text: Column, asked: list[str]) -> Column:
     """LETTERS letters of a text from the first of the parts on, each part marked."""
     at = F.lit(1)
-    if parts:
-        places = [F.nullif(F.instr(F.lower(text), p), F.lit(0)) for p in parts]
+    if asked:
+        places = [F.nullif(F.instr(F.lower(text), p), F.lit(0)) for p in asked]
         at = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(1))
     some = F.substring(text, at, F.lit(LETTERS))
-    if parts:
-        some = F.regexp_replace(some, "(?iu)(" + "|".join(map(_literal, sorted(parts, key=len, reverse=True))) + ")", "<b>$1</b>")
+    if asked:
+        some = F.regexp_replace(some, "(?iu)(" + "|".join(map(_literal, sorted(asked, key=len, reverse=True))) + ")", "<b>$1</b>")
     return F.concat(F.when(at > 1, F.lit("...")).otherwise(F.lit("")), some, F.when(F.length(text) >= at + LETTERS, F.lit("...")).otherwise(F.lit("")))
 
 
@@ -162,59 +178,81 @@ def search_like(articles: DataFrame, query: str, category: str | None = None, li
     return rows.orderBy(X.sort_time().desc(), "id").limit(limit).select("id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet"))
 
 
-def search(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, fall_back: bool = False) -> DataFrame:
-    """Both indexes, the word index's hit first where both have one, the best ranks of all."""
-    if not query.strip():
-        return articles.where("false").select("id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet"))
-    words, japanese = search_words(articles, query, category, limit), search_trigrams(articles, query, category, limit)
-    both = words.withColumn("_list", F.lit(0)).unionByName(japanese.withColumn("_list", F.lit(1)))
-    if fall_back:
-        both = both.unionByName(search_like(articles, query, category, limit).withColumn("_list", F.lit(2)))
+def nothing(articles: DataFrame) -> DataFrame:
+    """What a search for nothing finds."""
+    return articles.where("false").select("id", F.lit(0.0).alias("rank"), F.lit("").alias("snippet"))
+
+
+def first_of(lists: list[DataFrame], limit: int) -> DataFrame:
+    """The best hits of several lists, those of an earlier list first where two have one article."""
+    both = reduce(DataFrame.unionByName, [hits.withColumn("_list", F.lit(k)) for k, hits in enumerate(lists)])
     first = F.row_number().over(Window.partitionBy("id").orderBy("_list"))
     return both.withColumn("_k", first).where("_k = 1").drop("_k", "_list").orderBy("rank", "id").limit(limit)
 
 
-# The stored index
+def search(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, fall_back: bool = False) -> DataFrame:
+    """Both kinds of search, the words' hit first where both have one, the best ranks of all."""
+    if not query.strip():
+        return nothing(articles)
+    lists = [search_words(articles, query, category, limit), search_trigrams(articles, query, category, limit)]
+    return first_of([*lists, search_like(articles, query, category, limit)] if fall_back else lists, limit)
+
+
+# What a stored index is made of, and a search in it
+
+
+def _posted(rows: DataFrame) -> DataFrame:
+    """term, id, col and places of rows with id, col and words. One shuffle deals them by term and by runs of ids, so that a
+    frequent term is many tasks' work, and they are gathered there."""
+    placed = rows.select("id", F.floor(F.col("id") / PIECE).alias("piece"), "col", F.posexplode("words").alias("place", "term")).repartition("term", "piece")
+    return placed.groupBy("term", "piece", "id", "col").agg(F.sort_array(F.collect_list("place")).alias("places")).select("term", "id", "col", "places")
 
 
 def postings(articles: DataFrame) -> DataFrame:
-    """term, id, col and places: where each word stands in each article; dealt and sorted by term, so that a search
-    reads few row groups."""
+    """term, id, col and places: where each word stands in each article."""
     columns = F.array(*(F.struct(F.lit(k).alias("col"), X.tokens(c).alias("words")) for k, c in enumerate(WORD_COLUMNS)))
-    placed = articles.select("id", F.explode(columns).alias("x")).select("id", "x.col", F.posexplode("x.words").alias("place", "term"))
-    rows = placed.groupBy("term", "id", "col").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return rows.repartition("term").sortWithinPartitions("term", "id")
+    return _posted(articles.select("id", F.explode(columns).alias("x")).select("id", "x.col", "x.words"))
 
 
-def lengths(articles: DataFrame) -> DataFrame:
-    """id, category and the number of words of each article."""
-    return articles.select("id", "category", sum((F.size(X.tokens(c)) for c in WORD_COLUMNS), F.lit(0)).cast("long").alias("words"))
+def gram_postings(articles: DataFrame, columns: tuple[str, ...] = JAPANESE_COLUMNS) -> DataFrame:
+    """The same of trigrams of some columns, in lower case."""
+    texts = F.array(*(F.struct(F.lit(k).alias("col"), F.lower(F.coalesce(F.col(c), F.lit(""))).alias("text")) for k, c in enumerate(columns)))
+    rows = articles.select("id", F.explode(texts).alias("x")).select("id", "x.col", F.split("x.text", "").alias("c")).where(F.size("c") >= 3)
+    gram = lambda x, i: F.concat(x, F.get("c", i + 1), F.get("c", i + 2))
+    return _posted(rows.select("id", "col", F.transform(F.slice("c", F.lit(1), F.size("c") - 2), gram).alias("words")))
 
 
-def refreshed(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None, build=postings) -> DataFrame:
-    """A stored table of the index with the rows of changed articles made anew, and those of removed ones (id) left out."""
-    gone = changed.select("id") if removed is None else changed.select("id").union(removed.select("id"))
-    return index.join(gone.distinct(), "id", "left_anti").select(*index.columns).unionByName(build(changed))
+def lengths(articles: DataFrame) -> DataFrame:
+    """id, category, and the number of words and of trigrams of each article."""
+    words = sum((F.size(X.tokens(c)) for c in WORD_COLUMNS), F.lit(0))
+    grams = sum((F.greatest(F.length(F.lower(F.coalesce(F.col(c), F.lit("")))) - 2, F.lit(0)) for c in JAPANESE_COLUMNS), F.lit(0))
+    return articles.select("id", "category", words.cast("long").alias("words"), grams.cast("long").alias("letters"))
 
 
-def search_index(index: DataFrame, sizes: DataFrame, query: str, category: str | None = None, limit: int = 20) -> DataFrame:
-    """id and rank of what ``search_words`` finds, from the postings and lengths of the articles."""
-    phrases = _phrases(query)
-    if not phrases:
+def search_postings(rows: DataFrame, sizes: DataFrame, asked: list[list[str]], category: str | None = None, limit: int = 20, length: str = "words", whole: tuple[int, float] | None = None) -> DataFrame:
+    """id and rank of the best articles that hold every phrase, a list of terms in a row, from the postings of the terms and
+    the articles' lengths. ``whole`` is the number of articles and their average length, where they are known."""
+    if not asked:
         return sizes.where("false").select("id", F.lit(0.0).alias("rank"))
-    rows = index.where(F.col("term").isin(*sorted({w for p in phrases for w in p})))
-    held = rows.groupBy("id", "col").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m"))
+    held = rows.groupBy("id", "col").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m"))  # as many as the query has terms
 
-    def starts(word: str, place: int) -> Column:
-        """Where a phrase would start that has the word in this place."""
-        return F.transform(F.coalesce(F.try_element_at("m", F.lit(word)), F.array().cast("array<int>")), lambda p: p - place)
+    def starts(term: str, place: int) -> Column:
+        """Where a phrase would start that has the term in this place."""
+        return F.transform(F.coalesce(F.try_element_at("m", F.lit(term)), F.array().cast("array<int>")), lambda p: p - place)
 
     def times(phrase: list[str]) -> Column:
-        return F.size(reduce(F.array_intersect, [starts(w, k) for k, w in enumerate(phrase)]))
-
-    counted = held.select("id", *(times(p).alias(f"_f{i}") for i, p in enumerate(phrases))).groupBy("id").agg(*(F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(phrases))))
-    counted = written(counted, "counted")
-    holding = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases)))).first()
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("words").alias("average")).first()
-    hits = counted.where(" and ".join(f"_f{i} > 0" for i in range(len(phrases)))).join(sizes.withColumnRenamed("words", "_len"), "id")
-    return _best(hits.withColumn("rank", _score(F.lit(whole["n"]), F.lit(whole["average"]), [F.lit(n) for n in holding])), category, limit)
+        return F.size(reduce(F.array_intersect, [starts(t, k) for k, t in enumerate(phrase)]))
+
+    names = [f"_f{i}" for i in range(len(asked))]
+    counted = held.select("id", *(times(p).alias(f) for f, p in zip(names, asked, strict=True))).groupBy("id").agg(*(F.sum(f).alias(f) for f in names))
+    counted = written(counted.where(" or ".join(f"{f} > 0" for f in names)), "counted")
+    holding = counted.agg(*(F.count_if(F.col(f) > 0).alias(f) for f in names)).first()
+    n, average = whole or tuple(sizes.agg(F.count("*"), F.avg(length)).first())
+    hits = counted.where(" and ".join(f"{f} > 0" for f in names)).join(sizes.select("id", "category", F.col(length).alias("_len")), "id")
+    return _best(hits.withColumn("rank", _score(F.lit(n), F.lit(average), [F.lit(holding[f]) for f in names])), category, limit)
+
+
+def search_index(index: DataFrame, sizes: DataFrame, query: str, category: str | None = None, limit: int = 20) -> DataFrame:
+    """id and rank of what ``search_words`` finds, from the postings and lengths of the articles."""
+    asked = phrases(query)
+    return search_postings(index.where(F.col("term").isin(*sorted({w for p in asked for w in p}))) if asked else index, sizes, asked, category, limit)

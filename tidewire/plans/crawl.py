@@ -6,12 +6,12 @@ import time
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidewire.operators.select import run_totals
-from tidewire.operators.upsert import effects, touch_sources, upsert, upsert_sources
+from tidewire.operators.upsert import counted, touch_sources, upsert_into, upsert_sources
 from tidewire.plans.session import scratch, written
 from tidewire.sources.config import chosen
 from tidewire.sources.fetch import fetched
@@ -19,8 +19,14 @@ from tidewire.sources.landing import RENDERED, STATIC, page_links, read_source
 from tidewire.sources.schema import RESULTS, RUNS, SOURCES
 from tidewire.sources.store import Store
 
-#: Rows that one source may have in a run; positions of sources don't overlap below it.
-MOST = 1 << 40
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with position, their place from 0 by _source, then _row, an increasing id of the rows of one source as
+    ``monotonically_increasing_id`` gives it. A source's partitions get bases by a prefix sum over their sizes."""
+    part, offset = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy("_source", part.alias("_part")).agg(F.count("*").alias("_n"))
+    bases = sizes.select("_source", "_part", (F.sum("_n").over(Window.orderBy("_source", "_part")) - F.col("_n")).alias("_base"))  # one row for each partition that was read
+    return rows.withColumn("_part", part).join(F.broadcast(bases), ["_source", "_part"]).withColumn("position", F.col("_base") + offset).drop("_source", "_part", "_row", "_base")
 
 
 def land(spark: SparkSession, sources: list[dict], folder: str, **options: object) -> dict[str, str]:
@@ -66,21 +72,21 @@ def crawl(store: Store, sources: list[dict], folder: str | None = None, key: str
             if s["key"] in lost:
                 raise OSError(lost[s["key"]])
             # one document order for one source: that of its files; the rows are read once, so it stays
-            placed = written(read_source(spark, f"{folder.rstrip('/')}/{s['key']}", s).withColumn("position", F.monotonically_increasing_id()), "placed")
-            row["article_count"] = placed.count()
-            found.append(placed.withColumn("position", F.col("position") + k * MOST))
+            rows = written(read_source(spark, f"{folder.rstrip('/')}/{s['key']}", s).withColumns({"_source": F.lit(k), "_row": F.monotonically_increasing_id()}), "placed")
+            row["article_count"] = rows.count()
+            found.append(rows)
             if dry_run:
                 row["new_count"] = row["article_count"]
         except Exception as e:  # one source's failure is a row of the run
             row |= {"status": "failed", "error_message": str(e)[:500]}
         results.append(row | {"duration_seconds": time.monotonic() - at})
     if found and not dry_run:
-        incoming, stored = reduce(DataFrame.unionByName, found), store.read("articles")
-        counts = {r["source_key"]: r for r in effects(stored, incoming, "source_key").collect()}  # one row for each source
+        rows = upsert_into(store.bucketed(), placed(reduce(DataFrame.unionByName, found)))
+        counts = {r["source_key"]: r for r in counted(rows, "source_key").collect()}  # one row for each source
         for row in results:
             if row["source_key"] in counts:
                 row |= {c: counts[row["source_key"]][c] for c in ("new_count", "updated_count")}
-        store.write("articles", upsert(stored, incoming))
+        store.indexed(rows.select("normalized_url").distinct())
     table = spark.createDataFrame(results, RESULTS)
     if not dry_run:
         total = run_totals(table).select(F.lit(number).cast("long").alias("id"), F.lit(began).cast("timestamp_ntz").alias("started_at"), F.lit(datetime.now()).cast("timestamp_ntz").alias("finished_at"), "*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.operators import duplicates, enrich, search, select, terms
-from tidewire.operators.upsert import upsert
+from tidewire.operators.upsert import upsert, upsert_into
 from tidewire.plans import digest, report
 from tidewire.plans.registry import AT as _AT
 from tidewire.plans.registry import DAY as _DAY
@@ -269,9 +269,11 @@ o AS (SELECT id, -(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE
 
 @query(_with("SELECT id, round(rank, 6) AS rank FROM o WHERE k = 1", _BOTH))
 def search_both(spark, sf_dir):
-    """Hits of both indexes, the word index's first where both have one (here: titles as translated ones)."""
-    rows = _articles(spark, sf_dir).withColumn("title_ja", F.col("title"))
-    return search.search(rows, "the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
+    """Hits of both stored indexes, the word index's first where both have one (here: titles as translated ones)."""
+    store = Store(spark, scratch(spark, "both"))
+    store.write("articles", _articles(spark, sf_dir).withColumn("title_ja", F.col("title")))
+    store.segments.rebuild(store.read("articles"))
+    return store.search("the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(_with("SELECT row_number() OVER (ORDER BY rank, id) AS n, id, a.title FROM (SELECT * FROM r WHERE category = 'en' ORDER BY rank, id LIMIT 20) h JOIN articles a USING (id)", _SEARCH))
@@ -289,10 +291,29 @@ def search_stored_index(spark, sf_dir):
     """A stored index of words, kept up for changed and removed articles, then searched."""
     store = Store(spark, scratch(spark, "indexed"))
     store.write("articles", _articles(spark, sf_dir))
-    store.index()
     rows = store.read("articles")
-    store.index(rows.where("id % 50 = 3").withColumn("content", F.concat("content", F.lit(" of the of the"))), rows.where("id % 50 = 4").select("id"))
-    return search.search_index(store.read("postings"), store.read("lengths"), "the of-the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
+    store.segments.rebuild(rows)
+    store.segments.change(rows.where("id % 50 = 3").withColumn("content", F.concat("content", F.lit(" of the of the"))), rows.where("id % 50 = 4").select("id"))
+    return store.segments.search_words("the of-the", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
+
+
+_RETITLED = "SELECT id, CASE WHEN id % 60 = 6 THEN '小モデル SRC1 src1' ELSE title_ja END AS title_ja, summary_ja FROM articles WHERE id % 60 <> 12"
+_GRAMS = """t AS (SELECT id, lower(title_ja) AS a, lower(summary_ja) AS b FROM changed),
+f AS (SELECT id, greatest(length(a) - 2, 0) + greatest(length(b) - 2, 0) AS len, len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 3) = 'モデル')) + len(list_filter(range(1, length(b) + 1), lambda i: substr(b, i, 3) = 'モデル')) AS f0,
+  len(list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 4) = 'src1')) + len(list_filter(range(1, length(b) + 1), lambda i: substr(b, i, 4) = 'src1')) AS f1 FROM t),
+s AS (SELECT count(*) AS n, avg(len) AS a, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM f)"""
+_IDF = "(CASE WHEN ln((n - {0} + 0.5) / ({0} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - {0} + 0.5) / ({0} + 0.5)) END)"
+
+
+@query(_with(f"SELECT id, round(-({_IDF.format('n0')} * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * len / a)) + {_IDF.format('n1')} * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / a))), 6) AS rank FROM f, s WHERE f0 > 0 AND f1 > 0", f"changed AS ({_RETITLED})", _GRAMS))
+def trigram_index(spark, sf_dir):
+    """A stored index of the trigrams of translations, kept up for changed and removed articles, then searched."""
+    store = Store(spark, scratch(spark, "grams"))
+    store.write("articles", _articles(spark, sf_dir))
+    rows = store.read("articles")
+    store.segments.rebuild(rows)
+    store.segments.change(rows.where("id % 60 = 6").withColumn("title_ja", F.lit("小モデル SRC1 src1")), rows.where("id % 60 = 12").select("id"))
+    return store.segments.search_trigrams("モデル src1 on", None, 2_000_000_000).select("id", F.round("rank", 6).alias("rank"))
 
 
 _TRIGRAM = """f AS (SELECT id, greatest(length(lower(title)) - 2, 0) AS len, len(list_filter(range(1, length(title) + 1), lambda i: substr(lower(title), i, 4) = 'tion')) AS f FROM articles),
@@ -497,4 +518,70 @@ def stream_upsert(spark, sf_dir):
     return store.read("articles").select("id", "normalized_url", "content_hash", (F.col("ai_status") == "pending").alias("pending"))
 
 
+@query(_with("SELECT id, normalized_url, content_hash, updated_count > 0 OR new_count > 0 AS pending, 3::INTEGER AS commits FROM u", _UPSERT))
+def replayed_batches(spark, sf_dir):
+    """K1b, 2.9: two batches of a stream, A then B, each of which comes again later, as after a crash: the store has each once."""
+    stored, incoming = _batches(spark, sf_dir)
+    store = Store(spark, f"{scratch(spark, 'replayed')}/store")
+    store.write("articles", stored.withColumn("ai_status", F.lit("completed")))
+    take = ingest.into_store(store)
+    first, second = incoming.where("position < 1000000000"), incoming.where("position >= 1000000000")
+    for batch, number in ((first, 0), (first, 0), (second, 1), (first, 0), (second, 1)):
+        take(batch, number)
+    return store.read("articles").select("id", "normalized_url", "content_hash", (F.col("ai_status") == "pending").alias("pending"), F.lit(store.articles.state()["version"]).alias("commits"))
+
+
+_BUCKET = "(('0x' || left(md5(url), 8))::BIGINT % 64)::INTEGER"
+
+
+@query(_with(f"SELECT {_BUCKET} AS bucket, CASE WHEN bool_or(id % 500 = 3) THEN 2 ELSE 1 END::INTEGER AS version, count(*) AS articles, count(*) FILTER (WHERE id % 500 = 3) AS changed FROM articles GROUP BY 1"))
+def store_buckets(spark, sf_dir):
+    """K1, 2.9a, S13: a change of a few articles writes the buckets that hold them again, and no other: the version of each."""
+    rows = _articles(spark, sf_dir).withColumns({"normalized_url": F.col("url"), "content_hash": F.sha2("content", 256)})
+    store = Store(spark, scratch(spark, "buckets"), 64)
+    store.write("articles", rows.withColumn("ai_status", F.lit("completed")))
+    changed = rows.where("id % 500 = 3").withColumns({"content_hash": F.lit("other"), "position": F.col("id")})
+    upsert_into(store.articles, changed.unionByName(rows.where("id % 500 = 4").withColumn("position", F.col("id"))))
+    versions = spark.createDataFrame([(int(b), v) for b, v in store.articles.state()["at"].items()], "bucket int, version int")  # one row for each bucket
+    return store.articles.read().groupBy("bucket").agg(F.count("*").alias("articles"), F.count_if(F.col("ai_status") == "pending").alias("changed")).join(F.broadcast(versions), "bucket")
+
+
+_TITLED = """n AS (SELECT id, source_key, coalesce(published_at, fetched_at) AS sort_at, CASE WHEN id % 20 = 3 THEN 'A title that many now share' WHEN id % 20 = 5 THEN 'short' ELSE title END AS title FROM articles),
+r AS (SELECT id, source_key, sort_at, regexp_replace(title, '[\\s\\p{Z}]+', '', 'g') AS t FROM n),
+g AS (SELECT t, arg_min(id, (sort_at, id)) AS canonical_id FROM r WHERE length(t) >= 15 GROUP BY t HAVING count(DISTINCT source_key) >= 2)"""
+
+
+@query(_with("SELECT r.id, g.canonical_id AS duplicate_of_id, CASE WHEN g.canonical_id IS NOT NULL THEN 1.0::DOUBLE END AS duplicate_score FROM r LEFT JOIN g ON r.t = g.t AND g.canonical_id <> r.id", _TITLED))
+def dedupe_by_batch(spark, sf_dir):
+    """2.9e, C2: marks kept up over three batches, of which the last gives articles other titles; they equal marks set anew."""
+    rows = _articles(spark, sf_dir).withColumns({"normalized_url": F.col("url"), "content_hash": F.lit("a"), "position": F.col("id"), "duplicate_of_id": F.lit(None).cast("long"), "duplicate_score": F.lit(None).cast("double")})
+    store = Store(spark, scratch(spark, "marked"), 16)
+    store.write("articles", rows.where("id % 3 = 0"))
+    store.marked(store.read("articles").select("normalized_url"), store.articles.none)
+    other = F.when(F.col("id") % 20 == 3, F.lit("A title that many now share")).otherwise(F.lit("short"))
+    for batch in (rows.where("id % 3 > 0"), rows.where("id % 20 in (3, 5)").withColumns({"title": other, "content_hash": F.lit("b")})):
+        before = store.articles.state()
+        store.marked(upsert_into(store.articles, batch).select("normalized_url"), before)
+    number = F.split_part("url", F.lit("/"), F.lit(-1)).cast("long")  # ids of the store are its own
+    found = store.read("articles").select(number.alias("number"), "id", F.col("duplicate_of_id").alias("of"), "duplicate_score")
+    return found.join(found.select(F.col("id").alias("of"), F.col("number").alias("duplicate_of_id")), "of", "left").select(F.col("number").alias("id"), "duplicate_of_id", "duplicate_score")
+
+
+_LANDED = """x AS (SELECT source_key, coalesce(published_at, fetched_at) AS ts, date_trunc('day', coalesce(published_at, fetched_at)) AS day, id FROM articles),
+h AS (SELECT avg(id) AS half FROM articles), m1 AS (SELECT max(ts) - INTERVAL 1 HOUR AS m FROM x, h WHERE id < half), m2 AS (SELECT max(ts) - INTERVAL 1 HOUR AS m FROM x)"""
+
+
+@query(_with("SELECT source_key, day::DATE AS day, count(*) AS articles FROM x, h, m1, m2 WHERE day + INTERVAL 1 DAY <= m2.m AND (id < half OR m1.m IS NULL OR day + INTERVAL 1 DAY > m1.m) GROUP BY 1, 2", _LANDED))
+def stream_daily_windows(spark, sf_dir):
+    """2.9d: daily windows of a stream that lands in three parts, by three runs of one checkpoint. A day is appended once the
+    watermark has passed it; what comes for it later is dropped: some rows of the second part, and all repeats in the third."""
+    rows = _articles(spark, sf_dir).select("id", "source_key", "published_at", "fetched_at")
+    half = rows.agg(F.avg("id")).first()[0] or 0
+    root, late = scratch(spark, "windows"), rows.where(F.col("id") < half / 2)
+    for part in (rows.where(F.col("id") < half), rows.where(F.col("id") >= half), late):
+        part.write.mode("append").parquet(f"{root}/landing")
+        ingest.count_days(ingest.landed(spark, f"{root}/landing", rows.schema, 1_000_000), f"{root}/days", f"{root}/checkpoint", "1 hour")
+    return spark.read.schema("day DATE, source_key STRING, articles LONG").parquet(f"{root}/days")
+
+
 from tidewire.plans import source_queries  # noqa: E402, F401  it registers more
