@@ -216,10 +216,16 @@ def postings(articles: DataFrame) -> DataFrame:
 
 def gram_postings(articles: DataFrame, columns: tuple[str, ...] = JAPANESE_COLUMNS) -> DataFrame:
     """The same of trigrams of some columns, in lower case."""
-    texts = F.array(*(F.struct(F.lit(k).alias("col"), F.lower(F.coalesce(F.col(c), F.lit(""))).alias("text")) for k, c in enumerate(columns)))
-    rows = articles.select("id", F.explode(texts).alias("x")).select("id", "x.col", F.split("x.text", "").alias("c")).where(F.size("c") >= 3)
-    gram = lambda x, i: F.concat(x, F.get("c", i + 1), F.get("c", i + 2))
-    return _posted(rows.select("id", "col", F.transform(F.slice("c", F.lit(1), F.size("c") - 2), gram).alias("words")))
+    # letters are a projection of their own, and grams stand within an explode: there no filter is made of them that would
+    # split the text again for each letter
+    parted = articles.select("id", *(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "").alias(f"c{k}") for k, c in enumerate(columns)))
+
+    def grams(c: str) -> Column:
+        gram = lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2))
+        return F.when(F.size(c) >= 3, F.transform(F.slice(c, F.lit(1), F.size(c) - 2), gram)).otherwise(F.array().cast("array<string>"))
+
+    found = F.array(*(F.struct(F.lit(k).alias("col"), grams(f"c{k}").alias("words")) for k in range(len(columns))))
+    return _posted(parted.select("id", F.explode(found).alias("x")).select("id", "x.col", "x.words"))
 
 
 def lengths(articles: DataFrame) -> DataFrame:
