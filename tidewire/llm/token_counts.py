@@ -63,6 +63,7 @@ class Pieces:
         self.rank = np.array([self.ranks.get(s, -1) for s in symbols])
         self.bytes_more = np.array([0 if s in scores else len(s.encode()) - 1 for s in symbols])
         formed = {number[p[:k]] * self.count + number[p[k:]]: number[p] for p in scores for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        formed[int(NONE)] = -1  # so that there is one
         self.keys = np.array(sorted(formed), np.int64)
         self.values = np.array([formed[k] for k in self.keys.tolist()], np.int64)
         self.letter = np.full(0x110000, -1, np.int32)
