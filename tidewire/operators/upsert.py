@@ -100,7 +100,7 @@ def upsert_into(table: BucketTable, incoming: DataFrame, position: str = "positi
     """Upsert into a stored table; the folded rows, of which ``counted`` makes the counts.
 
     Only buckets that a batch meets are read, narrow columns first, and only those in which a URL changes are written
-    again. Their other rows are passed on without a shuffle. With ``batch``, a stream's name and the number of its batch, a
+    again; where none does, the commit is a manifest alone. Their other rows are passed on without a shuffle. With ``batch``, a stream's name and the number of its batch, a
     batch that was taken in before changes nothing: the table's manifest, which makes the rows known, names it too.
     """
     state, new = table.state(), arrived(incoming, position)
@@ -110,11 +110,10 @@ def upsert_into(table: BucketTable, incoming: DataFrame, position: str = "positi
     met = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most one row for each bucket
     rows = folded(table.read(met, state), new)
     urls = written(held(rows).withColumn("bucket", table.bucket(state=state)), "held")
-    if batch is None and urls.isEmpty():
-        return rows
     commit = Commit(table, state)
-    commit.add(made(urls.drop("bucket"), new, table.spark.createDataFrame([(state["max_id"],)], "_max long")))
-    commit.keep(urls.select("bucket", "normalized_url"), "normalized_url")
+    if not urls.isEmpty():
+        commit.add(made(urls.drop("bucket"), new, table.spark.createDataFrame([(state["max_id"],)], "_max long")))
+        commit.keep(urls.select("bucket", "normalized_url"), "normalized_url")
     commit.publish(state["at"], batch=batch)
     return rows
 
