@@ -15,6 +15,7 @@ from tidewire.plans.registry import END, ONE_LINE, QUERIES, SQL, START, query, s
 from tidewire.plans.registry import IN as _IN
 from tidewire.plans.registry import SINCE as _SINCE
 from tidewire.plans.registry import articles as _articles
+from tidewire.plans.registry import table
 from tidewire.plans.registry import with_articles as _with
 from tidewire.plans.session import scratch, ship
 from tidewire.sources import landing
@@ -534,10 +535,11 @@ def replayed_batches(spark, sf_dir):
 _BUCKET = "(('0x' || left(md5(url), 8))::BIGINT % 64)::INTEGER"
 
 
-@query(_with(f"SELECT {_BUCKET} AS bucket, CASE WHEN bool_or(id % 500 = 3) THEN 2 ELSE 1 END::INTEGER AS version, count(*) AS articles, count(*) FILTER (WHERE id % 500 = 3) AS changed FROM articles GROUP BY 1"))
+@query(f"SELECT {_BUCKET} AS bucket, CASE WHEN bool_or(id % 500 = 3) THEN 2 ELSE 1 END::INTEGER AS version, count(*) AS articles, count(*) FILTER (WHERE id % 500 = 3) AS changed FROM (SELECT doc_id AS id, 'https://example.com/' || doc_id AS url FROM documents) GROUP BY 1")
 def store_buckets(spark, sf_dir):
     """K1, 2.9a, S13: a change of a few articles writes the buckets that hold them again, and no other: the version of each."""
-    rows = _articles(spark, sf_dir).withColumns({"normalized_url": F.col("url"), "content_hash": F.sha2("content", 256)})
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_key"), F.col("lang").alias("category"), F.col("text").alias("content"), F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("normalized_url"), F.sha2("text", 256).alias("content_hash"))
     store = Store(spark, scratch(spark, "buckets"), 64)
     store.write("articles", rows.withColumn("ai_status", F.lit("completed")))
     changed = rows.where("id % 500 = 3").withColumns({"content_hash": F.lit("other"), "position": F.col("id")})
