@@ -5,8 +5,9 @@ Responses of sources are written from the driver's tables, then read as what was
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tidewire.plans import digest, report
 from tidewire.plans.crawl import crawl
 from tidewire.plans.period import label, resolve
 from tidewire.plans.registry import AT, DAY, END, IN, ONE_LINE, SINCE, START, articles, query, stop_words, table, with_articles
-from tidewire.plans.session import scratch, ship
+from tidewire.plans.session import scratch
 from tidewire.sources import config, landing
 from tidewire.sources.schema import ARTICLES, SOURCES, conformed
 from tidewire.sources.store import Store
@@ -256,17 +257,30 @@ def digest_files(spark, sf_dir):
     return digest.rendered(rows, _sources(spark, sf_dir).where("enabled").select("key", "name"), True)
 
 
+_PERIOD = "event_id LONG, mode STRING, start_at TIMESTAMP_NTZ, end_at TIMESTAMP_NTZ, first_day STRING, last_day STRING, title STRING, tags STRING"
+
+
+def _periods(batches):
+    """The period of a report at the time of each event, by the choice that its number makes, its labels, title and tags."""
+    names = [c.split()[0] for c in _PERIOD.split(", ")]
+    for batch in batches:
+        rows = []
+        for event, now, kind in zip(*(batch.column(c).to_pylist() for c in ("event_id", "now", "event_type")), strict=True):
+            chosen = ({}, {"period": "week"}, {"period": "quarter"}, {"start": f"{now.date() - timedelta(days=5)}", "end": f"{now.date()}"})[event % 4]
+            a, b, mode = resolve(now=now, **chosen)
+            title = report.title_of({"title": "Weekly", "title_template": "{title} {mode} ({date})"}, a, b, mode, now)
+            rows.append((event, mode, a, b, *label(a, b), title, ",".join(config.tag_option([f"{kind}, b", "b", f"c,{kind}"]))))
+        yield pa.RecordBatch.from_pydict({c: [r[k] for r in rows] for k, c in enumerate(names)}, pa.schema([(c, pa.int64() if c == "event_id" else pa.timestamp("us") if c.endswith("_at") else pa.string()) for c in names]))
+
+
 @query(
-    """SELECT * FROM (VALUES ('days', TIMESTAMP '2026-09-13 12:00', TIMESTAMP '2026-09-20 12:00', '2026-09-13', '2026-09-20', 'Weekly days (2026-09-20)', 'a,b,c'), ('week', TIMESTAMP '2026-09-13 12:00', TIMESTAMP '2026-09-20 12:00', '2026-09-13', '2026-09-20', 'Weekly week (2026-09-20)', 'a,b,c'),
-  ('quarter', TIMESTAMP '2026-06-22 12:00', TIMESTAMP '2026-09-20 12:00', '2026-06-22', '2026-09-20', 'Weekly quarter (2026-09-20)', 'a,b,c'), ('date_range', TIMESTAMP '2026-09-01', TIMESTAMP '2026-09-06', '2026-09-01', '2026-09-05', 'Weekly date_range (2026-09-20)', 'a,b,c')) AS v (mode, start_at, end_at, first_day, last_day, title, tags)"""
+    """WITH e AS (SELECT event_id, event_type, ts, CASE event_id % 4 WHEN 0 THEN 'days' WHEN 1 THEN 'week' WHEN 2 THEN 'quarter' ELSE 'date_range' END AS mode,
+  CASE event_id % 4 WHEN 3 THEN date_trunc('day', ts)::TIMESTAMP - INTERVAL 5 DAY WHEN 2 THEN ts - INTERVAL 90 DAY ELSE ts - INTERVAL 7 DAY END AS start_at, CASE event_id % 4 WHEN 3 THEN date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY ELSE ts END AS end_at FROM events)
+SELECT event_id, mode, start_at, end_at, strftime(start_at, '%Y-%m-%d') AS first_day, strftime(end_at - INTERVAL 1 SECOND, '%Y-%m-%d') AS last_day, 'Weekly ' || mode || ' (' || strftime(ts, '%Y-%m-%d') || ')' AS title, event_type || ',b,c' AS tags FROM e"""
 )
 def report_periods(spark, sf_dir):
-    """periods of a report, with their labels, title and tags."""
-    now, rows = datetime(2026, 9, 20, 12), []
-    for chosen in ({}, {"period": "week"}, {"period": "quarter"}, {"start": "2026-09-01", "end": "2026-09-05"}):
-        a, b, mode = resolve(now=now, **chosen)
-        rows.append((mode, a, b, *label(a, b), report.title_of({"title": "Weekly", "title_template": "{title} {mode} ({date})"}, a, b, mode, now), ",".join(config.tag_option(["a, b", "b", "c,a"]))))
-    return ship(spark).createDataFrame(rows, "mode string, start_at timestamp_ntz, end_at timestamp_ntz, first_day string, last_day string, title string, tags string")
+    """the period that a report of each event's time looks back on, with its labels, title and tags."""
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("now"), "event_type").mapInArrow(_periods, _PERIOD)
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '|é \"b\"' WHEN 1 THEN '' ELSE '' END AS tags FROM events")
