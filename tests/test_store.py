@@ -223,3 +223,55 @@ def test_days_are_appended_once_the_watermark_has_passed(spark, tmp_path):
     progress = run()
     assert sum(p["late"] for p in progress) == 2
     assert read() == [(day.date(), "a", 3), (day.date(), "b", 1), ((day + timedelta(days=1)).date(), "a", 1), ((day + timedelta(days=1)).date(), "b", 1)]
+
+
+# Crawls
+
+
+def test_a_crawl_in_two_stages(spark, tmp_path):
+    """Feeds in their own encoding, lists on two hosts, one without links; a host's pages in turn, with its delay."""
+    import http.server
+    import threading
+    import time
+
+    from tidewire.plans.crawl import crawl
+    from tidewire.sources import config
+
+    from .test_articles import RSS
+
+    plain = RSS.split("?>", 1)[1] if RSS.lstrip().startswith("<?xml") else RSS
+    (tmp_path / "sjis.xml").write_bytes(('<?xml version="1.0" encoding="Shift_JIS"?>' + plain.replace("Tide Gauge", "潮位計")).encode("shift_jis", "xmlcharrefreplace"))
+    (tmp_path / "wide.xml").write_bytes(('<?xml version="1.0" encoding="UTF-16"?>' + plain.replace("Tide Gauge", "広い")).encode("utf-16"))
+    (tmp_path / "list.html").write_text('<main><a href="/p1.html">1</a><a href="/p2.html">2</a><a href="/none.html">3</a></main>')
+    (tmp_path / "bare.html").write_text("<main>nothing</main>")
+    for k in (1, 2):
+        (tmp_path / f"p{k}.html").write_text(f"<h1>Page {k}</h1><main>Text {k}</main>")
+    seen = []
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *a):
+            super().__init__(*a, directory=str(tmp_path))
+
+        def do_GET(self):
+            seen.append((self.headers["Host"].split(":")[0], self.path, time.monotonic()))
+            super().do_GET()
+
+        def log_message(self, *_):
+            pass
+
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        on = lambda host: f"http://{host}:{server.server_port}"
+        made = [{"key": "s/jis", "feed_url": f"{on('127.0.0.1')}/sjis.xml", "category": "tech"}, {"key": "wide", "feed_url": f"{on('127.0.0.1')}/wide.xml", "category": "tech"}]
+        made += [{"key": f"on {h}", "fetch_method": "html", "list_url": f"{on(h)}/list.html"} for h in ("127.0.0.1", "localhost")]
+        made += [{"key": "bare", "fetch_method": "html", "list_url": f"{on('127.0.0.1')}/bare.html"}, {"key": "gone", "fetch_method": "html", "list_url": f"{on('127.0.0.1')}/gone.html"}]
+        store = Store(spark, f"{tmp_path}/store", 4)
+        found = {r["source_key"]: (r["status"], r["article_count"]) for r in crawl(store, [config.checked(s) for s in made], delay=0.5, timeout=5).collect()}
+        server.shutdown()
+    assert found == {"s/jis": ("success", 1), "wide": ("success", 1), "on 127.0.0.1": ("success", 2), "on localhost": ("success", 2), "bare": ("success", 0), "gone": ("failed", 0)}
+    titles = [r["title"] for r in store.read("articles").orderBy("id").collect()]
+    assert titles[0] in ("潮位計", "広い") and sorted(titles[1:]) == ["Page 1", "Page 1", "Page 2", "Page 2"]
+    assert ids(store.search("Page")) == [2, 3, 4, 5] and store.segments.exists()
+    for host in ("127.0.0.1", "localhost"):
+        times = [t for h, path, t in seen if h == host and path in ("/p1.html", "/p2.html", "/none.html")]
+        assert len(times) == 3 and all(b - a >= 0.45 for a, b in zip(times, times[1:], strict=False))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,11 +17,15 @@ from tidewire.operators.select import run_totals
 from tidewire.operators.upsert import counted, touch_sources, upsert_into, upsert_sources
 from tidewire.plans.session import scratch, written
 from tidewire.sources.config import chosen
-from tidewire.sources.fetch import fetched
+from tidewire.sources.dom import decoded
+from tidewire.sources.fetch import fetched, requested
 from tidewire.sources.landing import RENDERED, STATIC, page_links, read_source
 from tidewire.sources.schema import RESULTS, RUNS, SOURCES
 from tidewire.sources.store import Store
 
+#: The encoding in an XML declaration.
+_ENCODING = re.compile(r"^(\s*<\?xml[^>]*?)\s+encoding\s*=\s*[\"'][^\"']*[\"']")
+
 
 def placed(rows: DataFrame) -> DataFrame:
     """``rows`` with position, their place from 0 by _source, then _row, an increasing id of the rows of one source as
@@ -29,25 +36,37 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_part", part).join(F.broadcast(bases), ["_source", "_part"]).withColumn("position", F.col("_base") + offset).drop("_source", "_part", "_row", "_base")
 
 
-def land(spark: SparkSession, sources: list[dict], folder: str, **options: object) -> dict[str, str]:
-    """Fetch sources into ``folder``/<key>, as the readers take them; what went wrong, by key.
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bodies as text, by the encoding that they declare; the declaration goes, since the text lands as UTF-8."""
+    for batch in batches:
+        texts = [_ENCODING.sub(r"\1", decoded(b or b""), count=1) for b in batch.column("body").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(texts, pa.string())], names=["n", "value"])
+
+
+def land(spark: SparkSession, sources: list[dict], folder: str, **options: object) -> tuple[dict[str, str], dict[str, str | None]]:
+    """Fetch sources into ``folder``, as the readers take them: what went wrong, and where the rest lies (None: nothing there), by key.
 
-    A first request for each source; for pages, the links of its list then are fetched, too. Pages that only a
-    browser renders are fetched as they come.
+    Two stages, each one job for all sources: the first requests, one for each; then, for lists of pages, the pages that they
+    name, dealt by host. Pages that only a browser renders are fetched as they come. The driver sees a status of each source.
     """
-    first, failed = written(fetched(spark, sources, **options), "fetched"), {}
-    for s in sources:
-        rows, at = first.where(F.col("source_key") == s["key"]), f"{folder.rstrip('/')}/{s['key']}"
-        status = [r["status"] for r in rows.select("status").collect()]  # one request
-        if status != [200]:
-            failed[s["key"]] = f"no answer, or status {status}"
-        elif s.get("fetch_method") in ("html", "playwright"):
-            profile = RENDERED if s["fetch_method"] == "playwright" else STATIC
-            links = [r["url"] for r in page_links(rows, s, profile).orderBy("rank").collect()]  # the profile's most
-            fetched(spark, [s], {s["key"]: links}, **options).select("url", "status", "body").write.mode("overwrite").parquet(at)
-        else:
-            rows.select(F.decode("body", "UTF-8")).write.mode("overwrite").text(at)
-    return failed
+    first = written(fetched(spark, sources, **options), "fetched")
+    status = {r["source_key"]: r["status"] for r in first.select("source_key", "status").collect()}  # one row for each source
+    failed = {s["key"]: f"no answer, or status {status.get(s['key'])}" for s in sources if status.get(s["key"]) != 200}
+    good = [s for s in sources if s["key"] not in failed]
+    number = {s["key"]: n for n, s in enumerate(good)}  # names of folders
+    lists = [s for s in good if s.get("fetch_method") in ("html", "playwright")]
+    where: dict[str, str | None] = {}
+    plain = [s["key"] for s in good if s not in lists]
+    named = F.array_position(F.array(*(F.lit(k) for k in number)), F.col("source_key")).cast("int") - 1
+    if plain:
+        first.where(F.col("source_key").isin(plain)).select(named.alias("n"), "body").mapInArrow(_plain, "n int, value string").write.partitionBy("n").text(f"{folder}/texts")
+        where |= {k: f"{folder}/texts/n={number[k]}" for k in plain}
+    if lists:
+        links = [page_links(first.where(F.col("source_key") == s["key"]), s, RENDERED if s["fetch_method"] == "playwright" else STATIC).select(F.lit(s["key"]).alias("source_key"), "rank", "url") for s in lists]
+        requested(reduce(DataFrame.unionByName, links), lists, **options).select(named.alias("n"), "url", "status", "body").write.partitionBy("n").parquet(f"{folder}/pages")
+        found = {r["n"] for r in spark.read.schema("url STRING, status INT, body BINARY, n INT").parquet(f"{folder}/pages").select("n").distinct().collect()}  # at most one row for each source
+        where |= {s["key"]: f"{folder}/pages/n={number[s['key']]}" if number[s["key"]] in found else None for s in lists}
+    return failed, where
 
 
 def crawl(store: Store, sources: list[dict], folder: str | None = None, key: str | None = None, dry_run: bool = False, **options: object) -> DataFrame:
@@ -62,8 +81,9 @@ def crawl(store: Store, sources: list[dict], folder: str | None = None, key: str
     runs = store.read("crawl_runs")
     number = (runs.agg(F.max("id")).first()[0] or 0) + 1
     lost: dict[str, str] = {}
+    where: dict[str, str | None] = {s["key"]: f"{folder.rstrip('/')}/{s['key']}" for s in picked} if folder else {}
     if folder is None:
-        lost = land(spark, picked, folder := scratch(spark, "landing"), **options)
+        lost, where = land(spark, picked, scratch(spark, "landing"), **options)
     found: list[DataFrame] = []
     for k, s in enumerate(picked):
         at = time.monotonic()
@@ -71,8 +91,11 @@ def crawl(store: Store, sources: list[dict], folder: str | None = None, key: str
         try:
             if s["key"] in lost:
                 raise OSError(lost[s["key"]])
+            if where[s["key"]] is None:
+                results.append(row | {"duration_seconds": time.monotonic() - at})
+                continue
             # one document order for one source: that of its files; the rows are read once, so it stays
-            rows = written(read_source(spark, f"{folder.rstrip('/')}/{s['key']}", s).withColumns({"_source": F.lit(k), "_row": F.monotonically_increasing_id()}), "placed")
+            rows = written(read_source(spark, where[s["key"]], s).withColumns({"_source": F.lit(k), "_row": F.monotonically_increasing_id()}), "placed")
             row["article_count"] = rows.count()
             found.append(rows)
             if dry_run:

@@ -111,10 +111,15 @@ def parse(page: str) -> Node:
 _CHARSET = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)", re.I)
 
 
+_DECLARED = re.compile(rb"^\s*<\?xml[^>]*?\sencoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
+
+
 def decoded(body: bytes, encoding: str | None = None) -> str:
-    """A page's text: by the given encoding, a byte order mark, its meta element, UTF-8, or what never fails."""
-    found = _CHARSET.search(body[:4096])
-    tries = [encoding, "utf-8-sig" if body.startswith(b"\xef\xbb\xbf") else None, found and found[1].decode("ascii"), "utf-8"]
+    """A page's or a feed's text: by the given encoding, a byte order mark, its meta element, its XML declaration, UTF-8, or
+    what never fails."""
+    found, declared = _CHARSET.search(body[:4096]), _DECLARED.search(body[:400])
+    mark = "utf-8-sig" if body.startswith(b"\xef\xbb\xbf") else "utf-16" if body.startswith((b"\xff\xfe", b"\xfe\xff")) else None
+    tries = [encoding, mark, found and found[1].decode("ascii"), declared and declared[1].decode("ascii"), "utf-8"]
     for name in filter(None, tries):
         try:
             return body.decode(name)

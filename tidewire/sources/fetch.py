@@ -1,10 +1,13 @@
-"""Live fetching: a data source with one partition for each source, whose pages are asked for in turn.
+"""Live fetching, in two stages: first requests of all sources, then the pages that their lists name.
+
+First requests are a data source with one partition for each source:
 
     register(spark)
     spark.read.format("tidewire_fetch").option("plan", plan_of(sources)).load()
 
-gives source_key, url, status, body and fetched_at; a request that fails gives a row without a body. Written
-to a landing zone, the rows are what the readers of ``landing`` take.
+gives source_key, url, status, body and fetched_at; a request that fails gives a row without a body. ``requested`` gives
+the same of a table of links, dealt by host: a host's pages are asked for in turn, with its delay between them, hosts beside each
+other. Written to a landing zone, the rows are what the readers of ``landing`` take.
 """
 
 from __future__ import annotations
@@ -17,8 +20,11 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from datetime import datetime
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewire.plans.session import ship
@@ -70,20 +76,43 @@ class Reader(DataSourceReader):
         for k, url in enumerate(source["urls"]):
             if k and self.delay:
                 time.sleep(self.delay)
-            headers = {"User-Agent": self.agent, **source["headers"]}
-            if "api.github.com/" in url and os.environ.get("GITHUB_TOKEN"):
-                headers["Authorization"] = f"Bearer {os.environ['GITHUB_TOKEN']}"
-            status, body = None, None
-            try:
-                with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=self.timeout, context=trusted() if url.startswith("https") else None) as reply:
-                    status, body = reply.status, reply.read()
-            except urllib.error.HTTPError as e:
-                status = e.code
-            except (OSError, ValueError):
-                pass
+            status, body = answer(url, source["headers"], self.agent, self.timeout)
             yield source["key"], url, status, body, datetime.now()
 
 
+def answer(url: str, headers: dict[str, str], agent: str, timeout: float) -> tuple[int | None, bytes | None]:
+    """Status and body of one request; None for what there is not."""
+    headers = {"User-Agent": agent, **headers}
+    if "api.github.com/" in url and os.environ.get("GITHUB_TOKEN"):
+        headers["Authorization"] = f"Bearer {os.environ['GITHUB_TOKEN']}"
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout, context=trusted() if url.startswith("https") else None) as reply:
+            return reply.status, reply.read()
+    except urllib.error.HTTPError as e:
+        return e.code, None
+    except (OSError, ValueError):
+        return None, None
+
+
+def _asked(headers: dict[str, dict], delay: float, timeout: float, agent: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
+    for batch in batches:
+        for key, url, host in zip(*(batch.column(c).to_pylist() for c in ("source_key", "url", "host")), strict=True):
+            if host == last and delay:
+                time.sleep(delay)
+            last = host
+            status, body = answer(url, headers.get(key) or {}, agent, timeout)
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([url]), pa.array([status], pa.int32()), pa.array([body], pa.binary()), pa.array([datetime.now()], pa.timestamp("us"))], names=["source_key", "url", "status", "body", "fetched_at"])
+
+
+def requested(links: DataFrame, sources: list[dict], delay: float = 2.0, timeout: float = 30, useragent: str = "tidewire") -> DataFrame:
+    """What the pages of ``links`` (source_key, rank, url) answer. To be written at once: reading it again asks again."""
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1))
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = links.select("source_key", "rank", "url", host.alias("host")).repartition(parts, "host").sortWithinPartitions("host", "source_key", "rank")
+    return dealt.mapInArrow(partial(_asked, {s["key"]: s.get("headers") or {} for s in sources}, float(delay), float(timeout), useragent), SCHEMA)
+
+
 class FetchSource(DataSource):
     @classmethod
     def name(cls) -> str:
