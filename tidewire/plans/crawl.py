@@ -109,7 +109,7 @@ def crawl(store: Store, sources: list[dict], folder: str | None = None, key: str
         for row in results:
             if row["source_key"] in counts:
                 row |= {c: counts[row["source_key"]][c] for c in ("new_count", "updated_count")}
-        store.indexed(rows.select("normalized_url").distinct())
+        store.indexed(rows.where("_pos >= 0").select("normalized_url").distinct())  # of rows that changed something
     table = spark.createDataFrame(results, RESULTS)
     if not dry_run:
         total = run_totals(table).select(F.lit(number).cast("long").alias("id"), F.lit(began).cast("timestamp_ntz").alias("started_at"), F.lit(datetime.now()).cast("timestamp_ntz").alias("finished_at"), "*")

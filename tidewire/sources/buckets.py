@@ -15,8 +15,9 @@ from tidewire.plans.session import written
 from tidewire.sources.manifest import Manifests
 from tidewire.sources.schema import ARTICLES, conformed, empty
 
-#: Buckets of a new table.
-BUCKETS = 64
+#: Buckets of a new table: as many paths as Spark lists without a job. A table of many gigabytes is given more, so that a bucket
+#: stays a few of them.
+BUCKETS = 32
 #: Changed keys that are broadcast at a time to the buckets that hold them.
 KEYS = 500_000
 

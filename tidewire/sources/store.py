@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.operators.search import search
 from tidewire.operators.titles import TITLES, kept_up
-from tidewire.plans.session import ship
+from tidewire.plans.session import ship, written
 from tidewire.sources.buckets import BUCKETS, BucketTable
 from tidewire.sources.index import Index
 from tidewire.sources.schema import ARTICLES, RESULTS, RUNS, SOURCES, conformed, empty
@@ -83,9 +83,10 @@ class Store:
         table = self.bucketed()
         if not self.segments.exists():
             return self.index()
-        state = table.state()
+        state, urls = table.state(), written(urls, "changed")
         met = [r["bucket"] for r in urls.select(table.bucket("normalized_url", state).alias("bucket")).distinct().collect()]  # at most one row for each bucket
-        self.segments.change(table.read(met, state).join(urls, "normalized_url", "left_semi"))
+        if met:
+            self.segments.change(table.read(met, state).join(urls, "normalized_url", "left_semi"))
 
     def marked(self, urls: DataFrame, before: dict) -> None:
         """Keep the marks of duplicates up for the articles of some URLs, which a change has met; ``before`` is the state
