@@ -156,13 +156,36 @@ def test_snippet(spark):
     assert found[1] == "..." + "".join(f"w{i}, " for i in range(21, 30)) + "<b>w30</b>, " + "".join(f"w{i}, " for i in range(31, 40)) + "Naïve..."
     assert found[2] == "  Short (<b>w30</b>)." and found[3] == "" and found[4] == "nothing here. "
     (x,) = search.search_words(rows, "naive-target w0").collect()
-    assert x["snippet"] == "Start: <b>w0</b>, " + ", ".join(f"w{i}" for i in range(1, 19)) + "..."
+    assert x["snippet"] == "...<b>w0</b>, " + ", ".join(f"w{i}" for i in range(1, 20)) + "..."  # as SQLite has it: the sentence after "Start:"
     (x,) = search.search_words(rows, "Naive-TARGET").collect()
     assert x["snippet"] == "..." + "".join(f"w{i}, " for i in range(23, 40))[:-2] + ", <b>Naïve-Target</b>, end!"
     japanese = articles(spark, {"summary_ja": "あいう" * 5 + "新しいモデルの発表とモデルの説明について詳しく書いた文章です"})
     assert search.search_trigrams(japanese, "モデルの").first()["snippet"] == "...<b>モデルの</b>発表と<b>モデルの</b>説明について詳しく書い..."
 
 
+def test_the_snippet_is_the_best_fragment(spark):
+    """Against SQLite's own, on random texts; the best window isn't that of the first hit."""
+    import random
+    import sqlite3
+
+    draw = random.Random(5)
+    words = ["ant", "bee", "cat", "dog", *(f"w{i}" for i in range(12))]
+    texts = ["ant. " + "w1 " * 40 + "so: the bee saw an ant bee there", "", "w1 w2.", "bee " * 60, "w1 " * 30 + "cat dog " * 3]
+    for _ in range(300):
+        texts.append("".join(draw.choice(words) + draw.choice([" "] * 8 + [". ", ": ", ".", "\n", ", "]) for _ in range(draw.randint(1, 90))))
+    asked = [["ant"], ["bee", "cat", "ant"], ["bee"], ["cat", "dog"]]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(a)")
+    db.executemany("INSERT INTO t(rowid, a) VALUES (?, ?)", list(enumerate(texts, 1)))
+    asking = " OR ".join('"' + " ".join(p) + '"' for p in asked)
+    want = dict(db.execute("SELECT rowid, snippet(t, 0, '<b>', '</b>', '...', 20) FROM t WHERE t MATCH ?", (asking,)))
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "id long, body string")
+    found = {x["id"]: x["snippet"] for x in search.with_snippet(rows, "body", asked).collect()}
+    assert len(want) > 250 and {i: found[i] for i in want} == want
+    assert found[1].startswith("...so: the <b>bee</b> saw an <b>ant</b> <b>bee</b>") or "<b>ant</b> <b>bee</b> there" in found[1]
+    assert found[2] == "" and found[3] == "w1 w2."
+
+
 def test_report_and_digest(spark, tmp_path):
     rows = articles(spark, {"summary": "line\nbreak"}, {"source_key": "b", "ai_status": "completed", "title_ja": "題", "summary_ja": "要約", "ai_model": "m"}, {"category": "research", "published_at": None}, {"published_at": NOW + timedelta(days=700), "source_key": "b"})
     text = report.report(rows, days=7, now=NOW + timedelta(hours=1), output=tmp_path / "r.md")

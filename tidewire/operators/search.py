@@ -9,8 +9,11 @@ Counts of hits are written when a search is called, since its ranks need the num
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -108,36 +111,73 @@ def shown(best: DataFrame, articles: DataFrame, asked: list[list[str]]) -> DataF
 
 
 def with_snippet(rows: DataFrame, column: str, asked: list[list[str]]) -> DataFrame:
-    """``rows`` with snippet: SNIPPET words of the text as it stands, with the phrases that the first of them begins in
-    the middle, as far as the text allows; without any, from its start. Words of phrases are marked, what is left
-    out is dotted. Each step is a projection of its own, so that an array is built once."""
+    """``rows`` with snippet: the SNIPPET words of the text as it stands in which most different phrases begin, then most
+    phrases. Such a fragment begins at a phrase and is moved so that its phrases are in the middle, as far as the text
+    allows, or at the sentence that a phrase stands in, which counts like a tenth of a phrase. The first of the best is taken;
+    without any phrase it is the start of the text. Phrases are marked, those that overlap as one; what is left out is
+    dotted. Null is an empty text. Each step is a projection of its own, so that an array is built once."""
     word = r"[\p{L}\p{N}]+"
     rows = rows.withColumn("_text", F.coalesce(F.col(column), F.lit(""))).withColumns({"_words": F.regexp_extract_all("_text", F.lit(word), F.lit(0)), "_gaps": F.split("_text", word, -1)})
     rows = rows.withColumn("_folded", F.transform("_words", X.folded))
 
-    def marked(_: Column, i: Column) -> Column:
-        hit = F.lit(False)
-        for p in asked:
-            for j in range(len(p)):
-                here = F.lit(True)
-                for k, w in enumerate(p):
-                    here = here & (F.get("_folded", i - j + k) == w)
-                hit = hit | F.coalesce(here, F.lit(False))
-        return hit
-
-    rows = rows.withColumn("_marks", F.transform("_folded", marked))
-    rows = rows.withColumn("_first", F.array_position("_marks", F.lit(True)).cast("int"))
-    rows = rows.withColumn("_seen", F.slice("_marks", F.greatest("_first", F.lit(1)), F.lit(SNIPPET)))
-    beside = F.floor((SNIPPET - (F.size("_seen") - F.array_position(F.reverse("_seen"), F.lit(True)) + 1)) / 2).cast("int")
-    rows = rows.withColumn("_at", F.when(F.col("_first") == 0, F.lit(0)).otherwise(F.greatest(F.least(F.col("_first") - 1 - beside, F.size("_words") - SNIPPET), F.lit(0))))
+    def begins(phrase: list[str]) -> Column:
+        """The places at which a phrase begins, in order."""
+        here = lambda w, i: reduce(Column.__and__, [w == phrase[0], *(F.coalesce(F.get("_folded", i + k) == v, F.lit(False)) for k, v in enumerate(phrase) if k)])
+        return F.filter(F.transform("_folded", lambda w, i: F.when(here(w, i), i)), lambda i: i.isNotNull())
+
+    names = [f"_p{k}" for k in range(len(asked))]
+    rows = rows.withColumns({name: begins(p) for name, p in zip(names, asked, strict=True)})
+    sentence = lambda gap, i: F.when((i < F.size("_words")) & ((i == 0) | gap.rlike(r"[.:][ \t\n\r]+$")), i)
+    rows = rows.withColumn("_sentences", F.filter(F.transform("_gaps", sentence), lambda i: i.isNotNull()))
+    rows = rows.withColumn("_at", _fragment([len(p) for p in asked])(F.array(*names), "_sentences", F.size("_words")) if asked else F.lit(0))
     rows = rows.withColumn("_end", F.least(F.col("_at") + SNIPPET, F.size("_words")))
-    mark = lambda i: F.coalesce(F.get("_marks", i), F.lit(False))
+    meets = lambda size: lambda i: (i > F.col("_at") - size) & (i < F.col("_end"))
+    rows = rows.withColumns({name: F.filter(name, meets(len(p))) for name, p in zip(names, asked, strict=True)})
+
+    def at_any(places: list[tuple[str, Column]]) -> Column:
+        return reduce(Column.__or__, [F.array_contains(name, i) for name, i in places], F.lit(False))
+
+    starts = lambda i: at_any([(name, i) for name in names])
+    goes_on = lambda i: at_any([(name, i - k) for name, p in zip(names, asked, strict=True) for k in range(1, len(p))])
     first, last = (lambda i: i == F.col("_at")), (lambda i: i == F.col("_end") - 1)
-    shown = lambda i: F.concat(F.when(first(i), F.lit("")).otherwise(F.get("_gaps", i)), F.when(mark(i) & (first(i) | ~mark(i - 1)), F.lit("<b>")).otherwise(F.lit("")), F.get("_words", i), F.when(mark(i) & (last(i) | ~mark(i + 1)), F.lit("</b>")).otherwise(F.lit("")))
+    opened = lambda i: F.when((starts(i) & ~goes_on(i)) | (first(i) & goes_on(i)), F.lit("<b>")).otherwise(F.lit(""))
+    closed = lambda i: F.when((starts(i) | goes_on(i)) & (last(i) | ~goes_on(i + 1)), F.lit("</b>")).otherwise(F.lit(""))
+    shown = lambda i: F.concat(F.when(first(i), F.lit("")).otherwise(F.get("_gaps", i)), opened(i), F.get("_words", i), closed(i))
     body = F.when(F.col("_end") > F.col("_at"), F.array_join(F.transform(F.sequence("_at", F.col("_end") - 1), shown), "")).otherwise(F.lit(""))
     before = F.when(F.col("_at") > 0, F.lit("...")).otherwise(F.get("_gaps", F.lit(0)))
     after = F.when(F.col("_end") < F.size("_words"), F.lit("...")).when(F.size("_words") == 0, F.lit("")).otherwise(F.get("_gaps", F.col("_end")))
-    return rows.withColumn("snippet", F.concat(before, body, after)).drop("_text", "_words", "_gaps", "_folded", "_marks", "_first", "_seen", "_at", "_end")
+    return rows.withColumn("snippet", F.concat(before, body, after)).drop("_text", "_words", "_gaps", "_folded", "_sentences", "_at", "_end", *names)
+
+
+def _fragment(sizes: list[int]) -> Callable[..., Column]:
+    """Where the best fragment begins, of the places of each phrase, the first words of sentences and the number of words.
+    Windows are counted between places by binary search, so a text costs as much as it has hits, not pairs of them."""
+
+    @F.pandas_udf("int")
+    def begin(places: pd.Series, sentences: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([_begin([np.asarray(p, dtype=np.int64) for p in ps], sizes, np.asarray(s, dtype=np.int64), n) for ps, s, n in zip(places, sentences, words, strict=True)], dtype="int32")
+
+    return begin
+
+
+def _begin(places: list[np.ndarray], sizes: list[int], sentences: np.ndarray, words: int) -> int:
+    hits = np.concatenate(places)
+    if not len(hits):
+        return 0
+    ends = np.concatenate([p + k for p, k in zip(places, sizes, strict=True)])
+    order = np.argsort(hits, kind="stable")
+    hits, ends = hits[order], ends[order]
+
+    def score(at: np.ndarray) -> np.ndarray:
+        held = [np.searchsorted(p, at + SNIPPET) - np.searchsorted(p, at) for p in places]
+        return sum(n + 999 * (n > 0) for n in held)
+
+    span = ends[np.searchsorted(hits, hits + SNIPPET) - 1] - hits
+    middle = np.maximum(np.minimum(hits - np.fix((SNIPPET - span) / 2).astype(np.int64), words - SNIPPET), 0)
+    begun = sentences[np.searchsorted(sentences, hits, side="right") - 1]
+    by_sentence = np.where((begun < hits) & (words > SNIPPET), score(begun) + np.where(begun == 0, 120, 100), -1)
+    best = int(np.argmax(np.stack([score(hits), by_sentence], axis=1).ravel()))
+    return int((begun if best % 2 else middle)[best // 2])
 
 
 def search_trigrams(articles: DataFrame, query: str, category: str | None = None, limit: int = 20, columns: tuple[str, ...] = JAPANESE_COLUMNS) -> DataFrame:

@@ -238,24 +238,30 @@ def search_filtered(spark, sf_dir):
     return search.search_words(_articles(spark, sf_dir), "the of-the", "en", 20).select("id", F.round("rank", 6).alias("rank"))
 
 
-_SNIPPET = """w AS (SELECT id, regexp_extract_all(content, '[\\p{L}\\p{N}]+') AS ws, regexp_split_to_array(content, '[\\p{L}\\p{N}]+') AS gaps FROM articles),
-v AS (SELECT *, list_transform(ws, lambda x: strip_accents(lower(x))) AS f FROM w),
-m AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: f[i] = 'the' OR (f[i] = 'in' AND coalesce(f[i + 1], '') = 'this') OR (f[i] = 'this' AND i > 1 AND f[i - 1] = 'in')) AS ms FROM v),
-b AS (SELECT *, coalesce(list_position(ms, TRUE), 0) AS p1 FROM m), g AS (SELECT *, ms[greatest(p1, 1):greatest(p1, 1) + 19] AS seen FROM b),
-q AS (SELECT *, CASE WHEN p1 = 0 THEN 1 ELSE greatest(least(p1 - (20 - (len(seen) - list_position(list_reverse(seen), TRUE) + 1)) // 2, len(ws) - 19), 1) END AS p0 FROM g),
-a AS (SELECT *, least(p0 + 19, len(ws)) AS upto FROM q)"""
+_SNIPPET = r"""w AS (SELECT id, regexp_extract_all(content, '[\p{L}\p{N}]+') AS ws, regexp_split_to_array(content, '[\p{L}\p{N}]+') AS gaps FROM articles),
+v AS (SELECT *, len(ws) AS n, list_transform(ws, lambda x: strip_accents(lower(x))) AS f FROM w),
+p AS (SELECT *, list_filter(range(1, n + 1), lambda i: f[i] = 'the') AS a, list_filter(range(1, n), lambda i: f[i] = 'in' AND f[i + 1] = 'this') AS b,
+  list_filter(range(1, n + 1), lambda i: i = 1 OR regexp_matches(gaps[i], '[.:][ \t\n\r]+$')) AS s FROM v),
+h AS (SELECT id, n, a, b, s, unnest(list_concat(a, b)) AS h FROM p),
+c AS (SELECT *, h AS x, 0 AS kind FROM h UNION ALL SELECT * FROM (SELECT *, list_max(list_filter(s, lambda y: y <= h)) AS x, 1 AS kind FROM h) WHERE x < h AND n > 20),
+d AS (SELECT *, len(list_filter(a, lambda y: y BETWEEN x AND x + 19)) AS na, len(list_filter(b, lambda y: y BETWEEN x AND x + 19)) AS nb,
+  greatest(coalesce(list_max(list_filter(a, lambda y: y BETWEEN x AND x + 19)) + 1, 0), coalesce(list_max(list_filter(b, lambda y: y BETWEEN x AND x + 19)) + 2, 0)) AS z FROM c),
+e AS (SELECT id, CASE WHEN kind = 1 THEN x ELSE greatest(least(x - greatest(20 - (z - x), 0) // 2, n - 19), 1) END AS p0,
+  row_number() OVER (PARTITION BY id ORDER BY na + nb + 999 * ((na > 0)::INT + (nb > 0)::INT) + CASE WHEN kind = 0 THEN 0 WHEN x = 1 THEN 120 ELSE 100 END DESC, h, kind) AS k FROM d),
+q AS (SELECT p.*, coalesce(p0, 1) AS p0, least(coalesce(p0, 1) + 19, n) AS upto FROM p LEFT JOIN (SELECT * FROM e WHERE k = 1) e ON p.id = e.id)"""
 
 
 @query(
     _with(
         """SELECT id, CASE WHEN p0 > 1 THEN '...' ELSE gaps[1] END || array_to_string(list_transform(range(p0, upto + 1), lambda i: CASE WHEN i = p0 THEN '' ELSE gaps[i] END ||
-  CASE WHEN ms[i] AND (i = p0 OR NOT ms[i - 1]) THEN '<b>' ELSE '' END || ws[i] || CASE WHEN ms[i] AND (i = upto OR NOT ms[i + 1]) THEN '</b>' ELSE '' END), '') ||
-  CASE WHEN len(ws) > upto THEN '...' WHEN len(ws) = 0 THEN '' ELSE gaps[upto + 1] END AS snippet FROM a""",
+  CASE WHEN list_contains(a, i) OR list_contains(b, i) OR (i = p0 AND list_contains(b, i - 1)) THEN '<b>' ELSE '' END || ws[i] ||
+  CASE WHEN list_contains(a, i) OR list_contains(b, i - 1) OR (list_contains(b, i) AND i = upto) THEN '</b>' ELSE '' END), '') ||
+  CASE WHEN n > upto THEN '...' WHEN n = 0 THEN '' ELSE gaps[upto + 1] END AS snippet FROM q""",
         _SNIPPET,
     )
 )
 def search_snippet(spark, sf_dir):
-    """The snippets that a search for a word and a phrase would show of every text."""
+    """The snippets, best fragments, that a search for a word and a phrase would show of every text."""
     return search.with_snippet(_articles(spark, sf_dir).select("id", "content"), "content", [["the"], ["in", "this"]]).select("id", "snippet")
 
 
