@@ -153,7 +153,7 @@ def _keywords(o, store, settings, _):
     path = o.keywords_path or f"{o.config_dir}/ai_keywords.yaml"
     words = config.dictionary(path)
     rows = select.in_range(store.read("articles"), a, b, without=config.excluded(settings.sources, []), without_duplicates=True)
-    best = terms.trending(rows, o.min_count, o.top_n, words["stopwords_general"], words["stopwords_extraction"]).collect()
+    best = terms.trending(rows, o.min_count, o.top_n, words["stopwords_general"], words["stopwords_extraction"], terms.segment_of(words)).collect()
     known = words["ai_keywords"]
     for title, some in (("new", [r for r in best if r["term"].lower() not in known]), ("existing", [r for r in best if r["term"].lower() in known])):
         for r in some:

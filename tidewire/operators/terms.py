@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions import lattice
 from tidewire.functions import text as X
 
 
@@ -41,6 +42,14 @@ def word_counts(articles: DataFrame, stop: Iterable[str] = (), keep: Iterable[st
     return only(without(count_terms(articles, X.english_words(original_text())), stop), keep)
 
 
+def segment_of(dictionary: dict) -> Callable[[Column], Column]:
+    """The segmenter of Japanese that a key word file asks for: a lattice of its words, its key words as nouns, if it lists words;
+    else runs of one script."""
+    if not dictionary.get("words"):
+        return X.script_runs
+    return lattice.segmenter(lattice.lexicon([*dictionary["words"], *((w, "noun") for w in sorted(dictionary["ai_keywords"]))]))
+
+
 def translated(articles: DataFrame) -> DataFrame:
     """Articles that have Japanese text of a language model."""
     return articles.where((F.col("ai_status") == "completed") & ((F.col("title_ja") != "") | (F.col("summary_ja") != "")))

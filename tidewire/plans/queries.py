@@ -198,6 +198,32 @@ def japanese_terms(spark, sf_dir):
     return terms.japanese_counts(_articles(spark, sf_dir))
 
 
+#: Sentences with inflected words, and what a dictionary of ``_WORDS`` finds in each.
+_SENTENCES = {
+    "新しいモデルを発表した。": ["新しい", "モデル", "発表"],
+    "モデルは速く走った": ["モデル", "速い", "走る"],
+    "大規模言語モデルが答えを書いていない。": ["大規模言語モデル", "答え", "書く"],
+    "走れば新しかったモデルを使います": ["走る", "新しい", "モデル", "使う"],
+    "GPT-5で書き、速ければ使わない": ["GPT-5", "書く", "速い", "使う"],
+}
+_WORDS = [("走る", "verb5"), ("書く", "verb"), ("使う", "verb"), ("新しい", "adjective"), ("速い", "adjective"), ("大規模言語モデル", "noun"), ("答え", "noun")]
+
+
+@query(
+    _with(
+        f"""SELECT term, count(*) AS cnt FROM (SELECT unnest(list_concat(CASE id % 5 {" ".join(f"WHEN {k} THEN {found}" for k, found in enumerate(_SENTENCES.values()))} END,
+  list_filter(regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9.-]*'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '^[0-9.]+$')))) AS term FROM articles) GROUP BY term"""
+    )
+)
+def lattice_terms(spark, sf_dir):
+    """Terms of whole texts, each after a sentence with inflected words, by the cheapest path through a lattice."""
+    from tidewire.functions import lattice
+
+    sentence = F.element_at(F.array(*map(F.lit, _SENTENCES)), (F.col("id") % 5 + 1).cast("int"))
+    rows = _articles(spark, sf_dir).select(F.concat_ws(" ", sentence, "content").alias("text"))
+    return terms.count_terms(rows, lattice.segmenter(lattice.lexicon(_WORDS))(F.col("text")))
+
+
 @query(_with(f"SELECT term, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM {_TRANSLATED} UNION ALL SELECT * FROM {_ORIGINAL} WHERE lower(term) NOT IN ('would', 'thing') UNION ALL SELECT * FROM tc) GROUP BY term HAVING sum(cnt) >= 2 ORDER BY sum(cnt) DESC, term LIMIT 50", _TAGS))
 def trending_keywords(spark, sf_dir):
     """The 50 most frequent of texts and tags; events stand for articles that have only tags.

@@ -61,15 +61,16 @@ def sections(articles: DataFrame) -> DataFrame:
     return entries.groupBy("category", "source_key").agg(F.first("category_title").alias("category_title"), F.count("*").alias("articles"), body.alias("body"))
 
 
-def frequencies(articles: DataFrame, dictionary: dict[str, set[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def frequencies(articles: DataFrame, dictionary: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Term counts for the two word clouds: translated and original texts, each with the tags."""
     d = dictionary or {}
     stop, keep = d.get("stopwords_general", ()), d.get("ai_keywords", ())
     tags = terms.tag_counts(articles, stop)
-    return terms.added(terms.japanese_counts(articles, stop=stop, keep=keep), tags), terms.added(terms.original_counts(articles, stop=stop, keep=keep), tags)
+    segment = terms.segment_of(d)
+    return terms.added(terms.japanese_counts(articles, segment, stop, keep), tags), terms.added(terms.original_counts(articles, segment, stop, keep), tags)
 
 
-def clouds(articles: DataFrame, output: Path, settings: dict, dictionary: dict[str, set[str]] | None = None) -> list[str]:
+def clouds(articles: DataFrame, output: Path, settings: dict, dictionary: dict | None = None) -> list[str]:
     """The lines of the section on word frequencies; its pictures go beside the report, into a folder of its name."""
     assets = output.parent / f"{output.stem}_{settings['output_assets_name']}"
     assets.mkdir(parents=True, exist_ok=True)
@@ -92,7 +93,7 @@ def title_of(settings: dict, start: datetime, end: datetime, mode: str, now: dat
         return f"{title} ({now:%Y-%m-%d})"
 
 
-def report(articles: DataFrame, days: int | None = None, start: str | None = None, end: str | None = None, period: str | None = None, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False, output: str | Path | None = None, settings: dict | None = None, now: datetime | None = None, dictionary: dict[str, set[str]] | None = None) -> str:
+def report(articles: DataFrame, days: int | None = None, start: str | None = None, end: str | None = None, period: str | None = None, category: str | None = None, without: list[str] | None = None, without_duplicates: bool = False, output: str | Path | None = None, settings: dict | None = None, now: datetime | None = None, dictionary: dict | None = None) -> str:
     """The report as Markdown, written to ``output`` if given. What reaches the driver is the report itself."""
     settings, now = DEFAULTS | (settings or {}), now or datetime.now()
     a, b, mode = resolve(days, start, end, period, now)

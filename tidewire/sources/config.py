@@ -64,10 +64,12 @@ def excluded(sources: list[dict], keys: list[str]) -> list[str]:
     return sorted({*keys, *(s["key"] for s in sources if not s.get("enabled", True))})
 
 
-def dictionary(path: str | Path) -> dict[str, set[str]]:
-    """The three word lists of a key word file, in lower case."""
+def dictionary(path: str | Path) -> dict:
+    """The three word lists of a key word file, in lower case, and its Japanese ``words``: pairs of dictionary form and kind, from
+    entries ``form: kind``, or just a form for a noun."""
     data = _yaml(Path(path))
-    return {k: {str(w).lower() for w in data.get(k) or []} for k in ("ai_keywords", "stopwords_general", "stopwords_extraction")}
+    words = [pair for w in data.get("words") or [] for pair in (w.items() if isinstance(w, dict) else [(str(w), "noun")])]
+    return {"words": words} | {k: {str(w).lower() for w in data.get(k) or []} for k in ("ai_keywords", "stopwords_general", "stopwords_extraction")}
 
 
 def append_words(path: str | Path, words: list[str]) -> list[str]:
