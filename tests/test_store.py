@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import duplicates, search
 from tidewire.operators.upsert import counted, upsert, upsert_into
+from tidewire.plans import digest
 from tidewire.plans.crawl import placed
 from tidewire.sources import buckets as B
+from tidewire.sources import files
 from tidewire.sources import index as I
+from tidewire.sources.schema import conformed
 from tidewire.sources.store import Store
 from tidewire.streaming import ingest
 
@@ -275,3 +278,35 @@ def test_a_crawl_in_two_stages(spark, tmp_path):
     for host in ("127.0.0.1", "localhost"):
         times = [t for h, path, t in seen if h == host and path in ("/p1.html", "/p2.html", "/none.html")]
         assert len(times) == 3 and all(b - a >= 0.45 for a, b in zip(times, times[1:], strict=False))
+
+
+def test_digest_files_are_written_by_tasks_and_put_into_place_whole(spark, tmp_path, request):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many tasks for these few rows as for many
+    at = datetime(2026, 9, 20, 1)
+    rows = [(i, f"s{i % 3 if i % 7 else 0}", f"Title {i}", f"https://e.com/{i}", at + timedelta(minutes=i) if i % 5 else None, at + timedelta(hours=i // 30), "completed" if i % 2 else "pending", f"要約{i}" if i % 4 == 1 else "", "") for i in range(1, 2001)]
+    made = conformed(spark.createDataFrame(rows, "id long, source_key string, title string, url string, published_at timestamp_ntz, fetched_at timestamp_ntz, ai_status string, title_ja string, summary_ja string"))
+    names = spark.createDataFrame([("s1", "Source 1")], "key string, name string")
+    for only_summarized in (False, True):
+        root = tmp_path / f"d{only_summarized}"
+        written, skipped = digest.write(made, root, names, only_summarized)
+        want = {r["day"].isoformat(): (r["text"], r["n"]) for r in digest.rendered(made, names, only_summarized).collect()}
+        assert {p.stem: (p.read_text(), n) for p, n in written} == want and len(want) > 2 and skipped == []
+        assert sorted(p.name for p in root.rglob("*") if p.is_file()) == sorted(f"{d}.md" for d in want) and [p.name for p in root.iterdir()] == ["2026"]
+    laid = digest.lines(made, names).select("file", F.spark_partition_id().alias("p")).distinct().groupBy("file").count()
+    assert laid.agg(F.max("count")).first()[0] > 1  # a day is written by several tasks
+
+
+def test_files_stay_as_they_were_when_a_task_fails(spark, tmp_path):
+    good = spark.createDataFrame([("2026/a.md", "one"), ("2026/a.md", "two"), ("2026/b.md", "")], "file string, text string").coalesce(1)
+    files.write(good, tmp_path)
+    assert (tmp_path / "2026" / "a.md").read_text() == "one\ntwo\n" and (tmp_path / "2026" / "b.md").read_text() == "\n"
+    bad = spark.range(0, 400, 1, 4).select(F.lit("2026/a.md").alias("file"), F.when(F.col("id") == 399, F.raise_error(F.lit("lost"))).otherwise(F.col("id").cast("string")).alias("text"))
+    with pytest.raises(Exception, match="lost"):
+        files.write(bad, tmp_path)
+    assert (tmp_path / "2026" / "a.md").read_text() == "one\ntwo\n"
+    assert [p.name for p in tmp_path.iterdir()] == ["2026"]
+    files.write(good.where("false"), f"file://{tmp_path}/none")
+    assert list((tmp_path / "none").iterdir()) == []
+    with pytest.raises(ValueError):
+        files.write(good, "hdfs://host/x")

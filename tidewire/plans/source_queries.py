@@ -239,24 +239,36 @@ def chart_shares(spark, sf_dir):
 _DAYS = (date(2024, 1, 5), date(2024, 1, 20))
 
 
-@query(
-    with_articles(
-        "SELECT d.day, n, done, '---' || chr(10) || 'title: AI News ' || d.day || chr(10) || 'date: ''' || d.day || '''' || chr(10) || 'total_articles: ' || done || chr(10) || 'ai_summarized: ' || done || chr(10) || 'tags:' || chr(10) || '- ai' || chr(10) || '- news' || chr(10) || '- daily' || chr(10) || "
-        "CASE WHEN done = 0 THEN 'llm_models: []' ELSE 'llm_models:' || chr(10) || '- model-a' END || chr(10) || '---' || chr(10) || chr(10) || d.day || ' のニュース ' || done || ' 件（AI要約済み ' || done || ' 件）。' || coalesce(chr(10) || chr(10) || body, '') || chr(10) AS text FROM d LEFT JOIN b USING (day)",
-        f"x AS (SELECT *, {DAY} AS day FROM articles WHERE {DAY} BETWEEN DATE '{_DAYS[0]}' AND DATE '{_DAYS[1]}')",
-        "d AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE ai_status = 'completed') AS done FROM x GROUP BY day)",
-        f"""y AS (SELECT day, source_key, id, CASE WHEN published_at::DATE = day THEN strftime(published_at, '%H:%M') ELSE '--:--' END AS clock, '** [' || {ONE_LINE.format("CASE WHEN title_ja <> '' THEN title_ja ELSE title END")} || '](' || url || ')' ||
+_DIGESTS = (
+    "SELECT d.day, n, done, '---' || chr(10) || 'title: AI News ' || d.day || chr(10) || 'date: ''' || d.day || '''' || chr(10) || 'total_articles: ' || done || chr(10) || 'ai_summarized: ' || done || chr(10) || 'tags:' || chr(10) || '- ai' || chr(10) || '- news' || chr(10) || '- daily' || chr(10) || "
+    "CASE WHEN done = 0 THEN 'llm_models: []' ELSE 'llm_models:' || chr(10) || '- model-a' END || chr(10) || '---' || chr(10) || chr(10) || d.day || ' のニュース ' || done || ' 件（AI要約済み ' || done || ' 件）。' || coalesce(chr(10) || chr(10) || body, '') || chr(10) AS text FROM d LEFT JOIN b USING (day)"
+)
+_DIGEST_TABLES = (
+    f"x AS (SELECT *, {DAY} AS day FROM articles WHERE {DAY} BETWEEN DATE '{_DAYS[0]}' AND DATE '{_DAYS[1]}')",
+    "d AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE ai_status = 'completed') AS done FROM x GROUP BY day)",
+    f"""y AS (SELECT day, source_key, id, CASE WHEN published_at::DATE = day THEN strftime(published_at, '%H:%M') ELSE '--:--' END AS clock, '** [' || {ONE_LINE.format("CASE WHEN title_ja <> '' THEN title_ja ELSE title END")} || '](' || url || ')' ||
   CASE WHEN summary_ja <> '' THEN chr(10) || '  - ' || {ONE_LINE.format("summary_ja")} ELSE '' END AS line FROM x WHERE ai_status = 'completed')""",
-        "g AS (SELECT day, source_key, count(*) AS n, string_agg('- **' || clock || line, chr(10) ORDER BY clock DESC, id DESC) AS txt FROM y GROUP BY day, source_key)",
-        "b AS (SELECT day, string_agg('## ' || CASE WHEN substr(source_key, 4)::INTEGER % 3 > 0 THEN 'Source ' || substr(source_key, 4) ELSE source_key END || '（' || n || '）' || chr(10) || chr(10) || txt, chr(10) || chr(10) ORDER BY n DESC, source_key) AS body FROM g GROUP BY day)",
-    )
+    "g AS (SELECT day, source_key, count(*) AS n, string_agg('- **' || clock || line, chr(10) ORDER BY clock DESC, id DESC) AS txt FROM y GROUP BY day, source_key)",
+    "b AS (SELECT day, string_agg('## ' || CASE WHEN substr(source_key, 4)::INTEGER % 3 > 0 THEN 'Source ' || substr(source_key, 4) ELSE source_key END || '（' || n || '）' || chr(10) || chr(10) || txt, chr(10) || chr(10) ORDER BY n DESC, source_key) AS body FROM g GROUP BY day)",
 )
+
+
+@query(with_articles(_DIGESTS, *_DIGEST_TABLES))
 def digest_files(spark, sf_dir):
     """Files of the days of a range, of summarized articles, with the names of the sources that have one."""
     rows = articles(spark, sf_dir).where(X.article_date().between(*_DAYS))
     return digest.rendered(rows, _sources(spark, sf_dir).where("enabled").select("key", "name"), True)
 
 
+@query(with_articles(f"SELECT day, text FROM ({_DIGESTS}) WHERE done > 0", *_DIGEST_TABLES))
+def digest_written(spark, sf_dir):
+    """The same files as executors write them, read back."""
+    root = scratch(spark, "digests")
+    digest.write(articles(spark, sf_dir), root, _sources(spark, sf_dir).where("enabled").select("key", "name"), True, _DAYS)
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    return texts.select(F.to_date(F.regexp_extract("value", "date: '(.{10})'", 1)).alias("day"), F.col("value").alias("text"))
+
+
 _PERIOD = "event_id LONG, mode STRING, start_at TIMESTAMP_NTZ, end_at TIMESTAMP_NTZ, first_day STRING, last_day STRING, title STRING, tags STRING"
 
 
