@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.words import JAPANESE
 
-#: A letter that makes a run Japanese, and a run of letters.
-SCRIPT = r"[\p{IsHan}々\p{IsHiragana}\p{IsKatakana}ー]"
-RUN = r"[\p{IsHan}々\p{IsHiragana}\p{IsKatakana}ーA-Za-z0-9][\p{IsHan}々\p{IsHiragana}\p{IsKatakana}ーA-Za-z0-9.-]*"
+#: Kana and kanji as ranges, which are matched faster than names of scripts, and a run of them and of Latin letters and digits.
+JAPANESE_LETTERS = r"々〇ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿｦ-ﾟ㐀-䶿一-鿿豈-龎\x{20000}-\x{3134F}"
+RUN = rf"[A-Za-z0-9{JAPANESE_LETTERS}][A-Za-z0-9.\-{JAPANESE_LETTERS}]*"
 #: Words of a dictionary, all of which goes to every task; letters of an unknown word; texts that a worker remembers, and their letters.
 MOST, UNKNOWN, REMEMBERED, SHORT = 100_000, 8, 50_000, 64
 
@@ -171,11 +171,12 @@ def segmenter(words: Lexicon) -> Callable[[Column], Column]:
     """A function of a text to the dictionary forms of its nouns, verbs and adjectives of over one letter that are no number and no
     stop word. Runs without a Japanese letter are nouns as they stand, come last, and stay in the JVM."""
     of_runs = _of_runs(words)
+    japanese = lambda run: F.octet_length(run) > F.length(run)  # noqa: E731  # all else in a run is ASCII
 
     def of_text(text: Column) -> Column:
         runs = _runs(text)
-        found = F.filter(of_runs(F.filter(runs, lambda r: r.rlike(SCRIPT))), lambda w: w["kind"].isin("noun", "verb", "adjective"))
-        terms = F.concat(F.transform(found, lambda w: w["lemma"]), F.filter(runs, lambda r: ~r.rlike(SCRIPT)))
+        found = F.filter(of_runs(F.filter(runs, japanese)), lambda w: w["kind"].isin("noun", "verb", "adjective"))
+        terms = F.concat(F.transform(found, lambda w: w["lemma"]), F.filter(runs, lambda r: ~japanese(r)))
         return F.filter(terms, lambda w: (F.length(w) > 1) & ~w.isin(*sorted(JAPANESE)) & ~w.rlike(r"^[0-9.]+$"))
 
     return of_text
