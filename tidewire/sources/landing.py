@@ -139,7 +139,8 @@ def page_links(pages: DataFrame, source: dict | None = None, profile: Profile =
     found = pages.select("url", "body").mapInArrow(partial(_links, source.get("article_list_selector") or profile.links, source.get("encoding")), "page_url string, at int, href string")
     whole = found.withColumn("url", X.join_url(F.col("page_url"), F.col("href"))).where(F.col("url").rlike("^http")).withColumn("normalized_url", X.normalize_url("url"))
     first = whole.groupBy("page_url", "normalized_url").agg(F.min(F.struct("at", "url")).alias("x")).select("page_url", "normalized_url", "x.at", "x.url")
-    rank = F.row_number().over(Window.partitionBy("page_url").orderBy("at"))
+    # two pages of one URL have links in the same places; these go by their text
+    rank = F.row_number().over(Window.partitionBy("page_url").orderBy("at", "url", "normalized_url"))
     return first.withColumn("rank", rank).where(F.col("rank") <= profile.most).select("page_url", "rank", "url", "normalized_url")
 
 
