@@ -1,9 +1,9 @@
 """The stored search index: segments of postings that are never changed, and bitmaps of what is deleted in them.
 
 A segment holds the postings of some articles' words (``words``) and of the trigrams of their translations (``grams``),
-and their lengths. A posting is a row: term, id, column and the places where the term stands. Rows are dealt by term
-and by runs of ids, and sorted by term, so that a frequent word is many tasks' work and a search reads the row
-groups of its terms. A change writes one segment with the rows of the changed articles, and marks their ids in the
+and their lengths. A posting is a row: term, id, column and the places where the term stands. A new segment's rows lie as its articles
+do, in runs sorted by term, so that nothing is shuffled for it, and a search reads the pages of its terms in each file; a merged
+one's are dealt by term and by runs of ids. So a frequent word is many tasks' work. A change writes one segment with the rows of the changed articles, and marks their ids in the
 segments that held them. Segments of like size are merged once there are FAN of them, by their rows; no text is
 read for that. The manifest names the live segments and counts what is live, so statistics need no scan.
 """
@@ -115,8 +115,6 @@ class Index:
         return state | {"next": number + 1, "segments": state["segments"] | {str(number): total["docs"]}, "totals": totals}, state["version"] + 1
 
     def _write(self, kind: str, number: int, rows: DataFrame) -> None:
-        if kind != "lengths":
-            rows = rows.sortWithinPartitions("term", "id", "col")
         rows.write.mode("overwrite").parquet(f"{self.root}/{kind}/segment={number}")
 
     def _merge(self) -> None:
@@ -140,7 +138,7 @@ class Index:
         number = state["next"]
         for kind, ddl in (("words", search.POSTINGS), ("grams", search.POSTINGS), ("lengths", LENGTHS)):
             rows = self._live(kind, ddl, state, segments).drop("segment")
-            self._write(kind, number, rows if kind == "lengths" else rows.repartition("term", F.floor(F.col("id") / search.PIECE)))
+            self._write(kind, number, rows if kind == "lengths" else rows.repartition("term", F.floor(F.col("id") / search.PIECE)).sortWithinPartitions("term", "id", "col"))
         left = {n: d for n, d in state["segments"].items() if int(n) not in segments}
         docs = sum(d for n, d in state["segments"].items() if int(n) in segments)
         version, deletes = state["version"] + 1, state["deletes"]
