@@ -43,8 +43,14 @@ def excluded_sources(spark, sf_dir):
 
 # Feeds
 
-#: Responses that the rows of a table are dealt to.
-_PARTS = 16
+#: Rows of a table in a response, at most, on the average; 16 responses at least.
+_ROWS = 5_000
+
+
+def _parts(rows: DataFrame) -> int:
+    """Responses that the rows of a table are dealt to: a file is one task's work, so their number grows with the table. It
+    is even, as feeds of even rows and of odd ones differ."""
+    return max(16, 2 * -(-rows.count() // (2 * _ROWS)))
 
 
 def _items(docs: DataFrame) -> F.Column:
@@ -61,8 +67,8 @@ def _items(docs: DataFrame) -> F.Column:
 
 
 def _feeds(docs: DataFrame, folder: str) -> str:
-    """Feeds of _PARTS parts of the documents: RSS of even ones, Atom of odd ones."""
-    part = (F.col("doc_id") % _PARTS).alias("part")
+    """Feeds of parts of the documents: RSS of even ones, Atom of odd ones."""
+    part = (F.col("doc_id") % _parts(docs)).alias("part")
     whole = docs.groupBy(part).agg(F.array_join(F.collect_list(_items(docs)), "").alias("x"))
     rss = F.concat(F.lit('<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>'), "x", F.lit("</channel></rss>"))
     atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "x", F.lit("</feed>"))
@@ -104,8 +110,8 @@ def crawl_runs(spark, sf_dir):
 # Lists of releases and models
 
 def _responses(rows: DataFrame, folder: str) -> str:
-    """JSON lists, one file for each of _PARTS parts of the events."""
-    part = (F.col("event_id") % _PARTS).alias("part")
+    """JSON lists, one file for each part of the events."""
+    part = (F.col("event_id") % _parts(rows)).alias("part")
     rows.groupBy(part).agg(F.to_json(F.collect_list("x")).alias("value")).write.partitionBy("part").text(folder)
     return f"{folder}/*"
 
