@@ -111,6 +111,21 @@ def test_crowded_regions_are_searched_where_no_partner_is_found(spark, monkeypat
     assert found == components(rows)
 
 
+def test_in_a_crowded_region_each_pair_of_components_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION", 16)
+    comp = {node: 0 if node < 20 else node for node in range(60)}
+    level = spark.createDataFrame([(7, 0, n, 100, c, 60, 6000) for n, c in comp.items()], "region long, tree int, node long, size long, comp long, n long, weight long")
+    sigs = spark.createDataFrame([(n, [n] * minhash.VALUES) for n in comp], "node long, sig array<int>")
+    groups: dict[int, list] = {}
+    for r in minhash._blocked(level, sigs).collect():
+        assert list(r.sig) == [r.node] * minhash.VALUES
+        groups.setdefault(r.region, []).append((r.node, r.role))
+    met = [tuple(sorted((a, b))) for g in groups.values() for i, (a, x) in enumerate(g) for b, y in g[:i] if comp[a] != comp[b] and (x == 0 or x != y)]
+    assert sorted(met) == [(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b]]
+    # 20 members of the largest component meet 5 blocks of the other 40; these meet its 3 blocks and one another's 5
+    assert sum(map(len, groups.values())) == 20 * 5 + 40 * (3 + 5)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     found = collected(minhash.near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")
     assert len(found) == 13

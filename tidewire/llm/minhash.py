@@ -9,13 +9,17 @@ members, it reads on to the next depth, so depth adapts to how crowded the order
 1. Documents with equal sets become one node.
 2. Every node takes one leader: the first member it meets most often as the head of its regions. The
    pair is confirmed on the full sets.
-3. In regions that still hold several components, crowded ones parted by depth, every node takes one more
+3. In crowded regions that still hold several components, parted by depth, every node takes one more
    partner: the member of another component whose signature agrees best. These pairs are confirmed too.
 4. Regions of the first depth that hold several components even now are searched for all pairs from
-   different components whose signatures agree well enough. Members that have such a pair get their texts,
-   and the pairs are confirmed on the full sets, best first; a confirmed pair joins its components, so n
-   members send on fewer than n links. A region of more than REGION members or SHINGLES shingles is read in
-   blocks, to which its members outside the largest component are queries.
+   different components whose sizes allow a link and whose signatures agree well enough. Members that have such
+   a pair get their texts, and the pairs are confirmed on the full sets, best first; a confirmed pair joins its
+   components, so n members send on fewer than n links. A region of more than REGION members or SHINGLES
+   shingles is read in blocks: blocks of its largest component meet blocks of the others, and these meet one
+   another, each two of them once.
+
+Signatures and texts are kept of the members of regions alone, and a member has its signature joined to it
+before it is copied to blocks.
 5. Components of the confirmed links, by alternating large and small stars.
 
 A pair of similarity 0.75 shares a region of the first depth with probability 0.42 in each of 24
@@ -127,10 +131,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long").distinct()
 
 
-def _agreeing(x: np.ndarray, comps: np.ndarray, roles: np.ndarray, at: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _agreeing(x: np.ndarray, sizes: np.ndarray, comps: np.ndarray, roles: np.ndarray, at: int, first: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of 64 rows from ``at`` on with all later rows, from different components, not both of a block or
-    both queries, that agree in AGREE values: (i, j, agreement). ``first``: only pairs whose first shared
-    order, at the first depth, it is."""
+    both queries, of sizes that allow a link, that agree in AGREE values: (i, j, agreement). ``first``: only pairs
+    whose first shared order, at the first depth, it is."""
     some = x[at : at + 64]
     count = np.zeros((len(some), len(x) - at), np.int16)
     earlier = np.zeros(count.shape, bool)
@@ -147,21 +151,22 @@ def _agreeing(x: np.ndarray, comps: np.ndarray, roles: np.ndarray, at: int, firs
     n = count[i, j]
     i, j = i + at, j + at
     ok = (i < j) & (comps[i] != comps[j]) & ((roles[i] == 0) | (roles[i] != roles[j]))
+    ok &= 100 * np.minimum(sizes[i], sizes[j]) >= 75 * np.maximum(sizes[i], sizes[j])
     return i[ok], j[ok], n[ok]
 
 
 class Region:
-    """Rows that are searched together: signatures, nodes, components, roles and, in the last search, sets."""
+    """Rows that are searched together: signatures, nodes, components, roles, sizes and, in the last search, sets."""
 
     def __init__(self, name: int, rows: list[tuple]):
         self.name = name
         self.x = np.frombuffer(b"".join(r[0] for r in rows), np.int32).reshape(-1, VALUES)
-        self.nodes, self.comps, self.roles = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        self.sets, self.tree = [r[4] for r in rows], rows[0][5]
+        self.nodes, self.comps, self.roles, self.sizes = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+        self.sets, self.tree = [r[5] for r in rows], rows[0][6]
 
     def pairs(self, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for at in range(0, len(self.nodes) - 1, 64):
-            yield _agreeing(self.x, self.comps, self.roles, at, first)
+            yield _agreeing(self.x, self.sizes, self.comps, self.roles, at, first)
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
@@ -171,12 +176,12 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[Region]:
     for batch in batches:
         texts = batch.column("text") if "text" in batch.schema.names else None
         flat = batch.column("sig").flatten().to_numpy().reshape(-1, VALUES)
-        for i, (r, tree, node, comp, role) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("region", "tree", "node", "comp", "role")), strict=True)):
+        for i, (r, tree, node, comp, role, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("region", "tree", "node", "comp", "role", "size")), strict=True)):
             if r != region:
                 if len(rows) > 1:
                     yield Region(region, rows)
                 region, rows = r, []
-            rows.append((flat[i].tobytes(), node, comp, role, shingles(texts[i].as_py()) if texts else None, tree))
+            rows.append((flat[i].tobytes(), node, comp, role, size, shingles(texts[i].as_py()) if texts else None, tree))
     if len(rows) > 1:
         yield Region(region, rows)
 
@@ -204,7 +209,9 @@ def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has[i] = has[j] = True
         if has.any():
             n = int(has.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r.name)), pa.array(np.full(n, r.tree, np.int32)), pa.array(r.nodes[has]), pa.array(r.comps[has]), pa.array(r.roles[has].astype(np.int32))], names=["region", "tree", "node", "comp", "role"])
+            sig = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * VALUES, pa.array(r.x[has].ravel()))
+            columns = [np.full(n, r.name), np.full(n, r.tree, np.int32), r.nodes[has], r.comps[has], r.roles[has].astype(np.int32), r.sizes[has]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), sig], names=["region", "tree", "node", "comp", "role", "size", "sig"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +274,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     orders = materialize(_orders(sigs), "orders")
     regions = materialize(orders.groupBy("region").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "regions")
     members = materialize(orders.join(regions, "region"), "members")
-    used = [regions, members, sigs]
+    used = [regions, members]
     discard(orders)
-    needed = members.select("node").distinct()
+    needed = joinable(materialize(members.select("node").distinct(), "needed"))
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(needed, "node", "left_semi"), "texts")
+    shared = materialize(sigs.select("node", "sig").join(needed, "node", "left_semi"), "shared")
+    discard(sigs)
+    sigs = shared
 
     votes = members.where("node <> head").groupBy("node", "head").count().groupBy("node").agg(F.max(F.struct("count", -F.col("head"))).alias("best"))
     led = votes.select(F.col("node").alias("b"), (-F.col("best.col2")).alias("a"))
@@ -279,17 +289,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = materialize(components(links), "components")
     members = members.select("region", "tree", "node", "size")
 
-    # What the leaders left apart: first one more partner each, then everything else.
-    best = _dealt(_parted(members, comps, sigs), sigs).mapInArrow(_partners, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", -F.col("other"))).alias("x")).select("node", (-F.col("x.col2")).alias("other"))
+    # What the leaders left apart: first one more partner each in crowded regions, then everything else.
+    level = _several(_with_comps(members, comps))
+    best = _dealt(_parted(level, sigs), sigs).mapInArrow(_partners, "node long, other long, agree long").groupBy("node").agg(F.max(F.struct("agree", -F.col("other"))).alias("x")).select("node", (-F.col("x.col2")).alias("other"))
     pairs = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.union(materialize(_confirm(pairs, texts), "links"))
         comps = materialize(components(links), "components")
-    active = _dealt(_blocked(members, comps), sigs).mapInArrow(_active, "region long, tree int, node long, comp long, role int")
-    rest = materialize(_dealt(materialize(active, "active"), sigs, texts).mapInArrow(_joined, "a long, b long"), "rest")
+        level = _several(_with_comps(members, comps))
+    active = _dealt(_blocked(level, sigs), sigs).mapInArrow(_active, "region long, tree int, node long, comp long, role int, size long, sig array<int>")
+    active = materialize(active, "active")
+    rest = materialize(_dealt(active.join(texts, "node"), sigs).mapInArrow(_joined, "a long, b long"), "rest")
     if not rest.isEmpty():
         comps = materialize(components(links.union(rest)), "components")
-    discard(texts, *used)
+    discard(texts, sigs, active, *used)
 
     named = heads.join(comps, "node", "left").select("n_shingles", "fp1", "fp2", F.coalesce("comp", "node").alias("c"))
     linked = whole.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["n_shingles", "fp1", "fp2"]).select("doc_id", "n_shingles", "c")
@@ -307,45 +320,42 @@ def _with_comps(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").select("region", "tree", "node", "size", F.coalesce("comp", "node").alias("comp"))
 
 
-def _parted(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Regions of several components; those of more than REGION members at the first depth that parts them."""
-    level, leaves = _several(_with_comps(members, comps)), None
-    for depth in (*DEPTHS[1:], None):
-        leaf = level.where(F.col("n") <= REGION)
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        crowded = level.where(F.col("n") > REGION).select("tree", "node", "comp")
-        if depth is None or crowded.isEmpty():  # what is crowded at the last depth, too, is left to the last search
+def _parted(level: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members of the regions of more than REGION of them, in the regions of the first depth that parts these."""
+    own = ("region", "tree", "node", "size", "comp")
+    leaves = level.where("false").select(*own)
+    for depth in DEPTHS[1:]:
+        crowded = level.where(F.col("n") > REGION).select("tree", "node", "size", "comp")
+        if crowded.isEmpty():  # what is crowded at the last depth, too, is left to the last search
             break
         region = F.xxhash64("tree", F.slice(F.concat("sig", "sig"), F.col("tree") * STEP + 1, F.lit(depth)))
-        level = _several(crowded.join(sigs, "node").select(region.alias("region"), "tree", "node", "size", "comp"))
-    return leaves.select("region", "tree", "node", "comp", F.lit(0).alias("role"))
+        level = _several(materialize(crowded.join(sigs, "node").select(region.alias("region"), "tree", "node", "size", "comp"), "level"))
+        leaves = leaves.union(level.where(F.col("n") <= REGION).select(*own))
+    return leaves.withColumn("role", F.lit(0)).join(sigs, "node")
 
 
-def _blocked(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Regions of several components, at the first depth. A region of more than REGION members or SHINGLES
-    shingles is cut into blocks; the members outside its largest component are queries to every block, and
-    every pair of different components has one of them."""
-    level = _several(_with_comps(members, comps))
+def _blocked(level: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Regions of several components, at the first depth, with signatures. A region of more than REGION members or
+    SHINGLES shingles is cut into blocks: those of its largest component (role 1) meet those of its other members
+    (role 2), and these meet one another, each two once (roles 1 and 2) and each itself (role 0). Every pair of
+    different components meets once."""
     whole = (F.col("n") <= REGION) & (F.col("weight") <= SHINGLES)
-    leaf = level.where(whole).select("region", "tree", "node", "comp", F.lit(0).alias("role"))
-    crowded = level.where(~whole)
-    if crowded.isEmpty():
-        return leaf
-    sizes = crowded.groupBy("region", "comp", "n", "weight").agg(F.count("*").alias("k"), F.sum("size").alias("w")).groupBy("region").agg(F.max(F.struct("k", "comp", "w")).alias("x"), F.max("n").alias("n"), F.max("weight").alias("weight"))
+    sizes = level.where(~whole).groupBy("region", "comp", "n", "weight").agg(F.count("*").alias("k"), F.sum("size").alias("w")).groupBy("region").agg(F.max(F.struct("k", "comp", "w")).alias("x"), F.max("n").alias("n"), F.max("weight").alias("weight"))
     pieces = lambda n, weight: F.ceil(F.greatest(n * 2 / REGION, weight * 2 / SHINGLES)).cast("long")
-    sizes = sizes.select("region", F.col("x.comp").alias("major"), pieces(F.col("n"), F.col("weight")).alias("blocks"), pieces(F.col("n") - F.col("x.k"), F.col("weight") - F.col("x.w")).alias("queries"))
-    rows = crowded.select("region", "tree", "node", "comp").join(joinable(materialize(sizes, "sizes")), "region")
-    spots = lambda own, all_of, salt: (F.pmod(F.xxhash64("node", F.lit(salt)), own), F.explode(F.sequence(F.lit(0).cast("long"), all_of - 1)))
-    mine, others = spots(F.col("blocks"), F.col("queries"), 1)
-    base = rows.select("region", "tree", "node", "comp", F.lit(1).alias("role"), mine.alias("b"), others.alias("q"))
-    mine, others = spots(F.col("queries"), F.col("blocks"), 2)
-    asked = rows.where("comp <> major").select("region", "tree", "node", "comp", F.lit(2).alias("role"), others.alias("b"), mine.alias("q"))
-    return leaf.unionByName(base.unionByName(asked).withColumn("region", F.xxhash64("region", "b", "q")).drop("b", "q"))
-
-
-def _dealt(rows: DataFrame, sigs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``rows`` with the signature and, from ``texts``, the text, sorted by region."""
-    rows = rows.join(sigs.select("node", "sig"), "node")
-    if texts is not None:
-        rows = rows.join(texts, "node")
+    sizes = sizes.select("region", F.col("x.comp").alias("major"), pieces(F.col("x.k"), F.col("x.w")).alias("blocks"), pieces(F.col("n") - F.col("x.k"), F.col("weight") - F.col("x.w")).alias("queries"))
+    rows = level.select("region", "tree", "node", "size", "comp").join(joinable(materialize(sizes, "sizes")), "region", "left").join(sigs, "node")
+    spot = lambda pieces: F.pmod(F.xxhash64("node"), F.col(pieces))
+    every = lambda pieces, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(pieces) - 1), f)
+    copy = lambda role, kind, b, q: F.struct(role.alias("role"), F.xxhash64("region", F.lit(kind), b, q).alias("region"))
+    own = spot("queries")
+    base = every("queries", lambda q: copy(F.lit(1), 0, spot("blocks"), q))
+    across = every("blocks", lambda b: copy(F.lit(2), 0, b, own))
+    among = every("queries", lambda x: copy(F.when(own == x, 0).when(own < x, 1).otherwise(2), 1, F.least(own, x), F.greatest(own, x)))
+    one = F.array(F.struct(F.lit(0).alias("role"), F.col("region").alias("region")))
+    copies = F.when(F.col("major").isNull(), one).when(F.col("comp") == F.col("major"), base).otherwise(F.concat(across, among))
+    return rows.select("tree", "node", "size", "comp", "sig", F.explode(copies).alias("c")).select("c.region", "tree", "node", "size", "comp", "c.role", "sig")
+
+
+def _dealt(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``rows`` with signatures, sorted by region."""
     return rows.repartition(spread(sigs), "region").sortWithinPartitions("region", "node")
