@@ -107,3 +107,12 @@ def test_join_url(spark):
     base = "https://e.com/a/b.html?q=1"
     for link, want in {"/x": "https://e.com/x", "y": "https://e.com/a/y", "../z": "https://e.com/z", "//h.com/p": "https://h.com/p", "https://o.com/": "https://o.com/", "?p=2": "https://e.com/a/b.html?p=2"}.items():
         assert one(spark, link, lambda c: X.join_url(F.lit(base), c)) == want
+
+
+def test_long_titles_visit_python_a_hundred_at_a_time(spark, capsys):
+    rows = spark.createDataFrame([("Ａ title　of a story",), (None,), ("plain",)], "title string")
+    found = rows.select(X.normalize_title("title").alias("t"))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # an Arrow batch holds 10,000 titles
+    assert [r.t for r in found.collect()] == ["Atitleofastory", "", "plain"]

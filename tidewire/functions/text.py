@@ -80,9 +80,9 @@ def content_hash(title: Column | str, content: Column | str) -> Column:
     return F.sha2(F.concat(clean_text(title), F.lit("\n"), clean_text(content)), 256)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+@F.udf(T.StringType(), useArrow=False)  # Python gets 100 rows at a time: a title may be as long as a text
+def _nfkc(x: str | None) -> str | None:
+    return None if x is None else unicodedata.normalize("NFKC", x)
 
 
 def normalize_title(title: Column | str) -> Column:

@@ -33,7 +33,7 @@ def conformed(rows: DataFrame, ddl: str = ARTICLES, *more: Column) -> DataFrame:
     have = set(rows.columns)
     out = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl)), *more)
     if ddl == ARTICLES:
-        out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items()} | {"tags": F.coalesce("tags", F.array().cast("array<string>")), "normalized_title": F.coalesce("normalized_title", X.normalize_title("title"))})
+        out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items()} | {"tags": F.coalesce("tags", F.array().cast("array<string>")), "normalized_title": F.coalesce("normalized_title", X.normalize_title(F.when(F.col("normalized_title").isNull(), F.col("title"))))})
     return out
 
 
