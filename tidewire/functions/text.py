@@ -23,6 +23,8 @@ def _str(c: Column | str) -> Column:
 # URLs
 
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+#: URLs that are as they should be: a scheme and a host in small letters, names between single slashes, and nothing else.
+_CANONICAL = r"^https?://[a-z0-9.-]+(?:/[A-Za-z0-9_.~-]+)+\z"
 
 
 def _decoded(c: Column) -> Column:
@@ -48,7 +50,8 @@ def normalize_url(url: Column | str) -> Column:
     pairs = F.sort_array(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING) & ~p["k"].startswith("utm_")))
     query = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     base = F.when((host != "") | path.startswith("/"), F.concat(scheme, F.lit("://"), host, path)).otherwise(F.concat(scheme, F.lit(":"), path))
-    return F.when(_str(url) == "", F.lit("")).otherwise(F.concat(base, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
+    made = F.concat(base, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    return F.when(_str(url) == "", F.lit("")).when(_str(url).rlike(_CANONICAL), _str(url)).otherwise(made)
 
 
 def join_url(base: Column, link: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.plans.session import written
 from tidewire.sources.manifest import Manifests
@@ -48,13 +49,16 @@ class BucketTable:
 
     def read(self, buckets: list[int] | None = None, state: dict | None = None) -> DataFrame:
         """Rows of some buckets, or of all, with ``bucket``; values that a row has not are the table's defaults."""
+        return conformed(self.stored(buckets, state), self.ddl, F.col("bucket"))
+
+    def stored(self, buckets: list[int] | None = None, state: dict | None = None) -> DataFrame:
+        """The same rows as their files have them."""
         state = state or self.state()
         named = {int(b): v for b, v in state["at"].items() if buckets is None or int(b) in set(buckets)}
         if not named:
             return empty(self.spark, self.ddl).withColumn("bucket", F.lit(None).cast("int"))
         paths = [f"{self.root}/data/version={v}/bucket={b}" for b, v in sorted(named.items())]
-        rows = self.spark.read.schema(f"{self.ddl}, version INT, bucket INT").option("basePath", f"{self.root}/data").parquet(*paths)
-        return conformed(rows, self.ddl, F.col("bucket"))
+        return self.spark.read.schema(f"{self.ddl}, version INT, bucket INT").option("basePath", f"{self.root}/data").parquet(*paths).drop("version")
 
     def batch_done(self, stream: str, number: int) -> bool:
         """Whether a batch of a stream was taken in; batches are numbered upwards, and only the last may come again."""
@@ -74,7 +78,7 @@ class BucketTable:
         if new.isEmpty():
             return
         commit = Commit(self, state)
-        commit.add(new)
+        commit.add(new, True)
         commit.keep(new.select("bucket", "id"), "id")
         commit.publish(state["at"], keep)
 
@@ -91,10 +95,12 @@ class Commit:
     def _append(self, rows: DataFrame) -> None:
         rows.write.mode("append").partitionBy("bucket").parquet(f"{self.table.root}/{self.folder}")
 
-    def add(self, rows: DataFrame) -> None:
-        """New rows, dealt by bucket; a bucket of many bytes is written by several tasks."""
+    def add(self, rows: DataFrame, whole: bool = False) -> None:
+        """New rows, dealt by bucket; a bucket of many bytes is written by several tasks. ``whole`` ones have all values
+        already, so nothing is filled in."""
         seen = Observation()
-        rows = conformed(rows, self.table.ddl).withColumn("bucket", self.table.bucket(state=self.state)).observe(seen, F.max("id").alias("max_id"))
+        rows = rows.select(*T.StructType.fromDDL(self.table.ddl).names) if whole else conformed(rows, self.table.ddl)
+        rows = rows.withColumn("bucket", self.table.bucket(state=self.state)).observe(seen, F.max("id").alias("max_id"))
         self._append(rows.hint("rebalance", F.col("bucket")))
         self.max_id = max(self.max_id, seen.get["max_id"] or 0)
 
@@ -118,7 +124,7 @@ class Commit:
         for group in groups:
             keys = gone.where(F.col("bucket").isin(group)).select(by)
             few = F.broadcast(keys) if sum(counts[b] for b in group) <= KEYS else keys
-            self._append(self.table.read(group, self.state).join(few, by, "left_anti"))
+            self._append(self.table.stored(group, self.state).join(few, by, "left_anti"))
 
     def publish(self, at: dict, keep: int = 2, batch: tuple[str, int] | None = None) -> None:
         """Make the version known: its buckets, and the others as ``at`` has them. What no kept manifest names goes."""

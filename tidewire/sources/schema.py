@@ -47,7 +47,7 @@ def articles_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.col("source").alias("source_key"),
         F.col("lang").alias("category"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.when(F.col("doc_id") % 4 == 1, F.left("text", F.lit(500))).otherwise(F.lit("")).alias("summary"),
         F.col("text").alias("content"),
         F.when(F.col("doc_id") % 50 == 7, at + F.expr("INTERVAL 3 DAYS")).when(F.col("doc_id") % 10 != 0, at).alias("published_at"),
