@@ -99,17 +99,17 @@ def upsert(stored: DataFrame, incoming: DataFrame, position: str = "position") -
 def upsert_into(table: BucketTable, incoming: DataFrame, position: str = "position", batch: tuple[str, int] | None = None) -> DataFrame:
     """Upsert into a stored table; the folded rows, of which ``counted`` makes the counts.
 
-    The batch is written once, and all that follows reads the columns that it needs of it: whatever makes its rows, it
-    makes them once. Only buckets that a batch meets are read, narrow columns first, and only those in which a URL changes are written
+    Whatever makes the batch's rows makes them twice: once for the narrow columns, which are written and decide all, and once
+    for the texts that hold. Only buckets that a batch meets are read, narrow columns first, and only those in which a URL changes are written
     again; where none does, the commit is a manifest alone. Their other rows are passed on without a shuffle. With ``batch``, a stream's name and the number of its batch, a
     batch that was taken in before changes nothing: the table's manifest, which makes the rows known, names it too.
     """
     state, new = table.state(), arrived(incoming, position)
     if batch and table.batch_done(*batch):
         return folded(table.read([], state), new.where("false"))
-    new = written(new.withColumn("bucket", table.bucket(state=state)), "arrived")
-    met = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most one row for each bucket
-    rows = folded(table.read(met, state), new)
+    narrow = written(new.select(*NARROW, table.bucket(state=state).alias("bucket")), "arrived")
+    met = [r["bucket"] for r in narrow.select("bucket").distinct().collect()]  # at most one row for each bucket
+    rows = folded(table.read(met, state), narrow)
     urls = written(held(rows).withColumn("bucket", table.bucket(state=state)), "held")
     commit = Commit(table, state)
     if not urls.isEmpty():
